@@ -1,0 +1 @@
+"""strandmill.streaming."""
