@@ -7,6 +7,8 @@ from importlib import import_module
 #: query name: module of this package, which has query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL.
 MODULES = {
     "op2_byte_bpe": "tokenize",
+    "op4_language": "language",
+    "op5_token_files": "token_files",
     "op6_mixing": "mixing",
     "op8_exact_dedup": "exact_dedup",
 }
