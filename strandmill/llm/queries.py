@@ -11,7 +11,9 @@ MODULES = {
     "op4_language": "language",
     "op5_token_files": "token_files",
     "op6_mixing": "mixing",
+    "op7_neighbours": "neighbours",
     "op8_exact_dedup": "exact_dedup",
+    "op9_resample": "resample",
 }
 
 
