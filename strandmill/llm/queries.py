@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_personal_data": "personal",
     "op2_byte_bpe": "tokenize",
+    "op3_near_dedup": "near_dedup",
     "op4_language": "language",
     "op5_token_files": "token_files",
     "op6_mixing": "mixing",
