@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name: module of this package, which has query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL.
 MODULES = {
     "op1_personal_data": "personal",
+    "op10_language_model": "language_model",
     "op2_byte_bpe": "tokenize",
     "op3_near_dedup": "near_dedup",
     "op4_language": "language",
