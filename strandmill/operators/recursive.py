@@ -30,17 +30,18 @@ def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float]], by: tuple
     size = block or max(1, int(300 / -math.log(steepest)))
     d = df.withColumn("_row", F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1)
     d = d.withColumn("_block", F.floor(F.col("_row") / size)).withColumn("_at", F.col("_row") % size)
-    inside = W.partitionBy(*by, "_block").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*by, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     for name, (x, decay) in sums.items():
         d = d.withColumn(name, F.sum(F.coalesce(x, F.lit(0.0)) * F.pow(F.lit(decay), -F.col("_at"))).over(inside) * F.pow(F.lit(decay), F.col("_at")))
-    ends = d.where(F.col("_at") == size - 1).select(*by, (F.col("_block") + 1).alias("_block"), *(F.col(n).alias(f"_in_{n}") for n in sums))
-    # one block before is all that matters, but its own carry does near its start: two blocks cover it
-    prior = ends.select(*by, (F.col("_block") + 1).alias("_block"), *(F.col(f"_in_{n}").alias(f"_in2_{n}") for n in sums))
-    d = d.join(ends, [*by, "_block"], "left").join(prior, [*by, "_block"], "left")
+    # what is carried in: the sums at the end of the block before, and of the one before that, whose own carry is nothing
+    done, before = F.col("_at") == size - 1, W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    for name in sums:
+        d = d.withColumn(f"_in_{name}", F.last(F.when(done, F.col(name)), ignorenulls=True).over(before))
     for name, (_, decay) in sums.items():
-        into = F.coalesce(F.col(f"_in_{name}"), F.lit(0.0)) + F.coalesce(F.col(f"_in2_{name}"), F.lit(0.0)) * decay**size
+        prior = F.last(F.when(done, F.col(f"_in_{name}")), ignorenulls=True).over(before)
+        into = F.coalesce(F.col(f"_in_{name}"), F.lit(0.0)) + F.coalesce(prior, F.lit(0.0)) * decay**size
         d = d.withColumn(name, F.col(name) + into * F.pow(F.lit(decay), F.col("_at") + 1))
-    return d.drop("_row", "_block", "_at", *(f"_in_{n}" for n in sums), *(f"_in2_{n}" for n in sums))
+    return d.drop("_row", "_block", "_at", *(f"_in_{n}" for n in sums))
 
 
 def _count(x: Column, by: tuple[str, ...], order: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandmill.sources.panels import ctes
 
 #: Modules of queries beside this one.
-MODULES = ("panel_queries",)
+MODULES = ("panel_queries", "signal_queries")
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
@@ -21,8 +21,8 @@ def query(name: str, panels: tuple = (), sql: str | None = None, more: str = "")
     def keep(f):
         _QUERIES[name] = f
         if sql is not None:
-            head = ctes(*panels) if panels else ""
-            head += (", " if head else "WITH ") + more if more else ""
+            head = ctes(*panels).replace("WITH ", "WITH RECURSIVE ", 1) if panels else ""
+            head += (", " if head else "WITH RECURSIVE ") + more if more else ""
             _SQL[name] = f"{head} {sql}"
         return f
 
