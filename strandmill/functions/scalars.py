@@ -53,22 +53,27 @@ _LOW = 0.02425
 
 def horner(x: str, of: tuple) -> str:
     """A polynomial as SQL, highest power first."""
-    out = repr(of[0])
+    out = _double(of[0])
     for c in of[1:]:
-        out = f"(({out}) * ({x}) + ({c!r}))"
+        out = f"(({out}) * ({x}) + ({_double(c)}))"
     return out
 
 
+def _double(c: float) -> str:
+    """A literal that is a double, not a decimal, in any engine."""
+    return f"{c!r}e0" if "e" not in repr(c) else repr(c)
+
+
 def normal_cdf_sql(x: str) -> str:
     """Normal distribution function as SQL that Spark and other engines read; within 1e-7."""
-    t = f"(1 / (1 + {CDF[0]} * abs({x})))"
-    tail = f"(exp(-0.5 * ({x}) * ({x})) * 0.3989422804014327 * {t} * {horner(t, CDF[:0:-1])})"
+    t = f"(1 / (1 + {_double(CDF[0])} * abs({x})))"
+    tail = f"(exp(-0.5e0 * ({x}) * ({x})) * 0.3989422804014327e0 * {t} * {horner(t, CDF[:0:-1])})"
     return f"(CASE WHEN ({x}) >= 0 THEN 1 - {tail} ELSE {tail} END)"
 
 
 def normal_ppf_sql(p: str) -> str:
     """Inverse of the normal distribution function as SQL; relative error below 2e-9; null outside (0, 1)."""
-    q = f"(({p}) - 0.5)"
+    q = f"(({p}) - 0.5e0)"
     mid = f"({q} * {horner(f'({q} * {q})', PPF_A)} / {horner(f'({q} * {q})', PPF_B)})"
     end = lambda of: f"({horner(f'sqrt(-2 * ln({of}))', PPF_C)} / {horner(f'sqrt(-2 * ln({of}))', PPF_D)})"
     return f"(CASE WHEN ({p}) <= 0 OR ({p}) >= 1 THEN NULL WHEN ({p}) < {_LOW} THEN {end(p)} WHEN ({p}) <= {1 - _LOW} THEN {mid} ELSE -{end(f'(1 - ({p}))')} END)"

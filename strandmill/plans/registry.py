@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandmill.sources.panels import ctes
 
 #: Modules of queries beside this one.
-MODULES = ("panel_queries", "signal_queries")
+MODULES = ("panel_queries", "signal_queries", "ledger_queries", "statistics_queries")
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
