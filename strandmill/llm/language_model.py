@@ -22,7 +22,7 @@ _RARE = 5  # counts up to this are discounted
 
 def pack(x: np.ndarray) -> bytes:
     """Compressed, byte plane by byte plane."""
-    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 3)
 
 
 def unpack(x: bytes, kind: str) -> np.ndarray:
@@ -76,7 +76,11 @@ def encode_corpus(docs: DataFrame) -> DataFrame:
         inner = np.ones(len(tokens), bool)
         inner[ends] = False
         tokens[inner] = np.concatenate(words)
-        kinds, at = np.unique(np.append(tokens, _BEGIN), return_inverse=True)
+        kinds, at, often = np.unique(np.append(tokens, _BEGIN), return_inverse=True, return_counts=True)
+        order = np.argsort(-often, kind="stable")  # frequent words get small places, which pack well
+        spot = np.empty_like(order)
+        spot[order] = np.arange(len(order))
+        kinds, at = kinds[order], spot[at]
         flags = np.array(held, bool)
         seen = np.bincount(at[:-1][np.repeat(~flags, sizes + 1)], minlength=len(kinds))
         row = [[block], [ids], [held], [len(tokens)], [int((~flags).sum())], [int(seen.sum())], [pack(sizes.astype("<u4") + np.uint32(1))], [kinds.tobytes()], [pack(seen.astype("<u4"))], [pack(at[:-1].astype("<u4"))]]
@@ -125,6 +129,8 @@ def count_words(corpus: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             for block, kinds, seen in zip(*b.columns, strict=True):
                 kinds, seen = np.frombuffer(kinds.as_py(), np.uint64), unpack(seen.as_py(), "<u4")
+                order = np.argsort(kinds)
+                kinds, seen = kinds[order], seen[order]
                 to = _by_hash(kinds, buckets)
                 cut = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
                 ends = np.append(cut[1:], len(kinds))
@@ -165,14 +171,15 @@ def score_pairs(corpus: DataFrame, words: DataFrame, unigrams: Unigrams, train_d
         if block.num_rows:
             row = block.to_pylist()[0]
             answers = answers.sort_by("bucket")
-            ids = np.concatenate([unpack(x.as_py(), "<u8") for x in answers["ids"]])
-            counts = np.concatenate([unpack(x.as_py(), "<u8") for x in answers["counts"]])
             local, places = np.frombuffer(row["kinds"], np.uint64), unpack(row["places"], "<u4").astype(np.int64)
+            ids, counts = np.empty(len(local), np.int64), np.empty(len(local), np.int64)
+            for column, name in ((ids, "ids"), (counts, "counts")):  # answers come in order of hash
+                column[np.argsort(local)] = np.concatenate([unpack(x.as_py(), "<u8") for x in answers[name]])
             sizes, n = unpack(row["sizes"], "<u4").astype(np.int64), len(local)
             doc = np.repeat(np.arange(len(sizes)), sizes)
             before = np.empty_like(places)
             before[1:] = places[:-1]
-            begin = int(np.searchsorted(local, _BEGIN))
+            begin = int(np.flatnonzero(local == _BEGIN)[0])
             before[np.cumsum(sizes) - sizes] = begin
             pairs, times = np.unique((before * n + places) * len(sizes) + doc, return_counts=True)
             doc, pair = pairs % len(sizes), pairs // len(sizes)
@@ -183,18 +190,27 @@ def score_pairs(corpus: DataFrame, words: DataFrame, unigrams: Unigrams, train_d
             to = ((ids[context] * 0x9E3779B1 + spread * 0x85EBCA6B) & 0xFFFFFFFF) * buckets >> 32
             order = np.argsort(to, kind="stable")
             flags = np.array(row["held"], np.int64)
-            columns = [ids[context], ids[word], counts[word], as_context[context], doc * 2 + flags[doc], times]
-            columns = [c[order].astype("<u8") for c in columns]
-            to = to[order]
+            context, word, doc, times, to = (x[order] for x in (context, word, doc * 2 + flags[doc], times, to))
             cut = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
             for a, z in zip(cut.tolist(), np.append(cut[1:], len(to)).tolist(), strict=True):
-                out.append((int(to[a]), row["block"], len(sizes), *(pack(c[a:z]) for c in columns)))
-        return _table("bucket block docs context word count base doc times", (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6), list(zip(*out, strict=True)) if out else [[]] * 9)
+                # contexts and words once each with what is known of them, entries as places among them
+                heads, of_context = np.unique(context[a:z], return_inverse=True)
+                kinds_, of_word = np.unique(word[a:z], return_inverse=True)
+                lists = [ids[heads], as_context[heads], ids[kinds_], counts[kinds_]]
+                entries = [np.diff(of_context, prepend=0), of_word, doc[a:z], times[a:z]]
+                out.append((int(to[a]), row["block"], len(sizes), *(pack(x.astype("<u8")) for x in lists), *(pack(x.astype("<u4")) for x in entries)))
+        return _table("bucket block docs contexts bases words counts context word doc times", (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 8), list(zip(*out, strict=True)) if out else [[]] * 11)
 
     def evaluate(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("block")
         blocks, docs = rows["block"].to_pylist(), rows["docs"].to_pylist()
-        parts = [[unpack(x.as_py(), "<u8").astype(np.int64) for x in rows[c]] for c in ("context", "word", "count", "base", "doc", "times")]
+        get = lambda x, kind: unpack(x.as_py(), kind).astype(np.int64)
+        parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+        for *lists, of_context, of_word, doc, times in zip(*(rows[c] for c in ("contexts", "bases", "words", "counts", "context", "word", "doc", "times")), strict=True):
+            heads, bases, kinds_, counts = (get(x, "<u8") for x in lists)
+            of_context, of_word = np.cumsum(get(of_context, "<u4")), get(of_word, "<u4")
+            for part, x in zip(parts, (heads[of_context], kinds_[of_word], counts[of_word], bases[of_context], get(doc, "<u4"), get(times, "<u4")), strict=True):
+                part.append(x)
         cuts = np.cumsum([0, *map(len, parts[0])])
         context, word, count, base, doc, times = (np.concatenate(p) for p in parts)
         held, doc = (doc & 1).astype(bool), doc >> 1
@@ -239,7 +255,7 @@ def score_pairs(corpus: DataFrame, words: DataFrame, unigrams: Unigrams, train_d
 
     answers = words.where("kind = 1").select("bucket", "block", "ids", "counts")
     blocks = corpus.select("block", "held", "sizes", "kinds", "places")
-    sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, "bucket int, block long, docs long, context binary, word binary, count binary, base binary, doc binary, times binary")
+    sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, "bucket int, block long, docs long, contexts binary, bases binary, words binary, counts binary, context binary, word binary, doc binary, times binary")
     return save(sent.groupBy("bucket").applyInArrow(evaluate, "kind int, context long, block long, doc long, times long, kept array<double>, sums binary, few array<long>"), "pairs")
 
 

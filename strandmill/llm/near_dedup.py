@@ -113,19 +113,23 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> DataFram
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple] = {}  # multisets of recent hubs
+        known: dict[int, tuple] = {}  # multisets of recent documents, which come up in several pairs
+        held = 0
 
         def bag(i, text):
+            nonlocal held
             if i not in known:
-                if len(known) >= 64:
+                if held > _AT_ONCE * 4:
                     known.clear()
-                known[i] = multisets(pa.array([text], pa.large_string()), n)[:2]
+                    held = 0
+                known[i] = multisets(pa.array([text.as_py()], pa.large_string()), n)[:2]
+                held += len(known[i][0])
             return known[i]
 
         for b in batches:
             a_ids, b_ids = b.column(0).to_pylist(), b.column(1).to_pylist()
-            ok = [weighted_jaccard(bag(i, x.as_py()), multisets(pa.array([y.as_py()], pa.large_string()), n)[:2]) >= least for i, x, y in zip(a_ids, b.column(2), b.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
+            ok = pa.array([weighted_jaccard(bag(i, x), bag(j, y)) >= least for i, j, x, y in zip(a_ids, b_ids, b.column(2), b.column(3), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
@@ -149,7 +153,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_groups(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, bands: int = 32, rows: int = 4) -> DataFrame:
+def near_groups(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, bands: int = 40, rows: int = 6) -> DataFrame:
     """One row per row of docs: doc_id and class_id, the smallest doc_id of its class.
 
     Documents are linked when the multisets of their shingles of five words have a weighted Jaccard similarity of
@@ -158,7 +162,7 @@ def near_groups(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, bands:
     doc_id fall into one class if any of their texts do. An empty table gives no rows; other columns are not read.
 
     Documents of one multiset are one node from the start. Nodes that share a band of the signature (a pair at the
-    threshold misses all with a probability of 5e-8) form a bucket, and a bucket needs few of its pairs: first
+    threshold misses all with a probability of 5e-6) form a bucket, and a bucket needs few of its pairs: first
     every member is verified against one hub, which links groups of near copies of any size in as many pairs as members.
     Only members of a bucket that links haven't joined yet go on: against some leaders, then more, and at last against
     all members in other components, so that no link is lost. Pairs whose sizes rule the similarity out are never made.
@@ -168,9 +172,12 @@ def near_groups(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, bands:
     nodes = save(nodes, "nodes")
     keys = sig.join(nodes.select("content", "id", "words").withColumnRenamed("words", "w"), ["content"]).where(F.col("doc_id") == F.col("id"))
     keys = save(keys.dropDuplicates(["id"]).select("id", F.col("w").alias("words"), F.explode("bands").alias("key")), "keys")
-    order = F.xxhash64(F.lit(3), "id")
-    buckets = keys.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id"), F.col("words"))).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = save(keys.join(buckets, "key").select("key", "id", "words", "n", F.col("hub.id").alias("hub"), F.col("hub.words").alias("hub_words")), "members")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = save(keys.join(buckets, "key"), "members")
+    # the hub of a bucket is the member with most company in all its buckets: the middle of a group of near copies
+    company = members.groupBy("id").agg(F.sum("n").alias("company"))
+    hubs = members.join(company, "id").groupBy("key").agg(F.max(F.struct("company", F.xxhash64(F.lit(3), "id").alias("order"), "id", "words")).alias("hub"))
+    hubbed = members.join(hubs, "key").select("id", "words", F.col("hub.id").alias("hub"), F.col("hub.words").alias("hub_words"))
 
     def alike(x: str, y: str):  # the similarity can't be more than that of the sizes
         return F.least(x, y) >= least * F.greatest(x, y)
@@ -178,15 +185,16 @@ def near_groups(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, bands:
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     texts = save(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    pairs = members.where((F.col("id") != F.col("hub")) & alike("words", "hub_words")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    pairs = hubbed.where((F.col("id") != F.col("hub")) & alike("words", "hub_words")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
     pairs = save(pairs.distinct(), "pairs")
     tested, links = pairs, save(verify(pairs, texts, shingle, least), "links")
     ids = members.select("id").distinct()
     labels = components(ids, links)
-    for leaders in (8, 64, None):
-        named = members.select("key", "id", "words", "n").join(labels, "id")
+    named = members.select("key", "id", "words", "n")
+    for leaders in (16, None):
+        named = named.select("key", "id", "words", "n").join(labels, "id")
         open_ = named.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2").select("key")
-        named = save(named.join(open_, "key", "left_semi"), "open")
+        named = save(named.join(open_, "key", "left_semi"), "open")  # a bucket in one component stays so
         lead = named if leaders is None else named.where(F.pmod(F.xxhash64(F.lit(leaders), "id", "key"), F.col("n")) < leaders)
         lead = lead.select("key", F.col("id").alias("i"), F.col("words").alias("w"), F.col("label").alias("l"))
         pairs = named.join(lead, "key").where((F.col("label") != F.col("l")) & alike("words", "w")).select(F.least("id", "i").alias("a"), F.greatest("id", "i").alias("b")).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import save, table
-from .tokenize import _UNSAFE
+from .tokenize import _UNSAFE, Recent
 
 _HEAD = struct.Struct("<4sIQB")
 _MAGIC = b"DAC1"
@@ -113,37 +114,38 @@ class LibraryEncoder:
     except around runs of white space, and such texts go to the library whole. Strings of special tokens are ordinary text.
     """
 
-    UNITS = 400_000
+    UNITS, AT_ONCE = 800_000, 300_000
 
     def __init__(self, vocabulary: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library, self.units = Tokenizer.from_str(vocabulary), {}
+        self.library, self.units = Tokenizer.from_str(vocabulary), Recent(self.UNITS)
         self.library.encode_special_tokens = True
 
-    def encode(self, text: str) -> bytes:
-        """Packed little-endian unsigned 32-bit ids."""
-        if not text:
-            return b""
-        if "\0" in text or _UNSAFE.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known, units = self.units, text.replace(" ", "\0 ").split("\0")
-        out = list(map(known.get, units))
-        if None in out:
-            new = list(dict.fromkeys(u for u, ids in zip(units, out, strict=True) if ids is None))
-            if len(known) + len(new) > self.UNITS:
-                known.clear()
-                return self.encode(text) if len(new) <= self.UNITS and len(new) < len(set(units)) else self._fresh(units)
-            for unit, got in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-                known[unit] = np.array(got.ids, "<u4").tobytes()
-            out = list(map(known.__getitem__, units))
-        return b"".join(out)
-
-    def _fresh(self, units: list[str]) -> bytes:
-        new = list(dict.fromkeys(units))
-        ids = {u: np.array(x.ids, "<u4").tobytes() for u, x in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True)}
-        return b"".join(map(ids.__getitem__, units))
+    def _fresh(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed little-endian unsigned 32-bit ids of each text."""
+        units, ends = [], []
+        for text in texts:
+            units += [text] if "\0" in text or _UNSAFE.search(text) else text.replace(" ", "\0 ").split("\0")
+            ends.append(len(units))
+        ids = self.units.fill(units, self._fresh)
+        return [b"".join(ids[a:z]) for a, z in zip([0, *ends], ends, strict=False)]
+
+    def encode_all(self, rows: Iterator[tuple]) -> Iterator[tuple]:
+        """(key, ids) of each (key, text), as many texts at a time as have AT_ONCE characters together, or one."""
+        keys, texts, n = [], [], 0
+        for key, text in rows:
+            keys.append(key)
+            texts.append(text)
+            n += len(text)
+            if n >= self.AT_ONCE:
+                yield from zip(keys, self.encode(texts), strict=True)
+                keys, texts, n = [], [], 0
+        yield from zip(keys, self.encode(texts), strict=True)
 
 
 _ENCODERS: dict[int, LibraryEncoder] = {}
@@ -165,22 +167,22 @@ def write_images(docs: DataFrame, vocabulary: str, end_id: int, image_ids: int =
         if key not in _ENCODERS:
             _ENCODERS.clear()
             _ENCODERS[key] = LibraryEncoder(shared.value)
-        encode, shard, part = _ENCODERS[key].encode, TaskContext.get().partitionId(), 0
+        encode, shard, part = _ENCODERS[key].encode_all, TaskContext.get().partitionId(), 0
         names, ids, n = [], [], 0
 
         def close() -> pa.RecordBatch:
             row = [[shard], [part], [len(names)], [n], [DirectCodes.build(names, ids)]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "part", "n_docs", "n_ids", "image"])
 
-        for b in batches:
-            for doc_id, text in zip(b.column(0), b.column(1), strict=True):
-                got = np.append(np.frombuffer(encode(text.as_py() or ""), "<u4"), end)
-                names.append(doc_id.as_py())
-                ids.append(got)
-                n += len(got)
-                if n >= image_ids:
-                    yield close()
-                    part, names, ids, n = part + 1, [], [], 0
+        rows = ((i.as_py(), x.as_py() or "") for b in batches for i, x in zip(b.column(0), b.column(1), strict=True))
+        for doc_id, packed in encode(rows):
+            got = np.append(np.frombuffer(packed, "<u4"), end)
+            names.append(doc_id)
+            ids.append(got)
+            n += len(got)
+            if n >= image_ids:
+                yield close()
+                part, names, ids, n = part + 1, [], [], 0
         if names:
             yield close()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -109,6 +110,38 @@ class BytePairEncoder:
         return ids
 
 
+class Recent:
+    """Values of recent keys, about ``most`` of them: two dictionaries, of which the older is dropped when the newer is full."""
+
+    def __init__(self, most: int) -> None:
+        self.half, self.new, self.old = most // 2, {}, {}
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.half:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+    def fill(self, keys: list, make) -> list:
+        """Values of keys; make(list of keys) gives those that aren't known."""
+        out = list(map(self.new.get, keys))
+        if None in out:
+            wanted: dict = {}
+            for i, value in enumerate(out):
+                if value is None:
+                    key = keys[i]
+                    if (value := self.old.get(key)) is None:
+                        wanted.setdefault(key, []).append(i)
+                    else:
+                        self.put(key, value)
+                        out[i] = value
+            for (key, at), value in zip(wanted.items(), make(list(wanted)), strict=True):
+                if len(key) < 64:
+                    self.put(key, value)
+                for i in at:
+                    out[i] = value
+        return out
+
+
 class TextEncoder:
     """Ids of whole texts as packed little-endian unsigned 32-bit integers.
 
@@ -116,35 +149,23 @@ class TextEncoder:
     whole); the ids of recent cuts are kept in a table of bounded size.
     """
 
-    UNITS = 400_000
+    UNITS = 800_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.bpe, self.pattern, self.units = BytePairEncoder(ranks), regex.compile(pattern), {}
+        self.bpe, self.pattern, self.units = BytePairEncoder(ranks), regex.compile(pattern), Recent(self.UNITS)
 
     def _pieces(self, text: str) -> bytes:
         out: list[int] = []
         for piece in self.pattern.findall(text):
             out += self.bpe.encode(piece.encode())
-        return np.array(out, "<u4").tobytes()
+        return array("I", out).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if "\0" in text or _UNSAFE.search(text):
             return self._pieces(text)
-        known, units = self.units, text.replace(" ", "\0 ").split("\0")
-        out = list(map(known.get, units))
-        if None in out:
-            for k, unit in enumerate(units):
-                if out[k] is None and (ids := known.get(unit)) is None:
-                    ids = self._pieces(unit)
-                    if len(unit) < 64:
-                        if len(known) >= self.UNITS:
-                            known.clear()
-                        known[unit] = ids
-                if out[k] is None:
-                    out[k] = ids
-        return b"".join(out)
+        return b"".join(self.units.fill(text.replace(" ", "\0 ").split("\0"), lambda new: map(self._pieces, new)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bpe.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
