@@ -17,7 +17,7 @@ from strandmill.operators import windows as O
 def panel(spark):
     rng = np.random.default_rng(3)
     rows = [(s, pd.Timestamp("2020-01-01") + pd.Timedelta(days=i), float(x)) for s in "ab" for i, x in enumerate(rng.normal(size=400).cumsum())]
-    return pd.DataFrame(rows, columns=["symbol", "dt", "x"]), spark.createDataFrame(rows, "symbol string, dt timestamp, x double")
+    return pd.DataFrame(rows, columns=["symbol", "dt", "x"]), spark.createDataFrame([(s, t.to_pydatetime(), x) for s, t, x in rows], "symbol string, dt timestamp, x double")
 
 
 @pytest.mark.parametrize("block", [None, 64])
