@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from .common import held_out, save, table, word_hashes
 
 #: Hashes of what precedes a text and of what ends it; no word has them but by chance.
 _BEGIN, _END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
-_BLOCK_TOKENS, _BLOCK_DOCS, _BUCKET_TOKENS = 1 << 20, 50_000, 1_500_000
+_BLOCK_TOKENS, _BLOCK_DOCS, _BUCKET_TOKENS = 1 << 20, 50_000, 1_000_000
 _RARE = 5  # counts up to this are discounted
 
 
@@ -81,11 +82,12 @@ def encode_corpus(docs: DataFrame) -> DataFrame:
         spot = np.empty_like(order)
         spot[order] = np.arange(len(order))
         kinds, at = kinds[order], spot[at]
+        spot_of_begin = at[-1]
         flags = np.array(held, bool)
         seen = np.bincount(at[:-1][np.repeat(~flags, sizes + 1)], minlength=len(kinds))
-        row = [[block], [ids], [held], [len(tokens)], [int((~flags).sum())], [int(seen.sum())], [pack(sizes.astype("<u4") + np.uint32(1))], [kinds.tobytes()], [pack(seen.astype("<u4"))], [pack(at[:-1].astype("<u4"))]]
-        kind = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4)
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kind, strict=True)], names=["block", "doc_ids", "held", "tokens", "train_docs", "train_tokens", "sizes", "kinds", "seen", "places"])
+        row = [[block], [ids], [held], [len(tokens)], [int((~flags).sum())], [int(seen.sum())], [pack(sizes.astype("<u4") + np.uint32(1))], [kinds.tobytes()], [pack(np.argsort(kinds).astype("<u4"))], [int(spot_of_begin)], [pack(seen.astype("<u4"))], [pack(at[:-1].astype("<u4"))]]
+        kind = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kind, strict=True)], names=["block", "doc_ids", "held", "tokens", "train_docs", "train_tokens", "sizes", "kinds", "order", "begin", "seen", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, n = TaskContext.get().partitionId() << 32, 0
@@ -107,7 +109,7 @@ def encode_corpus(docs: DataFrame) -> DataFrame:
             yield close(block, ids, held, words, sizes)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out(10).alias("held"))
-    return save(rows.mapInArrow(run, "block long, doc_ids array<long>, held array<boolean>, tokens long, train_docs long, train_tokens long, sizes binary, kinds binary, seen binary, places binary"), "corpus")
+    return save(rows.mapInArrow(run, "block long, doc_ids array<long>, held array<boolean>, tokens long, train_docs long, train_tokens long, sizes binary, kinds binary, order binary, begin long, seen binary, places binary"), "corpus")
 
 
 def _by_hash(x: np.ndarray, buckets: int) -> np.ndarray:
@@ -156,11 +158,17 @@ def count_words(corpus: DataFrame, buckets: int) -> DataFrame:
     return save(sent.groupBy("bucket").applyInArrow(merge, "bucket int, kind int, block long, kinds long, few array<long>, ids binary, counts binary"), "words")
 
 
+def _rows(*columns: list) -> pa.Table:
+    """Rows of score_pairs()."""
+    return _table("kind context block doc times kept sums few", (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.binary(), pa.list_(pa.int64())), list(columns))
+
+
 def score_pairs(corpus: DataFrame, words: DataFrame, unigrams: Unigrams, train_docs: int, buckets: int) -> DataFrame:
     """Bigram tables by bucket of the context, evaluated for the documents, as rows by kind.
 
     0: few, numbers of bigrams with counts 1 to 6. 1: for a block, sums by document. 2: a context's kept counts, for its
-    backoff weight. 3: a document's backed-off tokens in a context. A context of very many tokens is dealt out over
+    backoff weight. 3: a document's backed-off tokens in a context. 4: for a block, base
+    scores, known tokens and tokens by document. A context of very many tokens is dealt out over
     several buckets by the following word, and what it has is added up later.
     """
     total, kinds = unigrams.total, unigrams.kinds
@@ -171,15 +179,18 @@ def score_pairs(corpus: DataFrame, words: DataFrame, unigrams: Unigrams, train_d
         if block.num_rows:
             row = block.to_pylist()[0]
             answers = answers.sort_by("bucket")
-            local, places = np.frombuffer(row["kinds"], np.uint64), unpack(row["places"], "<u4").astype(np.int64)
-            ids, counts = np.empty(len(local), np.int64), np.empty(len(local), np.int64)
+            order, places = unpack(row["order"], "<u4"), unpack(row["places"], "<u4").astype(np.int64)
+            ids, counts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
             for column, name in ((ids, "ids"), (counts, "counts")):  # answers come in order of hash
-                column[np.argsort(local)] = np.concatenate([unpack(x.as_py(), "<u8") for x in answers[name]])
-            sizes, n = unpack(row["sizes"], "<u4").astype(np.int64), len(local)
+                column[order] = np.concatenate([unpack(x.as_py(), "<u8") for x in answers[name]])
+            sizes, n = unpack(row["sizes"], "<u4").astype(np.int64), len(order)
             doc = np.repeat(np.arange(len(sizes)), sizes)
+            floor = np.log10((counts[places] + 0.1) / (total + 0.1 * (kinds + 1)))
+            own = [np.bincount(doc, weights=x, minlength=len(sizes)) for x in (floor, counts[places] > 0)] + [sizes]
+            out.append((row["block"] % buckets, row["block"], len(sizes), *[None] * 8, pack(np.concatenate(own).astype("<f8"))))
             before = np.empty_like(places)
             before[1:] = places[:-1]
-            begin = int(np.flatnonzero(local == _BEGIN)[0])
+            begin = row["begin"]
             before[np.cumsum(sizes) - sizes] = begin
             pairs, times = np.unique((before * n + places) * len(sizes) + doc, return_counts=True)
             doc, pair = pairs % len(sizes), pairs // len(sizes)
@@ -198,11 +209,17 @@ def score_pairs(corpus: DataFrame, words: DataFrame, unigrams: Unigrams, train_d
                 kinds_, of_word = np.unique(word[a:z], return_inverse=True)
                 lists = [ids[heads], as_context[heads], ids[kinds_], counts[kinds_]]
                 entries = [np.diff(of_context, prepend=0), of_word, doc[a:z], times[a:z]]
-                out.append((int(to[a]), row["block"], len(sizes), *(pack(x.astype("<u8")) for x in lists), *(pack(x.astype("<u4")) for x in entries)))
-        return _table("bucket block docs contexts bases words counts context word doc times", (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 8), list(zip(*out, strict=True)) if out else [[]] * 11)
+                out.append((int(to[a]), row["block"], len(sizes), *(pack(x.astype("<u8")) for x in lists), *(pack(x.astype("<u4")) for x in entries), None))
+        return _table("bucket block docs contexts bases words counts context word doc times base", (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 9), list(zip(*out, strict=True)) if out else [[]] * 12)
 
     def evaluate(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("block")
+        plain = rows.filter(pc.is_valid(rows["base"]))
+        rows = rows.filter(pc.is_null(rows["base"]))
+        k4 = plain.num_rows
+        kept_out = (plain["block"].to_pylist(), plain["base"].to_pylist())
+        if not rows.num_rows:
+            return _rows([4] * k4, [None] * k4, kept_out[0], [None] * k4, [None] * k4, [None] * k4, kept_out[1], [None] * k4)
         blocks, docs = rows["block"].to_pylist(), rows["docs"].to_pylist()
         get = lambda x, kind: unpack(x.as_py(), kind).astype(np.int64)
         parts: list[list[np.ndarray]] = [[] for _ in range(6)]
@@ -231,11 +248,10 @@ def score_pairs(corpus: DataFrame, words: DataFrame, unigrams: Unigrams, train_d
         seen, n = got[pair] > 0, got[pair]
         with np.errstate(divide="ignore"):
             value = np.where(seen, np.log10(np.maximum(n, 1) / np.maximum(below[group[pair]], 1)), np.log10(chance))
-        floor = np.log10((count + 0.1) / (total + 0.1 * (kinds + 1)))
         sums = []
         for a, z, d in zip(cuts, cuts[1:], docs, strict=False):
             s, t = doc[a:z], times[a:z]
-            own = [t * value[a:z], *(t * (n[a:z] == r) for r in range(1, _RARE + 1)), t * floor[a:z], t * (count[a:z] > 0), t]
+            own = [t * value[a:z], *(t * (n[a:z] == r) for r in range(1, _RARE + 1))]
             sums.append(pack(np.concatenate([np.bincount(s, weights=x, minlength=d) for x in own]).astype("<f8")))
         away = ~seen & (base > 0)
         wanted = np.zeros(len(heads), bool)
@@ -251,11 +267,12 @@ def score_pairs(corpus: DataFrame, words: DataFrame, unigrams: Unigrams, train_d
         of = [None, *blocks, *[None] * k2, *np.array(blocks)[which].tolist()]
         where = [None] * (1 + k1 + k2) + doc[gone].tolist()
         amount = [None] * (1 + k1 + k2) + times[gone].tolist()
-        return _table("kind context block doc times kept sums few", (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.binary(), pa.list_(pa.int64())), [kind, key, of, where, amount, [None] * (1 + k1) + kept.tolist() + [None] * k3, [None, *sums, *[None] * (k2 + k3)], [few.tolist(), *[None] * (k1 + k2 + k3)]])
+        none = [None] * k4
+        return _rows(kind + [4] * k4, key + none, of + kept_out[0], where + none, amount + none, [None] * (1 + k1) + kept.tolist() + [None] * (k3 + k4), [None, *sums, *[None] * (k2 + k3), *kept_out[1]], [few.tolist(), *[None] * (k1 + k2 + k3 + k4)])
 
     answers = words.where("kind = 1").select("bucket", "block", "ids", "counts")
-    blocks = corpus.select("block", "held", "sizes", "kinds", "places")
-    sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, "bucket int, block long, docs long, contexts binary, bases binary, words binary, counts binary, context binary, word binary, doc binary, times binary")
+    blocks = corpus.select("block", "held", "sizes", "order", "begin", "places")
+    sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, "bucket int, block long, docs long, contexts binary, bases binary, words binary, counts binary, context binary, word binary, doc binary, times binary, base binary")
     return save(sent.groupBy("bucket").applyInArrow(evaluate, "kind int, context long, block long, doc long, times long, kept array<double>, sums binary, few array<long>"), "pairs")
 
 
@@ -288,12 +305,14 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     def gather(parts: pa.Table) -> pa.Table:
         """Of one block: the buckets' sums, in an order of their own so that reruns agree."""
-        all_ = np.sort(np.stack([unpack(x.as_py(), "<f8") for x in parts["sums"]]), axis=0).sum(0).reshape(_RARE + 4, -1)
-        k = all_.shape[1]
-        score = all_[0] + np.log10(cuts) @ all_[1 : _RARE + 1]
-        return pa.table({"block": pa.array([parts["block"][0].as_py()] * k, pa.int64()), "doc": pa.array(np.arange(k)), "sum": pa.array(score), "base_score": pa.array(all_[-3]), "n_known": pa.array(all_[-2].astype(np.int64)), "n_tokens": pa.array(all_[-1].astype(np.int64))})
-
-    found = rows.where("kind = 1").select("block", "sums").groupBy("block").applyInArrow(gather, "block long, doc long, sum double, base_score double, n_known long, n_tokens long")
+        own = pc.equal(parts["kind"], 4)
+        base, known, tokens = unpack(parts.filter(own)["sums"][0].as_py(), "<f8").reshape(3, -1)
+        all_ = np.sort(np.stack([unpack(x.as_py(), "<f8") for x in parts.filter(pc.invert(own))["sums"]]), axis=0).sum(0).reshape(_RARE + 1, -1)
+        score = all_[0] + np.log10(cuts) @ all_[1:]
+        k = len(base)
+        return pa.table({"block": pa.array([parts["block"][0].as_py()] * k, pa.int64()), "doc": pa.array(np.arange(k)), "sum": pa.array(score), "base_score": pa.array(base), "n_known": pa.array(known.astype(np.int64)), "n_tokens": pa.array(tokens.astype(np.int64))})
+
+    found = rows.where("kind IN (1, 4)").select("kind", "block", "sums").groupBy("block").applyInArrow(gather, "block long, doc long, sum double, base_score double, n_known long, n_tokens long")
     contexts = rows.where("kind = 2").groupBy("context").agg(*(F.sum(F.col("kept")[k]).alias(f"k{k}") for k in range(_RARE + 2)), F.max(F.col("kept")[_RARE + 2]).alias("below"))
     kept = F.col("k0") + sum((cuts[r - 1] * F.col(f"k{r}") for r in range(1, _RARE + 1)), F.lit(0.0))
     weight = F.log10((1 - kept / F.col("below")) / (1 - F.col(f"k{_RARE + 1}")))

@@ -94,7 +94,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 found, counts, starts = multisets(part.column(1), n)
                 total = np.concatenate(([0], np.cumsum(counts)))
                 weight = total[starts[1:]] - total[starts[:-1]]
-                one, two = (np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(found ^ np.uint64(k)) * (counts.astype(np.uint64) | np.uint64(0)), dtype=np.uint64))) for k in (1, 2))
+                one, two = (np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(found ^ np.uint64(k)) * counts.astype(np.uint64), dtype=np.uint64))) for k in (1, 2))
                 content = [None if not w else b"%016x%016x%d" % (int(x), int(y), int(w)) for x, y, w in zip(one[starts[1:]] - one[starts[:-1]], two[starts[1:]] - two[starts[:-1]], weight, strict=True)]
                 sig = bag_minhash(found, counts, starts, bands * rows).view(np.uint64).reshape(-1, bands, rows)
                 key = np.zeros((part.num_rows, bands), np.uint64)
