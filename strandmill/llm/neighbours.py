@@ -14,18 +14,31 @@ from pyspark.sql import functions as F
 from .common import save, table
 
 
+def window_reach(projections: int, needed: int, missed: float) -> float:
+    """How many times a vector's distance windows have to be wide, so that it collides less than needed times with a chance of missed."""
+    low, high = 0.0, 40.0
+    while high - low > 1e-9:
+        middle = (low + high) / 2
+        p = math.erf(middle / math.sqrt(2))
+        below = sum(math.comb(projections, j) * p**j * (1 - p) ** (projections - j) for j in range(needed))
+        low, high = (middle, high) if below > missed else (low, middle)
+    return high
+
+
 class CollisionIndex:
     """Sorted single projections of one block of vectors, searched by windows that grow around the query.
 
     For the largest inner product, vectors get one more component that makes all norms equal, and queries are scaled to
     that norm: the nearest by distance are then those of the largest product. A vector collides with a query in a
-    projection when it lies in the query's window; virtual rehashing widens all windows by ``grow`` at a time. Vectors that collide in at least ``threshold`` of the projections are
-    verified. A query ends once the share ``enough`` of the block is verified (``least`` vectors at least), or the
-    windows hold the block. Queries are searched some at a time, which start
-    one step below the width at which a quarter of those before had ended.
+    projection when it lies in the query's window; virtual rehashing widens all windows by ``grow`` at a time. Vectors that
+    collide in at least ``threshold`` of the projections are verified. A query ends once its windows are ``reach`` times as
+    wide as the distance of the k-th best verified, or hold the block. Differences of projections are normal with the
+    distance as their deviation, so a vector at most that far is left out with a chance of at most ``missed``, whatever the
+    block's size, norms and dimension; where distances hardly differ, most of the block is verified. Queries are searched
+    some at a time, which start at the width that was enough for three quarters of those before.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, *, projections: int, threshold: float, enough: float, least: int, grow: float, seed: int = 7) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, *, projections: int, threshold: float, missed: float, grow: float, seed: int = 7) -> None:
         self.ids, self.vectors, n = ids, vectors, len(ids)
         norms = np.einsum("ij,ij->i", vectors, vectors)
         self.top = float(norms.max())
@@ -35,18 +48,22 @@ class CollisionIndex:
         self.sorted = np.sort(spots, axis=0).T.copy()
         places = np.argsort(np.argsort(spots, axis=0, kind="stable"), axis=0, kind="stable").T
         self.places = places.astype(np.uint16 if n < 1 << 16 else np.uint32)  # where each vector is in each sorted array
-        self.needed, self.goal, self.grow = math.ceil(threshold * projections), min(n, max(least, math.ceil(enough * n))), grow
+        self.needed, self.grow = math.ceil(threshold * projections), grow
+        self.reach = window_reach(projections, self.needed, missed)
         self.first = max(float(np.median(self.sorted[:, -1] - self.sorted[:, 0])), math.sqrt(self.top)) / 64
-        self.recent = 0
+        self.recent = 0.0
 
-    def _collisions(self, spots: np.ndarray, wide: float) -> tuple[np.ndarray, np.ndarray]:
-        """For queries at spots (a row each): how often each vector lies in its window, and whether the windows hold the block."""
+    def _collisions(self, spots: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For queries at spots (a row each): how often each vector lies in its window, wide to either side, and whether the windows hold the block."""
         kind, n = self.places.dtype.type, len(self.ids)
-        counts, full = np.zeros((len(spots), n), np.uint8), np.ones(len(spots), bool)
+        counts, full = np.zeros((len(spots), n), np.uint8 if len(self.places) < 1 << 8 else np.uint32), np.ones(len(spots), bool)
+        gap, inside = np.empty(counts.shape, kind), np.empty(counts.shape, bool)
         for row, place, x in zip(self.sorted, self.places, spots.T, strict=True):
             a, b = row.searchsorted(x - wide), row.searchsorted(x + wide, "right")
             full &= b - a == n
-            counts += (place[None, :] - a.astype(kind)[:, None]) < (b - a).astype(kind)[:, None]  # a place before a wraps round
+            np.subtract(place[None, :], a.astype(kind)[:, None], out=gap)  # a place before a wraps round
+            np.less(gap, (b - a).astype(kind)[:, None], out=inside)
+            counts += inside.view(np.uint8)
         return counts, full
 
     def search(self, queries: np.ndarray, owns: np.ndarray, k: int, at_once: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -54,21 +71,29 @@ class CollisionIndex:
         for start in range(0, len(queries), at_once):
             mine = queries[start : start + at_once]
             spots = (mine * (math.sqrt(self.top) / np.linalg.norm(mine, axis=1, keepdims=True))) @ self.lines[:-1]
-            hits: list = [None] * len(mine)
-            left, step, ends = np.arange(len(mine)), max(0, self.recent), []
+            # distances are those of the queries as scaled, to vectors of equal norm; rounding is allowed for
+            scale = math.sqrt(self.top) / np.linalg.norm(mine, axis=1)
+            products = np.full((len(mine), len(self.ids)), -np.inf)  # of verified vectors
+            other = self.ids[None, :] != owns[start : start + at_once, None]
+            left, wide, ends = np.arange(len(mine)), np.full(len(mine), self.recent or self.first), []
             while len(left):
-                counts, full = self._collisions(spots[left], self.first * self.grow**step)
-                reached = counts >= self.needed
-                done = full | (reached.sum(1) >= self.goal)
-                for i in np.flatnonzero(done):
-                    hits[left[i]] = np.flatnonzero(reached[i])
-                ends += [step] * int(done.sum())
-                left, step = left[~done], step + 1
-            self.recent = sorted(ends)[len(ends) // 4] - 1
-            for i, hit in enumerate(hits):
-                query, own = mine[i], owns[start + i]
-                hit = hit[self.ids[hit] != own]
-                rough = self.vectors[hit] @ query
+                counts, full = self._collisions(spots[left], wide[left])
+                done = full.copy()
+                for at, i in enumerate(left):
+                    new = np.flatnonzero(((counts[at] >= self.needed) | full[at]) & other[i] & np.isneginf(products[i]))
+                    products[i, new] = self.vectors[new] @ mine[i]
+                    kth = np.partition(products[i], -k)[-k] if k <= len(self.ids) else -np.inf
+                    least = self.reach * math.sqrt(max(0.0, 2 * (self.top - kth * scale[i])) + 1e-9 * self.top) if kth > -np.inf else np.inf
+                    done[at] |= wide[i] >= least
+                    if done[at]:
+                        ends.append(min(least, wide[i]))
+                    else:  # verifying more only brings the k-th best nearer, so a window of that width is enough
+                        wide[i] = least if least < np.inf else wide[i] * self.grow
+                left = left[~done]
+            self.recent = sorted(ends)[len(ends) * 3 // 4]
+            for i, found in enumerate(products):
+                query, hit = mine[i], np.flatnonzero(found > -np.inf)
+                rough = found[hit]
                 if len(hit) > 2 * k:  # sums of another order differ in the last digits only
                     hit = hit[rough >= np.partition(rough, -k)[-k] - 1e-9 * (1 + float(np.abs(rough).max()))]
                 scores = (self.vectors[hit] * query).sum(1)
@@ -76,7 +101,7 @@ class CollisionIndex:
                 yield self.ids[hit][best], scores[best]
 
 
-def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, block: int = 8192, queries_at_once: int = 2048, projections: int = 96, threshold: float = 0.7, enough: float = 0.1, least: int = 400, grow: float = 1.15) -> DataFrame:
+def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, block: int = 8192, queries_at_once: int = 2048, projections: int = 96, threshold: float = 0.7, missed: float = 0.01, grow: float = 1.15) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k vectors of the largest inner product found, of all but its own id.
 
     vectors has vec_id and embedding. Queries are the ids divisible by ``every``; a repeated id is one query, but each of
@@ -85,7 +110,7 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, block: int = 81
 
     The index is cut into blocks of bounded size by a hash, and so are the queries; every query meets every block, in
     one task for each pair of them, and keeps k of each block. So memory is bounded, no row is dropped, and recall is
-    that within a block. ``enough`` is the share of a block that is verified, and ``least`` the least number of vectors; scores are exact.
+    that within a block. ``missed`` is the chance at most that one of a block's k best is left out; scores are exact.
     """
     v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -102,7 +127,7 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, block: int = 81
         out: list[tuple] = []
         if len(index) and len(queries):
             index = index.sort_values("vec_id", kind="stable")
-            held = CollisionIndex(index["vec_id"].to_numpy(), np.stack(index["v"].to_list()), projections=projections, threshold=threshold, enough=enough, least=least, grow=grow)
+            held = CollisionIndex(index["vec_id"].to_numpy(), np.stack(index["v"].to_list()), projections=projections, threshold=threshold, missed=missed, grow=grow)
             owns = queries["vec_id"].to_numpy()
             for own, (ids, scores) in zip(owns, held.search(np.stack(queries["v"].to_list()), owns, k), strict=True):
                 out.append((np.full(len(ids), own), ids, scores))

@@ -269,6 +269,24 @@ def test_neighbours_recall_and_scores(spark):
     assert np.mean(hits) / 20 >= 0.9
 
 
+@pytest.mark.parametrize("norms", ["spread", "outlying", "equal"])
+def test_neighbours_recall_in_a_whole_block(spark, norms):
+    rng, n = np.random.default_rng(12), 8192
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "spread":
+        x *= rng.lognormal(0, 0.5, (n, 1))
+    elif norms == "outlying":
+        x[::1000] *= 20
+    got = neighbours.nearest(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), every=80).toPandas()
+    hits = []
+    for q, g in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(set(g["vec_id"]) & set(np.argsort(-s)[:20])))
+    assert len(hits) == 103 and np.mean(hits) / 20 >= 0.99
+
+
 def test_neighbours_of_few_vectors(spark):
     got = neighbours.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")).orderBy("rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 2, 1.0), (0, 2, 1, 0.0)]
