@@ -160,16 +160,25 @@ def mcs(losses: DataFrame, block: int, draws: int, seed: int, alpha: float = 0.1
     return losses.sparkSession.createDataFrame(out, "variant string, p double").withColumn("kept", F.col("p") >= alpha)
 
 
-def block_grid(pair: DataFrame, blocks: list[int], draws: int, seed: int, year: float) -> DataFrame:
-    """Intervals of boot_sharpe_diff by block length, which is a key of one job."""
-    rows = numbered(pair)
-    n = rows.count()
-    parts = [block_index(pair.sparkSession, n, b, draws, seed).withColumn("block", F.lit(b)) for b in blocks]
+def block_grid(pairs: DataFrame, blocks: list[int], draws: int, seed: int, year: float) -> DataFrame:
+    """Intervals of boot_sharpe_diff by variant and block length, which are keys of one job; dates and draws are shared.
+
+    pairs has variant, dt, x and y. A draw's row counts are joined to the series and added up, not its copies of rows.
+    """
+    dates = numbered(pairs.select("dt").distinct())
+    n = dates.count()
+    parts = [block_index(pairs.sparkSession, n, b, draws, seed).withColumn("block", F.lit(b)) for b in blocks]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    d = every.join(rows, "row").groupBy("block", "draw").agg(((sharpe(F.col("x")) - sharpe(F.col("y"))) * year**0.5).alias("diff"))
-    return interval(d, "diff", ("block",))
+    times = every.groupBy("block", "draw", "row").agg(F.count("*").alias("k"))
+    rows = pairs.join(dates, "dt").groupBy("row").agg(F.collect_list(F.struct("variant", "x", "y")).alias("of"))
+    rows = times.join(rows, "row").select("block", "draw", "k", F.inline("of"))
+    mean = lambda c: F.sum(F.col("k") * c) / F.sum("k")
+    x, y = F.col("x"), F.col("y")
+    d = rows.groupBy("variant", "block", "draw").agg(mean(x).alias("mx"), mean(x * x).alias("qx"), mean(y).alias("my"), mean(y * y).alias("qy"))
+    one = lambda m, q: ratio(F.col(m), F.sqrt(F.greatest(F.col(q) - F.col(m) * F.col(m), F.lit(0.0))))
+    return interval(d.withColumn("diff", (one("mx", "qx") - one("my", "qy")) * year**0.5), "diff", ("variant", "block"))
 
 
 def window_rank(df: DataFrame, k: int, draws: int, seed: int) -> DataFrame:

@@ -158,6 +158,43 @@ def ols_table(df: DataFrame, y: str, xs: list[str], lags: int | None = None) ->
     return df.sparkSession.createDataFrame(rows, "term string, beta double, se double, t double, r2 double, n long")
 
 
+def ols_by(df: DataFrame, by: str, y: str, xs: list[str], lags: int | None = None) -> DataFrame:
+    """ols() of each key as rows (by, term, beta, se, t, r2, n): sums of all keys in one plan, systems solved on the driver.
+
+    Keys with a singular system, as those of too few rows, have null figures.
+    """
+    names = ["const", *xs]
+    d = df.select(by, "dt", F.col(y).alias("_y"), F.lit(1.0).alias("const"), *xs).dropna()
+    cells = [F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a in names for b in [*names, "_y"]]
+    fits: dict = {}
+    for r in d.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.col("_y") * F.col("_y")).alias("yy"), *cells).collect():
+        xx = np.array([[r[f"{a}|{b}"] for b in names] for a in names], float)
+        sound = r["n"] > len(names) and np.linalg.matrix_rank(xx, hermitian=True) == len(names)
+        fits[r[by]] = r, xx, np.linalg.solve(xx, [r[f"{a}|_y"] for a in names]) if sound else None, int(4 * (r["n"] / 100) ** (2 / 9)) if lags is None else lags
+    spark = df.sparkSession
+    known = [(k, b.tolist(), m) for k, (_, _, b, m) in fits.items() if b is not None]
+    e = d.join(spark.createDataFrame(known, f"{by} string, _b array<double>, _lags int"), by)
+    e = e.withColumn("_e", F.col("_y") - sum((F.col(c) * F.col("_b")[i] for i, c in enumerate(names)), F.lit(0.0)))
+    scores = e.select(by, "_lags", F.row_number().over(W.partitionBy(by).orderBy("dt")).alias("_row"), *((F.col(c) * F.col("_e")).alias(c) for c in names))
+    a = scores.withColumn("lag", F.explode(F.sequence(F.lit(0), "_lags"))).withColumn("other", F.col("_row") - F.col("lag"))
+    b = scores.select(by, F.col("_row").alias("other"), *(F.col(c).alias(f"{c}_o") for c in names))
+    middle = {k: np.zeros((len(names), len(names))) for k in fits}
+    for row in a.join(b, [by, "other"]).groupBy(by, "lag").agg(*(F.sum(F.col(p) * F.col(f"{q}_o")).alias(f"{p}|{q}") for p in names for q in names)).collect():
+        g = np.array([[row[f"{p}|{q}"] for q in names] for p in names], float)
+        middle[row[by]] += g if row["lag"] == 0 else (1 - row["lag"] / (fits[row[by]][3] + 1)) * (g + g.T)
+    out: list[tuple] = []
+    for k, (r, xx, beta, _) in fits.items():
+        if beta is None:
+            out += [(k, t, None, None, None, None, int(r["n"])) for t in names]
+            continue
+        inv = np.linalg.inv(xx)
+        se = np.sqrt(np.maximum(np.diag(inv @ middle[k] @ inv), 0))
+        rss, tss = r["yy"] - beta @ np.array([r[f"{t}|_y"] for t in names], float), r["yy"] - r["const|_y"] ** 2 / r["n"]
+        r2 = float(1 - rss / tss) if tss > 0 else float("nan")
+        out += [(k, t, float(b), float(s), float(b / s) if s else None, r2, int(r["n"])) for t, b, s in zip(names, beta, se, strict=True)]
+    return spark.createDataFrame(out, f"{by} string, term string, beta double, se double, t double, r2 double, n long")
+
+
 def arch_lm(df: DataFrame, lags: int) -> DataFrame:
     """Engle's test on one series: n R2 of squares on their lags."""
     at = W.orderBy("dt")

@@ -53,9 +53,14 @@ def feature_library(bars: DataFrame, spans: list[int]) -> DataFrame:
     """(symbol, dt, span, v): exponentially weighted means at all spans that any variant needs, made once."""
     from strandmill.operators.recursive import ewm_mean
 
-    d = reduce(lambda a, s: ewm_mean(a, "close", f"m{s}", span=s), sorted(set(spans)), bars)
-    rows = F.array(*(F.struct(F.lit(s).alias("span"), F.col(f"m{s}").alias("v")) for s in sorted(set(spans))))
-    return d.select("symbol", "dt", F.explode(rows).alias("x")).select("symbol", "dt", "x.span", "x.v")
+    spans, parts = sorted(set(spans)), []
+    keep = (lambda d: d) if len(spans) <= 8 else (lambda d: d.checkpoint()) if bars.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.localCheckpoint())
+    for k in range(0, len(spans), 8):  # one plan of many spans is too deep and slow for the optimiser, so each part is run by itself
+        some = spans[k : k + 8]
+        d = reduce(lambda a, s: ewm_mean(a, "close", f"m{s}", span=s), some, bars)
+        rows = F.array(*(F.struct(F.lit(s).alias("span"), F.col(f"m{s}").alias("v")) for s in some))
+        parts.append(keep(d.select("symbol", "dt", F.explode(rows).alias("x")).select("symbol", "dt", "x.span", "x.v")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def run_variants(bars: DataFrame, library: DataFrame, variants: DataFrame) -> DataFrame:

@@ -332,7 +332,7 @@ def _(spark, d):
 
 @query("sw06_random_params", ("bars_w",))
 def _(spark, d):
-    p = V.random_params(spark, 20, 7, {"f": (4.0, 12.0, "log"), "s": (16.0, 64.0)})
+    p = V.random_params(spark, 100, 7, {"f": (4.0, 12.0, "log"), "s": (16.0, 64.0)})
     v = p.select("variant", F.lit("random").alias("dim"), F.round("f").cast("int").alias("fast"), F.round("s").cast("int").alias("slow"), F.lit(20.0).alias("cap"), F.lit(1.0).alias("halflife"), F.lit(0.0005).alias("cost"), F.lit(1).alias("lag"))
     s = summary(spark, d, {}, v.unionByName(V.registry(spark, DEFAULTS, {})))
     seen = s.where("variant = 'master'").select(F.col("sharpe").alias("seen"))
@@ -379,6 +379,11 @@ def _(spark, d):
     return V.shuffle_scores(scores(spark, d), "score", 3, 5)
 
 
+@query("sw12_shuffle_scores_full", ("bars_h",))
+def _(spark, d):
+    return V.shuffle_scores(scores(spark, d), "score", 100, 5)
+
+
 @query("sw13_halflife_sweep", ("bars_w",))
 def _(spark, d):
     b = bars(spark, d)

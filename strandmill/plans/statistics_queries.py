@@ -68,14 +68,16 @@ on_pair("st12_ols_hac", lambda p: T.ols_table(p, "x", ["y"]), None, ("term",))
 def _(spark, d):
     wide = strategies(spark, d).groupBy(F.trunc("dt", "month").alias("dt")).pivot(V).agg(F.sum("ret"))
     names = [c for c in wide.columns if c != "dt"]
-    return rounded(T.ols_table(wide, names[0], names[1:4]), "term")
+    factors = wide.select("dt", *(F.col(f"`{c}`").alias(f"f{k}") for k, c in enumerate(names[1:4])))
+    months = strategies(spark, d).groupBy(V, F.trunc("dt", "month").alias("dt")).agg(F.sum("ret").alias("ret")).where(~F.col(V).isin(names[1:4]))
+    return rounded(T.ols_by(months.join(factors, "dt"), V, "ret", [c for c in factors.columns if c != "dt"]), V, "term")
 
 
 on_pair("st14_henriksson_merton", lambda p: T.timing(p, "hm"), None, ("term",))
 on_pair("st14_treynor_mazuy", lambda p: T.timing(p, "tm"), None, ("term",))
 on_pair("st15_benchmark_reg", lambda p: T.benchmark_reg(p, YEAR), "SELECT round(regr_intercept(x, y) * 52, 6) + 0.0 AS alpha, round(regr_slope(x, y), 6) + 0.0 AS beta, round(regr_r2(x, y), 6) AS r2 FROM pair")
 over("st16_lag1_audit", T.lag1_audit, "SELECT variant, round(corr(ret, p), 6) AS rho FROM (SELECT variant, ret, lag(ret) OVER (PARTITION BY variant ORDER BY dt) AS p FROM strategies) WHERE p IS NOT NULL GROUP BY 1")
-over("st17_pbo", lambda s: T.pbo(s, 8), None, keys=("split", "best"))
+over("st17_pbo", lambda s: T.pbo(s, 16), None, keys=("split", "best"))
 over("st18_cash_attr", lambda s: s.groupBy(V).agg((F.avg("ret") / F.stddev_samp("ret") * YEAR**0.5).alias("gross"), ((F.avg("ret") - 0.0005) / F.stddev_samp("ret") * YEAR**0.5).alias("excess")), "SELECT variant, round(avg(ret) / stddev_samp(ret) * sqrt(52), 6) + 0.0 AS gross, round((avg(ret) - 0.0005) / stddev_samp(ret) * sqrt(52), 6) + 0.0 AS excess FROM strategies GROUP BY 1")
 over("st19_holdout", lambda s: L.tearsheet(s.where("dt >= DATE'2000-01-01'"), YEAR).select(V, "n", "ann_ret", "sharpe"), "SELECT variant, count(*) AS n, round(avg(ret) * 52, 6) + 0.0 AS ann_ret, round(avg(ret) / stddev_pop(ret) * sqrt(52), 6) + 0.0 AS sharpe FROM strategies WHERE dt >= DATE '2000-01-01' GROUP BY 1")
 COV = "cv AS (SELECT a.variant AS i, b.variant AS j, covar_samp(a.ret, b.ret) AS c FROM strategies a JOIN strategies b USING (dt) GROUP BY 1, 2), mu AS (SELECT variant, avg(ret) AS m FROM strategies GROUP BY 1)"
@@ -114,7 +116,8 @@ on_pair("st27_alpha_drift", lambda p: p.withColumn("variant", F.lit("v")).withCo
 
 # --- bootstraps ------------------------------------------------------------------------------------------------------
 
-DRAWS, BLOCK, SEED = 200, 8, 17
+DRAWS, BLOCK, SEED = 200, 8, 17  # of queries with SQL; the whole job has FULL draws
+FULL = 5000
 N_SQL = "(SELECT count(*) FROM pair)"
 INDEX = PAIR + f", prn AS (SELECT *, row_number() OVER (ORDER BY dt) - 1 AS r FROM pair), starts AS (SELECT d AS draw, b, {B.hash_sql(SEED, 'd', 'b')} % {N_SQL} AS st FROM (SELECT unnest(range({DRAWS})) AS d) CROSS JOIN (SELECT unnest(range(CAST(ceil({N_SQL} / {BLOCK}.0) AS BIGINT))) AS b)), ix AS (SELECT draw, b * {BLOCK} + j AS place, (st + j) % {N_SQL} AS r FROM starts CROSS JOIN (SELECT unnest(range({BLOCK})) AS j) WHERE b * {BLOCK} + j < {N_SQL}), bs AS (SELECT draw, place, x, y FROM ix JOIN prn USING (r))"
 
@@ -143,6 +146,21 @@ def _(spark, d):
     return rounded(B.boot_mdd_ci(two(spark, d).select("dt", F.col("x").alias("ret")), DRAWS, BLOCK, SEED), "draws")
 
 
+@query("bs02_sharpe_diff_full", ST)
+def _(spark, d):
+    return rounded(B.boot_sharpe_diff(two(spark, d), FULL, BLOCK, SEED, YEAR), "draws")
+
+
+@query("bs03_sharpe_ci_full", ST)
+def _(spark, d):
+    return rounded(B.boot_sharpe_ci(two(spark, d).select("dt", F.col("x").alias("ret")), FULL, BLOCK, SEED, YEAR), "draws")
+
+
+@query("bs04_mdd_ci_full", ST)
+def _(spark, d):
+    return rounded(B.boot_mdd_ci(two(spark, d).select("dt", F.col("x").alias("ret")), FULL, BLOCK, SEED), "draws")
+
+
 over("bs05_opt_block", B.opt_block, None)
 
 
@@ -152,15 +170,23 @@ def diffs(s):
     return s.join(mean, "dt").select(V, "dt", (F.col("ret") - F.col("m")).alias("d"))
 
 
-over("bs06_romano_wolf", lambda s: B.romano_wolf(diffs(s), BLOCK, DRAWS, SEED), None)
-over("bs07_spa", lambda s: B.spa(diffs(s), BLOCK, DRAWS, SEED), None, keys=())
-over("bs08_mcs", lambda s: B.mcs(diffs(s).select(V, "dt", (-F.col("d")).alias("loss")), BLOCK, DRAWS, SEED), None)
-on_pair("bs09_block_grid", lambda p: B.block_grid(p, [1, 4, 8, 16], DRAWS, SEED, YEAR), None, ("block", "draws"))
+over("bs06_romano_wolf", lambda s: B.romano_wolf(diffs(s), BLOCK, FULL, SEED), None)
+over("bs07_spa", lambda s: B.spa(diffs(s), BLOCK, FULL, SEED), None, keys=())
+over("bs08_mcs", lambda s: B.mcs(diffs(s).select(V, "dt", (-F.col("d")).alias("loss")), BLOCK, FULL, SEED), None)
+
+
+def against_mean(s):
+    """Each strategy as x, with the mean of all as y."""
+    mean = s.groupBy("dt").agg(F.avg("ret").alias("y"))
+    return s.join(mean, "dt").select(V, "dt", F.col("ret").alias("x"), "y")
+
+
+over("bs09_block_grid", lambda s: B.block_grid(against_mean(s), [5, 10, 21, 42, 63, 126, 252], FULL, SEED, YEAR), None, keys=(V, "block", "draws"))
 
 
 @query("bs10_window_rank", ST)
 def _(spark, d):
-    return rounded(B.window_rank(two(spark, d).select("dt", F.col("x").alias("ret")), 26, 2000, SEED))
+    return rounded(B.window_rank(two(spark, d).select("dt", F.col("x").alias("ret")), 26, 10_000, SEED))
 
 
 # --- two panels ------------------------------------------------------------------------------------------------------
