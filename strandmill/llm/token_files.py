@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -111,7 +112,8 @@ class LibraryEncoder:
     """The tokenizers library over whole texts, with the ids of recent units kept.
 
     A unit is what lies between single blanks, with the blank before it; the byte-level pre-tokenizer never joins units,
-    except around runs of white space, and such texts go to the library whole. Strings of special tokens are ordinary text.
+    except around runs of white space, and such texts go to the library whole. So do texts with an added token's string,
+    which the library maps to that token.
     """
 
     UNITS, AT_ONCE = 800_000, 300_000
@@ -121,7 +123,8 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library, self.units = Tokenizer.from_str(vocabulary), Recent(self.UNITS)
-        self.library.encode_special_tokens = True
+        added = [x.content for x in self.library.get_added_tokens_decoder().values() if x.content]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -130,7 +133,7 @@ class LibraryEncoder:
         """Packed little-endian unsigned 32-bit ids of each text."""
         units, ends = [], []
         for text in texts:
-            units += [text] if "\0" in text or _UNSAFE.search(text) else text.replace(" ", "\0 ").split("\0")
+            units += [text] if "\0" in text or _UNSAFE.search(text) or self.added.search(text) else text.replace(" ", "\0 ").split("\0")
             ends.append(len(units))
         ids = self.units.fill(units, self._fresh)
         return [b"".join(ids[a:z]) for a, z in zip([0, *ends], ends, strict=False)]

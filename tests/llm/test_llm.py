@@ -151,6 +151,22 @@ def test_token_files_equal_the_library(spark, docs):
         at += len(ids)
 
 
+def test_token_files_map_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    added = [x.content for x in t.get_added_tokens_decoder().values()]
+    texts = [f(x) for x in added for f in (lambda x: x, lambda x: f"end {x} of text", lambda x: f"a{x}{x} b", lambda x: f"near {x[:-1]} miss {x}\n\n x")]
+    rows = [*enumerate(["plain text first", *texts, "plain text last"])]
+    got = token_files.read_images(token_files.write_images(spark.createDataFrame(rows, "doc_id long, text string"), P.path("byte_bpe_50k.json"), 2)).orderBy("doc_id").collect()
+    at = 0
+    for r, (i, text) in zip(got, rows, strict=True):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
+        at += len(ids)
+    assert added
+
+
 # --- duplicates ------------------------------------------------------------------------------------------------------
 
 
