@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import BLANKS, save, table
@@ -163,9 +164,16 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of equal texts, all columns as they were; null ids stay only by another id's absence."""
-    keep = exact_groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    """docs with one row of each group of equal texts, all columns as they were; null ids stay only by another id's absence.
+
+    The row is that of the group's keep_id and of its text, and of rows that repeat both, one with the most code points.
+    """
+    keep = exact_groups(docs).where("doc_id <=> keep_id").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_sum", F.sha2(F.translate(text, " \t\n\x0b\f\r", ""), 256))
+    d = d.join(keep, F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_sum") == F.col("_sha")), "left_semi")
+    at = W.partitionBy("_id", "_sum").orderBy(F.length(text).desc(), F.xxhash64(text))
+    return d.withColumn("_row", F.row_number().over(at)).where("_row = 1").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

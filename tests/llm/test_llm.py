@@ -189,6 +189,12 @@ def test_exact_groups_equal_brute_force(docs):
     assert got == want
 
 
+def test_dropping_copies_keeps_one_row_of_each_text(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "other text"), (2, "other  text"), (2, "a\tb"), (None, "no id"), (None, "no id"), (None, "a b"), (3, None), (3, "")]
+    got = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), re.sub(r"\s", "", r["text"] or "")) for r in got) == [("1", "ab"), ("2", "othertext"), ("3", ""), ("None", "noid")]
+
+
 def bag(text):
     w = text.split()
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
