@@ -22,21 +22,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir. One of our own only where that is unset and Spark runs on one machine."""
     sc = spark.sparkContext
     if not (base := sc.getCheckpointDir()):
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         base = sc.getCheckpointDir()
     return base
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, **options) -> DataFrame:
     """df as a table in the shared folder, read back: cuts the lineage so that a lost executor costs one stage."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def one_of_each(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """columns of one row for each value of keys, that of the smallest hash of all columns. Partly merged before the shuffle, so a value may have any number of rows."""
+    row = F.struct(*(F.col(f"`{c}`").alias(c) for c in columns))
+    best = df.groupBy(*keys).agg(F.min_by(row, F.xxhash64(*(F.to_json(F.struct(F.col(f"`{c}`"))) for c in columns))).alias("best"))
+    return best.select(*(F.col("best")[c].alias(c) for c in columns))
+
+
 def held_out(parts: int):
     """Whether crc32 of the doc_id's decimal text leaves 0 on division by parts; a null id is never held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == 0, F.lit(False))

@@ -6,19 +6,18 @@ import os
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import save, table
-from .tokenize import _UNSAFE, Recent
+from .common import as_bytes, save, table
 
 _HEAD = struct.Struct("<4sIQB")
 _MAGIC = b"DAC1"
@@ -108,47 +107,152 @@ class DirectCodes:
         return self.read(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+class UnitTable:
+    """Ids of units seen, in one growing array, each unit with a slot; emptied when it holds ``most`` units, which bounds memory."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.ids, self.starts, self.sizes = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, end = len(self.slots), self.used + len(ids)
+        while len(self.ids) < end:
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while len(self.starts) < n + len(keys):
+            self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
+        self.ids[self.used : end] = ids
+        self.starts[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + len(keys)] = sizes
+        self.slots.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.used = end
+
+    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all slots one after another, and how many each has."""
+        sizes = self.sizes[slots]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[slots] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return self.ids[at], sizes
+
+
 class LibraryEncoder:
-    """The tokenizers library over whole texts, with the ids of recent units kept.
+    """The tokenizers library over whole texts, with the ids of units seen kept.
 
     A unit is what lies between single blanks, with the blank before it; the byte-level pre-tokenizer never joins units,
-    except around runs of white space, and such texts go to the library whole. So do texts with an added token's string,
-    which the library maps to that token.
+    except around runs of white space, and such texts go to the library as they are. So do texts with an added token's
+    string, which the library maps to that token. Texts are split and their distinct units found by Arrow, a few MB at a
+    time; units without a slot go to the library in long runs, whose ids are cut by the byte lengths of the tokens.
     """
 
-    UNITS, AT_ONCE = 800_000, 300_000
+    UNITS, AT_ONCE, RUN = 1_200_000, 8 << 20, 2000
+    _SPACES = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+    _CUT = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, vocabulary: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library, self.units = Tokenizer.from_str(vocabulary), Recent(self.UNITS)
-        added = [x.content for x in self.library.get_added_tokens_decoder().values() if x.content]
-        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-
-    def _fresh(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed little-endian unsigned 32-bit ids of each text."""
-        units, ends = [], []
-        for text in texts:
-            units += [text] if "\0" in text or _UNSAFE.search(text) or self.added.search(text) else text.replace(" ", "\0 ").split("\0")
-            ends.append(len(units))
-        ids = self.units.fill(units, self._fresh)
-        return [b"".join(ids[a:z]) for a, z in zip([0, *ends], ends, strict=False)]
-
-    def encode_all(self, rows: Iterator[tuple]) -> Iterator[tuple]:
-        """(key, ids) of each (key, text), as many texts at a time as have AT_ONCE characters together, or one."""
-        keys, texts, n = [], [], 0
-        for key, text in rows:
-            keys.append(key)
-            texts.append(text)
-            n += len(text)
-            if n >= self.AT_ONCE:
-                yield from zip(keys, self.encode(texts), strict=True)
-                keys, texts, n = [], [], 0
-        yield from zip(keys, self.encode(texts), strict=True)
+        self.library, self.units, self.firsts = Tokenizer.from_str(vocabulary), UnitTable(self.UNITS), UnitTable(self.UNITS // 4)
+        added = self.library.get_added_tokens_decoder().values()
+        self.added = [x.content for x in added if x.content]
+        self.cuts = not any(x.lstrip or x.rstrip or " " in x.content for x in added)
+        tokens = self.library.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(max(tokens.values(), default=0) + 1, np.int64)  # a byte-level token has a character for each byte
+        self.width[list(tokens.values())] = [len(x) for x in tokens]
+
+    def _fresh(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, table: UnitTable, units: list[str], prefix: str) -> None:
+        """Slots for units that the table lacks."""
+        joined = [x for x in units if prefix and x and not x[-1].isspace()]
+        alone = [x for x in units if not (prefix and x and not x[-1].isspace())]
+        runs = [joined[k : k + self.RUN] for k in range(0, len(joined), self.RUN)]
+        for run, ids in zip(runs, self._fresh(["".join(prefix + x for x in run) for run in runs]), strict=True):
+            ends = np.cumsum([len(x.encode()) + len(prefix) for x in run])
+            at = np.cumsum(self.width[ids])
+            spot = at.searchsorted(ends)
+            if len(at) and at[-1] == ends[-1] and (at[spot] == ends).all():
+                table.add(run, ids, np.diff(spot + 1, prepend=0))
+            else:
+                alone += run
+        if alone:
+            ids = self._fresh([prefix + x for x in alone])
+            table.add(alone, np.concatenate(ids), np.array([len(x) for x in ids], np.int64))
+
+    def _slots(self, table: UnitTable, units: list[str], prefix: str) -> np.ndarray:
+        if len(table.slots) + len(units) > table.most:
+            table.clear()
+        found = list(map(table.slots.get, units))
+        if None in found:
+            self._learn(table, list(dict.fromkeys(x for x, slot in zip(units, found, strict=True) if slot is None)), prefix)
+            found = list(map(table.slots.get, units))
+        return np.array(found, np.int64)
+
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain texts, one after another, and how many each has."""
+        parts = pc.split_pattern(texts, " ")
+        edges = parts.offsets.to_numpy()
+        coded = pc.dictionary_encode(parts.flatten())
+        slots = self._slots(self.units, coded.dictionary.to_pylist(), " ")[coded.indices.to_numpy()]
+        edges = edges - edges[0]
+        first, rest = edges[:-1], np.ones(len(slots), bool)
+        rest[first] = False
+        firsts = self._slots(self.firsts, parts.flatten().take(pa.array(first)).to_pylist(), "")
+        head, heads = self.firsts.gather(firsts)
+        body, bodies = self.units.gather(slots[rest])
+        sizes = np.zeros(len(slots), np.int64)
+        sizes[first], sizes[rest] = heads, bodies
+        ids, begin = np.empty(int(sizes.sum()), "<u4"), np.repeat(~rest, sizes)
+        ids[begin], ids[~begin] = head, body
+        return ids, np.add.reduceat(sizes, first)
+
+    def _whole(self, text: str) -> np.ndarray:
+        """Ids of a text that may not be split at each blank; a very long one is cut where a blank stands between other characters."""
+        pieces, at = [], 0
+        while self.cuts and len(text) - at > self.AT_ONCE and (cut := self._CUT.search(text, at + self.AT_ONCE // 2)):
+            pieces.append(text[at : cut.start()])
+            at = cut.start()
+        return np.concatenate([self._fresh([x])[0] for x in [*pieces, text[at:]]])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (large strings without nulls) one after another, and how many each has."""
+        odd = pc.match_substring_regex(texts, f"{self._SPACES} (?:{self._SPACES}|$)")
+        for x in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, x))
+        odd = odd.to_numpy(zero_copy_only=False)
+        data, offsets = as_bytes(texts)
+        pieces, edges, owner = data.tobytes(), [], []  # long texts are cut before a blank
+        for k in np.flatnonzero(~odd).tolist():
+            a, z = int(offsets[k]), int(offsets[k + 1])
+            while z - a > self.AT_ONCE and (cut := pieces.find(b" ", a + self.AT_ONCE // 2, z)) > 0:
+                edges.append((a, cut))
+                owner.append(k)
+                a = cut
+            edges.append((a, z))
+            owner.append(k)
+        sizes, found, at = np.zeros(len(texts), np.int64), {}, 0
+        while at < len(edges):
+            end, n = at, 0
+            while end < len(edges) and (end == at or n + edges[end][1] - edges[end][0] <= self.AT_ONCE):
+                n += edges[end][1] - edges[end][0]
+                end += 1
+            ids, counts = self._split(pa.array([pieces[a:z] for a, z in edges[at:end]], pa.large_binary()).cast(pa.large_string()))
+            cuts = np.cumsum(counts)
+            for k, a, z in zip(owner[at:end], cuts - counts, cuts, strict=True):
+                found.setdefault(k, []).append(ids[a:z])
+            at = end
+        for k in np.flatnonzero(odd).tolist():
+            found[k] = [self._whole(texts[k].as_py())]
+        out = [x for k in range(len(texts)) for x in found[k]]
+        for k, parts in found.items():
+            sizes[k] = sum(map(len, parts))
+        return (np.concatenate(out) if out else np.zeros(0, "<u4")), sizes
 
 
 _ENCODERS: dict[int, LibraryEncoder] = {}
@@ -159,7 +263,9 @@ def write_images(docs: DataFrame, vocabulary: str, end_id: int, image_ids: int =
 
     Documents are dealt by ranges of doc_id and sorted (null first, repeated ids by text), so shard and part order the
     images. An image is closed once it has image_ids ids: it holds that and one document at most. A null text counts
-    as empty and gives the end id alone. vocabulary is a tokenizers file, read by the driver and broadcast.
+    as empty and gives the end id alone; a very long text is encoded in pieces. An empty table gives no images; further
+    columns are not read. vocabulary is a tokenizers file, read by the driver and broadcast. Images are stored without
+    compression, each in a row group of its own, so that one is found by shard and part and read without decoding others.
     """
     with open(vocabulary, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -170,35 +276,63 @@ def write_images(docs: DataFrame, vocabulary: str, end_id: int, image_ids: int =
         if key not in _ENCODERS:
             _ENCODERS.clear()
             _ENCODERS[key] = LibraryEncoder(shared.value)
-        encode, shard, part = _ENCODERS[key].encode_all, TaskContext.get().partitionId(), 0
+        encode, shard, part = _ENCODERS[key].encode, TaskContext.get().partitionId(), 0
         names, ids, n = [], [], 0
 
         def close() -> pa.RecordBatch:
             row = [[shard], [part], [len(names)], [n], [DirectCodes.build(names, ids)]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "part", "n_docs", "n_ids", "image"])
 
-        rows = ((i.as_py(), x.as_py() or "") for b in batches for i, x in zip(b.column(0), b.column(1), strict=True))
-        for doc_id, packed in encode(rows):
-            got = np.append(np.frombuffer(packed, "<u4"), end)
-            names.append(doc_id)
-            ids.append(got)
-            n += len(got)
-            if n >= image_ids:
-                yield close()
-                part, names, ids, n = part + 1, [], [], 0
+        for b in batches:
+            flat, sizes = encode(pc.fill_null(b.column(1).cast(pa.large_string()), ""))
+            ends = np.cumsum(sizes)
+            for doc_id, a, z in zip(b.column(0).to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+                names.append(doc_id)
+                ids.append(np.concatenate((flat[a:z], end)))
+                n += z - a + 1
+                if n >= image_ids:
+                    yield close()
+                    part, names, ids, n = part + 1, [], [], 0
         if names:
             yield close()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("string"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return save(rows.mapInArrow(run, "shard int, part int, n_docs long, n_ids long, image binary"), "token-images")
+    return save(rows.mapInArrow(run, "shard int, part int, n_docs long, n_ids long, image binary"), "token-images", compression="none", **{"parquet.block.size": 1 << 16})
+
+
+def _image_starts(images: DataFrame) -> DataFrame:
+    """shard, part, and how many ids come before; the windows are over shards, and over images within a shard."""
+    earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = images.select("shard", "part", "n_ids")
+    shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n_ids")).select("shard", earlier(W.orderBy("shard")).alias("shard_from"))
+    parts = sizes.select("shard", "part", "n_ids", earlier(W.partitionBy("shard").orderBy("part")).alias("part_from"))
+    return parts.join(shards, "shard").select("shard", "part", "n_ids", (F.col("shard_from") + F.col("part_from")).alias("image_from"))
+
+
+def tokens_at(images: DataFrame, places: DataFrame) -> DataFrame:
+    """place and id: the token at each place of the whole corpus, counted from 0; none for places outside it.
+
+    Only images that hold a place are opened, and in them only the bytes and ranks on the way to it.
+    """
+    spans = _image_starts(images)
+    wanted = places.select(F.col("place").cast("long")).distinct()
+    found = wanted.join(spans, (F.col("place") >= F.col("image_from")) & (F.col("place") < F.col("image_from") + F.col("n_ids")))
+    lists = found.groupBy("shard", "part").agg(F.first("image_from").alias("image_from"), F.collect_list("place").alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for image, begin, asked in zip(*(b.column(k) for k in range(3)), strict=True):
+                codes, asked = DirectCodes(image.as_py()), asked.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array([codes[p - begin.as_py()] for p in asked], pa.int64())], names=["place", "id"])
+
+    return images.select("shard", "part", "image").join(lists, ["shard", "part"]).select("image", "image_from", "places").mapInArrow(run, "place long, id long")
 
 
 def read_images(images: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the images alone; a null id comes back as null.
 
-    Starts add the ids of all shards before, the images before in the shard, and the documents before in the image;
-    the windows are over shards, and over images within a shard.
+    Starts add the ids of all images before and of the documents before in the image.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,13 +344,8 @@ def read_images(images: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()] * n, pa.int32()), pa.array([part.as_py()] * n, pa.int32()), pa.array(codes.doc_ids), pa.array(codes.starts[:-1]), pa.array(np.diff(codes.starts)), pa.array(sums, pa.int64())], names=["shard", "part", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     docs = images.select("shard", "part", "image").mapInArrow(run, "shard int, part int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = images.select("shard", "part", "n_ids")
-    shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n_ids")).select("shard", earlier(W.orderBy("shard")).alias("shard_from"))
-    parts = sizes.select("shard", "part", earlier(W.partitionBy("shard").orderBy("part")).alias("part_from"))
-    docs = docs.join(parts, ["shard", "part"]).join(shards, "shard")
     doc_id = F.when(F.col("doc_id") != -(2**63), F.col("doc_id"))
-    return docs.select(doc_id.alias("doc_id"), (F.col("shard_from") + F.col("part_from") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(_image_starts(images), ["shard", "part"]).select(doc_id.alias("doc_id"), (F.col("image_from") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
