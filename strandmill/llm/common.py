@@ -50,7 +50,9 @@ def free(df: DataFrame, name: str) -> str:
 def one_of_each(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """columns of one row for each value of keys, that of the smallest hash of all columns. Partly merged before the shuffle, so a value may have any number of rows."""
     row = F.struct(*(F.col(f"`{c}`").alias(c) for c in columns))
-    best = df.groupBy(*keys).agg(F.min_by(row, F.xxhash64(*(F.to_json(F.struct(F.col(f"`{c}`"))) for c in columns))).alias("best"))
+    kinds = dict(df.dtypes)
+    hashed = (F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kinds[c] else F.col(f"`{c}`") for c in columns)
+    best = df.groupBy(*keys).agg(F.min_by(row, F.xxhash64(*hashed)).alias("best"))
     return best.select(*(F.col("best")[c].alias(c) for c in columns))
 
 

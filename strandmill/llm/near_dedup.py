@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix, save, shingle_hashes, table, word_hashes
+from .common import WORD, free, mix, one_of_each, save, shingle_hashes, table, word_hashes
 
 _GOLDEN = 0x9E3779B97F4A7C15
 _AT_ONCE = 1 << 19  # shingles looked at together
@@ -70,23 +72,26 @@ def bag_minhash(shingles: np.ndarray, counts: np.ndarray, starts: np.ndarray, si
     return best
 
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Of two multisets as (distinct shingles in order, counts)."""
-    both, x, y = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    common = int(np.minimum(a[1][x], b[1][y]).sum())
-    return common / max(1, int(a[1].sum() + b[1].sum()) - common)
-
-
 def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts are of about a few MB together."""
-    sizes = np.array([len(x or "") for x in batch.column(column).to_pylist()])
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     cuts = np.concatenate(([0], np.cumsum(sizes) // (_AT_ONCE * 6)))
     edges = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), batch.num_rows]
     return (batch.slice(a, z - a) for a, z in zip(edges, edges[1:], strict=False) if z > a)
 
 
+def _text_keys(text: Column) -> list[Column]:
+    """Two hashes of a text, which tell the rows of a doc_id apart."""
+    return [F.xxhash64(F.lit(k), text).alias(f"k{k}") for k in (1, 2)]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *_text_keys(text))
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, content (a hash of the multiset, null without words), words, and a hash of each band of the signature."""
+    """doc_id, k1, k2, content (a hash of the multiset, null without words), words, and a hash of each band of the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,43 +100,60 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 total = np.concatenate(([0], np.cumsum(counts)))
                 weight = total[starts[1:]] - total[starts[:-1]]
                 one, two = (np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(found ^ np.uint64(k)) * counts.astype(np.uint64), dtype=np.uint64))) for k in (1, 2))
-                content = [None if not w else b"%016x%016x%d" % (int(x), int(y), int(w)) for x, y, w in zip(one[starts[1:]] - one[starts[:-1]], two[starts[1:]] - two[starts[:-1]], weight, strict=True)]
+                both = np.stack([x[starts[1:]] - x[starts[:-1]] for x in (one, two)], 1)
+                content = [x.tobytes() if w else None for x, w in zip(both, weight.tolist(), strict=True)]
                 sig = bag_minhash(found, counts, starts, bands * rows).view(np.uint64).reshape(-1, bands, rows)
                 key = np.zeros((part.num_rows, bands), np.uint64)
                 for k in range(rows):
                     key = mix(key * np.uint64(31) + sig[:, :, k])
                 key = mix(key + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(_GOLDEN))
                 lists = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * bands, pa.array(key.view(np.int64).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content, pa.binary()), pa.array(weight), lists], names=["doc_id", "content", "words", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(content, pa.binary()), pa.array(weight), lists], names=["doc_id", "k1", "k2", "content", "words", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, content binary, words long, bands array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, k1 long, k2 long, content binary, words long, bands array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> DataFrame:
-    """Pairs (a, b) whose texts' shingle multisets have a weighted Jaccard similarity of ``least`` or more."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+def bags(texts: DataFrame, n: int) -> DataFrame:
+    """id and the multiset of shingles of each text: the distinct ones in order, then counts, packed; counts are left out where all are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple] = {}  # multisets of recent documents, which come up in several pairs
-        held = 0
-
-        def bag(i, text):
-            nonlocal held
-            if i not in known:
-                if held > _AT_ONCE * 4:
-                    known.clear()
-                    held = 0
-                known[i] = multisets(pa.array([text.as_py()], pa.large_string()), n)[:2]
-                held += len(known[i][0])
-            return known[i]
+        for b in batches:
+            for part in _parts(b, 1):
+                found, counts, starts = multisets(part.column(1), n)
+                cuts = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([found[a:z].tobytes() for a, z in cuts], pa.binary()), pa.array([counts[a:z].astype("<u4").tobytes() if (counts[a:z] > 1).any() else b"" for a, z in cuts], pa.binary())], names=["id", "shingles", "counts"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, shingles binary, counts binary")
+
+
+def overlap(a: np.ndarray, na: bytes, b: np.ndarray, nb: bytes) -> int:
+    """Common weight of two multisets: distinct shingles in order, and packed counts as in bags()."""
+    at = np.searchsorted(a, b)
+    hit = np.flatnonzero(a[np.minimum(at, len(a) - 1)] == b)
+    if not na and not nb:
+        return len(hit)
+    x = np.frombuffer(na, "<u4")[at[hit]] if na else np.ones(len(hit), np.int64)
+    y = np.frombuffer(nb, "<u4")[hit] if nb else np.ones(len(hit), np.int64)
+    return int(np.minimum(x, y).sum())
 
+
+def verify(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b, words_a, words_b) whose multisets have a weighted Jaccard similarity of ``least`` or more."""
+    left = held.select(F.col("id").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("na"))
+    right = held.select(F.col("id").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("nb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a_ids, b_ids = b.column(0).to_pylist(), b.column(1).to_pylist()
-            ok = pa.array([weighted_jaccard(bag(i, x), bag(j, y)) >= least for i, j, x, y in zip(a_ids, b_ids, b.column(2), b.column(3), strict=True)], pa.bool_())
+            ok = []
+            for wa, wb, sa, na, sb, nb in zip(*(b.column(k) for k in range(2, 8)), strict=True):
+                common, total = overlap(np.frombuffer(sa.as_py(), np.uint64), na.as_py(), np.frombuffer(sb.as_py(), np.uint64), nb.as_py()), wa.as_py() + wb.as_py()
+                ok.append(common >= least * (total - common))
+            ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    # the many, the members of a hub, come first: their bags are moved once, hubs' bags by the join's other side
+    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "words_a", "words_b", "sa", "na", "sb", "nb")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -140,80 +162,155 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Each round takes the smallest label among neighbours and then the label of one's label; rounds are few as links
     mostly form stars, and each ends with a written table.
     """
-    both = save(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = save(nodes.select("id", F.col("id").alias("label")), "labels")
+    both = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
+    near = both.groupBy("a").agg(F.min("b").alias("near"))
+    labels = None
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        new = labels.join(near, labels["id"] == near["a"], "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
-        jump = new.select(F.col("id").alias("low"), F.col("low").alias("lower"))
-        new = save(new.join(jump, "low", "left").select("id", "label", F.least("low", F.coalesce("lower", "low")).alias("new")), "labels")
-        changed = new.where("new < label").limit(1).count()
-        labels = new.select("id", F.col("new").alias("label"))
-        if not changed:
-            return labels
+        if labels is None:  # every label is the id itself at first
+            new = nodes.select("id", F.col("id").alias("label")).join(near, F.col("id") == near["a"], "left")
+        else:
+            near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
+            new = labels.join(near, labels["id"] == near["a"], "left")
+        new = save(new.select("id", "label", F.least("label", F.coalesce("near", "label")).alias("low")), "labels")
+        if new.where("low < label").isEmpty():
+            return new.select("id", "label")
+        jump = new.where("low < id").select(F.col("id").alias("low"), F.col("low").alias("lower"))
+        labels = save(new.join(jump, "low", "left").select("id", F.least("low", F.coalesce("lower", "low")).alias("label")), "labels")
 
 
-def near_groups(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, bands: int = 40, rows: int = 6) -> DataFrame:
-    """One row per row of docs: doc_id and class_id, the smallest doc_id of its class.
+def _needed(least: float, a: str, b: str) -> Column:
+    """The overlap that multisets of these weights need."""
+    return least / (1 + least) * (F.col(a) + F.col(b)) - 1e-9
 
-    Documents are linked when the multisets of their shingles of five words have a weighted Jaccard similarity of
-    ``least`` or more; classes are the connected components. Fewer words make one shingle; a text without words (null,
-    empty, white space) is a class of its own, as is a row whose doc_id is null (class_id null). Rows that repeat a
-    doc_id fall into one class if any of their texts do. An empty table gives no rows; other columns are not read.
 
-    Documents of one multiset are one node from the start. Nodes that share a band of the signature (a pair at the
-    threshold misses all with a probability of 5e-6) form a bucket, and a bucket needs few of its pairs: first
-    every member is verified against one hub, which links groups of near copies of any size in as many pairs as members.
-    Only members of a bucket that links haven't joined yet go on: against some leaders, then more, and at last against
-    all members in other components, so that no link is lost. Pairs whose sizes rule the similarity out are never made.
+def prefix_pairs(members: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b, words_a, words_b) of members (id, label, words) of different label that may reach the similarity: an exact filter.
+
+    Each multiset's shingles are put in order of rarity among the members, those that one member has alone first. At a
+    pair's first common shingle all their overlap is still to come, so what either has from there on must be the overlap
+    needed at least. A shingle alone in its member makes no row. Rows that no other size at their shingle could use go before any pair is made:
+    members that differ by more than the threshold allows in shingles of their own meet nobody, in groups of any size.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                s = np.frombuffer(b.column(3)[k].as_py(), np.int64)
+                n = np.frombuffer(b.column(4)[k].as_py(), "<u4") if b.column(4)[k].as_py() else np.ones(len(s), np.int64)
+                for a in range(0, len(s), _AT_ONCE):
+                    m = len(s[a : a + _AT_ONCE])
+                    own = [pa.array([b.column(j)[k].as_py()] * m, pa.int64()) for j in range(3)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(s[a : a + _AT_ONCE]), pa.array(n[a : a + _AT_ONCE].astype(np.int64))], names=["id", "label", "words", "s", "n"])
+
+    rows = members.join(held, "id").select("id", "label", "words", "shingles", "counts").mapInArrow(run, "id long, label long, words long, s long, n long")
+    rows = save(rows, "shingles")
+    # of each shingle that several members share: how many have it, whether their labels differ, and their sizes' range
+    common = rows.groupBy("s").agg(F.count("*").alias("df"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("df > 1").select("s", "df", (F.col("l1") < F.col("l2")).alias("mixed"))
+    shared = rows.join(common, "s")
+    # what is left from each shingle on, in order of rarity: the weight of this one and all more frequent
+    after = W.partitionBy("id").orderBy(F.col("df").desc(), F.col("s").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    shared = shared.withColumn("left", F.sum("n").over(after))
+    able = save(shared.where(F.col("mixed") & (F.col("left") >= least * F.col("words") - 1e-9)).select("id", "label", "words", "s", "left"), "prefixes")
+    for _ in range(2):
+        # sizes in steps of a fiftieth: a row stays if some step at its shingle has a size and another label it could pair with
+        step = F.floor(F.log(F.col("words").cast("double")) * 50).cast("int")
+        cells = able.groupBy("s", step.alias("step")).agg(F.min("words").alias("w"), F.max("left").alias("most"), F.min("label").alias("c1"), F.max("label").alias("c2"))
+        cells = cells.withColumnRenamed("s", "cs")
+        meets = (F.col("s") == F.col("cs")) & ((F.col("label") != F.col("c1")) | (F.col("label") != F.col("c2"))) & (F.col("left") >= _needed(least, "words", "w")) & (F.col("most") >= _needed(least, "words", "w"))
+        able = save(able.join(cells, meets, "left_semi"), "prefixes")
+    x = able.select(F.col("id").alias("a"), F.col("label").alias("la"), F.col("words").alias("words_a"), "s", F.col("left").alias("left_a"))
+    y = able.select(F.col("id").alias("b"), F.col("label").alias("lb"), F.col("words").alias("words_b"), F.col("s").alias("t"), F.col("left").alias("left_b"))
+    meets = (F.col("s") == F.col("t")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & (F.least("left_a", "left_b") >= _needed(least, "words_a", "words_b"))
+    return x.join(y, meets).select("a", "b", "words_a", "words_b").distinct()
+
+
+def near_classes(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, bands: int = 40, rows: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs (doc_id, k1, k2, content) and the class of each content (content, class): see near_groups().
+
+    Texts of one multiset are one node from the start, numbered as the table of nodes is written. Nodes that share a band
+    of the signature (a pair at the threshold misses all with a probability of 5e-6) form a bucket, and a bucket needs
+    few of its pairs: first every member is verified against one hub, which links groups of near copies of any size in as
+    many pairs as members; then, where a bucket isn't in one component yet, against some leaders. What is still open goes
+    through prefix_pairs(), which leaves out no pair of the similarity.
     """
     sig = save(signatures(docs, shingle, bands, rows), "signatures")
-    nodes = sig.where("content IS NOT NULL AND doc_id IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("id"), F.max("words").alias("words"))
-    nodes = save(nodes, "nodes")
-    keys = sig.join(nodes.select("content", "id", "words").withColumnRenamed("words", "w"), ["content"]).where(F.col("doc_id") == F.col("id"))
-    keys = save(keys.dropDuplicates(["id"]).select("id", F.col("w").alias("words"), F.explode("bands").alias("key")), "keys")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")).alias("rep")
+    nodes = sig.where("content IS NOT NULL").groupBy("content").agg(rep, F.max("words").alias("words"), F.max("bands").alias("bands"))
+    nodes = save(nodes.select(F.monotonically_increasing_id().alias("id"), "content", "words", "rep", "bands"), "nodes")
+    keys = nodes.select("id", "words", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = save(keys.join(buckets, "key"), "members")
     # the hub of a bucket is the member with most company in all its buckets: the middle of a group of near copies
     company = members.groupBy("id").agg(F.sum("n").alias("company"))
     hubs = members.join(company, "id").groupBy("key").agg(F.max(F.struct("company", F.xxhash64(F.lit(3), "id").alias("order"), "id", "words")).alias("hub"))
-    hubbed = members.join(hubs, "key").select("id", "words", F.col("hub.id").alias("hub"), F.col("hub.words").alias("hub_words"))
+    hubbed = members.join(hubs, "key").select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.words").alias("words_a"), F.col("words").alias("words_b"))
 
     def alike(x: str, y: str):  # the similarity can't be more than that of the sizes
         return F.least(x, y) >= least * F.greatest(x, y)
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = save(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    pairs = hubbed.where((F.col("id") != F.col("hub")) & alike("words", "hub_words")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    pairs = save(pairs.distinct(), "pairs")
-    tested, links = pairs, save(verify(pairs, texts, shingle, least), "links")
-    ids = members.select("id").distinct()
+    wanted = members.select("id").distinct().join(nodes.select("id", "words", "rep"), "id")
+    wanted = save(wanted.select("id", "words", F.col("rep.doc_id").alias("d"), F.col("rep.k1").alias("j1"), F.col("rep.k2").alias("j2")), "wanted")
+    texts = _keyed(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")))
+    held = save(bags(texts, shingle), "bags")  # rows that repeat doc_id and text give equal bags
+    held = held.dropDuplicates(["id"]) if _repeats(held) else held
+    pairs = hubbed.where((F.col("a") != F.col("b")) & alike("words_a", "words_b"))
+    links = save(verify(pairs.distinct(), held, least), "links")
+    ids = wanted.select("id")
     labels = components(ids, links)
-    named = members.select("key", "id", "words", "n")
-    for leaders in (16, None):
-        named = named.select("key", "id", "words", "n").join(labels, "id")
+    named = members.select("key", "id", "words", "n").join(labels, "id")
+    open_ = named.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2").select("key")
+    named = save(named.join(open_, "key", "left_semi"), "open")  # a bucket in one component stays so
+    lead = named.where(F.pmod(F.xxhash64(F.lit(16), "id", "key"), F.col("n")) < 16).select("key", F.col("id").alias("a"), F.col("words").alias("words_a"), F.col("label").alias("l"))
+    pairs = named.withColumnRenamed("id", "b").withColumnRenamed("words", "words_b").join(lead, "key").where((F.col("label") != F.col("l")) & alike("words_a", "words_b")).select("a", "b", "words_a", "words_b").distinct()
+    more = save(verify(pairs, held, least), "links")
+    if not more.isEmpty():
+        links = save(links.union(more), "links")
+        labels = components(ids, links)
+        named = named.drop("label").join(labels, "id")
         open_ = named.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2").select("key")
-        named = save(named.join(open_, "key", "left_semi"), "open")  # a bucket in one component stays so
-        lead = named if leaders is None else named.where(F.pmod(F.xxhash64(F.lit(leaders), "id", "key"), F.col("n")) < leaders)
-        lead = lead.select("key", F.col("id").alias("i"), F.col("words").alias("w"), F.col("label").alias("l"))
-        pairs = named.join(lead, "key").where((F.col("label") != F.col("l")) & alike("words", "w")).select(F.least("id", "i").alias("a"), F.greatest("id", "i").alias("b")).distinct()
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = save(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        tested, more = tested.union(pairs), save(verify(pairs, texts, shingle, least), "links")
+        named = named.join(open_, "key", "left_semi")
+    left = save(named.select("id", "label", "words").distinct(), "left")
+    if not left.isEmpty():
+        more = save(verify(prefix_pairs(left, held, least), held, least), "links")
         if not more.isEmpty():
-            links = links.union(more)
-            labels = components(ids, links)
-    classes = nodes.join(labels, "id", "left").select("content", F.coalesce("label", "id").alias("class_id"))
-    return sig.join(classes, "content", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+            labels = components(ids, links.union(more))
+    classes = nodes.join(labels, "id", "left").select("content", "rep", F.coalesce("label", "id").alias("class"))
+    return sig.select("doc_id", "k1", "k2", "content"), classes
+
+
+def _repeats(held: DataFrame) -> bool:
+    return not held.groupBy("id").count().where("count > 1").isEmpty()
+
+
+def near_groups(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of docs: doc_id and class_id, the smallest doc_id of its class.
+
+    Texts are linked when the multisets of their shingles of five words have a weighted Jaccard similarity of ``least``
+    or more; classes are the connected components. Fewer words make one shingle; a text without words (null, empty, white
+    space) is a class of its own, of its own doc_id. Classes are of texts: rows that repeat a doc_id with another text may be in
+    another class, and a row without doc_id is in that of its text (class_id is null where no row of a class has an id). Very long texts are
+    read whole, in pieces. An empty table gives no rows; other columns are not read, whatever their names.
+    """
+    sig, classes = near_classes(docs, **options)
+    first = classes.groupBy("class").agg(F.min("rep.doc_id").alias("class_id"))
+    known = classes.join(first, "class").select("content", "class_id")
+    return sig.join(known, "content", "left").select("doc_id", F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each class, that of the smallest doc_id; all columns as they were."""
-    keep = near_groups(docs, **options).where("doc_id IS NULL OR doc_id = class_id").select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    """docs with one row of each class, all columns as they were: that of the smallest doc_id (null last), one where rows repeat.
+
+    Texts without words all stay. Columns of any names and further ones are kept; an empty table gives none.
+    """
+    keep = near_classes(docs, **options)[1].groupBy("class").agg(F.min("rep").alias("rep"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    wordless = ~text.rlike(WORD)
+    d, names = docs.where(~wordless), []
+    for column in (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").cast("long").isNull(), *_text_keys(text)):
+        names.append(free(d, f"key{len(names)}"))
+        d = d.withColumn(names[-1], column)
+    rep = (F.coalesce("rep.doc_id", F.lit(0)), F.col("rep.last"), F.col("rep.k1"), F.col("rep.k2"))
+    kept = d.join(keep.select(*(c.alias(name) for c, name in zip(rep, names, strict=True))), names, "left_semi")
+    return one_of_each(kept, names, docs.columns).union(docs.where(wordless))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

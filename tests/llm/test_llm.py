@@ -151,6 +151,31 @@ def test_token_files_equal_the_library(spark, docs):
         at += len(ids)
 
 
+def test_single_tokens_are_read_by_place(spark, docs):
+    images = token_files.write_images(docs, P.path("byte_bpe_50k.json"), 2, image_ids=20_000)
+    flat = np.concatenate([token_files.DirectCodes(bytes(r["image"])).read(0, r["n_ids"]) for r in images.orderBy("shard", "part").collect()])
+    places = [0, 1, 19_999, 20_000, 77_777, len(flat) - 1, len(flat), -1]
+    got = {r["place"]: r["id"] for r in token_files.tokens_at(images, spark.createDataFrame([(p,) for p in [*places, 0]], "place long")).collect()}
+    assert got == {p: flat[p] for p in places[:-2]}
+
+
+def test_library_encoder_on_hard_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    vocabulary = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    t, e, rng = Tokenizer.from_str(vocabulary), token_files.LibraryEncoder(vocabulary), np.random.default_rng(5)
+    e.AT_ONCE = 60  # texts are cut
+    e.units.most = 40  # and the table is emptied now and then
+    bits = ["a", "b'", "  ", " ", "\n", "\t", "é", "中", "<|endoftext|>", "<|end", "'s", " 't", "1", "!!", "\x1c", "\x85", "\0", "A1", "\u3000"]
+    for _ in range(4):
+        texts = ["".join(rng.choice(bits, rng.integers(0, 60))) for _ in range(500)]
+        ids, sizes = e.encode(pa.array(texts, pa.large_string()))
+        ends = np.cumsum(sizes)
+        for text, a, z in zip(texts, ends - sizes, ends, strict=True):
+            assert ids[a:z].tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_files_map_added_tokens(spark):
     from tokenizers import Tokenizer
 
@@ -230,6 +255,50 @@ def test_near_groups_equal_brute_force(spark, docs):
     assert got == brute_classes({r["doc_id"]: r["text"] for r in d.collect()})
 
 
+def test_near_groups_of_repeated_ids(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    for rows, want in (([(1, a), (1, b), (2, a + " x"), (3, b + " y")], [1, 1, 1, 1]), ([(1, a), (2, b), (2, a)], [1, 1, 2]), ([(None, a), (4, a + " x"), (None, b), (None, None), (6, "")], [None, None, 4, 4, 6])):
+        d = spark.createDataFrame(rows, "doc_id long, text string")
+        got = [r["class_id"] for r in near_dedup.near_groups(d).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        left = [(str(r["doc_id"]), r["text"]) for r in near_dedup.drop_near_copies(d.union(d)).collect() if (r["text"] or "").strip()]
+        assert sorted(left) == {4: [("1", a), ("1", b)], 3: [("1", a), ("2", b)], 5: [("4", a + " x"), ("None", b)]}[len(rows)]
+
+
+def test_near_groups_of_half_changed_copies(spark):
+    """Groups whose members are near some of the others only: what hubs and leaders leave open goes through the prefix filter."""
+    rng, rows = np.random.default_rng(21), []
+    for g in range(3):
+        base = [f"g{g}w{k}" for k in range(130)]
+        for c in range(12):  # each variant of the base has near copies of its own
+            one = [w if rng.random() > 0.05 else f"g{g}c{c}x{k}" for k, w in enumerate(base)]
+            for m in range(8):
+                w = list(one)
+                for _ in range(int(rng.integers(0, 5))):
+                    w[int(rng.integers(len(w)))] = f"m{rng.integers(1 << 40)}"
+                rows.append((len(rows), " ".join(w[: len(w) - int(rng.integers(0, 12))] + w[:3] * int(rng.integers(0, 2)))))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(dict(rows))
+    assert got == want and 20 < len(set(want.values())) < 200
+
+
+def test_prefix_pairs_leave_out_no_pair(spark):
+    rng, texts = np.random.default_rng(22), []
+    for k in range(120):
+        base = texts[int(rng.integers(len(texts)))].split() if texts and rng.random() < 0.7 else [f"v{x}" for x in rng.integers(0, 40, int(rng.integers(8, 60)))]
+        base = [w if rng.random() > 0.03 else f"n{rng.integers(1 << 30)}" for w in base]
+        texts.append(" ".join(base + base[: int(rng.integers(0, 6))]))
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    held = near_dedup.bags(d, 2)
+    grams = [Counter(zip(t.split(), t.split()[1:], strict=False)) for t in texts]
+    label = [k % 5 for k in range(120)]
+    members = spark.createDataFrame([(k, label[k], sum(grams[k].values())) for k in range(120)], "id long, label long, words long")
+    found = {(r["a"], r["b"]) for r in near_dedup.prefix_pairs(members, held, 0.8).collect()}
+    want = {(a, b) for b in range(120) for a in range(b) if label[a] != label[b] and (o := sum((grams[a] & grams[b]).values())) >= 0.8 * (sum(grams[a].values()) + sum(grams[b].values()) - o)}
+    assert want <= found and len(want) > 20 and len(found) < 120 * 119 / 4
+    assert {(r["a"], r["b"]) for r in near_dedup.verify(near_dedup.prefix_pairs(members, held, 0.8), held, 0.8).collect()} == want
+
+
 def test_bag_minhash_estimates_weighted_jaccard():
     rng = np.random.default_rng(9)
     a = dict(enumerate(rng.integers(1, 20, 300).tolist()))
