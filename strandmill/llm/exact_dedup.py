@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, save, table
+from .common import BLANKS, free, one_of_each, save, table
+
+#: Digests that the index of one task holds at most, about: sets the number of partitions.
+PER_TASK = 500_000
 
 
 class CuckooIndex:
@@ -146,34 +148,44 @@ def index_rows(rows: DataFrame, most: int | None) -> DataFrame:
     return rows.select("digest", "chars", "keep_id", "n").mapInArrow(run, kind)
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """(digest, chars, keep_id, n) of each group of rows (doc_id, digest, chars).
+
+    Each partition's digests first meet in a local index, so a group of any size sends at most one row per task and
+    flush. There are as many partitions as keep the last indexes within PER_TASK digests.
+    """
+    local = index_rows(rows.select("digest", "chars", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n")), most=200_000)
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return index_rows(local.repartition(max(least, -(-rows.count() // PER_TASK)), "digest"), most=None)
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without white space; null counts as empty, and all empty texts are one group. The
     row with the most code points stays, then the one with the smallest doc_id (null ids last). Rows that repeat both
-    doc_id and text count each and are all reported, with kept true where doc_id is keep_id. An empty table gives no
-    rows; columns other than doc_id and text are not read.
+    doc_id and text count each and are all reported, with kept true where doc_id is keep_id. Very long texts are hashed whole. An empty
+    table gives no rows; columns other than doc_id and text are not read, whatever their names.
 
-    Each partition's digests first meet in a local index, so a group of any size sends at most one row per task and
-    flush; the merged classes then join back. Only digests are shuffled, never text.
+    Merged classes join back to the digests; only digests are shuffled, never text.
     """
     rows = save(digests(docs), "digests")
-    local = index_rows(rows.select("digest", "chars", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n")), most=200_000)
-    groups = index_rows(local.repartition("digest"), most=None).select("digest", "keep_id", F.col("n").alias("group_size"))
+    groups = _groups(rows).select("digest", "keep_id", F.col("n").alias("group_size"))
     return rows.join(groups, "digest").select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of equal texts, all columns as they were; null ids stay only by another id's absence.
+    """docs with one row of each group of equal texts, all columns as they were, of any names: the row that exact_groups() keeps.
 
-    The row is that of the group's keep_id and of its text, and of rows that repeat both, one with the most code points.
+    Of rows that repeat its doc_id and length, one stays. A null text is an empty one.
     """
-    keep = exact_groups(docs).where("doc_id <=> keep_id").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
+    keep = _groups(save(digests(docs), "digests")).select(F.coalesce("keep_id", F.lit(0)), F.col("keep_id").isNull(), F.lower(F.hex("digest")), "chars")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_sum", F.sha2(F.translate(text, " \t\n\x0b\f\r", ""), 256))
-    d = d.join(keep, F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_sum") == F.col("_sha")), "left_semi")
-    at = W.partitionBy("_id", "_sum").orderBy(F.length(text).desc(), F.xxhash64(text))
-    return d.withColumn("_row", F.row_number().over(at)).where("_row = 1").select(*docs.columns)
+    d, names = docs, []
+    for column in (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").cast("long").isNull(), F.sha2(F.translate(text, " \t\n\x0b\f\r", ""), 256), F.length(text).cast("long")):
+        names.append(free(d, f"key{len(names)}"))
+        d = d.withColumn(names[-1], column)
+    return one_of_each(d.join(keep.toDF(*names), names, "left_semi"), names, docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -133,11 +133,12 @@ def fit(docs: DataFrame, *, per_language: int = 600, clusters: int = 4, rounds:
     return Centroids(idf, centers, [r["lang"] for r in found], slack * np.array([r["low"] for r in found]))
 
 
-def identify(docs: DataFrame, model: Centroids | None, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Centroids | None, keep: list[str] | None = None, accepted: bool = False) -> DataFrame:
     """Columns ``keep`` of docs (doc_id by default), then lid_lang, lid_score, lid_rejected.
 
     The prediction reads text alone. A text that is null, or has no letter, or any text if nothing was learned, is
-    ``und`` with score 0, and rejected. Empty, very long and repeated texts need no care; an empty table gives no rows.
+    ``und`` with score 0, and rejected. Empty, very long and repeated texts need no care; an empty table gives no rows. With ``accepted``,
+    only columns ``keep`` of the rows that aren't rejected, so that their names may be any.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or ["doc_id"]
@@ -152,14 +153,15 @@ def identify(docs: DataFrame, model: Centroids | None, keep: list[str] | None =
             yield pa.RecordBatch.from_arrays([*rest, pa.array([x if o else "und" for x, o in zip(names, ok, strict=True)], pa.string()), pa.array(np.where(ok, scores, 0.0)), pa.array(far | ~ok)], names=[f"c{i}" for i in range(len(rest))] + ["lid_lang", "lid_score", "lid_rejected"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)), F.col("text").cast("string").alias("lid_text"), has_letter().alias("lid_letter"))
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col("text").cast("string").alias("lid_text"), has_letter().alias("lid_letter"))
     out = rows.mapInArrow(run, ", ".join(f"c{i} {kinds[c]}" for i, c in enumerate(keep)) + ", lid_lang string, lid_score double, lid_rejected boolean")
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "lid_lang", "lid_score", "lid_rejected")
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(keep)]
+    return out.where("NOT lid_rejected").select(*own) if accepted else out.select(*own, "lid_lang", "lid_score", "lid_rejected")
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
-    """docs without those whose language can't be told, all columns as they were."""
-    return identify(docs, fit(docs), docs.columns).where(~F.col("lid_rejected")).select(*docs.columns)
+    """docs without those whose language can't be told, all columns as they were, whatever their names."""
+    return identify(docs, fit(docs), docs.columns, accepted=True)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

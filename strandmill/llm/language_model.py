@@ -168,11 +168,14 @@ def score_pairs(corpus: DataFrame, words: DataFrame, unigrams: Unigrams, train_d
 
     0: few, numbers of bigrams with counts 1 to 6. 1: for a block, sums by document. 2: a context's kept counts, for its
     backoff weight. 3: a document's backed-off tokens in a context. 4: for a block, base
-    scores, known tokens and tokens by document. A context of very many tokens is dealt out over
-    several buckets by the following word, and what it has is added up later.
+    scores, known tokens and tokens by document. 5: a document's seen tokens in a spread context that has no rare follower here.
+
+    A context of very many tokens is spread over as many keys as its size takes, by the following word, and what it has is
+    added up later. That only moves work: whether a context has rare followers is known from all its keys together, so
+    scores don't depend on the number of buckets or on which contexts are spread.
     """
     total, kinds = unigrams.total, unigrams.kinds
-    hot = max(1000, total // (8 * buckets))
+    hot = max(1000, total // (8 * buckets))  # tokens of a context that one key takes
 
     def send(block: pa.Table, answers: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -197,7 +200,7 @@ def score_pairs(corpus: DataFrame, words: DataFrame, unigrams: Unigrams, train_d
             context, word = pair // n, pair % n
             as_context = counts.copy()
             as_context[begin] = train_docs
-            spread = np.where(as_context[context] > hot, ids[word] % 64 + 1, 0)
+            spread = np.where(as_context[context] > hot, ids[word] % (8 * (as_context[context] // hot) + 1) + 1, 0)
             to = ((ids[context] * 0x9E3779B1 + spread * 0x85EBCA6B) & 0xFFFFFFFF) * buckets >> 32
             order = np.argsort(to, kind="stable")
             flags = np.array(row["held"], np.int64)
@@ -243,7 +246,7 @@ def score_pairs(corpus: DataFrame, words: DataFrame, unigrams: Unigrams, train_d
         size = base[first][heads]
         add = lambda x: np.add.reduceat(x, heads)
         rare = add(((got > 0) & (got <= _RARE)).astype(np.int64)) > 0
-        below = size + ((size > hot) | ~rare)  # one more where nothing would be left for unseen words
+        below = size + ((size <= hot) & ~rare)  # one more where nothing would be left for unseen words; of spread contexts, later
         chance = unigrams.chance(count)
         seen, n = got[pair] > 0, got[pair]
         with np.errstate(divide="ignore"):
@@ -257,12 +260,13 @@ def score_pairs(corpus: DataFrame, words: DataFrame, unigrams: Unigrams, train_d
         wanted = np.zeros(len(heads), bool)
         wanted[group[pair[away]]] = True
         wanted |= size > hot
-        kept = [add(np.where(got > _RARE, got, 0)), *(add(np.where(got == r, got, 0)) for r in range(1, _RARE + 1)), add(np.where(got > 0, chance[first], 0.0)), below]
+        kept = [add(np.where(got > _RARE, got, 0)), *(add(np.where(got == r, got, 0)) for r in range(1, _RARE + 1)), add(np.where(got > 0, chance[first], 0.0)), size, rare]
         kept = np.stack(kept, 1)[wanted].astype(float)
-        gone = np.flatnonzero(away)
+        late = seen & ((size > hot) & ~rare)[group[pair]]
+        gone = np.concatenate((np.flatnonzero(away), np.flatnonzero(late)))
         which = np.searchsorted(cuts, gone, "right") - 1
         k1, k2, k3 = len(blocks), int(wanted.sum()), len(gone)
-        kind = [0] + [1] * k1 + [2] * k2 + [3] * k3
+        kind = [0] + [1] * k1 + [2] * k2 + [3] * int(away.sum()) + [5] * int(late.sum())
         key = [None] * (1 + k1) + context[first][heads][wanted].tolist() + context[gone].tolist()
         of = [None, *blocks, *[None] * k2, *np.array(blocks)[which].tolist()]
         where = [None] * (1 + k1 + k2) + doc[gone].tolist()
@@ -284,9 +288,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
     text's log10 probability under a Katz backoff model of bigrams: a word after its context (or the beginning) that
     training has seen gets its Good-Turing discounted share of the context's count; another gets the context's backoff weight
     times its discounted unigram chance, and an unknown word what unigrams leave over. Backoff weights make each
-    context's chances sum to one exactly; a context without rare followers, or one very frequent, is counted once more so that
-    something is left. Without training texts, every word has the chance 1. Repeated rows count each; an empty table
-    gives no rows; other columns are not read.
+    context's chances sum to one exactly; a context without rare followers is counted once more so that something is
+    left. Without training texts, every word has the chance 1. Repeated rows count each; very long texts are read whole, in
+    chunks; an empty table gives no rows; other columns are not read.
 
     Words and bigrams are counted in tables partitioned by word and by context; blocks of about a million tokens
     exchange with them at most one row each, or one an entry where there are more buckets than entries. Bigram counts
@@ -313,10 +317,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
         return pa.table({"block": pa.array([parts["block"][0].as_py()] * k, pa.int64()), "doc": pa.array(np.arange(k)), "sum": pa.array(score), "base_score": pa.array(base), "n_known": pa.array(known.astype(np.int64)), "n_tokens": pa.array(tokens.astype(np.int64))})
 
     found = rows.where("kind IN (1, 4)").select("kind", "block", "sums").groupBy("block").applyInArrow(gather, "block long, doc long, sum double, base_score double, n_known long, n_tokens long")
-    contexts = rows.where("kind = 2").groupBy("context").agg(*(F.sum(F.col("kept")[k]).alias(f"k{k}") for k in range(_RARE + 2)), F.max(F.col("kept")[_RARE + 2]).alias("below"))
+    contexts = rows.where("kind = 2").groupBy("context").agg(*(F.sum(F.col("kept")[k]).alias(f"k{k}") for k in range(_RARE + 2)), (F.max(F.col("kept")[_RARE + 2]) + 1 - F.max(F.col("kept")[_RARE + 3])).alias("below"), (F.max(F.col("kept")[_RARE + 3]) == 0).alias("more"))
     kept = F.col("k0") + sum((cuts[r - 1] * F.col(f"k{r}") for r in range(1, _RARE + 1)), F.lit(0.0))
     weight = F.log10((1 - kept / F.col("below")) / (1 - F.col(f"k{_RARE + 1}")))
-    away = rows.where("kind = 3").select("context", "block", "doc", "times").join(contexts.select("context", weight.alias("weight")), "context")
+    away = rows.where("kind IN (3, 5)").select("kind", "context", "block", "doc", "times").join(contexts.select("context", weight.alias("weight"), F.when(F.col("more"), F.log10((F.col("below") - 1) / F.col("below"))).otherwise(0.0).alias("late")), "context")
+    away = away.withColumn("weight", F.when(F.col("kind") == 3, F.col("weight")).otherwise(F.col("late")))
     away = away.groupBy("block", "doc").agg(F.sum(F.round(F.col("times") * F.col("weight"), 12).cast("decimal(30,12)")).cast("double").alias("away"))
     names = corpus.select("block", F.posexplode(F.arrays_zip("doc_ids", "held")).alias("doc", "x"))
     out = names.join(found, ["block", "doc"]).join(away, ["block", "doc"], "left")

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, save, table
+from .common import WORD, free, save, table
 
-#: A prime larger than any number of blocks: multiplying by it permutes residues.
-_PRIME = 1_000_000_007
+_WALK = 64  # steps within range have a chance of over a half each
 
 
 def word_count(text: Column) -> Column:
@@ -65,6 +64,27 @@ def _uniform(*of: Column) -> Column:
     return (F.pmod(F.xxhash64(*of), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
+def permuted(x: Column, n: Column, *key: Column) -> Column:
+    """Where a keyed permutation of 0 to n - 1 takes x: a Feistel network over the least power of two, walked until it is within n."""
+    bits = F.length(F.bin(F.greatest(n - 1, F.lit(1)).cast("long")))
+    low = bits - F.floor(bits / 2).cast("int")  # bits of the right half
+    shift = lambda v, by, left=False: F.call_function("shiftleft" if left else "shiftright", v, by)
+    one = F.lit(1).cast("long")
+    masks = shift(one, bits - low, True) - 1, shift(one, low, True) - 1
+
+    def network(v: Column) -> Column:
+        def turn(s, k):
+            a = s["a"].bitwiseXOR(F.when(k % 2 == 0, F.xxhash64(k, s["b"], *key).bitwiseAND(masks[0])).otherwise(F.lit(0).cast("long")))
+            b = s["b"].bitwiseXOR(F.when(k % 2 == 1, F.xxhash64(k, s["a"], *key).bitwiseAND(masks[1])).otherwise(F.lit(0).cast("long")))
+            return F.struct(a.alias("a"), b.alias("b"))
+
+        halves = F.struct(shift(v, low).alias("a"), v.bitwiseAND(masks[1]).alias("b"))
+        return F.aggregate(F.array(*map(F.lit, range(4))), halves, turn, lambda s: shift(s["a"], low, True) + s["b"])
+
+    first = F.aggregate(F.array(F.lit(0)), x.cast("long"), lambda v, _: network(v))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), first, lambda v, _: F.when(v >= n, network(v)).otherwise(v))
+
+
 def splitting_tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     """k, edges: for each source, how its quota of blocks is cut among 2**levels shards (edges[s] to edges[s + 1]).
 
@@ -91,7 +111,7 @@ def splitting_tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     return lists.select("k", F.aggregate("blocks", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))).alias("edges"))
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple = (5, 2, 1), share: float = 1.5, ceiling: int = 2, levels: int = 5, block_words: int = 65_536, least_blocks: int = 64, lanes: int = 1024, seed: int = 20) -> DataFrame:
+def mix_sources(docs: DataFrame, *, weights: tuple = (5, 2, 1), share: float = 1.5, ceiling: int = 2, levels: int = 5, block_words: int = 65_536, least_blocks: int = 64, lane_rows: int = 20_000, seed: int = 20) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken, pieces.
 
     size counts words; a null text has none and is never taken. A null source is a source, the last. Each source's
@@ -99,16 +119,19 @@ def mix_sources(docs: DataFrame, *, weights: tuple = (5, 2, 1), share: float = 1
     least least_blocks of them, or one a word). As many passes over that line as the target needs, up to ceiling, give
     blocks to draw; each pass is permuted, and a pass begins when the one before is used up, so no document exceeds
     ceiling times its size. Only the last drawn block may be cut, so taken words meet the target within a word.
-    The splitting tree cuts each source's quota among 2**levels shards; a second permutation deals the blocks drawn out to
-    those shares. pieces lists what a document gives: struct(shard, place, from_word, to_word, lap), place being the
-    order within the shard. Rows that repeat, ties and repeated ids get places of their own on the line; an empty table gives
-    no rows, a source without words a target of 0. Other columns are not read.
+    The splitting tree cuts each source's quota among 2**levels shards (as many as the output is to have; sources and shards
+    fit in a row); a second permutation deals the blocks drawn out to those shares. pieces lists what a document gives: struct(shard, place, from_word, to_word, lap), place being the
+    order within the shard. Rows that repeat, ties and repeated ids get places of their own on the line; very long texts span as
+    many blocks as they have; an empty table gives no rows, a source without words a target of 0. Other columns are not read.
 
     Nothing is gathered by source: sums are pre-aggregated over (source, lane), and the line's positions come from the
-    lanes' sums and a window within a lane, so a source with most of all rows is spread over ``lanes`` keys.
+    lanes' sums and a window within a lane, a range of hashes of about ``lane_rows`` rows. The line is in order of hash
+    whatever the number of lanes, which only spreads a source with most of all rows.
     """
     d = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text").cast("string")).alias("size"))
-    d = save(d.withColumn("hash", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("lane", F.pmod("hash", F.lit(lanes)).cast("int")), "sizes")
+    d = save(d.withColumn("hash", F.xxhash64(F.lit(seed), "doc_id", "size")), "sizes")
+    lanes = max(64, -(-d.count() // lane_rows))
+    d = d.withColumn("lane", F.least(F.floor((F.col("hash") / 2.0**64 + 0.5) * lanes), F.lit(lanes - 1)).cast("int"))
     lane = d.groupBy("source", "lane").agg(F.sum("size").alias("lane_size"), F.count("*").alias("n"))
     lane = save(lane, "lanes")
     sources = targets(lane.groupBy("source").agg(F.sum("lane_size").alias("source_size"), F.sum("n").alias("n_docs")), weights, share, ceiling)
@@ -130,7 +153,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple = (5, 2, 1), share: float = 1
 
     n, q, size, at = F.col("blocks"), F.col("quota"), F.col("source_size"), F.col("from")
     edge = lambda b: F.floor((b * size) / n).cast("long")  # noqa: E731  where block b begins; the next one ends it
-    shuffled = lambda x, m, tag: F.pmod(x * _PRIME + F.pmod(F.xxhash64(F.lit(seed + tag), "k"), m), m)
+    shuffled = lambda x, m, tag: permuted(x, m, F.lit(seed + tag), F.col("k"))
 
     def piece(b: Column, lap: int) -> Column:
         rank = F.lit(lap) * n + shuffled(b, n, lap)
@@ -158,13 +181,14 @@ def draw_documents(docs: DataFrame, **options) -> DataFrame:
 
     A document's taken words by its size give its copies; the fraction is rounded up or down by a hash of doc_id, in
     proportion, so each source comes near its target without cutting a text. Documents without words aren't drawn;
-    rows that repeat a doc_id share their mean.
+    rows that repeat a doc_id share their mean. An empty table gives none; columns may have any names.
     """
     plan = mix_sources(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("mix_taken"), F.sum("size").alias("mix_size"))
     times = F.floor(F.coalesce(F.try_divide("mix_taken", F.col("mix_size")), F.lit(0.0)) + _uniform(F.lit(options.get("seed", 20)), "doc_id")).cast("int")
-    plan = plan.select(F.col("doc_id").alias("mix_id"), times.alias("mix_times")).where("mix_times > 0")
-    out = docs.join(plan, docs["doc_id"].eqNullSafe(plan["mix_id"]))
-    return out.withColumn("mix_time", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*(docs[c] for c in docs.columns))
+    name = free(docs, "times")
+    plan = plan.select(F.col("doc_id").alias(free(docs, "mixed_id")), times.alias(name)).where(F.col(name) > 0)
+    out = docs.join(plan, docs["doc_id"].cast("long").eqNullSafe(plan[plan.columns[0]]))
+    return out.select(*(docs[f"`{c}`"] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(name))).alias(name)).drop(name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -178,19 +178,28 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         labels = save(new.join(jump, "low", "left").select("id", F.least("low", F.coalesce("lower", "low")).alias("label")), "labels")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, label) after further links (a, b): only components that these touch are looked at."""
+    a, b = (labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    ends = links.select("a", "b").join(a, "a").join(b, "b").where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    ends = save(ends, "ends")
+    new = components(ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct(), ends)
+    return save(labels.join(new.select(F.col("id").alias("label"), F.col("label").alias("new")), "label", "left").select("id", F.coalesce("new", "label").alias("label")), "labels")
+
+
 def _needed(least: float, a: str, b: str) -> Column:
     """The overlap that multisets of these weights need."""
     return least / (1 + least) * (F.col(a) + F.col(b)) - 1e-9
 
 
-def prefix_pairs(members: DataFrame, held: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b, words_a, words_b) of members (id, label, words) of different label that may reach the similarity: an exact filter.
+def prefix_rows(members: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """(id, label, words, s, left): shingles that members (id, label, words) could share first with one of another label.
 
     Each multiset's shingles are put in order of rarity among the members, those that one member has alone first. At a
-    pair's first common shingle all their overlap is still to come, so what either has from there on must be the overlap
-    needed at least. A shingle alone in its member makes no row. Rows that no other size at their shingle could use go before any pair is made:
-    members that differ by more than the threshold allows in shingles of their own meet nobody, in groups of any size.
+    pair's first common shingle all their overlap is still to come, so ``left``, what a member has from there on, must be
+    the overlap needed. A shingle that one member has alone makes no row.
     """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
@@ -203,23 +212,37 @@ def prefix_pairs(members: DataFrame, held: DataFrame, least: float) -> DataFrame
 
     rows = members.join(held, "id").select("id", "label", "words", "shingles", "counts").mapInArrow(run, "id long, label long, words long, s long, n long")
     rows = save(rows, "shingles")
-    # of each shingle that several members share: how many have it, whether their labels differ, and their sizes' range
     common = rows.groupBy("s").agg(F.count("*").alias("df"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("df > 1").select("s", "df", (F.col("l1") < F.col("l2")).alias("mixed"))
     shared = rows.join(common, "s")
-    # what is left from each shingle on, in order of rarity: the weight of this one and all more frequent
     after = W.partitionBy("id").orderBy(F.col("df").desc(), F.col("s").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
     shared = shared.withColumn("left", F.sum("n").over(after))
-    able = save(shared.where(F.col("mixed") & (F.col("left") >= least * F.col("words") - 1e-9)).select("id", "label", "words", "s", "left"), "prefixes")
+    return save(shared.where(F.col("mixed") & (F.col("left") >= least * F.col("words") - 1e-9)).select("id", "label", "words", "s", "left"), "prefixes")
+
+
+def narrowed(able: DataFrame, least: float) -> DataFrame:
+    """Rows of prefix_rows() that some size and label at their shingle could pair with, before any pair is made.
+
+    Members that differ by more than the threshold allows in shingles of their own meet nobody, in groups of any size.
+    """
     for _ in range(2):
-        # sizes in steps of a fiftieth: a row stays if some step at its shingle has a size and another label it could pair with
-        step = F.floor(F.log(F.col("words").cast("double")) * 50).cast("int")
+        step = F.floor(F.log(F.col("words").cast("double")) * 50).cast("int")  # sizes in steps of a fiftieth
         cells = able.groupBy("s", step.alias("step")).agg(F.min("words").alias("w"), F.max("left").alias("most"), F.min("label").alias("c1"), F.max("label").alias("c2"))
         cells = cells.withColumnRenamed("s", "cs")
         meets = (F.col("s") == F.col("cs")) & ((F.col("label") != F.col("c1")) | (F.col("label") != F.col("c2"))) & (F.col("left") >= _needed(least, "words", "w")) & (F.col("most") >= _needed(least, "words", "w"))
         able = save(able.join(cells, meets, "left_semi"), "prefixes")
-    x = able.select(F.col("id").alias("a"), F.col("label").alias("la"), F.col("words").alias("words_a"), "s", F.col("left").alias("left_a"))
+    return able
+
+
+def prefix_pairs(able: DataFrame, least: float, hubs_only: bool = False) -> DataFrame:
+    """Pairs (a, b, words_a, words_b) of different label that may reach the similarity; with hubs_only, of each member and the one
+    that has most left of those at its shingle.
+    """
     y = able.select(F.col("id").alias("b"), F.col("label").alias("lb"), F.col("words").alias("words_b"), F.col("s").alias("t"), F.col("left").alias("left_b"))
-    meets = (F.col("s") == F.col("t")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & (F.least("left_a", "left_b") >= _needed(least, "words_a", "words_b"))
+    x = able.select(F.col("id").alias("a"), F.col("label").alias("la"), F.col("words").alias("words_a"), "s", F.col("left").alias("left_a"))
+    if hubs_only:
+        x = x.groupBy("s").agg(F.max(F.struct("left_a", "a", "la", "words_a")).alias("hub")).select("hub.*", "s")
+    order = F.col("a") != F.col("b") if hubs_only else F.col("a") < F.col("b")
+    meets = (F.col("s") == F.col("t")) & (F.col("la") != F.col("lb")) & order & (F.least("left_a", "left_b") >= _needed(least, "words_a", "words_b"))
     return x.join(y, meets).select("a", "b", "words_a", "words_b").distinct()
 
 
@@ -229,8 +252,9 @@ def near_classes(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, bands
     Texts of one multiset are one node from the start, numbered as the table of nodes is written. Nodes that share a band
     of the signature (a pair at the threshold misses all with a probability of 5e-6) form a bucket, and a bucket needs
     few of its pairs: first every member is verified against one hub, which links groups of near copies of any size in as
-    many pairs as members; then, where a bucket isn't in one component yet, against some leaders. What is still open goes
-    through prefix_pairs(), which leaves out no pair of the similarity.
+    many pairs as members. Members of buckets that aren't in one component yet go through an exact filter, prefix_rows()
+    and narrowed(), which leaves out no pair of the similarity; what passes is verified against the hubs of its shingles,
+    and then, if it is still apart, pair by pair.
     """
     sig = save(signatures(docs, shingle, bands, rows), "signatures")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")).alias("rep")
@@ -256,23 +280,20 @@ def near_classes(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, bands
     links = save(verify(pairs.distinct(), held, least), "links")
     ids = wanted.select("id")
     labels = components(ids, links)
-    named = members.select("key", "id", "words", "n").join(labels, "id")
+    named = members.select("key", "id", "words").join(labels, "id")
     open_ = named.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2").select("key")
-    named = save(named.join(open_, "key", "left_semi"), "open")  # a bucket in one component stays so
-    lead = named.where(F.pmod(F.xxhash64(F.lit(16), "id", "key"), F.col("n")) < 16).select("key", F.col("id").alias("a"), F.col("words").alias("words_a"), F.col("label").alias("l"))
-    pairs = named.withColumnRenamed("id", "b").withColumnRenamed("words", "words_b").join(lead, "key").where((F.col("label") != F.col("l")) & alike("words_a", "words_b")).select("a", "b", "words_a", "words_b").distinct()
-    more = save(verify(pairs, held, least), "links")
-    if not more.isEmpty():
-        links = save(links.union(more), "links")
-        labels = components(ids, links)
-        named = named.drop("label").join(labels, "id")
-        open_ = named.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2").select("key")
-        named = named.join(open_, "key", "left_semi")
-    left = save(named.select("id", "label", "words").distinct(), "left")
+    left = save(named.join(open_, "key", "left_semi").select("id", "label", "words").distinct(), "left")  # a bucket in one component stays so
     if not left.isEmpty():
-        more = save(verify(prefix_pairs(left, held, least), held, least), "links")
-        if not more.isEmpty():
-            labels = components(ids, links.union(more))
+        able = narrowed(prefix_rows(left, held, least), least)
+        for hubs_only in (True, False):
+            if able.isEmpty():
+                break
+            more = save(verify(prefix_pairs(able, least, hubs_only), held, least), "links")
+            if more.isEmpty():
+                continue
+            labels = merged(labels, more)
+            if hubs_only:
+                able = narrowed(able.drop("label").join(labels, "id").select("id", "label", "words", "s", "left"), least)
     classes = nodes.join(labels, "id", "left").select("content", "rep", F.coalesce("label", "id").alias("class"))
     return sig.select("doc_id", "k1", "k2", "content"), classes
 

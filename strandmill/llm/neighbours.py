@@ -38,8 +38,8 @@ class CollisionIndex:
     some at a time, which start at the width that was enough for three quarters of those before.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, *, projections: int, threshold: float, missed: float, grow: float, seed: int = 7) -> None:
-        self.ids, self.vectors, n = ids, vectors, len(ids)
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, *, projections: int, threshold: float, missed: float, grow: float, seed: int = 7) -> None:
+        self.ids, self.rows, self.vectors, n = ids, rows, vectors, len(ids)
         norms = np.einsum("ij,ij->i", vectors, vectors)
         self.top = float(norms.max())
         full = np.column_stack((vectors, np.sqrt(np.maximum(self.top - norms, 0))))
@@ -67,14 +67,14 @@ class CollisionIndex:
         return counts, full
 
     def search(self, queries: np.ndarray, owns: np.ndarray, k: int, at_once: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query: ids and exact inner products of its k best verified vectors, best first, ties to the smaller id; not those of its own id."""
+        """For each query: ids and exact inner products of its k best verified vectors, best first, ties to the smaller id; not its own row, of owns."""
         for start in range(0, len(queries), at_once):
             mine = queries[start : start + at_once]
             spots = (mine * (math.sqrt(self.top) / np.linalg.norm(mine, axis=1, keepdims=True))) @ self.lines[:-1]
             # distances are those of the queries as scaled, to vectors of equal norm; rounding is allowed for
             scale = math.sqrt(self.top) / np.linalg.norm(mine, axis=1)
             products = np.full((len(mine), len(self.ids)), -np.inf)  # of verified vectors
-            other = self.ids[None, :] != owns[start : start + at_once, None]
+            other = self.rows[None, :] != owns[start : start + at_once, None]
             left, wide, ends = np.arange(len(mine)), np.full(len(mine), self.recent or self.first), []
             while len(left):
                 counts, full = self._collisions(spots[left], wide[left])
@@ -102,11 +102,12 @@ class CollisionIndex:
 
 
 def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, block: int = 8192, queries_at_once: int = 2048, projections: int = 96, threshold: float = 0.7, missed: float = 0.01, grow: float = 1.15) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k vectors of the largest inner product found, of all but its own id.
+    """query_id, rank, vec_id, score: each query's k vectors of the largest inner product found, of all but its own row.
 
-    vectors has vec_id and embedding. Queries are the ids divisible by ``every``; a repeated id is one query, but each of
-    its rows a candidate to others. Vectors that are null, zero, or hold null or non-finite components take no part;
-    vectors of another length are not compared. With fewer than k candidates, all are returned. An empty table gives no rows.
+    vectors has vec_id and embedding. Queries are the ids divisible by ``every``; a repeated id is one query, that of its
+    shortest and then smallest vector, and each other of its rows a candidate, as all rows are to others. Vectors that are null, zero, or
+    hold null or non-finite components, or have no id, take no part; vectors of another length are not compared. With fewer than k candidates,
+    all are returned. An empty table gives no rows; further columns, of any names, are not read.
 
     The index is cut into blocks of bounded size by a hash, and so are the queries; every query meets every block, in
     one task for each pair of them, and keeps k of each block. So memory is bounded, no row is dropped, and recall is
@@ -114,11 +115,12 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, block: int = 81
     """
     v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    v = save(v.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).withColumn("size", F.size("v")), "vectors")
-    asked = v.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "size"])
+    v = v.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).withColumn("size", F.size("v"))
+    v = save(v.withColumn("row", F.monotonically_increasing_id()), "vectors")  # numbers are fixed once written
+    asked = v.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min(F.struct("size", "v", "row")).alias("own")).select("vec_id", "own.*")
     n, q = v.count(), asked.count()
     blocks, chunks = max(1, math.ceil(n / block)), max(1, math.ceil(q / queries_at_once))
-    part = lambda seed, count: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(count)).cast("int")
+    part = lambda seed, count: F.pmod(F.xxhash64(F.lit(seed), "vec_id", "v"), F.lit(count)).cast("int")
     spread = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = v.withColumn("block", part(1, blocks)).withColumn("chunk", spread(chunks))
     right = asked.withColumn("chunk", part(2, chunks)).withColumn("block", spread(blocks))
@@ -126,10 +128,9 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, block: int = 81
     def search(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(index) and len(queries):
-            index = index.sort_values("vec_id", kind="stable")
-            held = CollisionIndex(index["vec_id"].to_numpy(), np.stack(index["v"].to_list()), projections=projections, threshold=threshold, missed=missed, grow=grow)
-            owns = queries["vec_id"].to_numpy()
-            for own, (ids, scores) in zip(owns, held.search(np.stack(queries["v"].to_list()), owns, k), strict=True):
+            index = index.sort_values(["vec_id", "row"], kind="stable")
+            held = CollisionIndex(index["vec_id"].to_numpy(), index["row"].to_numpy(), np.stack(index["v"].to_list()), projections=projections, threshold=threshold, missed=missed, grow=grow)
+            for own, (ids, scores) in zip(queries["vec_id"], held.search(np.stack(queries["v"].to_list()), queries["row"].to_numpy(), k), strict=True):
                 out.append((np.full(len(ids), own), ids, scores))
         columns = [np.concatenate([x[i] for x in out]) if out else [] for i in range(3)]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))

@@ -44,28 +44,51 @@ CUES = {
 AGAINST = ("version", "isbn", "issn", "doi", "order", "invoice", "build", "release", "sku", "part", "model", "serial", "section", "figure")
 
 _NEAR = 40  # characters looked at on either side
+_BLOCK = 256  # items of an array that are folded together
 _FEATURES = 1024
 _ROUNDS = 30
 _PRIOR = 10.0  # spans' worth of a feature's usual rate
 
 
+def prefixes(values: Column, op, zero: Column) -> Column:
+    """For each item of an array, op over all items before it. In blocks, so that time stays linear for all practical lengths."""
+    one = lambda s, v: F.struct(op(s["at"], v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    start = lambda at: F.struct(at.alias("at"), F.slice(F.array(zero), 1, 0).alias("out"))
+    count = F.ceil(F.size(values) / _BLOCK).cast("int")
+    blocks = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda k: F.slice(values, k * _BLOCK + 1, F.lit(_BLOCK))))
+    before = F.aggregate(F.transform(blocks, lambda b: F.aggregate(b, zero, op)), start(zero), one)["out"]
+    return F.coalesce(F.flatten(F.zip_with(blocks, before, lambda b, at: F.aggregate(b, start(at), one)["out"])), F.slice(F.array(zero), 1, 0))
+
+
 def _located(text: Column, pattern: str, kind: str) -> Column:
-    """Leftmost non-overlapping matches as array<struct(kind, start, end, hit)>, in code points.
+    """Leftmost non-overlapping matches as array<struct(kind, start, end, hit, around)>, in code points.
 
-    The text between matches and the matches give the positions by running sums.
+    The text between matches and the matches give the positions by running sums; around is the match with what lies
+    between it and its neighbours of the pattern, _NEAR characters at most on either side.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<kind:int,start:bigint,end:bigint,hit:string>>").alias("out"))
+    gaps = F.split(text, pattern, -1)
+    steps = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda gap, hit: (F.length(gap) + F.length(hit)).cast("long"))
+    sides = F.zip_with(F.slice(gaps, 1, F.size(hits)), F.slice(gaps, 2, F.size(hits)), lambda a, b: F.struct(F.length(a).alias("gap"), F.substring(a, -_NEAR, _NEAR).alias("left"), F.substring(b, 1, _NEAR).alias("right")))
+    ends = F.zip_with(prefixes(steps, lambda a, v: a + v, F.lit(0).cast("long")), sides, lambda at, s: F.struct((at + s["gap"]).alias("start"), s["left"].alias("left"), s["right"].alias("right")))
+
+    def span(s, hit):
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), (s["start"] + F.length(hit)).alias("end"), hit.alias("hit"), F.concat(s["left"], hit, s["right"]).alias("around"))
+
+    none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,hit:string,around:string>>")
+    return F.when(F.size(hits) > 0, F.zip_with(ends, hits, span)).otherwise(none)
 
-    def step(s, p):
-        a = s["at"] + p["gap"]
-        z = a + F.length(p["hit"])
-        one = F.struct(F.lit(KINDS.index(kind)).alias("kind"), a.alias("start"), z.alias("end"), p["hit"].alias("hit"))
-        return F.struct(z.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda gap, hit: F.struct(gap.cast("long").alias("gap"), hit.alias("hit")))
-    return F.aggregate(pairs, start, step)["out"]
+def apart(spans: Column, others: Column) -> Column:
+    """spans that overlap none of others, by start: one sort, and running extremes from either side."""
+    mark = lambda side: lambda s: F.struct(s["start"].alias("start"), F.lit(side).alias("side"), s["end"].alias("end"), s["kind"].alias("kind"), s["hit"].alias("hit"), s["around"].alias("around"))
+    every = F.array_sort(F.concat(F.transform(others, mark(0)), F.transform(spans, mark(1))))
+    far = F.lit(2**62)
+    ended = prefixes(F.transform(every, lambda s: F.when(s["side"] == 0, s["end"]).otherwise(F.lit(0).cast("long"))), lambda a, v: F.greatest(a, v), F.lit(0).cast("long"))
+    begun = F.reverse(prefixes(F.reverse(F.transform(every, lambda s: F.when(s["side"] == 0, s["start"]).otherwise(far))), lambda a, v: F.least(a, v), far))
+    room = F.zip_with(ended, begun, lambda a, b: F.struct(a.alias("ended"), b.alias("begun")))
+    good = F.filter(F.zip_with(every, room, lambda s, r: F.struct(s.alias("s"), ((s["side"] == 1) & (r["ended"] <= s["start"]) & (r["begun"] >= s["end"])).alias("ok"))), lambda x: x["ok"])
+    return F.when(F.size(spans) > 0, F.transform(good, lambda x: F.struct(*(x["s"][c].alias(c) for c in ("kind", "start", "end", "hit", "around"))))).otherwise(spans)
 
 
 def digits(x: Column) -> Column:
@@ -88,7 +111,7 @@ def _valid(kind: str, hit: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """Base spans of a text that isn't null: array<struct(kind, start, end, hit)> by kind, then start."""
+    """Base spans of a text that isn't null: array<struct(kind, start, end, hit, around)> by kind, then start."""
     return F.concat(*(_kept(_located(text, BASE[k], k), k) for k in KINDS))
 
 
@@ -124,11 +147,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, base spans, and the spans that only a wider pattern finds: struct(kind, start, end, hit, around)."""
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = d.withColumn("base", base_spans(F.col("text")))
-    wide = F.concat(*(_located(F.col("text"), WIDE[k], k) for k in KINDS))
-    crosses = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    d = d.withColumn("wide", F.filter(wide, lambda s: ~crosses(s)))
-    seen = lambda s: s.withField("around", F.substring(F.col("text"), F.greatest(s["start"] - _NEAR + 1, F.lit(1)).cast("int"), (s["end"] - s["start"] + 2 * _NEAR).cast("int")))
-    return d.select("doc_id", F.transform("base", seen).alias("base"), F.transform("wide", seen).alias("wide"))
+    d = d.withColumn("wide", F.concat(*(_located(F.col("text"), WIDE[k], k) for k in KINDS)))
+    return d.select("doc_id", "base", apart(F.col("wide"), F.col("base")).alias("wide"))
 
 
 def _pattern(votes: list[Column]) -> Column:
@@ -200,7 +220,8 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     A null or empty text has none. Positions are code points, the end exclusive. Base spans follow fixed patterns and
     always stay. Further candidates come from wider patterns and must not touch a base span; labelers vote on base and
     further candidates alike, and a further one becomes a span if the classifier gives it the threshold. Without
-    candidates nothing is learned or added. Repeated rows are reported each; other columns are not read.
+    candidates nothing is learned or added. Repeated rows are reported each; very long texts are scanned whole, in time linear
+    in their length; an empty table gives no rows; other columns are not read.
 
     The text is scanned once; spans with their surroundings are kept in the shared folder. The driver gets counts of
     vote patterns and of hashed features, whose number is fixed.

@@ -293,10 +293,13 @@ def test_prefix_pairs_leave_out_no_pair(spark):
     grams = [Counter(zip(t.split(), t.split()[1:], strict=False)) for t in texts]
     label = [k % 5 for k in range(120)]
     members = spark.createDataFrame([(k, label[k], sum(grams[k].values())) for k in range(120)], "id long, label long, words long")
-    found = {(r["a"], r["b"]) for r in near_dedup.prefix_pairs(members, held, 0.8).collect()}
+    able = near_dedup.narrowed(near_dedup.prefix_rows(members, held, 0.8), 0.8)
+    found = {(r["a"], r["b"]) for r in near_dedup.prefix_pairs(able, 0.8).collect()}
     want = {(a, b) for b in range(120) for a in range(b) if label[a] != label[b] and (o := sum((grams[a] & grams[b]).values())) >= 0.8 * (sum(grams[a].values()) + sum(grams[b].values()) - o)}
     assert want <= found and len(want) > 20 and len(found) < 120 * 119 / 4
-    assert {(r["a"], r["b"]) for r in near_dedup.verify(near_dedup.prefix_pairs(members, held, 0.8), held, 0.8).collect()} == want
+    assert {(r["a"], r["b"]) for r in near_dedup.verify(near_dedup.prefix_pairs(able, 0.8), held, 0.8).collect()} == want
+    hubs = {(r["a"], r["b"]) for r in near_dedup.prefix_pairs(able, 0.8, hubs_only=True).collect()}
+    assert {tuple(sorted(p)) for p in hubs} <= found and len(hubs) <= able.count()
 
 
 def test_bag_minhash_estimates_weighted_jaccard():
