@@ -149,7 +149,7 @@ class LibraryEncoder:
     time; units without a slot go to the library in long runs, whose ids are cut by the byte lengths of the tokens.
     """
 
-    UNITS, AT_ONCE, RUN = 1_200_000, 8 << 20, 2000
+    UNITS, AT_ONCE, RUN = 1_800_000, 8 << 20, 2000
     _SPACES = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
     _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -171,7 +171,7 @@ class LibraryEncoder:
     def _learn(self, table: UnitTable, units: list[str], prefix: str) -> None:
         """Slots for units that the table lacks."""
         joined = [x for x in units if prefix and x and not x[-1].isspace()]
-        alone = [x for x in units if not (prefix and x and not x[-1].isspace())]
+        alone = [x for x in units if not (prefix and x and not x[-1].isspace())] if len(joined) < len(units) else []
         runs = [joined[k : k + self.RUN] for k in range(0, len(joined), self.RUN)]
         for run, ids in zip(runs, self._fresh(["".join(prefix + x for x in run) for run in runs]), strict=True):
             ends = np.cumsum([len(x.encode()) + len(prefix) for x in run])
@@ -189,9 +189,10 @@ class LibraryEncoder:
         if len(table.slots) + len(units) > table.most:
             table.clear()
         found = list(map(table.slots.get, units))
-        if None in found:
-            self._learn(table, list(dict.fromkeys(x for x, slot in zip(units, found, strict=True) if slot is None)), prefix)
-            found = list(map(table.slots.get, units))
+        if missing := [k for k, slot in enumerate(found) if slot is None]:
+            self._learn(table, list(dict.fromkeys([units[k] for k in missing])), prefix)
+            for k in missing:
+                found[k] = table.slots[units[k]]
         return np.array(found, np.int64)
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
