@@ -15,6 +15,7 @@ from .common import WORD, free, mix, one_of_each, save, shingle_hashes, table, w
 
 _GOLDEN = 0x9E3779B97F4A7C15
 _AT_ONCE = 1 << 19  # shingles looked at together
+_SMALL = 500_000  # keys of texts that are broadcast, of some tens of bytes each; more are joined by a shuffle
 
 
 def multisets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,9 +139,15 @@ def overlap(a: np.ndarray, na: bytes, b: np.ndarray, nb: bytes) -> int:
 
 
 def verify(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b, words_a, words_b) whose multisets have a weighted Jaccard similarity of ``least`` or more."""
-    left = held.select(F.col("id").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("na"))
-    right = held.select(F.col("id").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("nb"))
+    """Pairs (a, b) of (a, b, words_a, words_b), a saved table, whose multisets have a weighted Jaccard similarity of ``least`` or more.
+
+    Where pairs are few enough for their ids to be broadcast, only bags that they need are moved.
+    """
+    mine = {x: held for x in "ab"}
+    if pairs.count() <= _SMALL:
+        mine = {x: held.join(F.broadcast(pairs.select(F.col(x).alias("id")).distinct()), "id", "left_semi") for x in "ab"}
+    left = mine["a"].select(F.col("id").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("na"))
+    right = mine["b"].select(F.col("id").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("nb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,7 +158,6 @@ def verify(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
-    # the many, the members of a hub, come first: their bags are moved once, hubs' bags by the join's other side
     rows = pairs.join(right, "b").join(left, "a").select("a", "b", "words_a", "words_b", "sa", "na", "sb", "nb")
     return rows.mapInArrow(run, "a long, b long")
 
@@ -273,11 +279,11 @@ def near_classes(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, bands
 
     wanted = members.select("id").distinct().join(nodes.select("id", "words", "rep"), "id")
     wanted = save(wanted.select("id", "words", F.col("rep.doc_id").alias("d"), F.col("rep.k1").alias("j1"), F.col("rep.k2").alias("j2")), "wanted")
-    texts = _keyed(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")))
+    texts = _keyed(docs).join(F.broadcast(wanted) if wanted.count() <= _SMALL else wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")))
     held = save(bags(texts, shingle), "bags")  # rows that repeat doc_id and text give equal bags
     held = held.dropDuplicates(["id"]) if _repeats(held) else held
     pairs = hubbed.where((F.col("a") != F.col("b")) & alike("words_a", "words_b"))
-    links = save(verify(pairs.distinct(), held, least), "links")
+    links = save(verify(save(pairs.distinct(), "pairs"), held, least), "links")
     ids = wanted.select("id")
     labels = components(ids, links)
     named = members.select("key", "id", "words").join(labels, "id")
@@ -288,7 +294,10 @@ def near_classes(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, bands
         for hubs_only in (True, False):
             if able.isEmpty():
                 break
-            more = save(verify(prefix_pairs(able, least, hubs_only), held, least), "links")
+            pairs = save(prefix_pairs(able, least, hubs_only), "pairs")  # few, mostly: bags aren't moved for a small table
+            if pairs.isEmpty():
+                break
+            more = save(verify(pairs, held, least), "links")
             if more.isEmpty():
                 continue
             labels = merged(labels, more)

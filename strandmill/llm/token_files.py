@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
@@ -108,7 +109,7 @@ class DirectCodes:
 
 
 class UnitTable:
-    """Ids of units seen, in one growing array, each unit with a slot; emptied when it holds ``most`` units, which bounds memory."""
+    """Ids of units seen, in one growing array, each unit with a slot; emptied between batches once it holds ``most`` units, which bounds memory."""
 
     def __init__(self, most: int) -> None:
         self.most = most
@@ -149,7 +150,8 @@ class LibraryEncoder:
     time; units without a slot go to the library in long runs, whose ids are cut by the byte lengths of the tokens.
     """
 
-    UNITS, AT_ONCE, RUN = 1_800_000, 8 << 20, 2000
+    UNITS, AT_ONCE, RUN = 1_300_000, 16 << 20, 2000
+    TAILED = re.compile(r"^[^ ].*[A-Za-z][,.]\Z|^[A-Za-z][,.]\Z", re.S)
     _SPACES = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
     _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -157,60 +159,66 @@ class LibraryEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library, self.units, self.firsts = Tokenizer.from_str(vocabulary), UnitTable(self.UNITS), UnitTable(self.UNITS // 4)
+        self.library, self.units = Tokenizer.from_str(vocabulary), UnitTable(self.UNITS)
         added = self.library.get_added_tokens_decoder().values()
         self.added = [x.content for x in added if x.content]
         self.cuts = not any(x.lstrip or x.rstrip or " " in x.content for x in added)
         tokens = self.library.get_vocab(with_added_tokens=False)
+        self.marks = {x: int(self._fresh([x])[0][0]) for x in ",."}
         self.width = np.zeros(max(tokens.values(), default=0) + 1, np.int64)  # a byte-level token has a character for each byte
         self.width[list(tokens.values())] = [len(x) for x in tokens]
 
     def _fresh(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, table: UnitTable, units: list[str], prefix: str) -> None:
-        """Slots for units that the table lacks."""
-        joined = [x for x in units if prefix and x and not x[-1].isspace()]
-        alone = [x for x in units if not (prefix and x and not x[-1].isspace())] if len(joined) < len(units) else []
+    def _learn(self, units: list[str]) -> None:
+        """Slots for units that the table lacks. A unit's key lacks the blank before it; that of a text's first unit, which has none, begins with one."""
+        joined, alone, tailed = [], [], []
+        for x in units:
+            if self.TAILED.search(x):
+                tailed.append(x)
+            else:
+                (joined if x and x[0] != " " and not x[-1].isspace() else alone).append(x)
+        # a mark after a letter is a piece of its own, so a word's ids serve for the word with its mark
+        joined += dict.fromkeys(x[:-1] for x in tailed if x[:-1] not in self.units.slots).keys() - set(joined)
         runs = [joined[k : k + self.RUN] for k in range(0, len(joined), self.RUN)]
-        for run, ids in zip(runs, self._fresh(["".join(prefix + x for x in run) for run in runs]), strict=True):
-            ends = np.cumsum([len(x.encode()) + len(prefix) for x in run])
+        for run, ids in zip(runs, self._fresh([" " + " ".join(run) for run in runs]), strict=True):
+            ends = np.cumsum([len(x.encode()) + 1 for x in run])
             at = np.cumsum(self.width[ids])
             spot = at.searchsorted(ends)
             if len(at) and at[-1] == ends[-1] and (at[spot] == ends).all():
-                table.add(run, ids, np.diff(spot + 1, prepend=0))
+                self.units.add(run, ids, np.diff(spot + 1, prepend=0))
             else:
                 alone += run
         if alone:
-            ids = self._fresh([prefix + x for x in alone])
-            table.add(alone, np.concatenate(ids), np.array([len(x) for x in ids], np.int64))
-
-    def _slots(self, table: UnitTable, units: list[str], prefix: str) -> np.ndarray:
-        if len(table.slots) + len(units) > table.most:
-            table.clear()
-        found = list(map(table.slots.get, units))
+            ids = self._fresh([x[1:] if x[:1] == " " else " " + x for x in alone])
+            self.units.add(alone, np.concatenate(ids), np.array([len(x) for x in ids], np.int64))
+        if tailed:
+            ids, sizes = self.units.gather(np.array([self.units.slots[x[:-1]] for x in tailed], np.int64))
+            self.units.add(tailed, np.insert(ids, np.cumsum(sizes), [self.marks[x[-1]] for x in tailed]), sizes + 1)
+
+    def _slots(self, units: list[str]) -> np.ndarray:
+        slots = self.units.slots
+        found = list(map(slots.get, units))
         if missing := [k for k, slot in enumerate(found) if slot is None]:
-            self._learn(table, list(dict.fromkeys([units[k] for k in missing])), prefix)
+            self._learn(list(dict.fromkeys([units[k] for k in missing])))
             for k in missing:
-                found[k] = table.slots[units[k]]
+                found[k] = slots[units[k]]
         return np.array(found, np.int64)
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain texts, one after another, and how many each has."""
         parts = pc.split_pattern(texts, " ")
-        edges = parts.offsets.to_numpy()
-        coded = pc.dictionary_encode(parts.flatten())
-        slots = self._slots(self.units, coded.dictionary.to_pylist(), " ")[coded.indices.to_numpy()]
-        edges = edges - edges[0]
-        first, rest = edges[:-1], np.ones(len(slots), bool)
-        rest[first] = False
-        firsts = self._slots(self.firsts, parts.flatten().take(pa.array(first)).to_pylist(), "")
-        head, heads = self.firsts.gather(firsts)
-        body, bodies = self.units.gather(slots[rest])
-        sizes = np.zeros(len(slots), np.int64)
-        sizes[first], sizes[rest] = heads, bodies
-        ids, begin = np.empty(int(sizes.sum()), "<u4"), np.repeat(~rest, sizes)
-        ids[begin], ids[~begin] = head, body
+        edges, flat = parts.offsets.to_numpy(), parts.flatten()
+        coded = pc.dictionary_encode(flat)
+        units = coded.dictionary.to_pylist()
+        first = (edges - edges[0])[:-1]
+        heads = [" " + x for x in flat.take(pa.array(first)).to_pylist()]
+        if len(self.units.slots) > self.units.most:
+            self.units.clear()
+        slots = self._slots(units)[coded.indices.to_numpy()]
+        slots[first] = self._slots(heads)
+        ids, sizes = self.units.gather(slots)
         return ids, np.add.reduceat(sizes, first)
 
     def _whole(self, text: str) -> np.ndarray:
@@ -340,8 +348,8 @@ def read_images(images: DataFrame) -> DataFrame:
         for b in batches:
             for shard, part, image in zip(*b.columns, strict=True):
                 codes = DirectCodes(image.as_py())
-                n = len(codes.doc_ids)
-                sums = [zlib.crc32(codes.document(k).astype("<u4").tobytes()) for k in range(n)]
+                n, flat = len(codes.doc_ids), codes.read(0, len(codes)).astype("<u4").tobytes()
+                sums = [zlib.crc32(flat[4 * a : 4 * z]) for a, z in itertools.pairwise(codes.starts.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()] * n, pa.int32()), pa.array([part.as_py()] * n, pa.int32()), pa.array(codes.doc_ids), pa.array(codes.starts[:-1]), pa.array(np.diff(codes.starts)), pa.array(sums, pa.int64())], names=["shard", "part", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     docs = images.select("shard", "part", "image").mapInArrow(run, "shard int, part int, doc_id long, at long, n_tokens long, ids_crc32 long")
