@@ -32,6 +32,11 @@ def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + e)).otherwise(e / (1 + e))
 
 
+def log_add(a: Column, b: Column) -> Column:
+    """log(exp(a) + exp(b)), without overflow."""
+    return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
+
+
 def shifted_sigmoid(x: Column, at: float, steepness: float) -> Column:
     return sigmoid(steepness * (x - at))
 

@@ -7,16 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandmill.functions.scalars import ratio
+from strandmill.operators.bootstrap import boot_sharpe_by
+from strandmill.operators.statistics import nw_se
 
 #: Levels of describe_dist.
 LEVELS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
-def by_class(pnl: DataFrame, dims: DataFrame, year: float) -> DataFrame:
-    """(asset_class, n, sharpe, share) of money made, from (symbol, dt, pnl)."""
-    d = pnl.join(dims.select("symbol", "asset_class"), "symbol").groupBy("asset_class", "dt").agg(F.sum("pnl").alias("pnl"))
-    s = d.groupBy("asset_class").agg(F.count("*").alias("n"), F.sum("pnl").alias("total"), (ratio(F.avg("pnl"), F.stddev_samp("pnl")) * year**0.5).alias("sharpe"))
-    return s.select("asset_class", "n", "sharpe", ratio(F.col("total"), F.sum("total").over(W.partitionBy())).alias("share"))
+def by_class(pnl: DataFrame, dims: DataFrame, year: float, *, block: int, draws: int, seed: int) -> DataFrame:
+    """(asset_class, n, sharpe, share, se, t, low, high) of money made, from (symbol, dt, pnl): the Sharpe ratio with its
+    Newey-West error and its interval from a block bootstrap, whose draws the classes share.
+    """
+    d = pnl.join(dims.select("symbol", "asset_class"), "symbol").groupBy("asset_class", "dt").agg(F.sum("pnl").alias("ret"))
+    s = d.groupBy("asset_class").agg(F.sum("ret").alias("total"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"))
+    s = s.join(nw_se(d, by="asset_class"), "asset_class").join(boot_sharpe_by(d, "asset_class", block, draws, seed, year).select("asset_class", "low", "high"), "asset_class")
+    share = ratio(F.col("total"), F.sum("total").over(W.partitionBy()))
+    return s.select("asset_class", "n", (ratio(F.col("mean"), F.col("sd")) * year**0.5).alias("sharpe"), share.alias("share"), (ratio(F.col("se"), F.col("sd")) * year**0.5).alias("se"), ratio(F.col("mean"), F.col("se")).alias("t"), "low", "high")
 
 
 def total_oi(contracts: DataFrame) -> DataFrame:
@@ -35,6 +41,17 @@ def subperiods(returns: DataFrame, periods: DataFrame, year: float) -> DataFrame
     return p.groupBy("variant", "name").agg(F.count("*").alias("n"), (ratio(F.avg("ret"), F.stddev_samp("ret")) * year**0.5).alias("sharpe"), (F.avg("ret") * 10000).alias("mean_bp"), F.max("ret").alias("best"), F.min("ret").alias("worst"))
 
 
+def windows(returns: DataFrame, periods: DataFrame, year: float, least: int = 5) -> DataFrame:
+    """Metrics by variant and named window (name, low, high), every window of every variant; null with fewer than ``least`` rows."""
+    keys = returns.select("variant").distinct().crossJoin(F.broadcast(periods)).withColumnRenamed("variant", "v")
+    p = keys.join(returns, (F.col("v") == F.col("variant")) & (F.col("dt") >= F.col("low")) & (F.col("dt") <= F.col("high")), "left")
+    at = W.partitionBy("v", "name").orderBy("dt").rowsBetween(W.unboundedPreceding, 0)
+    p = p.withColumn("_log", F.sum(F.log1p("ret")).over(at)).withColumn("_fall", F.col("_log") - F.greatest(F.max("_log").over(at), F.lit(0.0)))
+    n = F.count("ret")
+    made = {"sharpe": ratio(F.avg("ret"), F.stddev_samp("ret")) * year**0.5, "cagr": F.exp(F.sum(F.log1p("ret")) * year / n) - 1, "max_dd": 1 - F.exp(F.min("_fall")), "mean_bp": F.avg("ret") * 10000, "best": F.max("ret"), "worst": F.min("ret")}
+    return p.groupBy(F.col("v").alias("variant"), "name").agg(n.alias("n"), *(F.when(n >= least, x).alias(c) for c, x in made.items()))
+
+
 def spans(returns: DataFrame, years: int, year: float) -> DataFrame:
     """Metrics by variant and span of so many years: decades at 10."""
     start = (F.floor(F.year("dt") / years) * years).cast("int")
@@ -72,6 +89,19 @@ def inv_vol_basket(returns: DataFrame, target: float, year: float) -> DataFrame:
     return d.crossJoin(s).select("dt", (F.col("ret") * F.col("k")).alias("ret"))
 
 
+def bucket_basket(returns: DataFrame, buckets: DataFrame, shares: dict[str, float], target: float, year: float) -> DataFrame:
+    """(dt, ret): within a bucket (variant, bucket) by inverse deviation, buckets at one volatility by shares, all scaled to a target."""
+    d = returns.join(buckets, "variant")
+    v = d.groupBy("bucket", "variant").agg(F.stddev_samp("ret").alias("sd")).where("sd > 0")
+    v = v.withColumn("w", (1 / F.col("sd")) / F.sum(1 / F.col("sd")).over(W.partitionBy("bucket")))
+    b = d.join(v.select("variant", "w"), "variant").groupBy("bucket", "dt").agg(F.sum(F.col("w") * F.col("ret")).alias("ret"))
+    unit = ratio(F.col("ret"), F.stddev_samp("ret").over(W.partitionBy("bucket")))
+    share = F.create_map(*(F.lit(x) for kv in shares.items() for x in kv))[F.col("bucket")]
+    mixed = b.select("dt", (unit * share).alias("ret")).groupBy("dt").agg(F.sum("ret").alias("ret"))
+    k = mixed.agg((F.lit(target) / (F.stddev_samp("ret") * year**0.5)).alias("k"))
+    return mixed.crossJoin(F.broadcast(k)).select("dt", (F.col("ret") * F.col("k")).alias("ret"))
+
+
 def concat_last(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     """Rows of all parts; of equal keys the one of the last part."""
     every = None

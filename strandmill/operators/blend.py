@@ -59,6 +59,23 @@ def fdm(corr: DataFrame, weights: dict[str, float], mode: str = "plain", keys: t
     return corr.groupBy(*keys).agg(F.when(whole, clip(1 / F.sqrt(var), 1.0, math.sqrt(len(weights)))).otherwise(1.0).alias("mult"))
 
 
+def multiplier(weights: dict[str, float | Column], rho: dict[tuple[str, str], str], whole: Column, mode: str | Column = "plain", most: float | Column | None = None) -> Column:
+    """1 / sqrt(w' R w) from columns of correlations by pair, between 1 and ``most``; 1 where one is unknown or ``whole`` is false.
+
+    The same as fdm(), in one row. mode: shrink halves all off the diagonal; mean sets them to their mean.
+    """
+    w = {k: v if isinstance(v, Column) else F.lit(float(v)) for k, v in weights.items()}
+    mode = mode if isinstance(mode, Column) else F.lit(mode)
+    add = lambda xs: reduce(lambda a, b: a + b, xs)
+    all_ = add(F.col(c) for c in rho.values())
+    cross = add(w[i] * w[j] * F.col(c) for (i, j), c in rho.items())
+    mean = all_ / len(rho) * add(w[i] * w[j] for i, j in rho)
+    cross = F.when(mode == "shrink", 0.5 * cross).when(mode == "mean", mean).otherwise(cross)
+    var = F.greatest(add(v * v for v in w.values()) + 2 * cross, F.lit(0.01))
+    top = most if isinstance(most, Column) else F.lit(float(most or math.sqrt(len(weights))))
+    return F.when(whole & all_.isNotNull(), F.greatest(F.least(1 / F.sqrt(var), top), F.lit(1.0))).otherwise(1.0)
+
+
 def smooth(df: DataFrame, x: str, out: str, halflife: float | None = None, span: float | None = None) -> DataFrame:
     if halflife is None and span is None:
         return df.withColumn(out, F.col(x))

@@ -79,23 +79,30 @@ def boot_mdd_ci(df: DataFrame, draws: int, block: int, seed: int) -> DataFrame:
 
 
 def opt_block(df: DataFrame, by: str = "variant") -> DataFrame:
-    """(by, block): Politis and White's length for the circular bootstrap, with flat-top weights over autocorrelations.
+    """(by, block): Politis and White's length for the stationary bootstrap, in whole rows, from 1 to a quarter of them.
 
-    The bandwidth is twice the last of the first lags whose autocorrelation is beyond two over the root of n.
+    The cut is the first lag after which max(5, 2 sqrt(log10 n)) lags in a row have autocorrelations within
+    2 sqrt(log10(n) / n) of 0, or the last lag that has so many after it. Flat-top weights reach to twice that lag. Autocorrelations divide by
+    n less the lag. Series under 20 rows, or without spread, get 1. All lags looked at grow with the root of n.
     """
-    most = F.lit(40)
-    g = lagged_products(df, "ret", most, by)
-    zero = g.where("lag = 0").select(by, F.col("s").alias("s0"), F.col("n").alias("rows"))
-    r = g.join(zero, by).withColumn("rho", ratio(F.col("s"), F.col("s0")))
-    big = F.abs("rho") > 2 * F.sqrt(F.log10("rows") / F.col("rows"))
-    m = r.where("lag > 0").groupBy(by).agg(F.greatest(F.coalesce(F.max(F.when(big & (F.col("lag") <= 15), F.col("lag"))), F.lit(1)), F.lit(1)).alias("m"))
-    d = r.join(m, by).withColumn("t", F.col("lag") / (2 * F.col("m")))
+    size = F.greatest(F.lit(5), F.ceil(2 * F.sqrt(F.log10(F.greatest("n", F.lit(10)))))).cast("int")
+    g = lagged_products(df, "ret", 2 * F.least(F.col("n") - 1, F.ceil(F.sqrt(F.col("n").cast("double"))) + 2 * size), by)
+    zero = g.where("lag = 0").select(by, F.col("s").alias("s0"))
+    r = g.join(zero, by).withColumn("rho", ratio(F.col("s") / (F.col("n") - F.col("lag")), F.col("s0") / F.col("n")))
+    r = r.withColumn("quiet", size).withColumn("most", F.least(F.col("n") - 1, F.ceil(F.sqrt(F.col("n").cast("double"))) + 2 * size).cast("int"))
+    small = (F.abs("rho") < 2 * F.sqrt(F.log10(F.greatest("n", F.lit(10))) / F.col("n"))).cast("int")
+    # how far the run of small lags that begins right after a lag reaches, by the next lag that isn't small
+    later = W.partitionBy(by).orderBy("lag").rowsBetween(1, W.unboundedFollowing)
+    r = r.withColumn("loud", F.min(F.when(small == 0, F.col("lag"))).over(later))
+    ends = (F.col("lag") >= 1) & (F.col("lag") < F.col("most") - F.col("quiet")) & (F.col("loud").isNull() | (F.col("loud") > F.col("lag") + F.col("quiet")))
+    m = r.groupBy(by).agg(F.coalesce(F.min(F.when(ends, F.col("lag"))), F.max(F.col("most") - F.col("quiet"))).alias("m"))
+    d = r.join(m, by).withColumn("t", F.col("lag") / F.greatest(2 * F.col("m"), F.lit(1)))
     w = F.when(F.col("t") <= 0.5, 1.0).when(F.col("t") <= 1, 2 * (1 - F.col("t"))).otherwise(0.0)
     both = F.when(F.col("lag") == 0, 1.0).otherwise(2.0) * w
-    cov = F.col("s") / F.col("rows")
-    s = d.groupBy(by).agg(F.max("rows").alias("rows"), F.sum(both * F.col("lag") * cov).alias("g"), F.sum(both * cov).alias("v"))
-    length = F.pow(ratio(2 * F.col("g") * F.col("g"), 4 / 3 * F.col("v") * F.col("v")) * F.col("rows"), F.lit(1 / 3))
-    return s.select(by, F.greatest(F.coalesce(length, F.lit(1.0)), F.lit(1.0)).alias("block"))
+    s = d.groupBy(by).agg(F.max("n").alias("n"), F.max("s0").alias("s0"), F.sum(both * F.col("lag") * F.col("rho")).alias("g"), F.sum(both * F.col("rho")).alias("v"))
+    length = F.rint(F.pow(2 * F.col("g") * F.col("g") / (2 * F.col("v") * F.col("v")) * F.col("n"), F.lit(1 / 3)))
+    whole = F.greatest(F.least(length, F.floor(F.col("n") / 4)), F.lit(1)).cast("int")
+    return s.select(by, F.when((F.col("n") >= 20) & (F.col("s0") / F.col("n") >= 1e-18) & (2 * F.col("v") * F.col("v") >= 1e-18), whole).otherwise(1).alias("block"))
 
 
 def boot_means(diffs: DataFrame, block: int, draws: int, seed: int) -> DataFrame:
@@ -181,6 +188,14 @@ def block_grid(pairs: DataFrame, blocks: list[int], draws: int, seed: int, year:
     return interval(d.withColumn("diff", (one("mx", "qx") - one("my", "qy")) * year**0.5), "diff", ("variant", "block"))
 
 
+def boot_sharpe_by(df: DataFrame, by: str, block: int, draws: int, seed: int, year: float) -> DataFrame:
+    """Intervals of the Sharpe ratio of each key (by, dt, ret); dates and draws are shared, and a draw's row counts are joined, not copies of rows."""
+    dates = numbered(df.select("dt").distinct())
+    times = block_index(df.sparkSession, dates.count(), block, draws, seed).groupBy("draw", "row").agg(F.count("*").alias("k"))
+    d = times.join(df.join(dates, "dt"), "row").groupBy(by, "draw").agg((F.sum(F.col("k") * F.col("ret")) / F.sum("k")).alias("m"), (F.sum(F.col("k") * F.col("ret") * F.col("ret")) / F.sum("k")).alias("q"))
+    return interval(d.withColumn("sharpe", ratio(F.col("m"), F.sqrt(F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0)))) * year**0.5), "sharpe", (by,))
+
+
 def window_rank(df: DataFrame, k: int, draws: int, seed: int) -> DataFrame:
     """Sum of the last k rows, and its rank among sums of k rows from random starts."""
     rows = numbered(df)

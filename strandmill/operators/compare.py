@@ -85,6 +85,19 @@ def robust_unscale(df: DataFrame, fit: DataFrame, most: float = 10.0) -> DataFra
     return df.join(fit, BY).withColumn("ret", F.col("x") * most * F.col("scale") + F.col("median")).drop("median", "scale")
 
 
+def quantile_inverse(scores: DataFrame, originals: DataFrame) -> DataFrame:
+    """scores (variant, dt, p) with ret, the p-quantile of the variant's originals by linear interpolation between sorted values.
+
+    The two neighbours of a quantile are joined by their rank.
+    """
+    w = W.partitionBy(BY)
+    s = originals.select(BY, "ret", F.row_number().over(w.orderBy("ret")).alias("rank"), F.count("*").over(w).alias("n"), F.lead("ret").over(w.orderBy("ret")).alias("next"))
+    sizes = originals.groupBy(BY).agg(F.count("*").alias("n"))
+    at = scores.join(sizes, BY).withColumn("spot", F.greatest(F.least(F.col("p"), F.lit(1.0)), F.lit(0.0)) * (F.col("n") - 1)).withColumn("rank", F.floor("spot").cast("int") + 1).drop("n")
+    d = at.join(s.select(BY, "rank", "ret", "next"), [BY, "rank"])
+    return d.select(BY, "dt", "p", (F.col("ret") + F.coalesce(F.col("next") - F.col("ret"), F.lit(0.0)) * (F.col("spot") - F.floor("spot"))).alias("ret"))
+
+
 def normal_score(df: DataFrame) -> DataFrame:
     """score: normal quantile of the mean rank over n + 1."""
     w = W.partitionBy(BY)

@@ -71,14 +71,18 @@ def nav(daily: DataFrame, capital: float = CAPITAL) -> DataFrame:
 def tearsheet(returns: DataFrame, year: float, by: str = "variant", ddof: int = 0) -> DataFrame:
     """Arithmetic return, volatility, Sharpe ratio of the excess, growth rate, largest drawdown and Calmar ratio, by variant.
 
-    Needs dt, ret and optionally excess; ddof 0 or 1 chooses the deviation.
+    Where the rows have them, also trades a year, and all costs and cash. Needs dt, ret and optionally excess; ddof 0 or 1
+    chooses the deviation.
     """
+    more = {"trades": (F.sum("trades") * year / F.count("*")).alias("trades_year"), "commission": F.sum("commission").alias("costs"), "cash": F.sum("cash").alias("cash")}
+    extra = [x for c, x in more.items() if c in returns.columns]
     d = returns if "excess" in returns.columns else returns.withColumn("excess", F.col("ret"))
     at = W.partitionBy(by).orderBy("dt").rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("_log", F.sum(F.log1p("ret")).over(at)).withColumn("_peak", F.greatest(F.max("_log").over(at), F.lit(0.0)))
     dev = F.stddev_pop if ddof == 0 else F.stddev_samp
-    t = d.groupBy(by).agg(F.count("*").alias("n"), (F.avg("ret") * year).alias("ann_ret"), (dev("ret") * year**0.5).alias("ann_vol"), ratio(F.avg("excess") * year**0.5, dev("ret")).alias("sharpe"), (F.exp(F.sum(F.log1p("ret")) * year / F.count("*")) - 1).alias("cagr"), (1 - F.exp(F.min(F.col("_log") - F.col("_peak")))).alias("max_dd"))
-    return t.withColumn("calmar", ratio(F.col("cagr"), F.col("max_dd")))
+    t = d.groupBy(by).agg(F.count("*").alias("n"), (F.avg("ret") * year).alias("ann_ret"), (dev("ret") * year**0.5).alias("ann_vol"), ratio(F.avg("excess") * year**0.5, dev("ret")).alias("sharpe"), (F.exp(F.sum(F.log1p("ret")) * year / F.count("*")) - 1).alias("cagr"), (1 - F.exp(F.min(F.col("_log") - F.col("_peak")))).alias("max_dd"), *extra)
+    first = [by, "n", "ann_ret", "ann_vol", "sharpe", "cagr", "max_dd"]
+    return t.select(*first, ratio(F.col("cagr"), F.col("max_dd")).alias("calmar"), *(c for c in t.columns if c not in first))
 
 
 def implied_exposure(df: DataFrame) -> DataFrame:
@@ -89,7 +93,7 @@ def implied_exposure(df: DataFrame) -> DataFrame:
 def replay(exposure: DataFrame, paths: DataFrame, capital: float, year: float) -> DataFrame:
     """Metrics by path of exposures (symbol, step, exposure) on other price moves (path, symbol, step, dp)."""
     d = paths.join(exposure, ["symbol", "step"]).groupBy(F.col("path").alias("variant"), F.col("step").alias("dt")).agg(F.sum(F.coalesce(F.col("exposure") * F.col("dp"), F.lit(0.0))).alias("pnl"))
-    return tearsheet(nav(d.withColumn("cash", F.lit(0.0)).withColumn("rate", F.lit(0.0)), capital), year)
+    return tearsheet(nav(d.withColumn("cash", F.lit(0.0)).withColumn("rate", F.lit(0.0)), capital).drop("cash"), year)
 
 
 def adv(contracts: DataFrame, since: Column | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandmill.functions.scalars import ratio
+from strandmill.functions.scalars import log_add, ratio
 
 
 def alpha_of(span: float | None = None, halflife: float | None = None, alpha: float | None = None) -> float:
@@ -24,43 +24,54 @@ def alpha_of(span: float | None = None, halflife: float | None = None, alpha: fl
     return 1 - math.exp(-math.log(2) / halflife) if halflife is not None else alpha
 
 
-def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float]], by: tuple[str, ...] = ("symbol",), order: str = "dt", block: int | None = None) -> DataFrame:
-    """Adds, for each name, the sum of decay ** (rows since) * expression over a series so far; null counts as 0."""
-    steepest = min(d for _, d in sums.values())
-    size = block or max(1, int(300 / -math.log(steepest)))
+def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float | Column]], by: tuple[str, ...] = ("symbol",), order: str = "dt", block: int | None = None, steepest: float = 0.1) -> DataFrame:
+    """Adds, for each name, the sum of decay ** (rows since) * expression over a series so far; null counts as 0.
+
+    All names share one row number and the same windows. A decay may be a column that is constant within a series and
+    no less than ``steepest``.
+    """
+    least = min([d for _, d in sums.values() if not isinstance(d, Column)] + [steepest] * any(isinstance(d, Column) for _, d in sums.values()))
+    size = block or max(1, int(300 / -math.log(least)))
+    q = {n: d if isinstance(d, Column) else F.lit(d) for n, (_, d) in sums.items()}
     d = df.withColumn("_row", F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1)
-    d = d.withColumn("_block", F.floor(F.col("_row") / size)).withColumn("_at", F.col("_row") % size)
+    d = d.withColumns({"_block": F.floor(F.col("_row") / size), "_at": F.col("_row") % size})
+    d = d.withColumns({n: F.coalesce(x, F.lit(0.0)) * F.pow(q[n], -F.col("_at")) for n, (x, _) in sums.items()})
     inside = W.partitionBy(*by, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    for name, (x, decay) in sums.items():
-        d = d.withColumn(name, F.sum(F.coalesce(x, F.lit(0.0)) * F.pow(F.lit(decay), -F.col("_at"))).over(inside) * F.pow(F.lit(decay), F.col("_at")))
+    d = d.withColumns({n: F.sum(n).over(inside) for n in sums})
+    d = d.withColumns({n: F.col(n) * F.pow(q[n], F.col("_at")) for n in sums})
     # what is carried in: the sums at the end of the block before, and of the one before that, whose own carry is nothing
     done, before = F.col("_at") == size - 1, W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    for name in sums:
-        d = d.withColumn(f"_in_{name}", F.last(F.when(done, F.col(name)), ignorenulls=True).over(before))
-    for name, (_, decay) in sums.items():
-        prior = F.last(F.when(done, F.col(f"_in_{name}")), ignorenulls=True).over(before)
-        into = F.coalesce(F.col(f"_in_{name}"), F.lit(0.0)) + F.coalesce(prior, F.lit(0.0)) * decay**size
-        d = d.withColumn(name, F.col(name) + into * F.pow(F.lit(decay), F.col("_at") + 1))
-    return d.drop("_row", "_block", "_at", *(f"_in_{n}" for n in sums))
+    d = d.withColumns({f"_in_{n}": F.last(F.when(done, F.col(n)), ignorenulls=True).over(before) for n in sums})
+    d = d.withColumns({f"_far_{n}": F.last(F.when(done, F.col(f"_in_{n}")), ignorenulls=True).over(before) for n in sums})
+    zero = F.lit(0.0)
+    d = d.withColumns({n: F.col(n) + (F.coalesce(f"_in_{n}", zero) + F.coalesce(f"_far_{n}", zero) * F.pow(q[n], F.lit(size))) * F.pow(q[n], F.col("_at") + 1) for n in sums})
+    return d.drop("_row", "_block", "_at", *(f"_in_{n}" for n in sums), *(f"_far_{n}" for n in sums))
 
 
 def _count(x: Column, by: tuple[str, ...], order: str) -> Column:
     return F.count(x).over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
 
 
+def ewm_means(df: DataFrame, outs: dict[str, tuple[str, float | Column]], *, by: tuple[str, ...] = ("symbol",), order: str = "dt", adjust: bool = True, block: int | None = None) -> DataFrame:
+    """Adds several exponentially weighted means, each of (column, alpha), in the same windows: see ewm_mean()."""
+    sums: dict[str, tuple[Column, float | Column]] = {}
+    first = F.row_number().over(W.partitionBy(*by).orderBy(order)) == 1
+    d = df if adjust else df.withColumn("_first", first)
+    for out, (x, a) in outs.items():
+        value = F.col(x) if adjust else F.when(F.col("_first"), F.col(x)).otherwise(a * F.col(x))
+        sums[f"_s_{out}"] = (value, 1 - a)
+        if adjust:
+            sums[f"_w_{out}"] = (F.col(x).isNotNull().cast("double"), 1 - a)
+    d = decayed_sums(d, sums, by, order, block)
+    d = d.withColumns({out: F.when(_count(F.col(x), by, order) >= 1, ratio(F.col(f"_s_{out}"), F.col(f"_w_{out}")) if adjust else F.col(f"_s_{out}")) for out, (x, _) in outs.items()})
+    return d.drop("_first", *sums)
+
+
 def ewm_mean(df: DataFrame, x: str | Column, out: str, *, by: tuple[str, ...] = ("symbol",), order: str = "dt", least: int = 1, adjust: bool = True, block: int | None = None, **rate) -> DataFrame:
     """Exponentially weighted mean; nulls keep their place and add nothing. Without adjust, the recursion from the first row (no nulls then)."""
-    a = alpha_of(**rate)
     x = F.col(x) if isinstance(x, str) else x
-    d = df.withColumn("_x", x)
-    if adjust:
-        d = decayed_sums(d, {"_s": (F.col("_x"), 1 - a), "_w": (F.col("_x").isNotNull().cast("double"), 1 - a)}, by, order, block)
-        value = ratio(F.col("_s"), F.col("_w"))
-    else:
-        first = F.row_number().over(W.partitionBy(*by).orderBy(order)) == 1
-        d = decayed_sums(d.withColumn("_y", F.when(first, F.col("_x")).otherwise(a * F.col("_x"))), {"_s": (F.col("_y"), 1 - a)}, by, order, block)
-        value = F.col("_s")
-    return d.withColumn(out, F.when(_count(F.col("_x"), by, order) >= least, value)).drop("_x", "_y", "_s", "_w")
+    d = ewm_means(df.withColumn("_x", x), {"_mean": ("_x", alpha_of(**rate))}, by=by, order=order, adjust=adjust, block=block)
+    return d.withColumn(out, F.when(_count(F.col("_x"), by, order) >= least, F.col("_mean"))).drop("_x", "_mean")
 
 
 def ewm_std(df: DataFrame, x: str | Column, out: str, *, by: tuple[str, ...] = ("symbol",), order: str = "dt", least: int = 2, block: int | None = None, **rate) -> DataFrame:
@@ -75,21 +86,27 @@ def ewm_std(df: DataFrame, x: str | Column, out: str, *, by: tuple[str, ...] = (
     return d.withColumn(out, F.when(_count(F.col("_x"), by, order) >= least, F.sqrt(F.greatest(var * fix, F.lit(0.0))))).drop("_x", "_s", "_q", "_w", "_v")
 
 
-def ewm_corr(df: DataFrame, columns: list[str], *, by: tuple[str, ...] = (), order: str = "dt", least: int = 2, block: int | None = None, **rate) -> DataFrame:
-    """Long table (*by, order, i, j, rho) of exponentially weighted correlations between columns, i < j."""
-    q = 1 - alpha_of(**rate)
-    d, keys = df, by
-    if not by:
-        d, keys = df.withColumn("_all", F.lit(1)), ("_all",)
+def ewm_rhos(df: DataFrame, columns: list[str], alpha: float | Column, *, by: tuple[str, ...], order: str = "dt", block: int | None = None) -> tuple[DataFrame, dict[tuple[str, str], str]]:
+    """Adds _n, rows so far in which no column is null, and the exponentially weighted correlation of each pair; its column by pair."""
+    q = 1 - alpha
     pairs = [(i, j) for k, i in enumerate(columns) for j in columns[k + 1 :]]
     full = F.lit(True)
     for c in columns:
         full = full & F.col(c).isNotNull()
     sums = {"_w": (full.cast("double"), q)} | {f"_{c}": (F.when(full, F.col(c)), q) for c in columns} | {f"_{i}_{j}": (F.when(full, F.col(i) * F.col(j)), q) for i, j in [*pairs, *((c, c) for c in columns)]}
-    d = decayed_sums(d, sums, keys, order, block).withColumn("_n", _count(F.when(full, F.lit(1)), keys, order))
+    d = decayed_sums(df, sums, by, order, block).withColumn("_n", _count(F.when(full, F.lit(1)), by, order))
     m = lambda c: ratio(F.col(c), F.col("_w"))
     cov = lambda i, j: m(f"_{i}_{j}") - m(f"_{i}") * m(f"_{j}")
-    rows = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.when(F.col("_n") >= least, ratio(cov(i, j), F.sqrt(F.greatest(cov(i, i) * cov(j, j), F.lit(0.0))))).alias("rho")) for i, j in pairs))
+    names = {(i, j): f"_rho_{i}_{j}" for i, j in pairs}
+    d = d.withColumns({names[i, j]: ratio(cov(i, j), F.sqrt(F.greatest(cov(i, i) * cov(j, j), F.lit(0.0)))) for i, j in pairs})
+    return d.drop(*sums), names
+
+
+def ewm_corr(df: DataFrame, columns: list[str], *, by: tuple[str, ...] = (), order: str = "dt", least: int = 2, block: int | None = None, **rate) -> DataFrame:
+    """Long table (*by, order, i, j, rho) of exponentially weighted correlations between columns, i < j."""
+    d, keys = (df, by) if by else (df.withColumn("_all", F.lit(1)), ("_all",))
+    d, names = ewm_rhos(d, columns, alpha_of(**rate), by=keys, order=order, block=block)
+    rows = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.when(F.col("_n") >= least, F.col(c)).alias("rho")) for (i, j), c in names.items()))
     return d.select(*by, order, F.explode(rows).alias("r")).select(*by, order, "r.i", "r.j", "r.rho")
 
 
@@ -127,7 +144,7 @@ def regime_posterior(x: Column, params: dict[str, Column], n: int, by: str = "sy
     over = W.partitionBy(by).orderBy(order).rowsBetween(-(n - 1), 0)
     density = lambda v, k: -F.log(params[f"sd{k}"]) - 0.5 * F.pow((v - params[f"mean{k}"]) / params[f"sd{k}"], 2)
     stay, move = F.log(params["stay"]), F.log(1 - params["stay"])
-    both = lambda a, b: F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
+    both = log_add
     start = F.struct(F.lit(math.log(0.5)).alias("a"), F.lit(math.log(0.5)).alias("b"))
 
     def step(s, v):
@@ -138,6 +155,29 @@ def regime_posterior(x: Column, params: dict[str, Column], n: int, by: str = "sy
     return F.exp(F.aggregate(F.collect_list(x).over(over), start, step)["b"])
 
 
+def split_moments(df: DataFrame, x: str, n: int, least: int, by: str = "symbol", order: str = "dt") -> DataFrame:
+    """Adds m1, s1, m2, s2: first guesses at two regimes from the last n values, each with moments of its own.
+
+    The means are the values' lower and upper quartile, the deviations those of the lower and the upper half.
+    """
+    d = df.withColumn("_a", F.array_sort(F.collect_list(x).over(W.partitionBy(by).orderBy(order).rowsBetween(-(n - 1), 0))))
+    size, half = F.size("_a"), F.floor(F.size("_a") / 2).cast("int")
+
+    def quantile(q: float) -> Column:
+        at = (size - 1) * q
+        low = F.floor(at).cast("int")
+        a, b = F.try_element_at("_a", low + 1), F.coalesce(F.try_element_at("_a", low + 2), F.try_element_at("_a", low + 1))
+        return a + (b - a) * (at - low)
+
+    def deviation(part: Column) -> Column:
+        total = lambda f: F.aggregate(part, F.lit(0.0), lambda s, v: s + f(v)) / half
+        mean = total(lambda v: v)
+        return F.sqrt(F.aggregate(part, F.struct(F.lit(0.0).alias("s"), mean.alias("m")), lambda s, v: F.struct((s["s"] + (v - s["m"]) * (v - s["m"])).alias("s"), s["m"].alias("m")))["s"] / half)
+
+    own = {"m1": quantile(0.25), "s1": deviation(F.slice("_a", F.lit(1), half)), "m2": quantile(0.75), "s2": deviation(F.slice("_a", size - half + 1, half))}
+    return d.withColumns({k: F.when(size >= least, v) for k, v in own.items()}).drop("_a")
+
+
 def hold_refit(df: DataFrame, params: list[str], every: int, by: str = "symbol", order: str = "dt") -> DataFrame:
     """params as of the last row whose number is a multiple of every."""
     at = W.partitionBy(by).orderBy(order)

@@ -34,25 +34,32 @@ def direction(k: int, x: str = "close", zero: float = 1.0) -> Column:
 
 
 def crossover(bars: DataFrame, fast: int, slow: int, x: str = "close", by_vol: bool = True) -> DataFrame:
-    d = R.ewm_mean(R.ewm_mean(bars, x, "quick", span=fast), x, "slow", span=slow)
-    gap = F.col("quick") - F.col("slow")
-    return raw(d, ratio(gap, F.col("vol")) if by_vol else gap)
+    return raw(crossovers(bars, ((fast, slow),), x, by_vol), F.col(f"cross{fast}_{slow}"))
 
 
-def mean_forecast(parts: list[DataFrame], n: int, least: int, gain: float = 1.0) -> DataFrame:
-    """Mean of the parts' capped forecasts, times gain."""
-    made = [p.select(*KEYS, B.to_forecast("raw", n, least).alias(f"f{i}")) for i, p in enumerate(parts)]
-    d = reduce(lambda a, b: a.join(b, list(KEYS)), made)
-    return raw(d, reduce(lambda a, b: a + b, (F.col(f"f{i}") for i in range(len(parts)))) * (gain / len(parts)))
+def crossovers(bars: DataFrame, speeds: tuple, x: str = "close", by_vol: bool = True) -> DataFrame:
+    """Adds cross<fast>_<slow> for each pair of spans; every span is made once, all in the same windows."""
+    spans = sorted({s for pair in speeds for s in pair})
+    d = R.ewm_means(bars, {f"_m{s}": (x, R.alpha_of(span=s)) for s in spans})
+    gap = lambda f, s: F.col(f"_m{f}") - F.col(f"_m{s}")
+    return d.withColumns({f"cross{f}_{s}": ratio(gap(f, s), F.col("vol")) if by_vol else gap(f, s) for f, s in speeds}).drop(*(f"_m{s}" for s in spans))
+
+
+def add_ensemble(bars: DataFrame, out: str, speeds: tuple, n: int, least: int, gain: float = 1.1, x: str = "close", by_vol: bool = True) -> DataFrame:
+    """Adds the mean of the capped forecasts of crossovers at several speeds, times gain."""
+    names = [f"cross{f}_{s}" for f, s in speeds]
+    d = crossovers(bars, speeds, x, by_vol)
+    d = d.withColumns({c: B.to_forecast(c, n, least) for c in names})
+    return d.withColumn(out, reduce(lambda a, b: a + b, map(F.col, names)) * (gain / len(names))).drop(*names)
 
 
 def ensemble(bars: DataFrame, speeds: tuple, n: int, least: int, gain: float = 1.1) -> DataFrame:
-    return mean_forecast([crossover(bars, f, s) for f, s in speeds], n, least, gain)
+    return raw(add_ensemble(bars, "ens", speeds, n, least, gain), F.col("ens"))
 
 
 def normalized_momentum(bars: DataFrame, speeds: tuple, n: int, least: int) -> DataFrame:
     d = bars.withColumn("np", O.norm_price("dp", "vol"))
-    return mean_forecast([crossover(d, f, s, "np", by_vol=False) for f, s in speeds], n, least)
+    return raw(add_ensemble(d, "ens", speeds, n, least, 1.0, "np", by_vol=False), F.col("ens"))
 
 
 def anchored_momentum(bars: DataFrame, spans: tuple, year: int) -> DataFrame:
@@ -116,10 +123,17 @@ def tail_asymmetry(bars: DataFrame) -> DataFrame:
     return raw(bars, ratio(F.col("high"), F.col("close")) + ratio(F.col("low"), F.col("close")) - 2)
 
 
+def add_vol_of_vol(bars: DataFrame, outs: dict[str, tuple[int, int, int, int]]) -> DataFrame:
+    """Adds, by name, minus the excess of volatility's own volatility in the direction of the price: (short, long, base, k); k of 0 for no direction."""
+    d = bars.withColumns({f"_s{x}": O.roll_std("ret", x) for x in {v[0] for v in outs.values()}})
+    d = d.withColumns({f"_v{n}": O.roll_std(f"_s{s}", long, s) for n, (s, long, _, _) in outs.items()})
+    d = d.withColumns({f"_u{n}": O.roll_mean(f"_v{n}", base, long) for n, (_, long, base, _) in outs.items()})
+    d = d.withColumns({n: -(ratio(F.col(f"_v{n}"), F.col(f"_u{n}")) - 1) * (direction(k) if k else F.lit(1.0)) for n, (*_, k) in outs.items()})
+    return d.drop(*(f"_s{v[0]}" for v in outs.values()), *(f"_v{n}" for n in outs), *(f"_u{n}" for n in outs))
+
+
 def vol_of_vol(bars: DataFrame, short: int, long: int, base: int, k: int) -> DataFrame:
-    d = bars.withColumn("s", O.roll_std("ret", short)).withColumn("vv", O.roll_std("s", long, short))
-    d = d.withColumn("usual", O.roll_mean("vv", base, long))
-    return raw(d, -(ratio(F.col("vv"), F.col("usual")) - 1) * direction(k))
+    return raw(add_vol_of_vol(bars, {"vov": (short, long, base, k)}), F.col("vov"))
 
 
 def vol_regime(bars: DataFrame, span: int, n: int, least: int, k: int) -> DataFrame:
@@ -223,38 +237,53 @@ def lead_lag(bars: DataFrame, pairs: DataFrame, fast: int, slow: int, n: int, le
     return raw(J.lead_lag(d.select(*KEYS, "z"), pairs, "z", lag), F.col("z"))
 
 
-def gated(signal: DataFrame, gate: DataFrame, x: Column) -> DataFrame:
-    """A signal times a gate's column, by row."""
-    return raw(signal.join(gate, list(KEYS)), F.col("raw") * x)
+def hurst_trend(bars: DataFrame, speeds: tuple, n: int, least: int, window: int, step: int, chunks: tuple) -> DataFrame:
+    d = add_ensemble(bars, "ens", speeds, n, least)
+    h = O.roll_hurst(d.where("ret IS NOT NULL"), "ret", window, step, chunks)
+    return raw(h, F.col("ens") * ramp(F.col("hurst"), 0.45, 0.55))
 
 
-def hurst_trend(bars: DataFrame, trend: DataFrame, window: int, step: int, chunks: tuple) -> DataFrame:
-    h = O.roll_hurst(bars.where("ret IS NOT NULL"), "ret", window, step, chunks).select(*KEYS, "hurst")
-    return gated(trend, h, ramp(F.col("hurst"), 0.45, 0.55))
+def vol_managed(bars: DataFrame, speeds: tuple, n: int, least: int, short: int, long: int) -> DataFrame:
+    return raw(add_ensemble(bars, "ens", speeds, n, least), F.col("ens") * O.variance_ratio_scale("ret", short, long, 0.5, 2.0))
 
 
-def vol_managed(bars: DataFrame, trend: DataFrame, short: int, long: int) -> DataFrame:
-    s = bars.select(*KEYS, O.variance_ratio_scale("ret", short, long, 0.5, 2.0).alias("scale"))
-    return gated(trend, s, F.col("scale"))
+#: How much slower a network oscillator's second mean is, and its decay is 1 / (2 k).
+SLOWER = 4
 
 
-def network(bars: DataFrame, edges: DataFrame, spans: tuple) -> DataFrame:
-    """Mean response to neighbours' oscillators at several speeds."""
-    d = bars
-    for s in spans:
-        d = R.ewm_mean(d, "ret", f"o{s}", span=s)
-    longs = d.select(*KEYS, F.explode(F.array(*(F.struct(F.lit(s).alias("s"), ratio(F.col(f"o{s}") * float(s) ** 0.5 * F.col("close"), F.col("vol")).alias("x")) for s in spans))).alias("o")).select(*KEYS, "o.s", "o.x")
-    moved = longs.where("x IS NOT NULL").join(edges, F.col("symbol") == F.col("src")).groupBy(F.col("dst").alias("symbol"), "dt", "s").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+def network(bars: DataFrame, edges: DataFrame, ks: tuple) -> DataFrame:
+    """Mean response to neighbours' oscillators at several speeds, by edges (refit, src, dst, w) as of each date.
+
+    An oscillator is the difference of two recursive means of the price by volatility. Before the first refit, a series has
+    itself for its only neighbour.
+    """
+    outs = {f"_{side}{k}": ("np", 1 / (2 * k * more)) for k in ks for side, more in (("q", 1), ("s", SLOWER))}
+    d = R.ewm_means(bars.withColumn("np", O.norm_price("dp", "vol")), outs, adjust=False)
+    speeds = F.array(*(F.struct(F.lit(k).alias("s"), (F.col(f"_q{k}") - F.col(f"_s{k}")).alias("x")) for k in ks))
+    refits = edges.select(F.col("refit").alias("dt"), "refit").distinct()
+    days = J.asof(bars.select("dt").distinct(), refits, "refit")
+    rows = d.select(*KEYS, F.inline(speeds)).join(days, "dt")
+    near = rows.where("refit IS NOT NULL").join(edges, (F.col("symbol") == F.col("src")) & (rows["refit"] == edges["refit"]))
+    moved = near.groupBy(F.col("dst").alias("symbol"), "dt", "s").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+    moved = moved.unionByName(rows.where("refit IS NULL").select("symbol", "dt", "s", "x"))
     return raw(moved.groupBy(*KEYS).agg(F.avg(B.response(F.col("x"))).alias("m")), F.col("m"))
 
 
-def composite(bars: DataFrame, parts: dict[str, DataFrame], weights: dict[str, float], n: int, least: int, *, mode: str = "plain", span: int = 20, halflife: float | None = 1.0, gates: bool = True) -> DataFrame:
-    """Forecasts of the parts by weight, times the diversification multiplier, smoothed and gated: (symbol, dt, score)."""
-    d = bars
-    for name, p in parts.items():
-        d = d.join(p.select(*KEYS, F.coalesce(B.to_forecast("raw", n, least), F.lit(0.0)).alias(name)), list(KEYS), "left")
-    corr = R.ewm_corr(X.pool_mean(d, list(parts)), list(parts), span=span, least=5)
-    d = d.join(B.fdm(corr, weights, mode), "dt", "left")
+def four_signals(bars: DataFrame, chain: DataFrame, speeds: tuple, n: int, least: int) -> DataFrame:
+    """Adds trend, carry, skew and vov: one frame by symbol; only the chain of contracts is joined."""
+    d = bars.join(chain.select(*KEYS, "c1", "c2", "years12"), list(KEYS), "left")
+    d = d.withColumn("carry", ratio(ratio(F.col("c1") - F.col("c2"), F.col("years12")), F.col("vol")))
+    d = add_ensemble(d, "trend", speeds, n, least).withColumn("skew", -O.roll_skew("dp", 52, 20))
+    return add_vol_of_vol(d, {"vov": (8, 20, 52, 13)}).drop("c1", "c2", "years12")
+
+
+def composite(d: DataFrame, weights: dict[str, float], n: int, least: int, *, mode: str = "plain", span: int = 20, halflife: float | None = 1.0, gates: bool = True) -> DataFrame:
+    """Forecasts of the columns named in weights, mixed, times the diversification multiplier, smoothed and gated: (symbol, dt, score)."""
+    names = list(weights)
+    d = d.withColumns({c: F.coalesce(B.to_forecast(c, n, least), F.lit(0.0)) for c in names})
+    pool, rho = R.ewm_rhos(X.pool_mean(d, names).withColumn("_all", F.lit(1)), names, R.alpha_of(span=span), by=("_all",))
+    pool = pool.select("dt", B.multiplier(weights, rho, F.col("_n") >= 5, mode).alias("mult"))
+    d = d.join(pool, "dt", "left")
     d = d.withColumn("mixed", cap(B.blend(weights) * F.coalesce("mult", F.lit(1.0))))
     d = B.smooth(d, "mixed", "score", halflife=halflife)
     if gates:

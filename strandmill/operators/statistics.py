@@ -274,6 +274,17 @@ def blend_sharpe(weights: DataFrame, returns: DataFrame, year: float) -> DataFra
     return mean.join(var, "blend").select("blend", (ratio(F.col("mean"), F.sqrt("var")) * year**0.5).alias("sharpe"))
 
 
+def satellites(returns: DataFrame, year: float, share: float = 0.1) -> DataFrame:
+    """(variant, sharpe, delta, corr): the even blend of all with ``share`` of one more of each in turn, delta over the even blend in percent."""
+    keys = returns.select(BY).distinct()
+    n = keys.agg(F.count("*").alias("n"))
+    even = keys.crossJoin(F.broadcast(n)).select(BY, (1.0 / F.col("n")).alias("w"))
+    mixed = keys.select(F.col(BY).alias("blend")).crossJoin(even).withColumn("w", F.col("w") * (1 - share) + F.when(F.col("blend") == F.col(BY), share).otherwise(0.0))
+    got = blend_sharpe(mixed.unionByName(even.withColumn("blend", F.lit(""))), returns, year)
+    base = got.where("blend = ''").select(F.col("sharpe").alias("base"))
+    return got.where("blend <> ''").crossJoin(F.broadcast(base)).select(F.col("blend").alias(BY), "sharpe", ((ratio(F.col("sharpe"), F.col("base")) - 1) * 100).alias("delta"))
+
+
 def subsets(keys: DataFrame, k: int) -> DataFrame:
     """(blend, variant, w) of all subsets of k keys in equal parts."""
     d = keys.select(F.array(BY).alias("set"), F.col(BY).alias("top"))

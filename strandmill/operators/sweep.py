@@ -1,85 +1,21 @@
-"""Variants as rows: registries, runs of all of them in one plan, and stresses of scores."""
+"""Stresses of scores and of variants."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandmill.functions.scalars import cap, normal_ppf, ratio
 from strandmill.operators.bootstrap import hash_sql, uniform_sql
-
-#: One row of defaults; a variant overrides some.
-PARAMS = "fast int, slow int, cap double, halflife double, cost double, lag int"
-
-
-def registry(spark: SparkSession, defaults: dict, overrides: dict[str, dict]) -> DataFrame:
-    """(variant, dim, *parameters): defaults, and one row for each id of overrides. dim names what a variant changes."""
-    rows = [("master", "master", *defaults.values())]
-    rows += [(v, "+".join(o), *(o.get(k, x) for k, x in defaults.items())) for v, o in overrides.items()]
-    return spark.createDataFrame(rows, "variant string, dim string, " + PARAMS)
-
-
-def one_at_a_time(axes: dict[str, list]) -> dict[str, dict]:
-    return {f"{k}={x}": {k: x} for k, values in axes.items() for x in values}
-
-
-def ablations(groups: dict[str, dict]) -> dict[str, dict]:
-    return {f"no_{k}": o for k, o in groups.items()}
-
-
-def cumulative(order: list[tuple[str, dict]]) -> dict[str, dict]:
-    """Each step has the overrides of all before."""
-    out, so_far = {}, {}
-    for name, o in order:
-        so_far = {**so_far, **o}
-        out[f"upto_{name}"] = dict(so_far)
-    return out
-
-
-def random_params(spark: SparkSession, n: int, seed: int, ranges: dict[str, tuple]) -> DataFrame:
-    """(variant, *names): uniform draws, or log-uniform where the range's third item is 'log', by hash."""
-    d = spark.range(n)
-    cols = []
-    for i, (name, (low, high, *kind)) in enumerate(ranges.items()):
-        u = F.expr(uniform_sql(seed, "id", str(i)))
-        cols.append((F.exp(F.log(F.lit(low)) + u * (F.log(F.lit(high)) - F.log(F.lit(low)))) if kind else low + u * (high - low)).alias(name))
-    return d.select(F.concat(F.lit("draw"), F.col("id").cast("string")).alias("variant"), *cols)
-
+from strandmill.operators.recursive import alpha_of, ewm_means
 
 def feature_library(bars: DataFrame, spans: list[int]) -> DataFrame:
-    """(symbol, dt, span, v): exponentially weighted means at all spans that any variant needs, made once."""
-    from strandmill.operators.recursive import ewm_mean
-
-    spans, parts = sorted(set(spans)), []
-    keep = (lambda d: d) if len(spans) <= 8 else (lambda d: d.checkpoint()) if bars.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.localCheckpoint())
-    for k in range(0, len(spans), 8):  # one plan of many spans is too deep and slow for the optimiser, so each part is run by itself
-        some = spans[k : k + 8]
-        d = reduce(lambda a, s: ewm_mean(a, "close", f"m{s}", span=s), some, bars)
-        rows = F.array(*(F.struct(F.lit(s).alias("span"), F.col(f"m{s}").alias("v")) for s in some))
-        parts.append(keep(d.select("symbol", "dt", F.explode(rows).alias("x")).select("symbol", "dt", "x.span", "x.v")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def run_variants(bars: DataFrame, library: DataFrame, variants: DataFrame) -> DataFrame:
-    """(variant, dt, ret): each variant's crossover, capped and lagged, as the mean return over symbols less costs.
-
-    Variants are broadcast by Spark as they are a table of a registry; symbols and dates stay keys throughout.
-    """
-    fast = variants.join(library, F.col("fast") == F.col("span")).select("variant", "symbol", "dt", F.col("v").alias("f"))
-    slow = variants.join(library, F.col("slow") == F.col("span")).select("variant", "symbol", "dt", F.col("v").alias("s"))
-    d = fast.join(slow, ["variant", "symbol", "dt"]).join(variants, "variant").join(bars.select("symbol", "dt", "ret", "vol"), ["symbol", "dt"])
-    at = W.partitionBy("variant", "symbol").orderBy("dt")
-    score = F.greatest(F.least(ratio(F.col("f") - F.col("s"), F.col("vol")) * 10, F.col("cap")), -F.col("cap")) / F.col("cap")
-    d = d.withColumn("score", score)
-    # lag is 1 row or more by the variant: the lag-th item of the last few scores
-    d = d.withColumn("before", F.collect_list(F.coalesce("score", F.lit(0.0))).over(at.rowsBetween(-5, -1)))
-    d = d.withColumn("held", F.coalesce(F.try_element_at("before", -F.col("lag")), F.lit(0.0)))
-    d = d.withColumn("turn", F.abs(F.col("held") - F.coalesce(F.lag("held").over(at), F.lit(0.0))))
-    made = F.col("held") * F.coalesce("ret", F.lit(0.0)) - F.col("turn") * F.col("cost")
-    return d.withColumn("made", made).groupBy("variant", "dt").agg(F.avg("made").alias("ret"))
+    """(symbol, dt, span, v): exponentially weighted means at all spans that any variant needs, made once, in the same windows."""
+    spans = sorted(set(spans))
+    d = ewm_means(bars, {f"_m{s}": ("close", alpha_of(span=s)) for s in spans})
+    rows = F.array(*(F.struct(F.lit(s).alias("span"), F.col(f"_m{s}").alias("v")) for s in spans))
+    return d.select("symbol", "dt", F.inline(rows))
 
 
 def lag_scores(signals: DataFrame, x: str, k: int) -> DataFrame:
@@ -116,10 +52,11 @@ def shuffle_scores(signals: DataFrame, x: str, draws: int, seed: int) -> DataFra
     return old.join(new.select("draw", "symbol", "place", x), ["draw", "symbol", "place"]).select("draw", "symbol", "dt", x)
 
 
-def rounded_params(variants: DataFrame, kind: str) -> DataFrame:
-    """Spans to the nearest power of two, or to a grid of five."""
-    snap = (lambda c: F.pow(F.lit(2.0), F.round(F.log2(F.col(c)))).cast("int")) if kind == "power" else (lambda c: F.greatest((F.round(F.col(c) / 5) * 5).cast("int"), F.lit(1)))
-    return variants.withColumn("fast", snap("fast")).withColumn("slow", snap("slow"))
+def noise_scores(signals: DataFrame, x: str, draws: int, seed: int, most: float = 20.0) -> DataFrame:
+    """(draw, symbol, dt, x): normal noise of the symbol's mean and deviation in place of its scores, capped; needs an integer ``rn``."""
+    w = W.partitionBy("symbol")
+    d = signals.withColumns({"_mean": F.avg(x).over(w), "_sd": F.stddev_samp(x).over(w)}).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    return d.withColumn(x, cap(F.col("_mean") + F.col("_sd") * normal_ppf(uniform_sql(seed, "rn", "draw")), most)).select("draw", "symbol", "dt", x)
 
 
 def fragility(summary: DataFrame, k: int = 3) -> DataFrame:

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import ast
+import itertools
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandmill.functions.scalars import normal_ppf_sql
 from strandmill.operators import aggregates as A
 from strandmill.operators import blend as B
 from strandmill.operators import ledger as L
-from strandmill.operators import signals as G
 from strandmill.operators import statistics as T
+from strandmill.operators import strategy as C
 from strandmill.operators import sweep as V
 from strandmill.operators import windows as O
-from strandmill.operators.cross_section import MULTIPLIERS
-from strandmill.plans.panel_queries import AT, last
+from strandmill.operators.bootstrap import hash_sql, uniform_sql
+from strandmill.plans.panel_queries import AT, POINTS, last, term
 from strandmill.plans.registry import query, rounded
-from strandmill.plans.signal_queries import bars, hours
+from strandmill.plans.signal_queries import CHAINED, bars, ewm_sql, hours
 from strandmill.sources import panels as P
+from strandmill.sources.sinks import save
 
 YEAR = 52.0
 CAPITAL = 1e6
@@ -43,7 +48,7 @@ def daily(spark, d):
     return L.portfolio_daily(book(spark, d), P.cash_w(spark, d).select(F.col("dt").cast("timestamp").alias("dt"), (F.col("rate") / 100 / 5000).alias("rate")), CAPITAL)
 
 
-MULT = "CASE " + " ".join(f"WHEN n < {b} THEN {ya!r} + (n - {a}) * {(yb - ya) / (b - a)!r}" for (a, ya), (b, yb) in zip(MULTIPLIERS, MULTIPLIERS[1:], strict=False)) + f" ELSE {MULTIPLIERS[-1][1]!r} END"
+MULT = "CASE " + " ".join(f"WHEN n < {b} THEN {ya}::DOUBLE + (n - {a}) * (({yb}::DOUBLE - {ya}::DOUBLE) / {b - a})" for (a, ya), (b, yb) in itertools.pairwise(ast.literal_eval(f"[{POINTS}]"))) + " END"
 TARGET = f"s0 AS (SELECT *, close - lag(close, 8) {AT} AS raw, close - lag(close) {AT} AS dp, 1.0::DOUBLE + length(symbol) % 3 AS pointsize, 0.5::DOUBLE + 0.1::DOUBLE * (length(symbol) % 7) AS cost_rt FROM bars_h), s1 AS (SELECT *, CASE WHEN count(raw) {last(52)} >= 26 AND avg(abs(raw)) {last(52)} <> 0 AND raw IS NOT NULL THEN round(greatest(least(raw * 10 / avg(abs(raw)) {last(52)}, 20), -20), 6) END AS forecast, CASE WHEN count(dp) {last(20)} >= 20 THEN round(stddev_samp(dp) {last(20)}, 6) END AS vol FROM s0), s2 AS (SELECT *, forecast IS NOT NULL AND vol IS NOT NULL AND forecast <> 0 AS act FROM s1), s3 AS (SELECT *, CAST(sum(act::INT) OVER (PARTITION BY dt) AS DOUBLE) AS n FROM s2), tg AS (SELECT symbol, dt, open, close, pointsize, cost_rt, round(last_value(CASE WHEN act AND vol * pointsize >= 1 THEN forecast / 10 * 1000000.0::DOUBLE * 0.2::DOUBLE * ({MULT}) / n / (vol * pointsize * 16) END IGNORE NULLS) {last(None)}, 6) AS target FROM s3)"
 HELD = f", tn AS (SELECT *, row_number() {AT} AS i FROM tg), hold AS (SELECT symbol, i, CASE WHEN target IS NOT NULL AND abs(target) > greatest(0.1 * abs(target), 0.5) THEN round(target) ELSE 0.0 END AS position FROM tn WHERE i = 1 UNION ALL SELECT t.symbol, t.i, CASE WHEN t.target IS NOT NULL AND abs(t.target - h.position) > greatest(0.1 * abs(t.target), 0.5) THEN round(t.target) ELSE h.position END FROM hold h JOIN tn t ON t.symbol = h.symbol AND t.i = h.i + 1), bk0 AS (SELECT t.*, h.position, coalesce(lag(h.position) OVER (PARTITION BY t.symbol ORDER BY t.dt), 0) AS prior, lag(close) OVER (PARTITION BY t.symbol ORDER BY t.dt) AS pc FROM tn t JOIN hold h ON h.symbol = t.symbol AND h.i = t.i), bk AS (SELECT symbol, dt, position, position - prior AS trade, abs(position - prior) * cost_rt / 2 AS commission, (prior * coalesce(open - pc, 0) + position * (close - open)) * pointsize - abs(position - prior) * cost_rt / 2 AS pnl FROM bk0)"
 DAILY = ", dy0 AS (SELECT dt, sum(pnl) AS pnl, sum(commission) AS commission, CAST(sum(CASE WHEN trade <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS trades FROM bk GROUP BY 1), dy AS (SELECT d.*, coalesce(c.rate / 100 / 5000, 0) AS rate FROM dy0 d ASOF LEFT JOIN (SELECT CAST(dt AS TIMESTAMP) AS dt, rate FROM cash_w) c ON d.dt >= c.dt)"
@@ -70,10 +75,10 @@ def _(spark, d):
     return rounded(daily(spark, d).select("dt", "pnl", "commission", "trades", "cash"), "dt")
 
 
-@query("lg05_nav", ("bars_h", "cash_w"), "SELECT dt, round(nav, 4) AS nav, round(ret, 9) + 0.0 AS ret, round(ret - rate, 9) + 0.0 AS excess FROM nv", TARGET + HELD + DAILY + NAVS)
+@query("lg05_nav", ("bars_h", "cash_w"), "SELECT dt, round(nav, 6) AS nav, round(ret, 9) + 0.0 AS ret, round(ret - rate, 9) + 0.0 AS excess FROM nv", TARGET + HELD + DAILY + NAVS)
 def _(spark, d):
     n = L.nav(daily(spark, d), CAPITAL)
-    return n.select("dt", F.round("nav", 4).alias("nav"), (F.round("ret", 9) + 0.0).alias("ret"), (F.round("excess", 9) + 0.0).alias("excess"))
+    return n.select("dt", F.round("nav", 6).alias("nav"), (F.round("ret", 9) + 0.0).alias("ret"), (F.round("excess", 9) + 0.0).alias("excess"))
 
 
 SHEET = "SELECT variant, n, round(m * 52, 6) + 0.0 AS ann_ret, round(sd * sqrt(52), 6) AS ann_vol, round(m / nullif(sd, 0) * sqrt(52), 6) AS sharpe, round(exp(lg * 52 / n) - 1, 6) + 0.0 AS cagr, round(1 - exp(dd), 6) AS max_dd, round((exp(lg * 52 / n) - 1) / nullif(1 - exp(dd), 0), 6) AS calmar FROM (SELECT variant, count(*) AS n, avg(ret) AS m, stddev_pop(ret) AS sd, sum(ln(1 + ret)) AS lg, min(c - greatest(pk, 0)) AS dd FROM (SELECT *, max(c) OVER (PARTITION BY variant ORDER BY dt) AS pk FROM (SELECT *, sum(ln(1 + ret)) OVER (PARTITION BY variant ORDER BY dt) AS c FROM {t})) GROUP BY 1)"
@@ -84,7 +89,15 @@ def _(spark, d):
     return rounded(L.tearsheet(P.strategies(spark, d), YEAR), "variant")
 
 
-@query("lg06_ledger_tearsheet", ("bars_h", "cash_w"))
+LEDGER_SHEET = (
+    "SELECT 'v' AS variant, count(*) AS n, round(avg(ret) * 5000, 6) + 0.0 AS ann_ret, round(stddev_pop(ret) * sqrt(5000), 6) AS ann_vol, round(avg(ret - rate) / nullif(stddev_pop(ret), 0) * sqrt(5000), 6) + 0.0 AS sharpe, "
+    "round(exp(sum(lr) * 5000 / count(*)) - 1, 6) + 0.0 AS cagr, round(1 - exp(min(c - greatest(pk, 0))), 6) AS max_dd, round((exp(sum(lr) * 5000 / count(*)) - 1) / nullif(1 - exp(min(c - greatest(pk, 0))), 0), 6) + 0.0 AS calmar, "
+    "round(sum(trades) * 5000 / count(*)::DOUBLE, 6) AS trades_year, round(sum(commission), 6) AS costs, round(sum(rate * 1000000.0::DOUBLE), 6) AS cash "
+    "FROM (SELECT *, max(c) OVER (ORDER BY dt) AS pk FROM (SELECT *, sum(lr) OVER (ORDER BY dt) AS c FROM (SELECT *, CASE WHEN ret > -1 THEN ln(1 + ret) END AS lr FROM nv)))"
+)
+
+
+@query("lg06_ledger_tearsheet", ("bars_h", "cash_w"), LEDGER_SHEET, TARGET + HELD + DAILY + NAVS)
 def _(spark, d):
     return rounded(L.tearsheet(L.nav(daily(spark, d), CAPITAL), 5000.0), "variant")
 
@@ -162,10 +175,24 @@ def _(spark, d):
 SR = "avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(52)"
 
 
-@query("ag01_by_class", ("bars_w", "instruments"), "SELECT asset_class, count(*) AS n, round(avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(52), 6) AS sharpe, round(sum(pnl) / sum(sum(pnl)) OVER (), 6) AS share FROM (SELECT asset_class, dt, sum(p) AS pnl FROM dps JOIN instruments USING (symbol) GROUP BY 1, 2) GROUP BY 1", f"dps AS (SELECT symbol, dt, coalesce(close - lag(close) {AT}, 0) AS p FROM bars_w)")
+AG_DRAWS, AG_BLOCK, AG_SEED = 1000, 8, 23
+CLASSES = (
+    f"dps AS (SELECT symbol, dt, coalesce(close - lag(close) {AT}, 0) AS p FROM bars_w), cl AS (SELECT asset_class, dt, sum(p) AS ret FROM dps JOIN instruments USING (symbol) GROUP BY 1, 2), "
+    "cdv AS (SELECT asset_class, row_number() OVER (PARTITION BY asset_class ORDER BY dt) AS rn, ret - avg(ret) OVER (PARTITION BY asset_class) AS u, count(*) OVER (PARTITION BY asset_class) AS n FROM cl), "
+    "clp AS (SELECT a.asset_class, a.rn - b.rn AS lag, max(a.n) AS n, floor(0.75 * power(max(a.n), 1 / 3.0::DOUBLE) + 0.000000001) AS most, sum(a.u * b.u) AS s FROM cdv a JOIN cdv b ON a.asset_class = b.asset_class AND a.rn - b.rn BETWEEN 0 AND 51 GROUP BY 1, 2), "
+    "cnw AS (SELECT asset_class, sqrt(greatest(sum(CASE WHEN lag = 0 THEN 1 ELSE 2 * (1 - lag / (most + 1)) END * s), 0) / max(n) / max(n)) AS se FROM clp WHERE lag <= most GROUP BY 1), "
+    "cdays AS (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS r, count(*) OVER () AS nd FROM (SELECT DISTINCT dt FROM cl)), "
+    f"cst AS (SELECT draw, b, nd, {hash_sql(AG_SEED, 'draw', 'b')} % nd AS st FROM (SELECT unnest(range({AG_DRAWS})) AS draw) CROSS JOIN (SELECT max(nd) AS nd FROM cdays) CROSS JOIN (SELECT unnest(range(10000)) AS b) WHERE b * {AG_BLOCK} < nd), "
+    f"cix AS (SELECT draw, (st + j) % nd AS r FROM cst CROSS JOIN (SELECT unnest(range({AG_BLOCK})) AS j) WHERE b * {AG_BLOCK} + j < nd), "
+    "cbt AS (SELECT asset_class, draw, avg(ret) / nullif(stddev_pop(ret), 0) * sqrt(52) AS sr FROM cix JOIN cdays USING (r) JOIN cl USING (dt) GROUP BY 1, 2), "
+    "cci AS (SELECT asset_class, quantile_cont(sr, 0.025) AS low, quantile_cont(sr, 0.975) AS high FROM cbt GROUP BY 1)"
+)
+
+
+@query("ag01_by_class", ("bars_w", "instruments"), "SELECT asset_class, n, round(mean / nullif(sd, 0) * sqrt(52), 6) + 0.0 AS sharpe, round(total / sum(total) OVER (), 6) + 0.0 AS share, round(se / nullif(sd, 0) * sqrt(52), 6) AS se, round(mean / nullif(se, 0), 6) + 0.0 AS t, round(low, 6) + 0.0 AS low, round(high, 6) + 0.0 AS high FROM (SELECT asset_class, count(*) AS n, avg(ret) AS mean, stddev_samp(ret) AS sd, sum(ret) AS total FROM cl GROUP BY 1) JOIN cnw USING (asset_class) JOIN cci USING (asset_class)", CLASSES)
 def _(spark, d):
     b = P.bars_w(spark, d).select("symbol", "dt", F.coalesce(O.diff("close"), F.lit(0.0)).alias("pnl"))
-    return rounded(A.by_class(b, P.instruments(spark, d), YEAR), "asset_class")
+    return rounded(A.by_class(b, P.instruments(spark, d), YEAR, block=AG_BLOCK, draws=AG_DRAWS, seed=AG_SEED), "asset_class")
 
 
 @query("ag02_total_oi", ("contracts_w",), "SELECT symbol, dt, sum(open_interest) AS open_interest, count(*) FILTER (open_interest > 0) AS live FROM contracts_w GROUP BY 1, 2")
@@ -206,6 +233,17 @@ def _(spark, d):
     return rounded(A.spans(P.strategies(spark, d), 2, YEAR), "variant", "start")
 
 
+#: Twelve named windows of the panels' years; the last two have few rows or none.
+STRESSES = [("war", "1992-02-01", "1992-06-30"), ("rate_shock", "1992-09-01", "1992-12-31"), ("slump", "1993-01-10", "1993-12-09"), ("crisis", "1994-02-01", "1995-01-31"), ("contagion", "1995-03-01", "1995-08-31"), ("gap", "1996-01-26", "1996-04-02"), ("autumn", "1996-10-01", "1996-12-24"), ("crash", "1997-02-19", "1997-03-30"), ("recovery", "1997-04-01", "1997-12-31"), ("inflation", "1998-01-03", "1998-10-14"), ("late", "1998-11-20", "1998-12-05"), ("after", "2024-01-01", "2024-12-31")]
+WINDOWS = "stresses AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', DATE '{a}', DATE '{z}')" for n, a, z in STRESSES) + ") t(name, low, high)), sw AS (SELECT v.variant, w.name, s.dt, s.ret, sum(ln(1 + s.ret)) OVER (PARTITION BY v.variant, w.name ORDER BY s.dt) AS lg FROM (SELECT DISTINCT variant FROM strategies) v CROSS JOIN stresses w LEFT JOIN strategies s ON s.variant = v.variant AND s.dt BETWEEN w.low AND w.high), sf AS (SELECT *, lg - greatest(max(lg) OVER (PARTITION BY variant, name ORDER BY dt), 0) AS fall FROM sw)"
+
+
+@query("ag06_windows", ("strategies",), "SELECT variant, name, count(ret) AS n, " + ", ".join(f"CASE WHEN count(ret) >= 5 THEN round({x}, 6) + 0.0 END AS {c}" for c, x in (("sharpe", SR), ("cagr", "exp(sum(ln(1 + ret)) * 52 / count(ret)) - 1"), ("max_dd", "1 - exp(min(fall))"), ("mean_bp", "avg(ret) * 10000"), ("best", "max(ret)"), ("worst", "min(ret)"))) + " FROM sf GROUP BY 1, 2", WINDOWS)
+def _(spark, d):
+    w = spark.createDataFrame(STRESSES, "name string, low string, high string").select("name", F.col("low").cast("date").alias("low"), F.col("high").cast("date").alias("high"))
+    return rounded(A.windows(P.strategies(spark, d), w, YEAR), "variant", "name")
+
+
 @query("ag07_describe_dist", ("strategies",), "SELECT variant, round(avg(ret), 6) + 0.0 AS mean, round(stddev_samp(ret), 6) AS sd, round(min(ret), 6) AS low, " + ", ".join(f"round(quantile_cont(ret, {v}), 6) + 0.0 AS p{round(v * 100)}" for v in A.LEVELS) + ", round(max(ret), 6) AS high FROM strategies GROUP BY 1")
 def _(spark, d):
     return rounded(A.describe_dist(P.strategies(spark, d), "ret", "variant"), "variant")
@@ -247,6 +285,22 @@ def _(spark, d):
     return rounded(A.inv_vol_basket(P.strategies(spark, d), 0.1, YEAR), "dt")
 
 
+BUCKETS = (
+    f"dps AS (SELECT b.symbol, b.dt, coalesce(b.close - lag(b.close) OVER (PARTITION BY b.symbol ORDER BY b.dt), 0) AS p, CASE asset_class WHEN 'AC0' THEN 'equity' WHEN 'AC1' THEN 'bond' ELSE 'commodity' END AS bucket FROM bars_w b JOIN instruments USING (symbol)), "
+    "bw AS (SELECT bucket, symbol, 1 / stddev_samp(p) AS iv FROM dps GROUP BY 1, 2 HAVING stddev_samp(p) > 0), "
+    "bb AS (SELECT bucket, dt, sum(p * iv / tot) AS ret FROM dps JOIN (SELECT *, sum(iv) OVER (PARTITION BY bucket) AS tot FROM bw) USING (bucket, symbol) GROUP BY 1, 2), "
+    "bm AS (SELECT dt, sum(ret / sd * CASE bucket WHEN 'equity' THEN 0.6 ELSE 0.2 END) AS ret FROM (SELECT *, stddev_samp(ret) OVER (PARTITION BY bucket) AS sd FROM bb) GROUP BY 1)"
+)
+
+
+@query("ag12_bucket_basket", ("bars_w", "instruments"), "SELECT dt, round(ret * (SELECT 0.15 / (stddev_samp(ret) * sqrt(52)) FROM bm), 6) + 0.0 AS ret FROM bm", BUCKETS)
+def _(spark, d):
+    b = P.bars_w(spark, d).select(F.col("symbol").alias("variant"), "dt", F.coalesce(O.diff("close"), F.lit(0.0)).alias("ret"))
+    kinds = F.when(F.col("asset_class") == "AC0", "equity").when(F.col("asset_class") == "AC1", "bond").otherwise("commodity")
+    buckets = P.instruments(spark, d).select(F.col("symbol").alias("variant"), kinds.alias("bucket"))
+    return rounded(A.bucket_basket(b, buckets, {"equity": 0.6, "bond": 0.2, "commodity": 0.2}, 0.15, YEAR), "dt")
+
+
 @query("ag13_concat_last", ("strategies",), "SELECT variant, dt, CASE WHEN dt >= DATE '1998-01-01' THEN 0.0 ELSE ret END AS ret FROM strategies")
 def _(spark, d):
     s = P.strategies(spark, d)
@@ -270,80 +324,82 @@ def _(spark, d):
 
 # --- sweeps ----------------------------------------------------------------------------------------------------------
 
-DEFAULTS = {"fast": 8, "slow": 32, "cap": 20.0, "halflife": 1.0, "cost": 0.0005, "lag": 1}
-AXES = {"fast": [4, 6, 12], "slow": [24, 48, 64], "cap": [10.0, 40.0], "cost": [0.0, 0.001, 0.002], "lag": [2, 3]}
+def variants(spark, overrides):
+    return C.registry(spark, overrides)
 
 
-def run(spark, d, overrides, variants=None):
-    b = bars(spark, d).cache()
-    v = variants if variants is not None else V.registry(spark, DEFAULTS, overrides)
-    library = V.feature_library(b, sorted({r[0] for r in v.select("fast").union(v.select("slow")).distinct().collect()}))
-    r = V.run_variants(b, library, v)
-    return r, v
+def run(spark, d, v):
+    """Every variant of v through the composite and the ledger. The library of forecasts is written once, and read by all of them."""
+    b = save(bars(spark, d), "bars")
+    wanted = C.needs(v)
+    library = save(C.library(b, term(spark, d, b), wanted), "library")
+    return C.run(library, v, P.instruments(spark, d), YEAR, wanted["lag"])
 
 
-def summary(spark, d, overrides, variants=None):
-    r, v = run(spark, d, overrides, variants)
-    t = L.tearsheet(r, YEAR, ddof=1).join(v.select("variant", "dim"), "variant")
-    master = t.where("variant = 'master'").select(F.col("sharpe").alias("base"))
-    return rounded(t.crossJoin(master).withColumn("delta", F.col("sharpe") - F.col("base")).select("variant", "dim", "sharpe", "max_dd", "delta"), "variant", "dim")
+def summary(spark, d, v):
+    return rounded(C.summary(run(spark, d, v), v, YEAR).select("variant", "dim", "n", "ann_ret", "sharpe", "max_dd", "trades_year", "costs", "delta"), "variant", "dim")
 
 
-for _name, _of in (("sw01_registry", V.one_at_a_time(AXES)), ("sw02_ablations", V.ablations({"cost": {"cost": 0.0}, "speed": {"fast": 16}, "cap": {"cap": 1000.0}})), ("sw05_cumulative", V.cumulative([("cost", {"cost": 0.0}), ("cap", {"cap": 1000.0}), ("lag", {"lag": 2})]))):
-    query(_name, ("bars_w",))(lambda spark, d, of=_of: V.registry(spark, DEFAULTS, of).join(summary(spark, d, of).select("variant", "sharpe", "delta"), "variant"))
+for _name, _of in (("sw01_registry", C.one_at_a_time()), ("sw02_ablations", C.ablations()), ("sw05_cumulative", C.cumulative(C.PATH))):
+    query(_name, CHAINED)(lambda spark, d, of=_of: summary(spark, d, variants(spark, of)))
 
+SPAN_LIST = (5, 10, 20, 40)
 
-@query("sw03_feature_library", ("bars_w",))
+
+@query("sw03_feature_library", ("bars_w",), "SELECT symbol, dt, span, round(v, 3) AS v FROM (" + " UNION ALL ".join(f"SELECT symbol, dt, {s} AS span, v FROM lib{s}" for s in SPAN_LIST) + ")", ", ".join(ewm_sql(f"lib{s}", "bars_w", "close", s) for s in SPAN_LIST))
 def _(spark, d):
-    return rounded(V.feature_library(P.bars_w(spark, d), [4, 8, 16, 32]), "symbol", "dt", "span")
+    return rounded(V.feature_library(P.bars_w(spark, d), list(SPAN_LIST)), "symbol", "dt", "span", digits=3)
 
 
-@query("sw04_run_variants", ("bars_w",))
+@query("sw04_run_variants", CHAINED)
 def _(spark, d):
-    return rounded(run(spark, d, V.one_at_a_time(AXES))[0], "variant", "dt", digits=9)
+    return rounded(run(spark, d, variants(spark, C.one_at_a_time())).select("variant", "dt", "ret", "trades"), "variant", "dt", digits=9)
 
 
-@query("st26_variant_summary", ("bars_w",))
+@query("st26_variant_summary", CHAINED)
 def _(spark, d):
-    return summary(spark, d, V.one_at_a_time(AXES))
+    return summary(spark, d, variants(spark, C.one_at_a_time()))
 
 
-@query("st25_fragility", ("bars_w",))
+@query("st25_fragility", CHAINED)
 def _(spark, d):
-    return V.fragility(summary(spark, d, V.one_at_a_time(AXES)))
+    return V.fragility(summary(spark, d, variants(spark, C.one_at_a_time())))
 
 
-@query("st23_hidden_damage", ("bars_w",))
+@query("st23_hidden_damage", CHAINED)
 def _(spark, d):
-    r, v = run(spark, d, V.one_at_a_time(AXES))
-    p = A.subperiods(r, periods(spark), YEAR)
+    p = A.subperiods(run(spark, d, variants(spark, C.one_at_a_time())), periods(spark), YEAR)
     base = p.where("variant = 'master'").select("name", F.col("sharpe").alias("base"))
     p = p.join(base, "name").select("variant", "name", (F.col("sharpe") - F.col("base")).alias("part_delta"))
     full = p.where("name = 'all'").select("variant", F.col("part_delta").alias("delta"))
     return rounded(V.hidden_damage(full, p.where("name <> 'all'")), "variant", "name")
 
 
-@query("st24_interaction", ("bars_w",))
+@query("st24_interaction", CHAINED)
 def _(spark, d):
-    s = summary(spark, d, {"cost=0.0": {"cost": 0.0}, "lag=2": {"lag": 2}, "both": {"cost": 0.0, "lag": 2}})
-    combos = s.where("variant = 'both'").select(F.col("variant").alias("combo"), "delta", F.array(F.lit("cost=0.0"), F.lit("lag=2")).alias("parts"))
+    """Every pair of what can be left out, against the sum of its parts."""
+    singles = {"costs": {"cost_mult": 0.0}, "smoothing": {"smooth_span": 0}, "overlays": C.OFF, "direction": {"vov_direction": 0}}
+    names = list(singles)
+    pairs = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]
+    s = summary(spark, d, variants(spark, {n: ("single", o) for n, o in singles.items()} | {f"{a}+{b}": ("pair", singles[a] | singles[b]) for a, b in pairs}))
+    combos = s.where("dim = 'pair'").select(F.col("variant").alias("combo"), "delta", F.split("variant", r"\+").alias("parts"))
     return rounded(V.interaction(combos, s.select("variant", "delta")), "combo")
 
 
-@query("sw06_random_params", ("bars_w",))
+@query("sw06_random_params", CHAINED)
 def _(spark, d):
-    p = V.random_params(spark, 100, 7, {"f": (4.0, 12.0, "log"), "s": (16.0, 64.0)})
-    v = p.select("variant", F.lit("random").alias("dim"), F.round("f").cast("int").alias("fast"), F.round("s").cast("int").alias("slow"), F.lit(20.0).alias("cap"), F.lit(1.0).alias("halflife"), F.lit(0.0005).alias("cost"), F.lit(1).alias("lag"))
-    s = summary(spark, d, {}, v.unionByName(V.registry(spark, DEFAULTS, {})))
+    v = C.random_variants(spark, 100, lambda row, k: uniform_sql(7, row, str(k)))
+    s = summary(spark, d, v.unionByName(variants(spark, {})))
     seen = s.where("variant = 'master'").select(F.col("sharpe").alias("seen"))
     return rounded(A.rank_vs_null(s.where("dim = 'random'").crossJoin(seen), "sharpe", F.col("seen")))
 
 
-@query("sw07_rounded_params", ("bars_w",))
+@query("sw07_rounded_params", CHAINED)
 def _(spark, d):
-    v = V.registry(spark, DEFAULTS, {"odd": {"fast": 7, "slow": 29}})
-    parts = v.unionByName(V.rounded_params(v.where("variant = 'odd'"), "power").withColumn("variant", F.lit("power"))).unionByName(V.rounded_params(v.where("variant = 'odd'"), "grid").withColumn("variant", F.lit("grid")))
-    return summary(spark, d, {}, parts)
+    """The identity, rounded and scrambled parameters: a scramble takes each choice from its values by hash."""
+    pick = lambda k: {n: x[(7919 * (k + 1) + 104729 * i) % len(x)] for i, (n, x) in enumerate(C.CHOICES.items())}
+    of = {"identity": ("identity", C.IDENTITY), "rounded": ("rounded", C.rounded(C.DEFAULTS))} | {f"scramble{k}": ("scramble", pick(k)) for k in range(8)}
+    return summary(spark, d, variants(spark, of))
 
 
 def scores(spark, d):
@@ -361,7 +417,10 @@ def _(spark, d):
     return j.select("variant", "dt", (F.round("ret", 9) + 0.0).alias("ret"))
 
 
-@query("sw10_add_noise", ("bars_h",))
+SCORED = f"sn AS (SELECT symbol, dt, rn, score, stddev_samp(score) OVER (PARTITION BY symbol) AS sd FROM (SELECT symbol, dt, row_number() {AT} AS rn, round(coalesce(close - lag(close) {AT}, 0), 6) AS score FROM bars_h))"
+
+
+@query("sw10_add_noise", ("bars_h",), f"SELECT symbol, dt, level, round(greatest(least(score + level * sd * {normal_ppf_sql('u')}, 20), -20), 6) + 0.0 AS score FROM (SELECT *, {uniform_sql(11, 'rn', 'cast(level * 1000 as bigint)')} AS u FROM sn CROSS JOIN (SELECT unnest([0.1::DOUBLE, 0.25, 0.5, 1.0]) AS level))", SCORED)
 def _(spark, d):
     return rounded(V.add_noise(scores(spark, d), "score", [0.1, 0.25, 0.5, 1.0], 11).select("symbol", "dt", "level", "score"), "symbol", "dt", "level")
 
@@ -371,9 +430,6 @@ def _(spark, d):
     return V.scale_scores(scores(spark, d), "score", [0.5, 1.0, 2.0]).select("symbol", "dt", "k", "score")
 
 
-from strandmill.operators.bootstrap import hash_sql  # noqa: E402
-
-
 @query("sw12_shuffle_scores", ("bars_h",), "SELECT o.draw, o.symbol, o.dt, n.score FROM (SELECT draw, symbol, dt, row_number() OVER (PARTITION BY draw, symbol ORDER BY rn) AS place FROM sd) o JOIN (SELECT draw, symbol, score, row_number() OVER (PARTITION BY draw, symbol ORDER BY " + hash_sql(5, "rn", "draw") + ", rn) AS place FROM sd) n USING (draw, symbol, place)", f"sd AS (SELECT symbol, dt, rn, score, draw FROM (SELECT symbol, dt, row_number() {AT} AS rn, round(coalesce(close - lag(close) {AT}, 0), 6) AS score FROM bars_h) CROSS JOIN (SELECT unnest([0, 1, 2]) AS draw))")
 def _(spark, d):
     return V.shuffle_scores(scores(spark, d), "score", 3, 5)
@@ -384,19 +440,22 @@ def _(spark, d):
     return V.shuffle_scores(scores(spark, d), "score", 100, 5)
 
 
-@query("sw13_halflife_sweep", ("bars_w",))
+@query("sw12_noise_null", ("bars_h",))
+def _(spark, d):
+    return rounded(V.noise_scores(scores(spark, d), "score", 100, 6), "draw", "symbol", "dt")
+
+
+@query("sw13_halflife_sweep", CHAINED)
+def _(spark, d):
+    return summary(spark, d, variants(spark, {f"span{x}": ("half-life", {"smooth_span": x}) for x in (0, 2, 5, 10, 20)}))
+
+
+@query("sw13_direction_sweep", CHAINED)
 def _(spark, d):
-    b = bars(spark, d)
-    c = G.crossover(b, 8, 32).withColumn("raw", F.coalesce("raw", F.lit(0.0)))
-    out = None
-    for h in (1.0, 2.0, 5.0):
-        s = B.smooth(c, "raw", "score", halflife=h).join(b.select("symbol", "dt", "ret"), ["symbol", "dt"])
-        s = s.withColumn("made", F.lag("score").over(O.series()) * F.col("ret")).groupBy("dt").agg(F.avg("made").alias("ret")).where("ret IS NOT NULL").withColumn("variant", F.lit(f"halflife={h}"))
-        out = s if out is None else out.unionByName(s)
-    return rounded(T.moments(out).select("variant", "n", (F.col("mean") / F.col("sd")).alias("sr")), "variant")
+    return summary(spark, d, variants(spark, {f"direction{x}": ("direction", {"vov_direction": x}) for x in (0, 4, 8, 26, 52)}))
 
 
-@query("sw14_cost_sweep", ("bars_h",))
+@query("sw14_cost_sweep", ("bars_h",), "SELECT mult, round(sum(pnl + (1 - mult) * commission), 6) + 0.0 AS pnl FROM bk CROSS JOIN (SELECT unnest([0.0::DOUBLE, 1.0, 2.0, 3.0]) AS mult) GROUP BY 1", TARGET + HELD)
 def _(spark, d):
     b = book(spark, d)
     g = spark.range(4).select(F.col("id").cast("double").alias("mult"))

@@ -12,6 +12,7 @@ from strandmill.operators import recursive as R
 from strandmill.operators import windows as O
 from strandmill.plans.registry import query, rounded
 from strandmill.sources import panels as P
+from strandmill.sources.sinks import save, scratch
 
 K = ("symbol", "dt")
 AT = "OVER (PARTITION BY symbol ORDER BY dt)"
@@ -40,6 +41,27 @@ def _(spark, d):
     return P.bars_w(spark, d)
 
 
+@query("src01_read_bars", ("bars_w",), "SELECT symbol, dt, high AS open, high, low, close, volume, open_interest, NULL::VARCHAR AS contract FROM bars_w")
+def _(spark, d):
+    """Bars written as CSV, a folder a symbol, and read back by the typed reader."""
+    path = scratch(spark, "bars-csv")
+    P.bars_w(spark, d).select("symbol", *(F.col("high").alias(c) if c == "open" else F.lit(None).cast("string").alias(c) if c == "contract" else F.col(c) for c in P.BARS.fieldNames()[1:])).write.partitionBy("symbol").option("header", True).csv(path)
+    return P.read_bars(spark, path)
+
+
+CODED = "SELECT 'S' || regexp_extract(symbol, '([0-9]+)', 1) AS symbol, (1990 + expiry) || substr('FGHJKMNQUVXZ', 1 + expiry % 12, 1) AS contract, dt, close, volume, open_interest FROM contracts_w"
+
+
+@query("src02_read_contracts", ("contracts_w",), CODED)
+def _(spark, d):
+    """Contract files as CSV, a folder SYM-YYYYM a contract, and read back: names give symbol and contract."""
+    path = scratch(spark, "contracts-csv")
+    code = F.concat(F.lit("S"), F.regexp_extract("symbol", "([0-9]+)", 1), F.lit("-"), (1990 + F.col("expiry")).cast("string"), F.substring(F.lit("FGHJKMNQUVXZ"), (1 + F.col("expiry") % 12).cast("int"), F.lit(1)))
+    c = P.contracts_w(spark, d).select(code.alias("code"), F.date_format("dt", "yyyyMMdd").alias("Date"), F.col("close").alias("Close"), F.col("volume").alias("Volume"), F.col("open_interest").alias("Open Interest"))
+    c.write.partitionBy("code").option("header", True).csv(path)
+    return P.read_contracts(spark, path)
+
+
 @query("src02_contracts", ("contracts_w",), "SELECT * FROM contracts_w")
 def _(spark, d):
     return P.contracts_w(spark, d)
@@ -175,9 +197,10 @@ def _(spark, d):
 CHAIN = "chain AS (SELECT symbol, expiry AS e1, lead(expiry) OVER w AS e2, lead(expiry, 2) OVER w AS e3 FROM (SELECT DISTINCT symbol, expiry FROM contracts_w) WINDOW w AS (PARTITION BY symbol ORDER BY expiry)), ts AS (SELECT f.symbol, f.dt, f.front AS e1, a.close AS c1, b.close AS c2, c.close AS c3, (e2 - e1)::DOUBLE AS years12, (e3 - e1)::DOUBLE AS years13 FROM front_w f LEFT JOIN chain h ON h.symbol = f.symbol AND h.e1 = f.front LEFT JOIN contracts_w a ON a.symbol = f.symbol AND a.expiry = f.front AND a.dt = f.dt LEFT JOIN contracts_w b ON b.symbol = f.symbol AND b.expiry = h.e2 AND b.dt = f.dt LEFT JOIN contracts_w c ON c.symbol = f.symbol AND c.expiry = h.e3 AND c.dt = f.dt)"
 
 
-def term(spark, d):
-    b = P.bars_w(spark, d)
-    return J.term_structure(b, P.front_w(b), P.contracts_w(spark, d))
+def term(spark, d, b=None):
+    """The chain of contracts; contracts, which are joined for each place in it, are written once."""
+    b = P.bars_w(spark, d) if b is None else b
+    return J.term_structure(b, P.front_w(b), save(P.contracts_w(spark, d), "contracts"))
 
 
 @query("jn06_term_structure", ("front_w", "contracts_w"), "SELECT * FROM ts", CHAIN)
@@ -318,7 +341,22 @@ def _(spark, d):
     return s.select(V, "dt", "target", F.array_join(F.transform("window", lambda v: F.round(v * 1000000).cast("long").cast("string")), ",").alias("win"))
 
 
-@query("wn18_roll_hurst", ("strategies",))
+def hurst_sql(table: str, by: str, window: int = 64, step: int = 10, chunks: tuple = (8, 16, 32)) -> str:
+    """Tables up to hursts(by, dt, hurst) over (by, dt, ret)."""
+    return (
+        f"hr AS (SELECT {by}, dt, ret, row_number() OVER (PARTITION BY {by} ORDER BY dt) AS rn FROM {table}), "
+        f"an AS (SELECT {by}, rn AS anchor FROM hr WHERE rn >= {window} AND rn % {step} = 0), "
+        f"ck AS (SELECT {by}, anchor, chunk, k FROM an CROSS JOIN (SELECT unnest({list(chunks)}) AS chunk) c CROSS JOIN (SELECT unnest(range({window})) AS k) r WHERE (k + 1) * chunk <= {window}), "
+        f"cv0 AS (SELECT c.{by}, anchor, chunk, k, h.rn, h.ret, avg(h.ret) OVER (PARTITION BY c.{by}, anchor, chunk, k) AS mean FROM ck c JOIN hr h ON h.{by} = c.{by} AND h.rn > anchor - {window} + k * chunk AND h.rn <= anchor - {window} + (k + 1) * chunk), "
+        f"cv1 AS (SELECT *, sum(ret - mean) OVER (PARTITION BY {by}, anchor, chunk, k ORDER BY rn) AS dev FROM cv0), "
+        f"rs AS (SELECT {by}, anchor, chunk, k, (max(dev) - min(dev)) / nullif(stddev_pop(ret), 0) AS rs FROM cv1 GROUP BY 1, 2, 3, 4), "
+        f"hl AS (SELECT {by}, anchor, chunk, ln(avg(rs)) AS ly, ln(chunk::DOUBLE) AS lx FROM rs WHERE rs > 0 GROUP BY 1, 2, 3), "
+        f"hh AS (SELECT {by}, anchor AS rn, regr_slope(ly, lx) AS h FROM hl GROUP BY 1, 2), "
+        f"hursts AS (SELECT hr.{by}, hr.dt, last_value(h IGNORE NULLS) OVER (PARTITION BY hr.{by} ORDER BY hr.rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hurst FROM hr LEFT JOIN hh ON hh.{by} = hr.{by} AND hh.rn = hr.rn)"
+    )
+
+
+@query("wn18_roll_hurst", ("strategies",), "SELECT variant, dt, round(hurst, 6) + 0.0 AS hurst FROM hursts", hurst_sql("strategies", "variant"))
 def _(spark, d):
     return rounded(O.roll_hurst(P.strategies(spark, d), "ret", 64, 10, (8, 16, 32), by=V).select(V, "dt", "hurst"), V, "dt")
 
@@ -393,23 +431,46 @@ def _(spark, d):
     return rounded(R.ewm_var0(b, "dp", "x", span=8).select(*K, "x"), *K)
 
 
-@query("rc06_deadband", ("bars_w",))
+DEADBAND = f"dn AS (SELECT symbol, dt, close / 100 AS target, row_number() {AT} AS i FROM bars_w), db AS (SELECT symbol, i, CASE WHEN abs(target) > greatest(0.1 * abs(target), 0.5) THEN round(target) ELSE 0.0 END AS held FROM dn WHERE i = 1 UNION ALL SELECT t.symbol, t.i, CASE WHEN abs(t.target - h.held) > greatest(0.1 * abs(t.target), 0.5) THEN round(t.target) ELSE h.held END FROM db h JOIN dn t ON t.symbol = h.symbol AND t.i = h.i + 1)"
+
+
+@query("rc06_deadband", ("bars_w",), "SELECT symbol, dt, held FROM dn JOIN db USING (symbol, i)", DEADBAND)
 def _(spark, d):
     b = P.bars_w(spark, d).select(*K, (F.col("close") / 100).alias("target"))
     return R.deadband(b, "target", "held").select(*K, "held")
 
 
 def regimes(spark, d):
-    """Posterior of the second regime; each regime's moments are of the calm and wild halves of a trailing year, held between refits."""
+    """Posterior of the second regime over 20 rows; each regime has moments of its own, of a trailing year, held between refits."""
     b = P.bars_w(spark, d).withColumn("ret", O.pct_change("close")).where("ret IS NOT NULL")
-    b = b.withColumn("m1", O.roll_mean("ret", 52, 20)).withColumn("s1", O.roll_std("ret", 52, 20))
-    b = R.hold_refit(b, ["m1", "s1"], 8)
-    s = F.greatest(F.col("s1"), F.lit(1e-6))
-    post = R.regime_posterior(F.col("ret"), {"mean1": F.col("m1"), "sd1": 0.6 * s, "mean2": F.col("m1"), "sd2": 1.4 * s, "stay": F.lit(0.95)}, 20)
+    b = R.hold_refit(R.split_moments(b, "ret", 52, 20), ["m1", "s1", "m2", "s2"], 8)
+    sd = lambda c: F.greatest(F.col(c), F.lit(1e-6))
+    post = R.regime_posterior(F.col("ret"), {"mean1": F.col("m1"), "sd1": sd("s1"), "mean2": F.col("m2"), "sd2": sd("s2"), "stay": F.lit(0.95)}, 20)
     return b.withColumn("posterior", F.when(F.col("s1").isNotNull(), post))
 
 
-@query("rc07_regime_posterior", ("bars_w",))
+def _density(k: int) -> str:
+    return f"(-ln(v.sd{k}) - 0.5 * power((r.ret - v.m{k}) / v.sd{k}, 2))"
+
+
+def _either(a: str, b: str) -> str:
+    return f"(greatest({a}, {b}) + ln(1 + exp(-abs(({a}) - ({b})))))"
+
+
+_A, _B = (_either(f"f.{x} + ln(0.95::DOUBLE)", f"f.{y} + ln(0.05::DOUBLE)") for x, y in ("ab", "ba"))
+REGIMES = (
+    f"g0 AS (SELECT *, row_number() {AT} AS n FROM (SELECT symbol, dt, close / nullif(lag(close) {AT}, 0) - 1 AS ret FROM bars_w) WHERE ret IS NOT NULL), "
+    f"g1 AS (SELECT *, list_sort(list(ret) {last(52)}) AS a FROM g0), "
+    "g2 AS (SELECT *, CASE WHEN len(a) >= 20 AND n % 8 = 0 THEN {'m1': list_aggregate(a, 'quantile_cont', 0.25), 's1': list_aggregate(a[1:len(a) // 2], 'stddev_pop'), 'm2': list_aggregate(a, 'quantile_cont', 0.75), 's2': list_aggregate(a[len(a) - len(a) // 2 + 1:len(a)], 'stddev_pop')} END AS q FROM g1), "
+    f"g3 AS (SELECT symbol, dt, n, ret, last_value(q IGNORE NULLS) {last(None)} AS q FROM g2), "
+    "g4 AS (SELECT symbol, dt, n, q.m1 AS m1, q.m2 AS m2, greatest(q.s1, 0.000001) AS sd1, greatest(q.s2, 0.000001) AS sd2 FROM g3 WHERE q IS NOT NULL), "
+    "fw AS (SELECT symbol, n, greatest(n - 20, 0) AS i, ln(0.5::DOUBLE) AS a, ln(0.5::DOUBLE) AS b FROM g4 "
+    f"UNION ALL SELECT symbol, n, i, a - {_either('a', 'b')}, b - {_either('a', 'b')} FROM (SELECT f.symbol, f.n, f.i + 1 AS i, {_A} + {_density(1)} AS a, {_B} + {_density(2)} AS b FROM fw f JOIN g4 v ON v.symbol = f.symbol AND v.n = f.n JOIN g3 r ON r.symbol = f.symbol AND r.n = f.i + 1 WHERE f.i < f.n)), "
+    "posts AS (SELECT g3.symbol, g3.dt, g3.n, exp(fw.b) AS posterior, q.m1 AS m1, q.m2 AS m2, ret FROM g3 LEFT JOIN fw ON fw.symbol = g3.symbol AND fw.n = g3.n AND fw.i = g3.n)"
+)
+
+
+@query("rc07_regime_posterior", ("bars_w",), "SELECT symbol, dt, round(posterior, 6) + 0.0 AS posterior FROM posts", REGIMES)
 def _(spark, d):
     return rounded(regimes(spark, d).select(*K, "posterior"), *K)
 
@@ -444,7 +505,12 @@ def _(spark, d):
     return rounded(X.pool_mean(P.bars_w(spark, d), ["close", "volume"]), "dt")
 
 
-@query("xs05_div_mult", ("bars_w",), "SELECT dt, n, round(1.0 / n, 6) AS weight, round(a.m + (b.m - a.m) * (n - a.n0) / nullif(b.n0 - a.n0, 0), 6) AS mult FROM (SELECT dt, count(*) AS n FROM bars_w GROUP BY 1) JOIN pts a ON a.n0 <= n JOIN pts b ON b.k = a.k + 1 AND n < b.n0", f"pts AS (SELECT row_number() OVER (ORDER BY n0) AS k, n0, m FROM (VALUES {', '.join(f'({n}, {m}::DOUBLE)' for n, m in X.MULTIPLIERS)}) t(n0, m))")
+#: Fixed values, as published: (series, multiplier), for SQL of its own; the last point stands for any larger number.
+POINTS = "(1, 1.0), (2, 1.20), (3, 1.48), (4, 1.56), (5, 1.70), (6, 1.90), (7, 1.98), (8, 2.11), (9, 2.18), (10, 2.24), (15, 2.53), (20, 2.87), (25, 3.01), (30, 3.12), (40, 3.27), (50, 3.39), (60, 3.47), (70, 3.54), (100, 3.75), (200, 4.0), (1000000000, 4.0)"
+PTS = f"pts0 AS (SELECT n0::DOUBLE AS n0, m::DOUBLE AS m FROM (VALUES {POINTS}) t(n0, m)), pts AS (SELECT n0, m, lead(n0) OVER (ORDER BY n0) AS n1, lead(m) OVER (ORDER BY n0) AS m1 FROM pts0)"
+
+
+@query("xs05_div_mult", ("bars_w",), "SELECT dt, n, round(1.0 / n, 6) AS weight, round(m + (m1 - m) * (n - n0) / (n1 - n0), 6) AS mult FROM (SELECT dt, count(*) AS n FROM bars_w GROUP BY 1) JOIN pts ON n >= n0 AND n < n1", PTS)
 def _(spark, d):
     return rounded(X.div_mult(P.bars_w(spark, d)), "dt", "n")
 
@@ -455,7 +521,15 @@ def factor_table(spark, d):
     return b.select("symbol", F.explode(F.array(F.struct(F.lit("f0").alias("factor"), F.lit(1.0).alias("loading")), F.struct(F.lit("f1").alias("factor"), F.col("v").alias("loading")))).alias("x")).select("symbol", "x.factor", "x.loading")
 
 
-@query("xs06_residualise", ("bars_w",))
+FACTORS = (
+    f"rt AS (SELECT * FROM (SELECT symbol, dt, close / nullif(lag(close) {AT}, 0) - 1 AS ret FROM bars_w) WHERE ret IS NOT NULL), "
+    "ld AS (SELECT symbol, round(avg(volume) / 100, 4) AS v FROM bars_w GROUP BY 1), "
+    "gm AS (SELECT count(*) + 0.000001 AS a, sum(v) AS b, sum(v * v) + 0.000001 AS c FROM ld), "
+    "pj AS (SELECT dt, sum(ret) AS s0, sum(ret * v) AS s1 FROM rt JOIN ld USING (symbol) GROUP BY 1)"
+)
+
+
+@query("xs06_residualise", ("bars_w",), "SELECT symbol, dt, round(ret - ((c * s0 - b * s1) + (a * s1 - b * s0) * v) / (a * c - b * b), 6) + 0.0 AS residual FROM rt JOIN ld USING (symbol) JOIN pj USING (dt) CROSS JOIN gm", FACTORS)
 def _(spark, d):
     b = P.bars_w(spark, d).withColumn("ret", O.pct_change("close")).where("ret IS NOT NULL")
     return rounded(X.residualise(b.select(*K, "ret"), factor_table(spark, d)), *K)
@@ -497,9 +571,24 @@ def _(spark, d):
     return rounded(X.propagate(returns10(spark, d).where("x IS NOT NULL"), X.degree_norm(edge_table(spark, d)), "x"), *K)
 
 
-@query("xs11_ensemble_edges", ("bars_w",))
+SPANS, EVERY = (26, 52, 104), 26
+TRAILING = (
+    "days AS (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS t FROM (SELECT DISTINCT dt FROM bars_w)), "
+    f"refits AS (SELECT t, dt AS refit FROM days WHERE t >= {max(SPANS)} AND (t - {max(SPANS)}) % {EVERY} = 0), "
+    "moves AS (SELECT a.dt, a.symbol AS i, b.symbol AS j, a.x * b.p - b.x * a.p AS a FROM w4 a JOIN w4 b ON a.dt = b.dt AND a.symbol < b.symbol WHERE a.p IS NOT NULL AND b.p IS NOT NULL AND a.x IS NOT NULL AND b.x IS NOT NULL), "
+    f"held AS (SELECT refit, span, i, j, sum(a) / 2 AS area FROM refits r CROSS JOIN (SELECT unnest({list(SPANS)}) AS span) s JOIN days d ON d.t >= r.t - s.span AND d.t < r.t JOIN moves m ON m.dt = d.dt GROUP BY 1, 2, 3, 4 HAVING count(*) / span >= 0.7), "
+    "both_ways AS (SELECT refit, span, i, j, area AS v FROM held UNION ALL SELECT refit, span, j, i, -area FROM held), "
+    "far AS (SELECT a.refit, a.span, a.i, b.i AS j, sum((a.v - b.v) * (a.v - b.v)) AS d FROM both_ways a JOIN both_ways b ON a.refit = b.refit AND a.span = b.span AND a.j = b.j AND a.i < b.i GROUP BY 1, 2, 3, 4), "
+    "near AS (SELECT refit, i, j, avg(1 / (1 + d / most)) AS w FROM (SELECT *, max(d) OVER (PARTITION BY refit, span) AS most FROM far) GROUP BY 1, 2, 3), "
+    "ens_edges AS (SELECT refit, i AS src, j AS dst, w FROM near UNION ALL SELECT refit, j, i, w FROM near)"
+)
+
+
+def trailing_edges(spark, d):
+    """Areas are read three times and edges twice, so both are written."""
+    return save(X.ensemble_edges(save(X.trailing_areas(returns10(spark, d), "x", list(SPANS), EVERY), "areas")), "edges")
+
+
+@query("xs11_ensemble_edges", ("bars_w",), "SELECT refit, src, dst, round(w, 6) AS w FROM ens_edges", AREA + ", " + TRAILING)
 def _(spark, d):
-    r = returns10(spark, d).withColumn("back", F.row_number().over(W.partitionBy("symbol").orderBy(F.col("dt").desc())))
-    windows = [r.where(F.col("back") <= n) for n in (52, 104, 208)]
-    parts = [X.pair_similarity(X.levy_area(x, "x")).withColumn("coverage", F.lit(1.0)) for x in windows]
-    return rounded(X.ensemble_edges(parts), "src", "dst")
+    return rounded(trailing_edges(spark, d), "refit", "src", "dst")

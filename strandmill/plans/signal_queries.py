@@ -10,9 +10,10 @@ from strandmill.operators import joins as J
 from strandmill.operators import recursive as R
 from strandmill.operators import signals as G
 from strandmill.operators import windows as O
-from strandmill.plans.panel_queries import AT, CHAIN, DISP, EVENTS, MONTHS, PAIRS, SEASON, edge_table, last, leaders, monthly, term
+from strandmill.plans.panel_queries import AREA, AT, CHAIN, DISP, EVENTS, MONTHS, PAIRS, REGIMES, SEASON, TRAILING, hurst_sql, last, leaders, monthly, regimes, term, trailing_edges
 from strandmill.plans.registry import query, rounded
 from strandmill.sources import panels as P
+from strandmill.sources.sinks import save
 
 K = ("symbol", "dt")
 N, LEAST = 52, 26  # of forecast scalars
@@ -184,6 +185,8 @@ def _(spark, d):
     return rounded(P.bars_w(spark, d).select(*K, B.liquidity_weight("close", "volume").alias("x")), *K)
 
 
+HURST = f"hret AS (SELECT * FROM (SELECT symbol, dt, close / nullif(lag(close) {AT}, 0) - 1 AS ret FROM bars_w) WHERE ret IS NOT NULL), " + hurst_sql("hret", "symbol")
+
 # --- signals ---------------------------------------------------------------------------------------------------------
 
 
@@ -204,11 +207,7 @@ def ensemble_sql(x: str = "close", source: str = "b", by_vol: bool = True, gain:
     return parts + f", ens AS (SELECT symbol, dt, (a.forecast + b.forecast + c.forecast) * {gain / 3!r} AS raw FROM ef0 a JOIN ef1 b USING (symbol, dt) JOIN ef2 c USING (symbol, dt))"
 
 
-def trend(spark, d):
-    return G.ensemble(bars(spark, d), SPEEDS, N, LEAST)
-
-
-signal("sg04_ensemble", trend, ("bars_w",), "SELECT * FROM ens", BASE + ", " + ensemble_sql())
+signal("sg04_ensemble", lambda s, d: G.ensemble(bars(s, d), SPEEDS, N, LEAST), ("bars_w",), "SELECT * FROM ens", BASE + ", " + ensemble_sql())
 NORM = f"np AS (SELECT *, sum(coalesce(dp / nullif(vol, 0), 0)) {last(None)} AS np FROM b)"
 signal("sg05_normalized_momentum", lambda s, d: G.normalized_momentum(bars(s, d), SPEEDS, N, LEAST), ("bars_w",), "SELECT * FROM ens", f"{BASE}, {NORM}, " + ensemble_sql("np", "np", False, 1.0))
 signal("sg06_anchored_momentum", lambda s, d: G.anchored_momentum(bars(s, d), (4, 8, 13, 26, 52), 52), ("bars_w",), "SELECT symbol, dt, (" + " + ".join(f"(close / nullif(lag(close, {h}) {AT}, 0) - 1) / sqrt({h} / 52.0::DOUBLE)" for h in (4, 8, 13, 26, 52)) + ") / 5 AS raw FROM bars_w")
@@ -269,35 +268,73 @@ def rec_sql(name: str, span: int) -> str:
 
 
 signal("sg39_lead_lag", lambda s, d: G.lead_lag(bars(s, d), leaders(s, d), 5, 20, 52, 20, 2), ("bars_w", "instruments"), f"SELECT follower AS symbol, dt, avg(x * sign) AS raw FROM (SELECT symbol AS leader, dt, lag(z, 2) {AT} AS x FROM (SELECT symbol, dt, CASE WHEN count(g) {last(52)} >= 20 THEN (g - avg(g) {last(52)}) / nullif(stddev_samp(g) {last(52)}, 0) END AS z FROM (SELECT f.symbol, f.dt, f.v - s.v AS g FROM lf f JOIN ls s USING (symbol, dt)))) JOIN pairs USING (leader) GROUP BY 1, 2", f"{PAIRS}, {rec_sql('lf', 5)}, {rec_sql('ls', 20)}")
-signal("sg40_hurst_trend", lambda s, d: G.hurst_trend(bars(s, d), trend(s, d), 64, 10, (8, 16, 32)), ("bars_w",))
-signal("sg41_vol_managed", lambda s, d: G.vol_managed(bars(s, d), trend(s, d), 8, 52), ("bars_w",), f"SELECT symbol, dt, raw * CASE WHEN count(ret) {last(52)} >= 8 THEN greatest(least(stddev_samp(ret) {last(52)} / nullif(CASE WHEN count(ret) {last(8)} >= 8 THEN stddev_samp(ret) {last(8)} END, 0), 2.0), 0.5) END AS raw FROM ens JOIN b USING (symbol, dt)", BASE + ", " + ensemble_sql())
+signal("sg40_hurst_trend", lambda s, d: G.hurst_trend(bars(s, d), SPEEDS, N, LEAST, 64, 10, (8, 16, 32)), ("bars_w",), "SELECT symbol, dt, CASE WHEN hurst IS NOT NULL THEN raw * greatest(least((hurst - 0.45) / (0.55 - 0.45), 1), 0) END AS raw FROM ens JOIN hursts USING (symbol, dt)", f"{BASE}, {ensemble_sql()}, {HURST}")
+signal("sg41_vol_managed", lambda s, d: G.vol_managed(bars(s, d), SPEEDS, N, LEAST, 8, 52), ("bars_w",), f"SELECT symbol, dt, raw * CASE WHEN count(ret) {last(52)} >= 8 THEN greatest(least(stddev_samp(ret) {last(52)} / nullif(CASE WHEN count(ret) {last(8)} >= 8 THEN stddev_samp(ret) {last(8)} END, 0), 2.0), 0.5) END AS raw FROM ens JOIN b USING (symbol, dt)", BASE + ", " + ensemble_sql())
 
 
 def regime_signal(spark, d):
-    from strandmill.plans.panel_queries import regimes
-
+    """The next return expected, by the mean of each regime, over its usual size."""
     r = regimes(spark, d)
-    return G.raw(r, S.ratio((1 - F.col("posterior")) * F.col("m1") - F.col("posterior") * F.col("m1"), F.col("s1")))
+    return G.raw(r, S.ratio((1 - F.col("posterior")) * F.col("m1") + F.col("posterior") * F.col("m2"), O.roll_std("ret", 52, 20)))
 
 
-signal("sg42_regime", regime_signal, ("bars_w",))
+signal("sg42_regime", regime_signal, ("bars_w",), f"SELECT symbol, dt, ((1 - posterior) * m1 + posterior * m2) / nullif(CASE WHEN count(ret) {last(52)} >= 20 THEN stddev_samp(ret) {last(52)} END, 0) AS raw FROM posts", REGIMES)
 
 
 def network_signal(spark, d):
     from strandmill.operators.cross_section import degree_norm
 
-    return G.network(bars(spark, d), degree_norm(edge_table(spark, d)), (4, 8, 16))
+    return G.network(bars(spark, d), degree_norm(trailing_edges(spark, d), ("refit",)), OSCILLATORS)
 
 
-signal("sg43_network", network_signal, ("bars_w",))
-WEIGHTS = {"trend": 0.25, "carry": 0.25, "skew": 0.25, "vov": 0.25}
+#: The six speeds of the network's oscillators.
+OSCILLATORS = (1, 2, 3, 4, 5, 6)
+
 
+def oscillator_sql() -> str:
+    t = f"nn AS (SELECT symbol, dt, np AS x, row_number() {AT} AS n FROM np)"
+    part = lambda a: f"sum(power({1 - a!r}, t.n - i.n) * i.x * CASE WHEN i.n = 1 THEN 1 ELSE {a!r} END)"
+    cols = ", ".join(f"{part(1 / (2 * k))} - {part(1 / (2 * k * 4))} AS o{k}" for k in OSCILLATORS)
+    rows = " UNION ALL ".join(f"SELECT symbol, dt, {k} AS s, o{k} AS x FROM osc0" for k in OSCILLATORS)
+    return f"{t}, osc0 AS (SELECT t.symbol, t.dt, {cols} FROM nn t JOIN nn i ON i.symbol = t.symbol AND i.n <= t.n GROUP BY 1, 2), osc AS ({rows})"
 
-def parts(spark, d, b):
-    return {"trend": G.ensemble(b, SPEEDS, N, LEAST), "carry": G.carry(b, term(spark, d)), "skew": G.skew(b, 52, 20), "vov": G.vol_of_vol(b, 8, 20, 52, 13)}
+
+NETWORK = (
+    f"{BASE}, {NORM}, {oscillator_sql()}, {AREA}, {TRAILING}, dg AS (SELECT refit, src, sum(w) AS deg FROM ens_edges GROUP BY 1, 2), "
+    "nw AS (SELECT e.refit, e.src, e.dst, e.w / sqrt(a.deg * b.deg) AS w FROM ens_edges e JOIN dg a ON a.refit = e.refit AND a.src = e.src JOIN dg b ON b.refit = e.refit AND b.src = e.dst), "
+    "asof_refit AS (SELECT d.dt, (SELECT max(refit) FROM nw WHERE refit <= d.dt) AS refit FROM days d), "
+    "moved AS (SELECT nw.dst AS symbol, o.dt, o.s, sum(nw.w * o.x) AS x FROM osc o JOIN asof_refit USING (dt) JOIN nw ON nw.refit = asof_refit.refit AND nw.src = o.symbol GROUP BY 1, 2, 3 UNION ALL SELECT symbol, dt, s, x FROM osc JOIN asof_refit USING (dt) WHERE refit IS NULL)"
+)
+signal("sg43_network", network_signal, ("bars_w",), f"SELECT symbol, dt, avg({3 ** 0.75!r} * x * exp(-0.5 * x * x)) AS raw FROM moved GROUP BY 1, 2", NETWORK)
+WEIGHTS = {"trend": 0.25, "carry": 0.25, "skew": 0.25, "vov": 0.25}
 
 
-@query("sg44_composite", ("bars_w",))
+def with_signals(spark, d):
+    """Bars with the four signals. Bars, and the frame that the composite reads twice, are written."""
+    b = save(bars(spark, d), "bars")
+    return save(G.four_signals(b, term(spark, d, b), SPEEDS, N, LEAST), "signals")
+
+
+def composite_sql() -> str:
+    """Tables up to cs(symbol, dt, score)."""
+    names = list(WEIGHTS)
+    vov = f"SELECT symbol, dt, -(vv / nullif(CASE WHEN count(vv) {last(52)} >= 20 THEN avg(vv) {last(52)} END, 0) - 1) * {side(13)} AS raw FROM (SELECT *, CASE WHEN count(s) {last(20)} >= 8 THEN stddev_samp(s) {last(20)} END AS vv FROM (SELECT *, CASE WHEN count(ret) {last(8)} >= 8 THEN stddev_samp(ret) {last(8)} END AS s FROM b))"
+    # a row without a chain has no carry
+    own = {"trend": "SELECT * FROM ens", "carry": "SELECT b.symbol, b.dt, carry.raw FROM b LEFT JOIN carry USING (symbol, dt)", "skew": f"SELECT symbol, dt, -{SKEW} AS raw FROM b", "vov": vov}
+    parts = ", ".join(f"p_{n} AS ({forecast_of(q)})" for n, q in own.items())
+    four = "four AS (SELECT b.symbol, b.dt, b.close, b.vol, " + ", ".join(f"coalesce(p_{n}.forecast, 0) AS {n}" for n in names) + " FROM b " + " ".join(f"LEFT JOIN p_{n} USING (symbol, dt)" for n in names) + ")"
+    pool = "pool AS (SELECT dt, row_number() OVER (ORDER BY dt) AS n, " + ", ".join(f"avg({n}) AS {n}" for n in names) + " FROM four GROUP BY dt)"
+    p = f"power({1 - 2 / 21!r}, t.n - i.n)"
+    m = ", ".join(f"sum({p} * i.{c}) / sum({p}) AS {c}" for c in names) + ", " + ", ".join(f"sum({p} * i.{a} * i.{b}) / sum({p}) AS {a}_{b}" for k, a in enumerate(names) for b in names[k:])
+    pairs = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]
+    rho = ", ".join(f"({a}_{b} - {a} * {b}) / nullif(sqrt(greatest(({a}_{a} - {a} * {a}) * ({b}_{b} - {b} * {b}), 0)), 0) AS r{k}" for k, (a, b) in enumerate(pairs))
+    all_ = " + ".join(f"r{k}" for k in range(len(pairs)))
+    mult = f"mu AS (SELECT dt, CASE WHEN n >= 5 AND {all_} IS NOT NULL THEN greatest(least(1 / sqrt(greatest(0.25 + 2 * 0.0625 * ({all_}), 0.01)), 2), 1) ELSE 1 END AS mult FROM (SELECT dt, n, {rho} FROM (SELECT t.dt, t.n, {m} FROM pool t JOIN pool i ON i.n <= t.n GROUP BY 1, 2)))"
+    mixed = f"mx AS (SELECT four.*, greatest(least(greatest(least({' + '.join(f'{n} * 0.25' for n in names)}, 20), -20) * mult, 20), -20) AS mixed FROM four JOIN mu USING (dt))"
+    cs = f"cs AS (SELECT mx.symbol, mx.dt, coalesce(sm.v * {VOL_GATE} * {DD_GATE.replace('PARTITION BY symbol', 'PARTITION BY mx.symbol').replace('ORDER BY dt', 'ORDER BY mx.dt')}, 0) AS score FROM mx JOIN sm USING (symbol, dt))"
+    return f"{CARRY}, {ensemble_sql()}, {parts}, {four}, {pool}, {mult}, {mixed}, {ewm_sql('sm', 'mx', 'mixed', 0, 0.5)}, {cs}"
+
+
+@query("sg44_composite", CHAINED, "SELECT symbol, dt, round(score, 5) + 0.0 AS score FROM cs", composite_sql())
 def _(spark, d):
-    b = bars(spark, d)
-    return rounded(G.composite(b, parts(spark, d, b), WEIGHTS, N, LEAST), *K)
+    return rounded(G.composite(with_signals(spark, d), WEIGHTS, N, LEAST), *K, digits=5)

@@ -31,10 +31,10 @@ def read_bars(spark: SparkSession, path: str, fmt: str = "csv", columns: list[st
 
 
 def read_contracts(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Contract files named SYM-YYYYM: symbol and contract come from the name."""
+    """Contract files named SYM-YYYYM, or in folders whose names end so: symbol and contract come from the name."""
     schema = T.StructType([T.StructField("Date", T.StringType()), T.StructField("Close", T.DoubleType()), T.StructField("Volume", T.DoubleType()), T.StructField("Open Interest", T.DoubleType())])
     d = read(spark, path, fmt, schema if fmt == "csv" else None)
-    part = lambda k: F.regexp_extract(F.input_file_name(), r"([^/]+)-([0-9]{4}[A-Z])\.[^./]+$", k)
+    part = lambda k: F.regexp_extract(F.input_file_name(), r"([^/=]+)-([0-9]{4}[A-Z])(?:\.[^./]+|/[^/]+)$", k)
     return d.select(part(1).alias("symbol"), part(2).alias("contract"), F.to_date("Date", "yyyyMMdd").alias("dt"), F.col("Close").alias("close"), F.col("Volume").alias("volume"), F.col("Open Interest").alias("open_interest"))
 
 

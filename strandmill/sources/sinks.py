@@ -10,13 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; one of our own only where none is set."""
+    """A new path in the folder that all executors share; one of our own only where none is set and Spark runs on one machine."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def save(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read back: cuts the plan, and a lost executor costs one stage."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_variants(df: DataFrame, path: str, by: str = "variant") -> None:
     """Append variants that the table at path doesn't have yet, a partition each."""
     try:
