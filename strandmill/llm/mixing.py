@@ -155,23 +155,23 @@ def mix_sources(docs: DataFrame, *, weights: tuple = (5, 2, 1), share: float = 1
     edge = lambda b: F.floor((b * size) / n).cast("long")  # noqa: E731  where block b begins; the next one ends it
     shuffled = lambda x, m, tag: permuted(x, m, F.lit(seed + tag), F.col("k"))
 
-    def piece(b: Column, lap: int) -> Column:
-        rank = F.lit(lap) * n + shuffled(b, n, lap)
+    def ranked(lap: int):  # each permutation is evaluated once a block, as a field of what the next step maps over
+        return lambda b: F.struct(b.alias("block"), (F.lit(lap) * n + shuffled(b, n, lap)).alias("rank"), F.lit(lap).alias("lap"))
+
+    def piece(r: Column) -> Column:
+        b, rank, spot = r["block"], r["rank"], r["spot"]
         end = F.when(rank == q - 1, F.least(edge(b) + F.round("last").cast("long"), edge(b + 1))).otherwise(edge(b + 1))
         a, z = F.greatest(at, edge(b)), F.least(at + F.col("size"), end)
-        spot = shuffled(rank, q, 9)
         shard = F.size(F.filter("edges", lambda e: e <= spot)) - 1
-        place = F.xxhash64(F.lit(seed), spot, "hash")
-        return F.struct(shard.cast("int").alias("shard"), place.alias("place"), (a - at).alias("from_word"), F.when(rank < q, z - at).otherwise(a - at).alias("to_word"), F.lit(lap).alias("lap"))
-
-    def of_lap(lap: int):
-        return lambda b: piece(b, lap)
+        return F.struct(shard.cast("int").alias("shard"), F.xxhash64(F.lit(seed), spot, "hash").alias("place"), (a - at).alias("from_word"), (z - at).alias("to_word"), r["lap"].alias("lap"))
 
     first = F.floor(at * n / size).cast("long")  # blocks from one before the document's first to one after its last
     final = F.floor((at + F.col("size") - 1) * n / size).cast("long")
-    near = F.sequence(F.greatest(first - 1, F.lit(0)), F.least(final + 1, n - 1))
-    laps = F.concat(*(F.transform(near, of_lap(lap)) for lap in range(ceiling)))
-    pieces = F.when(F.col("size") > 0, F.filter(laps, lambda p: p["to_word"] > p["from_word"])).otherwise(F.filter(F.array(piece(F.lit(0).cast("long"), 0)), lambda p: F.lit(False)))
+    near = F.filter(F.sequence(F.greatest(first - 1, F.lit(0)), F.least(final + 1, n - 1)), lambda b: (edge(b) < at + F.col("size")) & (edge(b + 1) > at))
+    taken = F.filter(F.concat(*(F.transform(near, ranked(lap)) for lap in range(ceiling))), lambda r: r["rank"] < q)
+    spots = F.transform(taken, lambda r: F.struct(r["block"].alias("block"), r["rank"].alias("rank"), r["lap"].alias("lap"), shuffled(r["rank"], q, 9).alias("spot")))
+    found = F.filter(F.transform(spots, piece), lambda p: p["to_word"] > p["from_word"])
+    pieces = F.when(F.col("size") > 0, found).otherwise(F.array().cast("array<struct<shard:int,place:bigint,from_word:bigint,to_word:bigint,lap:int>>"))
     d = d.withColumn("pieces", pieces)
     return d.withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda t, p: t + p["to_word"] - p["from_word"])).select("doc_id", "source", "size", "source_size", "target", "taken", "pieces")
 

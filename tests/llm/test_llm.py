@@ -49,15 +49,47 @@ ALL = [
 
 @pytest.mark.parametrize("k", range(len(ALL)))
 def test_odd_rows_and_empty_tables(odd, empty, k):
-    assert ALL[k](odd).count() == len(ODD)
+    got = ALL[k](odd)
+    assert got.count() == len(ODD) and sorted(str(r["doc_id"]) for r in got.select("doc_id").collect()) == sorted(str(r[0]) for r in ODD)
     assert ALL[k](empty).count() == 0
 
 
-def test_stages_keep_columns_of_documents(spark, docs):
-    rows = docs.limit(60)
+#: Names that operators use inside; docs may have them too.
+CLASHES = ("lid_rejected", "lid_text", "c0", "mix_id", "times", "mixed_id", "key0", "key1", "rep", "best", "content", "k1")
+
+
+def test_stages_on_odd_rows_clashing_names_and_empty_tables(spark, odd, empty):
+    """Every stage by itself and the chain of all, on odd rows with clashing names: columns stay, rows are some of those given."""
+    def wide(d):
+        for c in CLASHES:
+            d = d.withColumn(c, F.lit(c))
+        return d
+
+    every, text = wide(odd), lambda r: (str(r["doc_id"]), r["text"])
+    given = {text(r) for r in every.collect()}
+    chain = every
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, rows, SF)
-        assert out.columns == docs.columns, name
+        for d in (every, chain):
+            out = stage(spark, d, SF)
+            rows = out.collect()
+            assert out.columns == every.columns and {text(r) for r in rows} <= given and all(r[c] == c for r in rows for c in CLASHES), name
+        assert stage(spark, wide(empty), SF).count() == 0, name
+        chain = common.save(out, name)
+    kept = {text(r) for r in corpus_pipeline.STAGES[1][1](spark, every, SF).collect()}
+    assert kept == {("1", None), ("4", LONG), ("7", "same  text here now and then"), ("8", "1234 5678 !!"), ("9", ODD[9][1]), ("None", "no id at all but text")} or kept == (kept - {("1", None)}) | {("3", " \t\n")}
+    assert corpus_pipeline.STAGES[-1][1](spark, wide(empty), SF).count() == 0 and chain.count() > 0
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    class Context:
+        master = "spark://some:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    session = type("Session", (), {"sparkContext": Context()})()
+    with pytest.raises(ValueError):
+        common.shared_dir(session)
 
 
 def test_word_and_shingle_hashes():
@@ -99,6 +131,25 @@ def test_personal_data_added_spans(spark):
     assert [(s["kind"], s["start"]) for s in got["base"]] == [(0, 56)]
 
 
+def test_prefixes_and_spans_apart(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.integers(0, 99, n).tolist()) for k, n in enumerate((0, 1, 255, 256, 257, 1000))]
+    d = spark.createDataFrame(rows, "k int, x array<bigint>").select("k", personal.prefixes(F.col("x"), lambda a, v: a + v, F.lit(0).cast("long")).alias("p"))
+    assert {r["k"]: r["p"] for r in d.collect()} == {k: (np.cumsum(x) - x).tolist() if x else [] for k, x in rows}
+    span = lambda n: [(int(kind), int(a), int(a + w), "h", "h") for kind, a, w in zip(rng.integers(0, 4, n), rng.integers(0, 400, n), rng.integers(1, 12, n), strict=True)]
+    rows = [(k, span(int(rng.integers(0, 40))), span(int(rng.integers(0, 25)))) for k in range(60)]
+    kind = "array<struct<kind:int,start:bigint,end:bigint,hit:string,around:string>>"
+    for r in spark.createDataFrame(rows, f"k int, a {kind}, b {kind}").select("a", "b", personal.apart(F.col("a"), F.col("b")).alias("c")).collect():
+        want = [s for s in r["a"] if not any(t["start"] < s["end"] and s["start"] < t["end"] for t in r["b"])]
+        assert sorted(map(tuple, r["c"])) == sorted(map(tuple, want))
+
+
+def test_personal_data_of_a_text_full_of_addresses(spark):
+    text = " ".join(f"u{k}@x.com 10.0.{k % 256}.1 ({k % 900 + 100}) 555-{k % 9000 + 1000}" for k in range(30_000))
+    got = personal.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.size("base").alias("n"), personal.listed(F.col("base")).alias("s")).first()
+    assert got["n"] == 60_000 and got["s"] == base_spans(text)
+
+
 def test_reliabilities_prefer_agreeing_labelers():
     p = personal.reliabilities({(0, "112212"): 50, (0, "002202"): 20, (0, "102222"): 3})
     assert p[0, "112212"] > 0.9 > 0.5 > p[0, "002202"]
@@ -320,6 +371,54 @@ def test_language_accuracy_held_out(spark, docs):
     assert np.mean([r["lang"] == r["lid_lang"] for r in got]) > 0.97 and np.mean([r["lid_rejected"] for r in got]) < 0.01
 
 
+def test_language_equals_brute_force(spark, docs):
+    """Features, frequencies and the nearest centroid again, from the centroids that were fitted."""
+    d = docs.where("doc_id < 400")
+    model = language.fit(d, per_language=10**6)
+    known = [r["text"] for r in d.where(~common.held_out(5) & F.col("lang").isNotNull() & language.has_letter()).collect()]
+
+    def grams(text):
+        b = re.sub(rb"[^a-z\x80-\xff]+", b" ", (text or "").lower().encode() if (text or "").isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()))
+        one, two, three = list(b), [x * 257 + y for x, y in zip(b, b[1:], strict=False)], [(x * 257 + y) * 257 + z for x, y, z in zip(b, b[1:], b[2:], strict=False)]
+        n = Counter([x * 40503 >> 4 & 4095 for x in one] + [x * 2654435761 >> 9 & 4095 for x in two] + [x * 2654435761 >> 11 & 4095 for x in three])
+        v = np.zeros(4096)
+        v[list(n)] = 1 + np.log(list(n.values()))
+        return v
+
+    seen = sum((grams(t) > 0).astype(int) for t in known)
+    idf = np.log((1 + len(known)) / (1 + seen)) + 1
+    assert np.allclose(model.idf, idf, atol=1e-5)
+    for r in language.identify(d, model).join(d.select("doc_id", "text"), "doc_id").collect():
+        v = grams(r["text"]) * idf
+        cos = model.centers @ (v / max(np.linalg.norm(v), 1e-12))
+        best = int(cos.argmax())
+        if any(c.isalpha() for c in r["text"] or ""):
+            assert abs(r["lid_score"] - min(max(cos[best], 0), 1)) < 1e-4 and (r["lid_lang"] == model.langs[best] or np.sort(cos)[-1] - np.sort(cos)[-2] < 1e-5)
+            assert r["lid_rejected"] == (cos[best] < model.least[best]) or abs(cos[best] - model.least[best]) < 1e-4
+        else:
+            assert (r["lid_lang"], r["lid_score"], r["lid_rejected"]) == ("und", 0, True)
+
+
+def test_permutations_are_keyed_and_one_to_one(spark):
+    for n in (1, 2, 3, 64, 100, 1000):
+        d = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(1), F.lit("a")).alias("a"), mixing.permuted(F.col("id"), F.lit(n), F.lit(1), F.lit("b")).alias("b")).collect()
+        one, two = [r["a"] for r in d], [r["b"] for r in d]
+        assert sorted(one) == sorted(two) == list(range(n))
+        if n >= 64:
+            assert one != two and len(Counter((y - x) % n for x, y in zip(one, one[1:], strict=False))) > n // 3  # no fixed stride
+
+
+def test_mix_does_not_depend_on_lanes(docs):
+    one, two = ({(r["doc_id"], r["taken"]) for r in mixing.mix_sources(docs, lane_rows=k).collect()} for k in (3, 20_000))
+    assert one == two
+
+
+def test_drawn_documents_come_near_their_targets(docs):
+    want = {r["source"]: r["target"] for r in mixing.mix_sources(docs).select("source", "target").distinct().collect()}
+    got = {r["source"]: r["words"] for r in mixing.draw_documents(docs).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("words")).collect()}
+    assert all(abs(got[s] - t) < 0.12 * t + 3000 for s, t in want.items()) and abs(sum(got.values()) - sum(want.values())) < 0.05 * sum(want.values())
+
+
 def test_mix_meets_targets(docs):
     got = mixing.mix_sources(docs).collect()
     by: dict = {}
@@ -381,6 +480,25 @@ def test_neighbours_recall_in_a_whole_block(spark, norms):
     assert len(hits) == 103 and np.mean(hits) / 20 >= 0.99
 
 
+def test_neighbours_on_given_vectors(spark):
+    v = common.table(spark, "/root/testdata/sf0.1", "embeddings")
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in v.collect() if r["embedding"] is not None}
+    ids = np.array(sorted(rows))
+    x = np.stack([rows[i] for i in ids])
+    for block in (8192, 700):  # one block and several
+        got = neighbours.nearest(v, block=block).toPandas()
+        hits = [len(set(g["vec_id"]) & set(ids[[k for k in np.lexsort((ids, -(x @ rows[q]))) if ids[k] != q][:20]])) for q, g in got.groupby("query_id")]
+        assert np.mean(hits) / 20 >= 0.9 and min(hits) >= 10
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [3.0, 0.0]), (20, [0.5]), (7, [2.0, 1.0]), (None, [9.0, 9.0]), (21, [0.0, 1.0]), (40, [0.25])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == [(20, 1, 40, 0.125), (40, 1, 20, 0.125)]  # the shortest vector asks, of vectors as long
+    got = neighbours.nearest(spark.createDataFrame(rows[:3] + rows[4:5], "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(20, 1, 20, 3.0), (20, 2, 7, 2.0), (20, 3, 20, 1.0)]
+
+
 def test_neighbours_of_few_vectors(spark):
     got = neighbours.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")).orderBy("rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 2, 1.0), (0, 2, 1, 0.0)]
@@ -393,44 +511,98 @@ def test_resample_separates_quality(spark):
     assert share[1] > 0.95 and share[0] < 0.5
 
 
+def test_resample_equals_brute_force(spark, docs):
+    """Weights again from counted buckets, keys from their hash, and the selection from sorted keys."""
+    import pyarrow as pa
+
+    d = docs.where("doc_id < 300")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(0, 300, 2)], "doc_id long, quality int")
+    texts = {r["doc_id"]: r["text"] or "" for r in d.collect()}
+    fold = lambda t: [re.sub("[A-Z]", lambda m: m.group().lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", t)]
+    word = {}
+    bucket = lambda g: word.setdefault(g, int(resample.grams(pa.array([" ".join(g)]))[0][-1]))  # noqa: E731  of a text of one gram, the last
+    grams = {i: [g for k, w in enumerate(fold(t)) for g in [(w,)]] + list(zip(fold(t), fold(t)[1:], strict=False)) for i, t in texts.items()}
+    raw, aimed = Counter(bucket(g) for gs in grams.values() for g in gs), Counter(bucket(g) for i, gs in grams.items() if i % 6 == 0 for g in gs)
+    size = resample.BUCKETS
+    ratio = lambda b: math.log((aimed[b] + 1) / (sum(aimed.values()) + size)) - math.log((raw[b] + 1) / (sum(raw.values()) + size))
+    got = {r["doc_id"]: r for r in resample.resample(d, labels).collect()}
+    for i, gs in grams.items():
+        assert got[i]["n_grams"] == len(gs) and abs(got[i]["log_weight"] - sum(ratio(bucket(g)) for g in gs)) < 1e-4
+    keys = sorted((r["gumbel_key"] for r in got.values()), reverse=True)
+    k = round(len(got) * labels.agg(F.avg("quality")).first()[0])
+    assert {i for i, r in got.items() if r["selected"]} == {i for i, r in got.items() if r["gumbel_key"] >= keys[k - 1]}
+
+
 def test_kth_largest(spark):
     d = spark.range(1000).select((F.pmod(F.col("id") * 37, F.lit(500))).cast("double").alias("x"))
     want = sorted((r["x"] for r in d.collect()), reverse=True)
     assert [resample.kth_largest(d, "x", k, at_once=100) for k in (1, 2, 333, 1000)] == [want[k - 1] for k in (1, 2, 333, 1000)] and resample.kth_largest(d, "x", 1001) is None
 
 
-def test_language_model_equals_brute_force(spark, docs):
-    d = docs.select("doc_id", "text").union(spark.createDataFrame([(10**6, None), (10**6 + 1, "A a a a b")], "doc_id long, text string"))
-    low = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
-    toks = {r["doc_id"]: [*re.findall(r"[^\x20\x09-\x0D]+", low(r["text"])), "</s>"] for r in d.collect()}
-    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in toks}
+def katz(toks, held):
+    """A Katz bigram model in plain Python: (chance of a word, chance of a word after a context, words)."""
     one, two = Counter(), {}
     for i, t in toks.items():
         if not held[i]:
             one.update(t)
             for a, b in zip(["<s>", *t], t, strict=False):
                 two.setdefault(a, Counter())[b] += 1
-    n, kinds = sum(one.values()), len(one)
-    count = lambda of, r: sum(v == r for v in of)
-    uni = language_model.Unigrams(n, kinds, [count(one.values(), r) for r in range(1, 7)])
-    every = [v for c in two.values() for v in c.values()]
-    cut = language_model.discounts([count(every, r) for r in range(1, 7)])
-    p1 = lambda w: float(uni.chance(np.array([one[w]]))[0])
-    assert abs(sum(map(p1, one)) + uni.left - 1) < 1e-9
-    hot, models = max(1000, n // (8 * 16)), {}
+    total = sum(one.values())
+
+    def cuts(counts):
+        n = [0, *(sum(v == r for v in counts) for r in range(1, 7))]
+        if n[1] and 6 * n[6] / n[1] < 1:
+            k = 6 * n[6] / n[1]
+            d = [((r + 1) * n[r + 1] / n[r] / r - k) / (1 - k) if n[r] else (1 - k) / (1 - k) for r in range(1, 6)]
+            if all(0 < x < 1 for x in d):
+                return d
+        c = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        return [(r - c) / r for r in range(1, 6)]
+
+    d1 = cuts(list(one.values()))
+    share = lambda v, d: d[v - 1] * v if v <= 5 else v
+    rare = any(v <= 5 for v in one.values())
+    p1 = {w: (share(v, d1) if rare else v) / (total + (not rare)) for w, v in one.items()}
+    left = 1 - sum(p1.values())
+    d2 = cuts([v for c in two.values() for v in c.values()])
+    after = {}
     for h, f in two.items():
-        size = sum(f.values())
-        below = size + (size > hot or all(v > 5 for v in f.values()))
-        seen = {w: (cut[v - 1] if v <= 5 else 1) * v / below for w, v in f.items()}
-        models[h] = seen, (1 - sum(seen.values())) / (1 - sum(map(p1, f)))
-    h = max(two, key=lambda x: len(two[x]))
-    seen, back = models[h]
-    assert abs(sum(seen.values()) + back * (sum(p1(w) for w in one if w not in seen) + uni.left) - 1) < 1e-9
+        size = sum(f.values()) + all(v > 5 for v in f.values())
+        seen = {w: share(v, d2) / size for w, v in f.items()}
+        after[h] = seen, (1 - sum(seen.values())) / (1 - sum(p1[w] for w in f))
+    word = lambda w: p1.get(w, left)
+
+    def next_word(h, w):
+        if h not in after:
+            return word(w)
+        seen, back = after[h]
+        return seen.get(w) or back * word(w)
+
+    return word, next_word, one
+
+
+def tokens_of(d):
+    low = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
+    toks = {r["doc_id"]: [*re.findall(r"[^\x20\x09-\x0D]+", low(r["text"])), "</s>"] for r in d.collect()}
+    return toks, {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in toks}
+
+
+#: Contexts that only frequent words follow, some of them long enough to be spread over keys.
+FIXED = [(10**6, None), (10**6 + 1, "A a a a b"), *((2 * 10**6 + k, "zig zag " * 40) for k in range(40)), *((3 * 10**6 + k, "hum hem " * 9) for k in range(3))]
+
+
+@pytest.mark.parametrize("tokens", [1_000_000, 3_000])
+def test_language_model_equals_brute_force(spark, docs, monkeypatch, tokens):
+    monkeypatch.setattr(language_model, "_BUCKET_TOKENS", tokens)
+    d = docs.select("doc_id", "text").union(spark.createDataFrame(FIXED, "doc_id long, text string"))
+    toks, held = tokens_of(d)
+    word, next_word, one = katz(toks, held)
+    n, kinds = sum(one.values()), len(one)
+    for h in ("zig", "the", "<s>"):
+        assert abs(sum(next_word(h, w) for w in one) + next_word(h, "never seen") - 1) < 1e-6
     for r in language_model.score_texts(d).collect():
-        t, want = toks[r["doc_id"]], 0.0
-        for a, w in zip(["<s>", *t], t, strict=False):
-            seen, back = models.get(a, ({}, 1.0))
-            want += math.log10(seen.get(w) or back * p1(w))
+        t = toks[r["doc_id"]]
+        want = sum(math.log10(next_word(a, w)) for a, w in zip(["<s>", *t], t, strict=False))
         base = sum(math.log10((one[w] + 0.1) / (n + 0.1 * (kinds + 1))) for w in t)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(t), sum(w in one for w in t), n, held[r["doc_id"]])
         assert abs(r["score"] - want) < 1e-6 * max(1, abs(want)) and abs(r["base_score"] - base) < 1e-6 * abs(base)
