@@ -75,10 +75,10 @@ def _(spark, d):
     return rounded(daily(spark, d).select("dt", "pnl", "commission", "trades", "cash"), "dt")
 
 
-@query("lg05_nav", ("bars_h", "cash_w"), "SELECT dt, round(nav, 6) AS nav, round(ret, 9) + 0.0 AS ret, round(ret - rate, 9) + 0.0 AS excess FROM nv", TARGET + HELD + DAILY + NAVS)
+@query("lg05_nav", ("bars_h", "cash_w"), "SELECT dt, round(nav, 2) AS nav, round(ret, 9) + 0.0 AS ret, round(ret - rate, 9) + 0.0 AS excess FROM nv", TARGET + HELD + DAILY + NAVS)
 def _(spark, d):
     n = L.nav(daily(spark, d), CAPITAL)
-    return n.select("dt", F.round("nav", 6).alias("nav"), (F.round("ret", 9) + 0.0).alias("ret"), (F.round("excess", 9) + 0.0).alias("excess"))
+    return n.select("dt", F.round("nav", 2).alias("nav"), (F.round("ret", 9) + 0.0).alias("ret"), (F.round("excess", 9) + 0.0).alias("excess"))
 
 
 SHEET = "SELECT variant, n, round(m * 52, 6) + 0.0 AS ann_ret, round(sd * sqrt(52), 6) AS ann_vol, round(m / nullif(sd, 0) * sqrt(52), 6) AS sharpe, round(exp(lg * 52 / n) - 1, 6) + 0.0 AS cagr, round(1 - exp(dd), 6) AS max_dd, round((exp(lg * 52 / n) - 1) / nullif(1 - exp(dd), 0), 6) AS calmar FROM (SELECT variant, count(*) AS n, avg(ret) AS m, stddev_pop(ret) AS sd, sum(ln(1 + ret)) AS lg, min(c - greatest(pk, 0)) AS dd FROM (SELECT *, max(c) OVER (PARTITION BY variant ORDER BY dt) AS pk FROM (SELECT *, sum(ln(1 + ret)) OVER (PARTITION BY variant ORDER BY dt) AS c FROM {t})) GROUP BY 1)"
