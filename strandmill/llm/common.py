@@ -47,6 +47,11 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def repeated(rows: DataFrame, *keys: str) -> bool:
+    """Whether any value of keys has several rows: a look at the keys alone, which saves one_of_each() where none has."""
+    return not rows.groupBy(*keys).count().where("count > 1").isEmpty()
+
+
 def one_of_each(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """columns of one row for each value of keys, that of the smallest hash of all columns. Partly merged before the shuffle, so a value may have any number of rows."""
     row = F.struct(*(F.col(f"`{c}`").alias(c) for c in columns))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, free, one_of_each, save, table
+from .common import BLANKS, free, one_of_each, repeated, save, table
 
 #: Digests that the index of one task holds at most, about: sets the number of partitions.
 PER_TASK = 500_000
@@ -179,13 +179,15 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat its doc_id and length, one stays. A null text is an empty one.
     """
-    keep = _groups(save(digests(docs), "digests")).select(F.coalesce("keep_id", F.lit(0)), F.col("keep_id").isNull(), F.lower(F.hex("digest")), "chars")
+    rows = save(digests(docs), "digests")
+    keep = _groups(rows).select(F.coalesce("keep_id", F.lit(0)), F.col("keep_id").isNull(), F.lower(F.hex("digest")), "chars")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d, names = docs, []
     for column in (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").cast("long").isNull(), F.sha2(F.translate(text, " \t\n\x0b\f\r", ""), 256), F.length(text).cast("long")):
         names.append(free(d, f"key{len(names)}"))
         d = d.withColumn(names[-1], column)
-    return one_of_each(d.join(keep.toDF(*names), names, "left_semi"), names, docs.columns)
+    kept = d.join(keep.toDF(*names), names, "left_semi")
+    return one_of_each(kept, names, docs.columns) if repeated(rows, "doc_id", "digest", "chars") else kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

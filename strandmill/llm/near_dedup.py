@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, free, mix, one_of_each, save, shingle_hashes, table, word_hashes
+from .common import WORD, free, mix, one_of_each, repeated, save, shingle_hashes, table, word_hashes
 
 _GOLDEN = 0x9E3779B97F4A7C15
 _AT_ONCE = 1 << 19  # shingles looked at together
@@ -281,7 +281,7 @@ def near_classes(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, bands
     wanted = save(wanted.select("id", "words", F.col("rep.doc_id").alias("d"), F.col("rep.k1").alias("j1"), F.col("rep.k2").alias("j2")), "wanted")
     texts = _keyed(docs).join(F.broadcast(wanted) if wanted.count() <= _SMALL else wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")))
     held = save(bags(texts, shingle), "bags")  # rows that repeat doc_id and text give equal bags
-    held = held.dropDuplicates(["id"]) if _repeats(held) else held
+    held = held.dropDuplicates(["id"]) if repeated(held, "id") else held
     pairs = hubbed.where((F.col("a") != F.col("b")) & alike("words_a", "words_b"))
     links = save(verify(save(pairs.distinct(), "pairs"), held, least), "links")
     ids = wanted.select("id")
@@ -307,10 +307,6 @@ def near_classes(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, bands
     return sig.select("doc_id", "k1", "k2", "content"), classes
 
 
-def _repeats(held: DataFrame) -> bool:
-    return not held.groupBy("id").count().where("count > 1").isEmpty()
-
-
 def near_groups(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs: doc_id and class_id, the smallest doc_id of its class.
 
@@ -331,7 +327,8 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
 
     Texts without words all stay. Columns of any names and further ones are kept; an empty table gives none.
     """
-    keep = near_classes(docs, **options)[1].groupBy("class").agg(F.min("rep").alias("rep"))
+    sig, classes = near_classes(docs, **options)
+    keep = classes.groupBy("class").agg(F.min("rep").alias("rep"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     wordless = ~text.rlike(WORD)
     d, names = docs.where(~wordless), []
@@ -340,7 +337,8 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
         d = d.withColumn(names[-1], column)
     rep = (F.coalesce("rep.doc_id", F.lit(0)), F.col("rep.last"), F.col("rep.k1"), F.col("rep.k2"))
     kept = d.join(keep.select(*(c.alias(name) for c, name in zip(rep, names, strict=True))), names, "left_semi")
-    return one_of_each(kept, names, docs.columns).union(docs.where(wordless))
+    kept = one_of_each(kept, names, docs.columns) if repeated(sig, "doc_id", "k1", "k2") else kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return kept.union(docs.where(wordless))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -50,14 +50,22 @@ _ROUNDS = 30
 _PRIOR = 10.0  # spans' worth of a feature's usual rate
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often body names it, also within lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def prefixes(values: Column, op, zero: Column) -> Column:
     """For each item of an array, op over all items before it. In blocks, so that time stays linear for all practical lengths."""
     one = lambda s, v: F.struct(op(s["at"], v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
     start = lambda at: F.struct(at.alias("at"), F.slice(F.array(zero), 1, 0).alias("out"))
-    count = F.ceil(F.size(values) / _BLOCK).cast("int")
-    blocks = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda k: F.slice(values, k * _BLOCK + 1, F.lit(_BLOCK))))
-    before = F.aggregate(F.transform(blocks, lambda b: F.aggregate(b, zero, op)), start(zero), one)["out"]
-    return F.coalesce(F.flatten(F.zip_with(blocks, before, lambda b, at: F.aggregate(b, start(at), one)["out"])), F.slice(F.array(zero), 1, 0))
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / _BLOCK).cast("int")), lambda k: F.slice(v, k * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def joined(blocks: Column) -> Column:
+        before = F.aggregate(F.transform(blocks, lambda b: F.aggregate(b, zero, op)), start(zero), one)["out"]
+        return F.flatten(F.zip_with(blocks, before, lambda b, at: F.aggregate(b, start(at), one)["out"]))
+
+    return let(let(values, cut), joined)
 
 
 def _located(text: Column, pattern: str, kind: str) -> Column:
@@ -66,29 +74,35 @@ def _located(text: Column, pattern: str, kind: str) -> Column:
     The text between matches and the matches give the positions by running sums; around is the match with what lies
     between it and its neighbours of the pattern, _NEAR characters at most on either side.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda gap, hit: (F.length(gap) + F.length(hit)).cast("long"))
-    sides = F.zip_with(F.slice(gaps, 1, F.size(hits)), F.slice(gaps, 2, F.size(hits)), lambda a, b: F.struct(F.length(a).alias("gap"), F.substring(a, -_NEAR, _NEAR).alias("left"), F.substring(b, 1, _NEAR).alias("right")))
-    ends = F.zip_with(prefixes(steps, lambda a, v: a + v, F.lit(0).cast("long")), sides, lambda at, s: F.struct((at + s["gap"]).alias("start"), s["left"].alias("left"), s["right"].alias("right")))
+    none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,hit:string,around:string>>")
 
-    def span(s, hit):
-        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), (s["start"] + F.length(hit)).alias("end"), hit.alias("hit"), F.concat(s["left"], hit, s["right"]).alias("around"))
+    def spans(hits: Column) -> Column:
+        def sided(gaps: Column) -> Column:
+            sides = F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), F.slice(gaps, 2, F.size(gaps) - 1), lambda a, b: F.struct(F.length(a).cast("long").alias("gap"), F.substring(a, -_NEAR, _NEAR).alias("left"), F.substring(b, 1, _NEAR).alias("right")))
+            return F.zip_with(sides, hits, lambda s, h: F.struct(*(s[c].alias(c) for c in ("gap", "left", "right")), h.alias("hit"), F.length(h).cast("long").alias("size")))
 
-    none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,hit:string,around:string>>")
-    return F.when(F.size(hits) > 0, F.zip_with(ends, hits, span)).otherwise(none)
+        def placed(parts: Column) -> Column:
+            begin = prefixes(F.transform(parts, lambda s: s["gap"] + s["size"]), lambda a, v: a + v, F.lit(0).cast("long"))
+            return F.zip_with(parts, begin, lambda s, at: F.struct(F.lit(KINDS.index(kind)).alias("kind"), (at + s["gap"]).alias("start"), (at + s["gap"] + s["size"]).alias("end"), s["hit"].alias("hit"), F.concat(s["left"], s["hit"], s["right"]).alias("around")))
+
+        return F.when(F.size(hits) > 0, let(let(F.split(text, pattern, -1), sided), placed)).otherwise(none)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
 
 
 def apart(spans: Column, others: Column) -> Column:
     """spans that overlap none of others, by start: one sort, and running extremes from either side."""
     mark = lambda side: lambda s: F.struct(s["start"].alias("start"), F.lit(side).alias("side"), s["end"].alias("end"), s["kind"].alias("kind"), s["hit"].alias("hit"), s["around"].alias("around"))
-    every = F.array_sort(F.concat(F.transform(others, mark(0)), F.transform(spans, mark(1))))
-    far = F.lit(2**62)
-    ended = prefixes(F.transform(every, lambda s: F.when(s["side"] == 0, s["end"]).otherwise(F.lit(0).cast("long"))), lambda a, v: F.greatest(a, v), F.lit(0).cast("long"))
-    begun = F.reverse(prefixes(F.reverse(F.transform(every, lambda s: F.when(s["side"] == 0, s["start"]).otherwise(far))), lambda a, v: F.least(a, v), far))
-    room = F.zip_with(ended, begun, lambda a, b: F.struct(a.alias("ended"), b.alias("begun")))
-    good = F.filter(F.zip_with(every, room, lambda s, r: F.struct(s.alias("s"), ((s["side"] == 1) & (r["ended"] <= s["start"]) & (r["begun"] >= s["end"])).alias("ok"))), lambda x: x["ok"])
-    return F.when(F.size(spans) > 0, F.transform(good, lambda x: F.struct(*(x["s"][c].alias(c) for c in ("kind", "start", "end", "hit", "around"))))).otherwise(spans)
+    far, zero = F.lit(2**62), F.lit(0).cast("long")
+
+    def kept(every: Column) -> Column:
+        ended = prefixes(F.transform(every, lambda s: F.when(s["side"] == 0, s["end"]).otherwise(zero)), lambda a, v: F.greatest(a, v), zero)
+        begun = F.reverse(prefixes(F.reverse(F.transform(every, lambda s: F.when(s["side"] == 0, s["start"]).otherwise(far))), lambda a, v: F.least(a, v), far))
+        room = F.zip_with(ended, begun, lambda a, b: F.struct(a.alias("ended"), b.alias("begun")))
+        good = F.filter(F.zip_with(every, room, lambda s, r: F.struct(s.alias("s"), ((s["side"] == 1) & (r["ended"] <= s["start"]) & (r["begun"] >= s["end"])).alias("ok"))), lambda x: x["ok"])
+        return F.transform(good, lambda x: F.struct(*(x["s"][c].alias(c) for c in ("kind", "start", "end", "hit", "around"))))
+
+    return F.when(F.size(spans) > 0, let(F.array_sort(F.concat(F.transform(others, mark(0)), F.transform(spans, mark(1)))), kept)).otherwise(spans)
 
 
 def digits(x: Column) -> Column:
@@ -147,8 +161,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, base spans, and the spans that only a wider pattern finds: struct(kind, start, end, hit, around)."""
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = d.withColumn("base", base_spans(F.col("text")))
-    d = d.withColumn("wide", F.concat(*(_located(F.col("text"), WIDE[k], k) for k in KINDS)))
-    return d.select("doc_id", "base", apart(F.col("wide"), F.col("base")).alias("wide"))
+    wide = F.concat(*(_located(F.col("text"), WIDE[k], k) for k in KINDS))
+    return d.select("doc_id", let(F.struct(F.col("base").alias("base"), wide.alias("wide")), lambda s: F.struct(s["base"].alias("base"), apart(s["wide"], s["base"]).alias("wide"))).alias("s")).select("doc_id", "s.base", "s.wide")
 
 
 def _pattern(votes: list[Column]) -> Column:

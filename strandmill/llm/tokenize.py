@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+_ROWS = 1000  # rows whose ids are held at a time
 #: A place where cutting a text before a single blank could change how the pattern below matches.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
@@ -183,7 +184,8 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, *, ids: bool =
 
     vocabulary is a file of base64 tokens and ranks, read by the driver and broadcast (its size is that of the
     vocabulary, about 1 MB). A null text counts as empty and gives no tokens; rows that repeat are encoded each. The
-    ids are decoded again, and decoded_sha256 is over those bytes. Other columns are not read; an empty table gives no rows.
+    ids are decoded again, and decoded_sha256 is over those bytes. Very long texts are encoded whole, in time linear in their
+    length. Other columns are not read; an empty table gives no rows.
     """
     with open(vocabulary, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -194,7 +196,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, *, ids: bool =
             _ENCODERS.clear()
             _ENCODERS[key] = TextEncoder(read_ranks(shared.value), pattern)
         encoder = _ENCODERS[key]
-        for b in batches:
+        for b in (whole.slice(a, _ROWS) for whole in batches for a in range(0, whole.num_rows, _ROWS)):
             n, sums, backs, packed = [], [], [], []
             for x in b.column(1):
                 got = encoder.encode(x.as_py() or "")
