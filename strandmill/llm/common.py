@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: White space of every operator here: ``[\x20\x09-\x0D]``.
@@ -66,6 +68,54 @@ def held_out(parts: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == 0, F.lit(False))
 
 
+def numbered(df: DataFrame, by: list[str], order: list[str], place: str = "place", size: str = "size") -> DataFrame:
+    """df with each row's place (from 0) within its value of ``by``, in ascending ``order``, nulls first, and that value's rows.
+
+    All rows are sorted by ranges of (by, order), so one value's rows may lie in many tasks; a row's place is its place in
+    its range and the sum of the ranges before, of which there are at most as many as partitions. The sorted rows are
+    written first: the places hold when a task is run again. Rows equal in all of by and order are in any order.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mark, part, first, n = free(df, "mark"), free(df, "part"), free(df, "first_mark"), free(df, "part_rows")
+    keys = [F.col(f"`{c}`") for c in [*by, *order]]
+    rows = save(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn(mark, F.monotonically_increasing_id()), "sorted")
+    rows = rows.withColumn(part, F.shiftright(mark, 33))
+    other = {c: f"{free(df, 'by')}{i}" for i, c in enumerate(by)}
+    ranges = rows.groupBy(*(F.col(f"`{c}`").alias(o) for c, o in other.items()), F.col(part).alias(f"{part}_")).agg(F.count("*").alias(n), F.min(mark).alias(first))
+    within = W.partitionBy(*other.values()) if by else W.partitionBy(F.lit(0))
+    ranges = ranges.withColumns({place: F.coalesce(F.sum(n).over(within.orderBy(f"{part}_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), size: F.sum(n).over(within)})
+    same = rows[part] == ranges[f"{part}_"]
+    for c, o in other.items():
+        same = same & rows[f"`{c}`"].eqNullSafe(ranges[o])
+    found = rows.join(ranges, same)
+    return found.select(*(rows[f"`{c}`"] for c in df.columns), (ranges[place] + rows[mark] - ranges[first]).alias(place), ranges[size])
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows of a sorted stream by the values of its first ``keys`` columns (integers, may be null), a table each."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [(pc.fill_null(b.column(k).cast(pa.int64()), 0).to_numpy(zero_copy_only=False), b.column(k).is_valid().to_numpy(zero_copy_only=False)) for k in range(keys)]
+        new = np.zeros(b.num_rows, bool)
+        for v, ok in columns:
+            new[1:] |= (v[1:] != v[:-1]) | (ok[1:] != ok[:-1])
+        first = tuple((v[0], ok[0]) for v, ok in columns)
+        new[0] = bool(held) and first != last
+        last = tuple((v[-1], ok[-1]) for v, ok in columns)
+        at = 0
+        for cut in np.flatnonzero(new).tolist():
+            if cut > at:
+                held.append(b.slice(at, cut - at))
+            yield pa.Table.from_batches(held)
+            held, at = [], cut
+        held.append(b.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offset of each row in them, one more than rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

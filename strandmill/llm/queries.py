@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_personal_data": "personal",
     "op10_language_model": "language_model",
+    "op11_manifest": "merkle",
     "op2_byte_bpe": "tokenize",
     "op3_near_dedup": "near_dedup",
     "op4_language": "language",
