@@ -9,6 +9,8 @@ MODULES = {
     "op1_personal_data": "personal",
     "op10_language_model": "language_model",
     "op11_manifest": "merkle",
+    "op12_urls": "urls",
+    "op13_conversations": "conversations",
     "op2_byte_bpe": "tokenize",
     "op3_near_dedup": "near_dedup",
     "op4_language": "language",
