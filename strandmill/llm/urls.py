@@ -74,7 +74,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, *, bad:
     nodes = [shapes.groupBy("host").agg(*add).select("host", F.lit("/").alias("template"), *_COUNTS)]
     at = shapes.withColumn("template", F.lit("/"))
     for k in range(depth + 1):
-        kids = at.where(F.size("parts") > k).groupBy("host", "template", F.col("parts")[k].alias("part")).agg(*add)
+        kids = at.where(F.size("parts") > k).groupBy("host", "template", F.get("parts", F.lit(k)).alias("part")).agg(*add)
         all_of = kids.groupBy("host", "template").agg(F.sum("n").alias("all"))
         kids = kids.join(all_of, ["host", "template"]).withColumn("branch", F.when(F.col("n") >= F.greatest(F.lit(least), F.col("all") * share), F.col("part")).otherwise("*"))
         branches = kids.groupBy("host", "template", "branch").agg(*add).withColumn("p", purity(*map(F.col, _COUNTS), mass)).withColumn("w", F.col("n") + mass)
@@ -88,7 +88,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, *, bad:
         merged = save(merged.withColumn("next", F.concat("template", F.array_join("names", "|"), F.lit("/"))), "templates")
         nodes.append(merged.select("host", F.col("next").alias("template"), *_COUNTS))
         names = kids.select("host", "template", "part", "branch").join(merged.select("host", "template", "next", F.explode("names").alias("branch")), ["host", "template", "branch"])
-        moved = at.withColumn("part", F.col("parts").getItem(k)).join(names.select("host", "template", "part", "next"), ["host", "template", "part"], "left")
+        moved = at.withColumn("part", F.get("parts", F.lit(k))).join(names.select("host", "template", "part", "next"), ["host", "template", "part"], "left")
         at = save(moved.select("host", "parts", *_COUNTS, F.coalesce("next", "template").alias("template")), "shapes")
     tree = nodes[0]
     for more in nodes[1:]:
