@@ -108,7 +108,9 @@ def chi2_tail_sql(x: str, df: int) -> str:
 
 
 def nearest_power_of_two(x: Column) -> Column:
-    return F.pow(F.lit(2.0), F.round(F.log2(x)))
+    """The power of two (1 at least) nearest to x by distance, the lower of two as near."""
+    low = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(x, F.lit(1.0)))))
+    return F.when(x - low <= 2 * low - x, low).otherwise(2 * low)
 
 
 def to_grid(x: Column, step: float) -> Column:

@@ -1,15 +1,20 @@
 """Exponentially weighted and other order-dependent features.
 
 A plain prefix sum of x * (1 - a) ** -i overflows on long series. Rows are numbered and cut into blocks in which the
-powers stay within range; a block's sums are window sums, and what comes in from the block before is scaled by a power
-of the row's place. A block is long enough that what comes from two blocks before is below double precision.
+powers stay within range; a block's sums are window sums, and what comes in from the two blocks before is scaled by a
+power of the row's place. A block's length goes with its own rate: at least REACH e-foldings, so that older blocks weigh
+less than e ** -(2 * REACH), below double precision, and at most MOST, so that powers stay in range. Rates that fit one
+length share its windows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,28 +29,56 @@ def alpha_of(span: float | None = None, halflife: float | None = None, alpha: fl
     return 1 - math.exp(-math.log(2) / halflife) if halflife is not None else alpha
 
 
-def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float | Column]], by: tuple[str, ...] = ("symbol",), order: str = "dt", block: int | None = None, steepest: float = 0.1) -> DataFrame:
+#: E-foldings of a block: the fewest that leave nothing to older blocks, and the most.
+REACH, MOST = 25.0, 300.0
+_LEAST_DECAY = 1e-130
+
+
+def _lengths(decays: list[float]) -> dict[float, int]:
+    """A block length for each decay; neighbouring decays share one while it is long enough for the slowest and short enough for the fastest."""
+    out: dict[float, int] = {}
+    size = 0
+    for q in sorted({max(q, _LEAST_DECAY) for q in decays if q < 1}):  # the fastest first
+        fall = -math.log(q)
+        if not size or size * fall < REACH:
+            size = max(1, int(MOST / fall))
+        out[q] = size
+    return out
+
+
+def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float | Column]], by: tuple[str, ...] = ("symbol",), order: str = "dt", block: int | None = None) -> DataFrame:
     """Adds, for each name, the sum of decay ** (rows since) * expression over a series so far; null counts as 0.
 
-    All names share one row number and the same windows. A decay may be a column that is constant within a series and
-    no less than ``steepest``.
+    A decay may be a column that is constant within a series; its block's length is then that of the series. A decay
+    of 1 or more makes a plain running sum. ``block`` sets all lengths, for tests: at least REACH e-foldings of each decay.
     """
-    least = min([d for _, d in sums.values() if not isinstance(d, Column)] + [steepest] * any(isinstance(d, Column) for _, d in sums.values()))
-    size = block or max(1, int(300 / -math.log(least)))
-    q = {n: d if isinstance(d, Column) else F.lit(d) for n, (_, d) in sums.items()}
-    d = df.withColumn("_row", F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1)
-    d = d.withColumns({"_block": F.floor(F.col("_row") / size), "_at": F.col("_row") % size})
-    d = d.withColumns({n: F.coalesce(x, F.lit(0.0)) * F.pow(q[n], -F.col("_at")) for n, (x, _) in sums.items()})
-    inside = W.partitionBy(*by, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumns({n: F.sum(n).over(inside) for n in sums})
-    d = d.withColumns({n: F.col(n) * F.pow(q[n], F.col("_at")) for n in sums})
-    # what is carried in: the sums at the end of the block before, and of the one before that, whose own carry is nothing
-    done, before = F.col("_at") == size - 1, W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    d = d.withColumns({f"_in_{n}": F.last(F.when(done, F.col(n)), ignorenulls=True).over(before) for n in sums})
-    d = d.withColumns({f"_far_{n}": F.last(F.when(done, F.col(f"_in_{n}")), ignorenulls=True).over(before) for n in sums})
-    zero = F.lit(0.0)
-    d = d.withColumns({n: F.col(n) + (F.coalesce(f"_in_{n}", zero) + F.coalesce(f"_far_{n}", zero) * F.pow(q[n], F.lit(size))) * F.pow(q[n], F.col("_at") + 1) for n in sums})
-    return d.drop("_row", "_block", "_at", *(f"_in_{n}" for n in sums), *(f"_far_{n}" for n in sums))
+    fixed = _lengths([q for _, q in sums.values() if not isinstance(q, Column)])
+    groups: dict[str, tuple[Column, dict[str, Column]]] = {}
+    for name, (_, q) in sums.items():
+        if isinstance(q, Column):
+            decay = F.greatest(q, F.lit(_LEAST_DECAY))
+            length = F.when(decay < 1, F.greatest(F.floor(F.lit(MOST) / -F.log(decay)), F.lit(1))).otherwise(F.lit(2**62)).cast("long")
+        else:
+            decay = F.lit(max(q, _LEAST_DECAY))
+            length = F.lit(fixed.get(max(q, _LEAST_DECAY), 2**62)).cast("long")
+        groups.setdefault(str(length), (F.lit(block).cast("long") if block else length, {}))[1][name] = decay
+    series = W.partitionBy(*by).orderBy(order)
+    d = df.withColumn("_row", F.row_number().over(series) - 1)
+    before, zero = series.rowsBetween(W.unboundedPreceding, -1), F.lit(0.0)
+    for size, decays in groups.values():
+        d = d.withColumn("_size", size).withColumns({"_block": F.floor(F.col("_row") / F.col("_size")), "_at": F.col("_row") % F.col("_size")})
+        d = d.withColumns({n: F.coalesce(sums[n][0], zero) * F.pow(q, -F.col("_at")) for n, q in decays.items()})
+        inside = W.partitionBy(*by, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+        d = d.withColumns({n: F.sum(n).over(inside) for n in decays})
+        d = d.withColumns({n: F.col(n) * F.pow(q, F.col("_at")) for n, q in decays.items()})
+        # what is carried in: the sums at the end of the block before, and of the one before that, whose own carry is nothing
+        done = F.col("_at") == F.col("_size") - 1
+        d = d.withColumns({f"_in_{n}": F.last(F.when(done, F.col(n)), ignorenulls=True).over(before) for n in decays})
+        d = d.withColumns({f"_far_{n}": F.last(F.when(done, F.col(f"_in_{n}")), ignorenulls=True).over(before) for n in decays})
+        carried = lambda n, q: (F.coalesce(f"_in_{n}", zero) + F.coalesce(f"_far_{n}", zero) * F.pow(q, F.col("_size"))) * F.pow(q, F.col("_at") + 1)
+        d = d.withColumns({n: F.col(n) + carried(n, q) for n, q in decays.items()})
+        d = d.drop("_size", "_block", "_at", *(f"_in_{n}" for n in decays), *(f"_far_{n}" for n in decays))
+    return d.drop("_row")
 
 
 def _count(x: Column, by: tuple[str, ...], order: str) -> Column:
@@ -118,22 +151,66 @@ def ewm_var0(df: DataFrame, x: str, out: str, *, by: tuple[str, ...] = ("symbol"
     return d.withColumn(out, F.last(out, ignorenulls=True).over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
 
 
-def deadband(df: DataFrame, target: str, out: str, *, share: float = 0.1, least: float = 0.5, by: tuple[str, ...] = ("symbol",), order: str = "dt") -> DataFrame:
+def _changes(columns: list[pa.Array]) -> np.ndarray:
+    """Where a row differs from the one before in any of columns; true for the first."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        codes = pc.fill_null(c.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return new
+
+
+def deadband(df: DataFrame, target: str, out: str, *, share: float = 0.1, least: float = 0.5, by: tuple[str, ...] = ("symbol",), order: str = "dt", across: str | None = None, lots: int = 4) -> DataFrame:
     """A position that moves to the rounded target only when it is further away than share of it, or least; null holds.
 
-    An ordered fold over one series, so a series is one group; halves round away from zero.
+    An ordered fold; halves round away from zero. A series' rows come in order as a stream, of which only the current
+    positions are held. ``across`` names one of ``by`` that has many values, such as a variant, each at most once at a
+    step of the order: all of them move at once as one array, in ``lots`` parts by hash.
     """
+    keys = [c for c in by if c != across]
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, held, now = rows.sort_values(order, kind="stable"), [], 0.0
-        for x in rows[target].astype(float):
-            if x == x and abs(x - now) > max(share * abs(x), least):
-                now = math.copysign(math.floor(abs(x) + 0.5), x)
-            held.append(now)
-        return rows.assign(**{out: held})
-
-    return df.groupBy(*by).applyInPandas(fold, schema)
+    def moved(now, x):
+        with np.errstate(invalid="ignore"):
+            return np.where(np.abs(x - now) > np.maximum(share * np.abs(x), least), np.copysign(np.floor(np.abs(x) + 0.5), x), now)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict = {}
+        held, series = np.zeros(0), None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, got = pc.cast(b.column(target), pa.float64()).to_numpy(zero_copy_only=False), np.empty(b.num_rows)
+            which = b.column(across).dictionary_encode()
+            who = np.array([codes.setdefault(v, len(codes)) for v in which.dictionary.to_pylist()])[which.indices.to_numpy(zero_copy_only=False)]
+            held = np.concatenate([held, np.zeros(len(codes) - len(held))])
+            starts = np.flatnonzero(_changes([b.column(k) for k in keys])).tolist()
+            cuts = np.flatnonzero(_changes([b.column(k) for k in (*keys, order)])).tolist()
+            for a, z in zip(cuts, [*cuts[1:], len(x)]):
+                if starts and a == starts[0]:
+                    starts.pop(0)
+                    if (now := tuple(b.column(k)[a].as_py() for k in keys)) != series:
+                        series, held = now, np.zeros(len(held))
+                held[who[a:z]] = got[a:z] = moved(held[who[a:z]], x[a:z])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], names=[*b.schema.names, out])
+
+    def fold_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, series = 0.0, None
+        for b in batches:
+            starts, got = _changes([b.column(k) for k in keys]).tolist(), []
+            for i, x in enumerate(pc.cast(b.column(target), pa.float64()).to_pylist()):
+                if starts[i] and (head := tuple(b.column(k)[i].as_py() for k in keys)) != series:
+                    series, now = head, 0.0
+                if x is not None and abs(x - now) > max(share * abs(x), least):
+                    now = math.copysign(math.floor(abs(x) + 0.5), x)
+                got.append(now)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, out])
+
+    if across is None:
+        return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(fold_one, schema)
+    lot = F.pmod(F.xxhash64(across), F.lit(lots))
+    return df.repartition(*keys, lot).sortWithinPartitions(*keys, lot, order, across).mapInArrow(fold, schema)
 
 
 def regime_posterior(x: Column, params: dict[str, Column], n: int, by: str = "symbol", order: str = "dt") -> Column:

@@ -410,6 +410,39 @@ def _(spark, d):
     return rounded(R.ewm_mean(P.bars_w(spark, d), "close", "x", alpha=0.5, block=64).select(*K, "x"), *K)
 
 
+#: Sales of each nation's suppliers in order: series of thousands of rows.
+SALES = "sales AS (SELECT symbol, qty, price, n, n AS dt FROM (SELECT s_nationkey AS symbol, l_quantity::DOUBLE AS qty, (l_extendedprice / 1000)::DOUBLE AS price, row_number() OVER (PARTITION BY s_nationkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey))"
+RATES = (2, 26, 104, 416)
+
+
+def sales(spark, d):
+    rows = P.table(spark, d, "lineitem").join(P.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    place = F.row_number().over(W.partitionBy("s_nationkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))
+    return rows.select(F.col("s_nationkey").alias("symbol"), place.cast("long").alias("dt"), F.col("l_quantity").cast("double").alias("qty"), (F.col("l_extendedprice") / 1000).cast("double").alias("price"))
+
+
+def slow_sums(columns: str, decay: str) -> str:
+    """Sums over all rows up to a row, weighted by a decay to the rows between; what weighs less than 1e-16 of it is left out."""
+    return f"SELECT t.symbol, t.dt, {columns.replace('WT', f'power({decay}, t.n - i.n)')} FROM sales t JOIN sales i ON i.symbol = t.symbol AND i.n <= t.n AND i.n > t.n + 37 / ln({decay}) GROUP BY 1, 2"
+
+
+@query("rc01_ewm_rates", (), "SELECT symbol, dt, span, round(s / w, 6) AS x FROM (" + " UNION ALL ".join(f"SELECT symbol, dt, {r} AS span, s, w FROM ({slow_sums('sum(WT * i.qty) AS s, sum(WT) AS w', repr(1 - 2 / (r + 1)))})" for r in RATES) + ")", SALES)
+def _(spark, d):
+    """Means of very different rates at once, on series of thousands of rows."""
+    s = R.ewm_means(sales(spark, d), {f"m{r}": ("qty", 2 / (r + 1)) for r in RATES})
+    return rounded(s.select("symbol", "dt", F.inline(F.array(*(F.struct(F.lit(r).alias("span"), F.col(f"m{r}").alias("x")) for r in RATES)))), "symbol", "dt", "span")
+
+
+OWN = "(1 - 2 / (20.0::DOUBLE * t.symbol + 7))"
+
+
+@query("rc04_ewm_corr_rates", (), "SELECT symbol, dt, CASE WHEN n >= 8 THEN round((p / w - s * u / w / w) / nullif(sqrt(greatest((q / w - s * s / w / w) * (r / w - u * u / w / w), 0)), 0), 6) + 0.0 END AS rho FROM (" + slow_sums("any_value(t.n) AS n, sum(WT) AS w, sum(WT * i.qty) AS s, sum(WT * i.price) AS u, sum(WT * i.qty * i.price) AS p, sum(WT * i.qty * i.qty) AS q, sum(WT * i.price * i.price) AS r", OWN) + ")", SALES)
+def _(spark, d):
+    """Correlations with a rate of each series' own, in a column."""
+    s, names = R.ewm_rhos(sales(spark, d), ["qty", "price"], 2 / (20.0 * F.col("symbol") + 7), by=("symbol",))
+    return rounded(s.select("symbol", "dt", F.when(F.col("_n") >= 8, F.col(names["qty", "price"])).alias("rho")), "symbol", "dt")
+
+
 @query("rc02_ewm_recursive", ("bars_w",), "SELECT symbol, dt, round(s, 6) AS x FROM (" + decay_sql(0.2, "sum(WT * i.close * CASE WHEN i.n = 1 THEN 1 ELSE 0.2 END) AS s") + ")", ROWS)
 def _(spark, d):
     return rounded(R.ewm_mean(P.bars_w(spark, d), "close", "x", alpha=0.2, adjust=False).select(*K, "x"), *K)

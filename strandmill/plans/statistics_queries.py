@@ -344,7 +344,9 @@ def _(spark, d):
     return strategies(spark, d).groupBy(V).agg(F.to_json(F.struct(F.count("*").alias("n"), F.round(F.max("ret"), 6).alias("best"))).alias("note"))
 
 
-over("fn12_rounding", lambda s: s.select(V, "dt", S.nearest_power_of_two(1 + F.abs(F.col("ret")) * 100).alias("p"), S.to_grid(F.col("ret"), 0.25).alias("g")), "SELECT variant, dt, power(2, round(log2(1 + abs(ret) * 100))) AS p, round(ret / 0.25) * 0.25 + 0.0 AS g FROM strategies", keys=(V, "dt"))
+POWERS = "pw AS (SELECT power(2::DOUBLE, k) AS p FROM (SELECT unnest(range(0, 12)) AS k)), fr AS (SELECT variant, dt, ret, 1 + abs(ret) * 1000 AS x FROM strategies)"
+NEAREST = "SELECT variant, dt, arg_min(p, (abs(x - p), p)) AS p, any_value(round(ret / 0.25) * 0.25 + 0.0) AS g FROM fr CROSS JOIN pw GROUP BY 1, 2"
+over("fn12_rounding", lambda s: s.select(V, "dt", S.nearest_power_of_two(1 + F.abs(F.col("ret")) * 1000).alias("p"), S.to_grid(F.col("ret"), 0.25).alias("g")), NEAREST, keys=(V, "dt"), more=POWERS)
 over("ud01_rolling_apply", lambda s: s.select(V, "dt", F.when(F.count("ret").over(O.w(8, by=V)) >= 8, F.aggregate(F.collect_list("ret").over(O.w(8, by=V)), F.lit(0.0), lambda a, v: a + v * v)).alias("x")), f"SELECT variant, dt, CASE WHEN count(ret) {last(8, V)} >= 8 THEN round(sum(ret * ret) {last(8, V)}, 6) END AS x FROM strategies", keys=(V, "dt"))
 
 

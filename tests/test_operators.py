@@ -69,3 +69,66 @@ def test_empty_panel(spark):
     df = spark.createDataFrame([], "symbol string, dt timestamp, x double")
     assert R.ewm_mean(df, "x", "m", span=5).count() == 0
     assert R.deadband(df, "x", "held").count() == 0
+
+
+@pytest.fixture(scope="module")
+def long_panel(spark):
+    """Two series of 10,000 rows about a level of 29, with nulls in one."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"symbol": np.repeat(["a", "b"], 10_000), "dt": np.tile(np.arange(10_000), 2), "x": 29 + rng.normal(0, 5, 20_000), "y": rng.normal(0, 1, 20_000)})
+    pdf["y"] += 0.3 * pdf["x"]
+    pdf["span"] = np.where(pdf["symbol"] == "a", 416.0, 7.0)
+    pdf["z"] = pdf["x"].where((pdf["symbol"] == "a") | (pdf["dt"] % 3 != 0))
+    rows = pdf.astype(object).where(pdf.notna(), None)
+    return pdf, spark.createDataFrame(rows.values.tolist(), "symbol string, dt long, x double, y double, span double, z double").cache()
+
+
+def test_many_rates_at_once_on_long_series(long_panel):
+    pdf, df = long_panel
+    spans = (2, 5, 16, 128, 512, 3000)
+    for column, adjust in (("x", True), ("z", True), ("x", False)):
+        got = R.ewm_means(df, {f"m{s}": (column, 2 / (s + 1)) for s in spans}, adjust=adjust).orderBy("symbol", "dt").toPandas()
+        for s in spans:
+            want = pdf.groupby("symbol")[column].transform(lambda v: v.ewm(span=s, adjust=adjust).mean())  # noqa: B023
+            assert np.allclose(got[f"m{s}"].astype(float), want, rtol=0, atol=1e-9, equal_nan=True), (column, adjust, s)
+
+
+def test_a_rate_for_each_series_on_long_series(long_panel):
+    pdf, df = long_panel
+    rate = 2 / (F.col("span") + 1)
+    got = R.ewm_means(df, {"m": ("x", rate), "n": ("x", 2 / 4)}).orderBy("symbol", "dt").toPandas()
+    by = dict(pdf.groupby("symbol")["span"].first())
+    parts = [g for _, g in pdf.groupby("symbol")]
+    assert np.allclose(got["m"], pd.concat(g["x"].ewm(span=by[g["symbol"].iloc[0]]).mean() for g in parts), rtol=0, atol=1e-9)
+    assert np.allclose(got["n"], pdf.groupby("symbol")["x"].transform(lambda v: v.ewm(span=3).mean()), rtol=0, atol=1e-9)
+    d, names = R.ewm_rhos(df, ["x", "y"], rate, by=("symbol",))
+    rho = d.orderBy("symbol", "dt").toPandas()[names["x", "y"]].astype(float).to_numpy()
+
+    def exact(g):
+        q, out, s = 1 - 2 / (by[g["symbol"].iloc[0]] + 1), [], np.zeros(6)
+        for x, y in zip(g["x"], g["y"]):
+            s = s * q + np.array([1, x, y, x * x, y * y, x * y])
+            w, mx, my = s[0], s[1] / s[0], s[2] / s[0]
+            out.append((s[5] / w - mx * my) / math.sqrt(max((s[3] / w - mx * mx) * (s[4] / w - my * my), 1e-300)))
+        return out
+
+    want = np.concatenate([exact(g) for g in parts])
+    late = np.tile(np.arange(10_000) > 20, 2)
+    assert np.allclose(rho[late], want[late], rtol=0, atol=1e-7)
+
+
+def test_a_rate_of_one_and_of_nothing(long_panel):
+    pdf, df = long_panel
+    got = R.decayed_sums(df.where("dt < 900"), {"last": (F.col("x"), 0.0), "all": (F.col("x"), 1.0)}).orderBy("symbol", "dt").toPandas()
+    short = pdf[pdf["dt"] < 900]
+    assert np.allclose(got["last"], short["x"], atol=1e-9) and np.allclose(got["all"], short.groupby("symbol")["x"].cumsum(), atol=1e-6)
+
+
+def test_deadband_across_variants_equals_one_at_a_time(spark, panel):
+    _, df = panel
+    many = df.crossJoin(spark.range(70).select(F.col("id").alias("variant"))).withColumn("t", F.when((F.col("variant") + F.unix_timestamp("dt")) % 7 != 0, F.col("x") * (1 + F.col("variant") / 10)))
+    keys = ("variant", "symbol")
+    one = R.deadband(many, "t", "held", by=keys)
+    for lots in (1, 4):
+        got = R.deadband(many, "t", "held", by=keys, across="variant", lots=lots)
+        assert got.count() == many.count() and got.exceptAll(one).isEmpty() and one.exceptAll(got).isEmpty()
