@@ -52,6 +52,13 @@ def windows(returns: DataFrame, periods: DataFrame, year: float, least: int = 5)
     return p.groupBy(F.col("v").alias("variant"), "name").agg(n.alias("n"), *(F.when(n >= least, x).alias(c) for c, x in made.items()))
 
 
+def deepest_quarters(returns: DataFrame, k: int) -> DataFrame:
+    """(name, low, high) of the k calendar quarters in which all variants together lost most."""
+    low = F.to_date(F.date_trunc("quarter", "dt"))
+    q = returns.groupBy(low.alias("low")).agg(F.sum(F.log1p("ret")).alias("fall")).orderBy("fall", "low").limit(k)
+    return q.select(F.concat(F.year("low"), F.lit("Q"), F.quarter("low")).alias("name"), "low", F.date_sub(F.add_months("low", 3), 1).alias("high"))
+
+
 def spans(returns: DataFrame, years: int, year: float) -> DataFrame:
     """Metrics by variant and span of so many years: decades at 10."""
     start = (F.floor(F.year("dt") / years) * years).cast("int")
@@ -120,6 +127,17 @@ def dates_union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("dt").union(b.select("dt")).distinct()
 
 
+#: Digests are sums of 48 bits a row, modulo this prime.
+DIGEST_MOD = 2**61 - 1
+
+
 def digest(df: DataFrame) -> DataFrame:
-    """(rows, digest) of a table, whatever the order of its rows."""
-    return df.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*sorted(df.columns))).alias("digest"))
+    """(rows, digest) of a table, whatever the order of its rows: the sum of hashes of their text forms.
+
+    A row's text has its columns in order of name, parted by ``|``, null as ``~``, and fractions with six decimals, so any
+    engine with md5 gives the same.
+    """
+    kinds = dict(df.dtypes)
+    text = lambda c: F.coalesce((F.col(c).cast("decimal(38,6)") if kinds[c] in ("double", "float") else F.col(c)).cast("string"), F.lit("~"))
+    part = F.conv(F.substring(F.md5(F.concat_ws("|", *(text(c) for c in sorted(df.columns)))), 1, 12), 16, 10).cast("decimal(20,0)")
+    return df.agg(F.count("*").alias("rows"), (F.coalesce(F.sum(part), F.lit(0)) % F.lit(DIGEST_MOD)).cast("long").alias("digest"))

@@ -31,6 +31,7 @@ def alpha_of(span: float | None = None, halflife: float | None = None, alpha: fl
 
 #: E-foldings of a block: the fewest that leave nothing to older blocks, and the most.
 REACH, MOST = 25.0, 300.0
+#: A decay up to this leaves nothing of the rows before, exactly.
 _LEAST_DECAY = 1e-130
 
 
@@ -76,7 +77,7 @@ def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float | Column]],
         d = d.withColumns({f"_in_{n}": F.last(F.when(done, F.col(n)), ignorenulls=True).over(before) for n in decays})
         d = d.withColumns({f"_far_{n}": F.last(F.when(done, F.col(f"_in_{n}")), ignorenulls=True).over(before) for n in decays})
         carried = lambda n, q: (F.coalesce(f"_in_{n}", zero) + F.coalesce(f"_far_{n}", zero) * F.pow(q, F.col("_size"))) * F.pow(q, F.col("_at") + 1)
-        d = d.withColumns({n: F.col(n) + carried(n, q) for n, q in decays.items()})
+        d = d.withColumns({n: F.col(n) + F.when(q > _LEAST_DECAY, carried(n, q)).otherwise(zero) for n, q in decays.items()})
         d = d.drop("_size", "_block", "_at", *(f"_in_{n}" for n in decays), *(f"_far_{n}" for n in decays))
     return d.drop("_row")
 
@@ -161,12 +162,13 @@ def _changes(columns: list[pa.Array]) -> np.ndarray:
     return new
 
 
-def deadband(df: DataFrame, target: str, out: str, *, share: float = 0.1, least: float = 0.5, by: tuple[str, ...] = ("symbol",), order: str = "dt", across: str | None = None, lots: int = 4) -> DataFrame:
+def deadband(df: DataFrame, target: str, out: str, *, share: float = 0.1, least: float = 0.5, by: tuple[str, ...] = ("symbol",), order: str = "dt", across: str | None = None, lots: int = 4, together: bool = False) -> DataFrame:
     """A position that moves to the rounded target only when it is further away than share of it, or least; null holds.
 
     An ordered fold; halves round away from zero. A series' rows come in order as a stream, of which only the current
     positions are held. ``across`` names one of ``by`` that has many values, such as a variant, each at most once at a
-    step of the order: all of them move at once as one array, in ``lots`` parts by hash.
+    step of the order: all of them move at once as one array, in ``lots`` parts by hash. With ``together``, all rows of the
+    other keys are in one partition already, and stay there.
     """
     keys = [c for c in by if c != across]
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
@@ -209,6 +211,8 @@ def deadband(df: DataFrame, target: str, out: str, *, share: float = 0.1, least:
 
     if across is None:
         return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(fold_one, schema)
+    if together:
+        return df.sortWithinPartitions(*keys, order, across).mapInArrow(fold, schema)
     lot = F.pmod(F.xxhash64(across), F.lit(lots))
     return df.repartition(*keys, lot).sortWithinPartitions(*keys, lot, order, across).mapInArrow(fold, schema)
 
@@ -232,27 +236,39 @@ def regime_posterior(x: Column, params: dict[str, Column], n: int, by: str = "sy
     return F.exp(F.aggregate(F.collect_list(x).over(over), start, step)["b"])
 
 
-def split_moments(df: DataFrame, x: str, n: int, least: int, by: str = "symbol", order: str = "dt") -> DataFrame:
-    """Adds m1, s1, m2, s2: first guesses at two regimes from the last n values, each with moments of its own.
-
-    The means are the values' lower and upper quartile, the deviations those of the lower and the upper half.
-    """
-    d = df.withColumn("_a", F.array_sort(F.collect_list(x).over(W.partitionBy(by).orderBy(order).rowsBetween(-(n - 1), 0))))
-    size, half = F.size("_a"), F.floor(F.size("_a") / 2).cast("int")
+def _split(a: str, least: int) -> dict[str, Column]:
+    """m1, s1, m2, s2 of a sorted list: its lower and upper quartile, and the deviations of its lower and upper half; null under ``least`` values."""
+    size, half = F.size(a), F.floor(F.size(a) / 2).cast("int")
 
     def quantile(q: float) -> Column:
         at = (size - 1) * q
         low = F.floor(at).cast("int")
-        a, b = F.try_element_at("_a", low + 1), F.coalesce(F.try_element_at("_a", low + 2), F.try_element_at("_a", low + 1))
-        return a + (b - a) * (at - low)
+        x, y = F.try_element_at(a, low + 1), F.coalesce(F.try_element_at(a, low + 2), F.try_element_at(a, low + 1))
+        return x + (y - x) * (at - low)
 
     def deviation(part: Column) -> Column:
         total = lambda f: F.aggregate(part, F.lit(0.0), lambda s, v: s + f(v)) / half
         mean = total(lambda v: v)
         return F.sqrt(F.aggregate(part, F.struct(F.lit(0.0).alias("s"), mean.alias("m")), lambda s, v: F.struct((s["s"] + (v - s["m"]) * (v - s["m"])).alias("s"), s["m"].alias("m")))["s"] / half)
 
-    own = {"m1": quantile(0.25), "s1": deviation(F.slice("_a", F.lit(1), half)), "m2": quantile(0.75), "s2": deviation(F.slice("_a", size - half + 1, half))}
-    return d.withColumns({k: F.when(size >= least, v) for k, v in own.items()}).drop("_a")
+    own = {"m1": quantile(0.25), "s1": deviation(F.slice(a, F.lit(1), half)), "m2": quantile(0.75), "s2": deviation(F.slice(a, size - half + 1, half))}
+    return {k: F.when(size >= least, v) for k, v in own.items()}
+
+
+def split_moments(df: DataFrame, x: str, n: int, least: int, every: int = 1, by: str = "symbol", order: str = "dt") -> DataFrame:
+    """Adds m1, s1, m2, s2: first guesses at two regimes, each with moments of its own, from the last n values as of the last
+    row whose number is a multiple of ``every``.
+
+    Only rows at which moments are made gather values: every row is sent to the n / every of them that reach it.
+    """
+    d = df.withColumn("_row", F.row_number().over(W.partitionBy(by).orderBy(order)))
+    first, final = F.ceil(F.col("_row") / every) * every, F.floor((F.col("_row") + n - 1) / every) * every
+    reach = F.when(first <= final, F.sequence(first, F.greatest(first, final), F.lit(every).cast("long")))
+    lists = d.select(by, x, F.explode(reach).alias("_refit")).groupBy(by, "_refit").agg(F.array_sort(F.collect_list(x)).alias("_a"))
+    made = lists.withColumns(_split("_a", least)).drop("_a")
+    d = d.withColumn("_refit", F.floor(F.col("_row") / every) * every).join(made, [by, "_refit"], "left")
+    held = W.partitionBy(by).orderBy("_row").rowsBetween(W.unboundedPreceding, 0)
+    return d.withColumns({k: F.last(k, ignorenulls=True).over(held) if every > 1 else F.col(k) for k in ("m1", "s1", "m2", "s2")}).drop("_row", "_refit")
 
 
 def hold_refit(df: DataFrame, params: list[str], every: int, by: str = "symbol", order: str = "dt") -> DataFrame:

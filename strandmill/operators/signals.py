@@ -267,25 +267,3 @@ def network(bars: DataFrame, edges: DataFrame, ks: tuple) -> DataFrame:
     moved = near.groupBy(F.col("dst").alias("symbol"), "dt", "s").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
     moved = moved.unionByName(rows.where("refit IS NULL").select("symbol", "dt", "s", "x"))
     return raw(moved.groupBy(*KEYS).agg(F.avg(B.response(F.col("x"))).alias("m")), F.col("m"))
-
-
-def four_signals(bars: DataFrame, chain: DataFrame, speeds: tuple, n: int, least: int) -> DataFrame:
-    """Adds trend, carry, skew and vov: one frame by symbol; only the chain of contracts is joined."""
-    d = bars.join(chain.select(*KEYS, "c1", "c2", "years12"), list(KEYS), "left")
-    d = d.withColumn("carry", ratio(ratio(F.col("c1") - F.col("c2"), F.col("years12")), F.col("vol")))
-    d = add_ensemble(d, "trend", speeds, n, least).withColumn("skew", -O.roll_skew("dp", 52, 20))
-    return add_vol_of_vol(d, {"vov": (8, 20, 52, 13)}).drop("c1", "c2", "years12")
-
-
-def composite(d: DataFrame, weights: dict[str, float], n: int, least: int, *, mode: str = "plain", span: int = 20, halflife: float | None = 1.0, gates: bool = True) -> DataFrame:
-    """Forecasts of the columns named in weights, mixed, times the diversification multiplier, smoothed and gated: (symbol, dt, score)."""
-    names = list(weights)
-    d = d.withColumns({c: F.coalesce(B.to_forecast(c, n, least), F.lit(0.0)) for c in names})
-    pool, rho = R.ewm_rhos(X.pool_mean(d, names).withColumn("_all", F.lit(1)), names, R.alpha_of(span=span), by=("_all",))
-    pool = pool.select("dt", B.multiplier(weights, rho, F.col("_n") >= 5, mode).alias("mult"))
-    d = d.join(pool, "dt", "left")
-    d = d.withColumn("mixed", cap(B.blend(weights) * F.coalesce("mult", F.lit(1.0))))
-    d = B.smooth(d, "mixed", "score", halflife=halflife)
-    if gates:
-        d = d.withColumn("gate", B.vol_gate("vol", 52, 20) * B.drawdown_gate("close", 8)).withColumn("score", F.col("score") * F.col("gate"))
-    return d.select(*KEYS, F.coalesce("score", F.lit(0.0)).alias("score"))

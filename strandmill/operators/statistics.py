@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandmill.functions.scalars import chi2_tail_sql, normal_cdf, normal_ppf, ratio
+from strandmill.sources.sinks import save
 
 BY = "variant"
 
@@ -158,41 +161,59 @@ def ols_table(df: DataFrame, y: str, xs: list[str], lags: int | None = None) ->
     return df.sparkSession.createDataFrame(rows, "term string, beta double, se double, t double, r2 double, n long")
 
 
+def _solved(k: int):
+    """Arrow batches of a key's sums (n, yy, lags, xx, xy) to its coefficients, inverse and R2; null where the system is singular."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict = {"beta": [], "inv": [], "r2": []}
+            for r in b.to_pylist():
+                xx, xy = np.array(r["xx"], float).reshape(k, k), np.array(r["xy"], float)
+                if r["n"] <= k or np.linalg.matrix_rank(xx, hermitian=True) < k:
+                    for c in out.values():
+                        c.append(None)
+                    continue
+                beta, tss = np.linalg.solve(xx, xy), r["yy"] - xy[0] ** 2 / r["n"]
+                out["beta"].append(beta.tolist())
+                out["inv"].append(np.linalg.inv(xx).ravel().tolist())
+                out["r2"].append(float(1 - (r["yy"] - beta @ xy) / tss) if tss > 0 else float("nan"))
+            kinds = {"beta": pa.list_(pa.float64()), "inv": pa.list_(pa.float64()), "r2": pa.float64()}
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column("n"), b.column("lags"), *(pa.array(v, kinds[c]) for c, v in out.items())], names=[b.schema.names[0], "n", "lags", *out])
+
+    return run
+
+
 def ols_by(df: DataFrame, by: str, y: str, xs: list[str], lags: int | None = None) -> DataFrame:
-    """ols() of each key as rows (by, term, beta, se, t, r2, n): sums of all keys in one plan, systems solved on the driver.
+    """ols() of each key as rows (by, term, beta, se, t, r2, n), for any number of keys: their sums are tables, and the
+    k by k systems are solved in Arrow batches of them.
 
     Keys with a singular system, as those of too few rows, have null figures.
     """
     names = ["const", *xs]
+    k = len(names)
     d = df.select(by, "dt", F.col(y).alias("_y"), F.lit(1.0).alias("const"), *xs).dropna()
-    cells = [F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a in names for b in [*names, "_y"]]
-    fits: dict = {}
-    for r in d.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.col("_y") * F.col("_y")).alias("yy"), *cells).collect():
-        xx = np.array([[r[f"{a}|{b}"] for b in names] for a in names], float)
-        sound = r["n"] > len(names) and np.linalg.matrix_rank(xx, hermitian=True) == len(names)
-        fits[r[by]] = r, xx, np.linalg.solve(xx, [r[f"{a}|_y"] for a in names]) if sound else None, int(4 * (r["n"] / 100) ** (2 / 9)) if lags is None else lags
-    spark = df.sparkSession
-    known = [(k, b.tolist(), m) for k, (_, _, b, m) in fits.items() if b is not None]
-    e = d.join(spark.createDataFrame(known, f"{by} string, _b array<double>, _lags int"), by)
-    e = e.withColumn("_e", F.col("_y") - sum((F.col(c) * F.col("_b")[i] for i, c in enumerate(names)), F.lit(0.0)))
-    scores = e.select(by, "_lags", F.row_number().over(W.partitionBy(by).orderBy("dt")).alias("_row"), *((F.col(c) * F.col("_e")).alias(c) for c in names))
-    a = scores.withColumn("lag", F.explode(F.sequence(F.lit(0), "_lags"))).withColumn("other", F.col("_row") - F.col("lag"))
+    kind = dict(d.dtypes)[by]
+    total = lambda pairs: F.array(*(F.sum(F.col(a) * F.col(b)) for a, b in pairs))
+    square = [(a, b) for a in names for b in names]
+    n = F.count("*")
+    sums = d.groupBy(by).agg(n.alias("n"), F.sum(F.col("_y") * F.col("_y")).alias("yy"), (F.floor(4 * F.pow(n / 100, F.lit(2 / 9))) if lags is None else F.lit(lags)).cast("int").alias("lags"), total(square).alias("xx"), total([(a, "_y") for a in names]).alias("xy"))
+    fits = save(sums.mapInArrow(_solved(k), f"{by} {kind}, n long, lags int, beta array<double>, inv array<double>, r2 double"), "fits")
+    e = d.join(fits.where("beta IS NOT NULL").select(by, "beta", "lags"), by)
+    e = e.withColumn("_e", F.col("_y") - sum((F.col(c) * F.col("beta")[i] for i, c in enumerate(names)), F.lit(0.0)))
+    scores = e.select(by, "lags", F.row_number().over(W.partitionBy(by).orderBy("dt")).alias("_row"), *((F.col(c) * F.col("_e")).alias(c) for c in names))
+    a = scores.withColumn("lag", F.explode(F.sequence(F.lit(0), "lags"))).withColumn("other", F.col("_row") - F.col("lag"))
     b = scores.select(by, F.col("_row").alias("other"), *(F.col(c).alias(f"{c}_o") for c in names))
-    middle = {k: np.zeros((len(names), len(names))) for k in fits}
-    for row in a.join(b, [by, "other"]).groupBy(by, "lag").agg(*(F.sum(F.col(p) * F.col(f"{q}_o")).alias(f"{p}|{q}") for p in names for q in names)).collect():
-        g = np.array([[row[f"{p}|{q}"] for q in names] for p in names], float)
-        middle[row[by]] += g if row["lag"] == 0 else (1 - row["lag"] / (fits[row[by]][3] + 1)) * (g + g.T)
-    out: list[tuple] = []
-    for k, (r, xx, beta, _) in fits.items():
-        if beta is None:
-            out += [(k, t, None, None, None, None, int(r["n"])) for t in names]
-            continue
-        inv = np.linalg.inv(xx)
-        se = np.sqrt(np.maximum(np.diag(inv @ middle[k] @ inv), 0))
-        rss, tss = r["yy"] - beta @ np.array([r[f"{t}|_y"] for t in names], float), r["yy"] - r["const|_y"] ** 2 / r["n"]
-        r2 = float(1 - rss / tss) if tss > 0 else float("nan")
-        out += [(k, t, float(b), float(s), float(b / s) if s else None, r2, int(r["n"])) for t, b, s in zip(names, beta, se, strict=True)]
-    return spark.createDataFrame(out, f"{by} string, term string, beta double, se double, t double, r2 double, n long")
+    weight = F.when(F.col("lag") == 0, 0.5).otherwise(1 - F.col("lag") / (F.col("lags") + 1))
+    middle = a.join(b, [by, "other"]).groupBy(by).agg(F.array(*(F.sum(weight * (F.col(p) * F.col(f"{q}_o") + F.col(q) * F.col(f"{p}_o"))) for p, q in square)).alias("middle"))
+    d = fits.join(middle, by, "left")
+    cell = lambda c, i, j: F.get(c, F.lit(i * k + j))
+
+    def error(i: int) -> Column:
+        """The i-th diagonal element of inverse * middle * inverse, rooted."""
+        var = sum((cell("inv", i, p) * cell("middle", p, q) * cell("inv", q, i) for p in range(k) for q in range(k)), F.lit(0.0))
+        return F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0))))
+
+    rows = F.array(*(F.struct(F.lit(t).alias("term"), F.get("beta", F.lit(i)).alias("beta"), error(i).alias("se")) for i, t in enumerate(names)))
+    return d.select(by, F.inline(rows), "r2", "n").select(by, "term", "beta", "se", ratio(F.col("beta"), F.col("se")).alias("t"), "r2", "n")
 
 
 def arch_lm(df: DataFrame, lags: int) -> DataFrame:

@@ -16,17 +16,20 @@ from strandmill.operators import ledger as L
 from strandmill.operators import recursive as R
 from strandmill.operators import signals as G
 from strandmill.operators import windows as O
+from strandmill.sources.sinks import save
 
 KEYS = ("symbol", "dt")
 PARTS = ("trend", "carry", "skew", "vov")
 N, LEAST = 52, 26  # rows of forecast scalars
 
-#: A parameter's type and default. Windows and spans count rows. 0 turns off: conviction, vov_direction and smooth_span.
+#: A parameter's type and default, and below the values of the axes, ranges and choices. A window or span of
+#: daily rows is brought to weekly ones by a fifth (256 rows a year to 52). 0 turns off conviction, vov_direction, smooth_span
+#: and halflife, which goes before smooth_span; ``dropped`` names a symbol to leave out.
 PARAMS: dict[str, tuple[str, object]] = {
     "speeds": ("array<string>", ["4_16", "8_32", "16_64"]), "trend_fdm": ("double", 1.0), "conviction": ("int", 0), "w_ts": ("double", 1.0), "w_xs": ("double", 0.0), "xs_lookback": ("int", 52),
     "skew_window": ("int", 52), "vov_window": ("int", 20), "vov_direction": ("int", 13), "w_trend": ("double", 0.25), "w_carry": ("double", 0.25), "w_skew": ("double", 0.25), "w_vov": ("double", 0.25),
     "fdm_mode": ("string", "pooled"), "fdm_cap": ("double", 2.0), "fdm_span": ("int", 104), "fdm_least": ("int", 26), "smooth_span": ("int", 3), "steepness": ("double", 10.0),
-    "vol_trigger": ("double", 1.0), "vol_dampen": ("double", 0.5), "dd_threshold": ("double", -0.1), "dd_scale": ("double", 0.5), "cost_mult": ("double", 1.0), "lag": ("int", 0),
+    "vol_trigger": ("double", 1.0), "vol_dampen": ("double", 0.5), "dd_threshold": ("double", -0.1), "dd_scale": ("double", 0.5), "cost_mult": ("double", 1.0), "lag": ("int", 0), "halflife": ("double", 0.0), "dropped": ("string", ""),
 }
 DEFAULTS = {k: v for k, (_, v) in PARAMS.items()}
 OFF = {"vol_dampen": 1.0, "dd_scale": 1.0}  # no overlays
@@ -50,7 +53,7 @@ def one_at_a_time() -> dict[str, tuple[str, Params]]:
         "C trend multiplier": [{"trend_fdm": x} for x in (0.85, 0.9, 0.95, 1.0, 1.05, 1.1)],
         "D weights": [weights(*x) for x in ((0.25, 0.25, 0.25, 0.25), (0.4, 0.2, 0.2, 0.2), (0.2, 0.4, 0.2, 0.2), (0.2, 0.2, 0.4, 0.2), (0.2, 0.2, 0.2, 0.4), (0.3333, 0.2222, 0.2222, 0.2223), (0.3, 0.3, 0.3, 0.1))],
         "E multiplier cap": [{"fdm_cap": x} for x in (1.2, 1.5, 1.65, 1.8, 2.0, 2.2, 2.4, 3.0, 1e9)],
-        "F correlation span": [{"fdm_span": x} for x in (52, 104, 208)],
+        "F correlation span": [{"fdm_mode": "single", "fdm_span": x} for x in (52, 104, 208)],
         "G skew window": [{"skew_window": x} for x in (26, 39, 52, 78, 104)],
         "H smoothing": [{"smooth_span": x} for x in (0, 2, 3, 5, 8, 10, 15, 21)],
         "I steepness": [{"steepness": x} for x in (0.5, 1.0, 2.0, 3.0, 5.0, 7.0, 10.0, 15.0, 20.0)],
@@ -104,7 +107,7 @@ IDENTITY = {"speeds": ["16_64"], "trend_fdm": 1.0, "xs_lookback": 52, "convictio
 
 def rounded(params: Params) -> Params:
     """Windows to the nearest power of two, factors to tenths, thresholds to fiftieths."""
-    power = lambda x: 2 ** round(__import__("math").log2(max(2, x)))
+    power = lambda x: min((2**k for k in range(1, 12)), key=lambda p: (abs(x - p), p))
     out = {k: power(params[k]) for k in ("xs_lookback", "skew_window", "vov_window", "vov_direction", "smooth_span", "fdm_span")}
     return out | {k: round(round(float(params[k]) / 0.1) * 0.1, 6) for k in ("trend_fdm", "vol_trigger", "vol_dampen", "dd_scale", "fdm_cap")} | {"dd_threshold": round(round(float(params["dd_threshold"]) / 0.02) * 0.02, 6)}
 
@@ -131,67 +134,94 @@ def random_variants(spark: SparkSession, n: int, uniform: Callable[[str, int], s
 
 def needs(variants: DataFrame) -> dict[str, list]:
     """The distinct values of each parameter that a forecast depends on; as many as the axes have, whatever the number of variants."""
-    wanted = variants.agg(F.sort_array(F.collect_set(F.array_join("speeds", ","))).alias("speeds"), F.sort_array(F.collect_set(F.struct("vov_window", "vov_direction"))).alias("vov"), *(F.sort_array(F.collect_set(k)).alias(k) for k in ("conviction", "xs_lookback", "skew_window", "lag"))).first()
-    pairs = sorted({tuple(map(int, p.split("_"))) for s in wanted["speeds"] for p in s.split(",")})
-    return {"speeds": pairs, "vov": [tuple(x) for x in wanted["vov"]]} | {k: [int(x) for x in wanted[k]] for k in ("conviction", "xs_lookback", "skew_window", "lag")}
+    wanted = variants.agg(F.sort_array(F.collect_set(F.array_join("speeds", "+"))).alias("speeds"), F.sort_array(F.collect_set(F.struct("vov_window", "vov_direction"))).alias("vov"), F.sort_array(F.collect_set(F.when(F.col("conviction") > 0, F.struct(F.array_join("speeds", "+").alias("s"), "conviction")))).alias("ramps"), *(F.sort_array(F.collect_set(k)).alias(k) for k in ("xs_lookback", "skew_window", "lag"))).first()
+    pairs = sorted({tuple(map(int, p.split("_"))) for s in wanted["speeds"] for p in s.split("+")})
+    return {"speeds": pairs, "vov": [tuple(x) for x in wanted["vov"]], "ramps": [tuple(x) for x in wanted["ramps"]]} | {k: [int(x) for x in wanted[k]] for k in ("xs_lookback", "skew_window", "lag")}
 
 
-def library(bars: DataFrame, chain: DataFrame, wanted: dict[str, list]) -> DataFrame:
-    """Bars with all forecasts that any variant needs, by name, in a map f: each is made once.
+#: Columns of a library besides its features.
+BASE = ("symbol", "dt", "open", "close", "vol", "usual", "loss")
+
+
+def features(wanted: dict[str, list]) -> list[str]:
+    """Names of all features that any variant needs."""
+    return ["carry", *(f"{f}_{s}" for f, s in wanted["speeds"]), *(f"xs{k}" for k in wanted["xs_lookback"]), *(f"skew{k}" for k in wanted["skew_window"]), *(f"vov{w}_{k}" for w, k in wanted["vov"]), *(f"conv{k}:{s}" for s, k in wanted["ramps"])]
+
+
+def library(bars: DataFrame, chain: DataFrame, wanted: dict[str, list], names: list[str] | None = None) -> DataFrame:
+    """BASE and a column for each feature of names (default: all that wanted has), each made once.
 
     One exchange by date for the cross-sectional scores, one by symbol for all else; the chain of contracts is joined.
     """
+    names = features(wanted) if names is None else names
     d = bars.join(chain.select(*KEYS, "c1", "c2", "years12"), list(KEYS), "left").withColumn("np", O.norm_price("dp", "vol"))
-    xs = {f"xs{k}": k for k in wanted["xs_lookback"]}
-    d = d.withColumns({n: O.diff("np", k) for n, k in xs.items()})
-    d = d.withColumns({n: X.xs_z(n) for n in xs})
-    d = G.crossovers(d, tuple(wanted["speeds"]))
-    names = {f"cross{f}_{s}": f"{f}_{s}" for f, s in wanted["speeds"]}
+    xs = {f"xs{k}": k for k in wanted["xs_lookback"] if f"xs{k}" in names}
+    if xs:
+        d = d.withColumns({n: O.diff("np", k) for n, k in xs.items()})
+        d = d.withColumns({n: X.xs_z(n) for n in xs})
+    ramps = {f"conv{k}:{s}": (s.split("+"), k) for s, k in wanted["ramps"] if f"conv{k}:{s}" in names}
+    pairs = [(f, s) for f, s in wanted["speeds"] if f"{f}_{s}" in names or any(f"{f}_{s}" in own for own, _ in ramps.values())]
+    if pairs:
+        d = G.crossovers(d, tuple(pairs))
+    made = {f"{f}_{s}": f"cross{f}_{s}" for f, s in pairs}
     d = d.withColumn("carry", ratio(ratio(F.col("c1") - F.col("c2"), F.col("years12")), F.col("vol")))
-    d = d.withColumns({f"skew{k}": -O.roll_skew("dp", k, 20) for k in wanted["skew_window"]})
-    d = G.add_vol_of_vol(d, {f"vov{w}_{k}": (8, w, 52, k) for w, k in wanted["vov"]})
-    names |= {n: n for n in ["carry", *xs, *(f"skew{k}" for k in wanted["skew_window"]), *(f"vov{w}_{k}" for w, k in wanted["vov"])]}
-    trend = reduce(lambda a, b: a + b, (F.coalesce(f"cross{f}_{s}", F.lit(0.0)) for f, s in wanted["speeds"]))
-    d = d.withColumn("strength", trend)
-    ramps = {f"conv{k}": F.coalesce(B.conviction("strength", k, k // 2), F.lit(1.0)) for k in wanted["conviction"] if k}
-    d = d.withColumns({c: F.coalesce(B.to_forecast(c, N, LEAST), F.lit(0.0)) for c in names} | ramps | {"usual": O.roll_mean("vol", 52, 20), "loss": 1 - ratio(O.shift("close", 1), O.shift("close", 9)), "open": F.coalesce(O.shift("close", 1), F.col("close"))})
-    entries = [x for c, n in [*names.items(), *((c, c) for c in ramps)] for x in (F.lit(n), F.col(c))]
-    return d.select(*KEYS, "open", "close", "vol", "usual", "loss", F.create_map(*entries).alias("f"))
-
-
-def scores(forecasts: DataFrame, variants: DataFrame, lags: Iterable[int] = (0,)) -> DataFrame:
-    """(variant, symbol, dt, score, open, close, vol, cost_mult): the composite of each variant.
-
-    The registry is broadcast, as it is a table of parameters; variant and symbol are keys of every step.
+    d = d.withColumns({f"skew{k}": -O.roll_skew("dp", k, 20) for k in wanted["skew_window"] if f"skew{k}" in names} or {"carry": F.col("carry")})
+    d = G.add_vol_of_vol(d, {f"vov{w}_{k}": (8, w, 52, k) for w, k in wanted["vov"] if f"vov{w}_{k}" in names})
+    total = lambda own: reduce(lambda a, b: a + b, (F.coalesce(made[x], F.lit(0.0)) for x in own))
+    d = d.withColumns({f"_s{i}": total(own) for i, (own, _) in enumerate(ramps.values())} or {"carry": F.col("carry")})
+    found = {n: F.coalesce(B.conviction(f"_s{i}", k, k // 2), F.lit(1.0)) for i, (n, (_, k)) in enumerate(ramps.items())}
+    found |= {n: F.coalesce(B.to_forecast(made.get(n, n), N, LEAST), F.lit(0.0)) for n in names if n not in ramps}
+    d = d.select(*KEYS, F.coalesce(O.shift("close", 1), F.col("close")).alias("open"), "close", "vol", O.roll_mean("vol", 52, 20).alias("usual"), (1 - ratio(O.shift("close", 1), O.shift("close", 9))).alias("loss"), *(found[n].alias(n) for n in names))
+    return d
+
+
+def scores(forecasts: DataFrame, variants: DataFrame, lags: Iterable[int] = (0,), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(variant, symbol, dt, score, open, close, vol, cost_mult, *keep), all rows of a variant together: the composite of each variant.
+
+    The registry is broadcast, as it is a table of parameters. Where a variant finds its features in a row is looked up
+    once a variant. The correlations' pool, a row for each variant and date, is written; after it, one exchange by variant
+    serves all steps. A dropped symbol has no rows; cross-sectional features keep the whole universe.
     """
-    f = lambda name: F.coalesce(F.try_element_at("f", name), F.lit(0.0))
-    d = forecasts.crossJoin(F.broadcast(variants))
-    ts = F.aggregate("speeds", F.lit(0.0), lambda a, s: a + f(s)) / F.size("speeds") * F.col("trend_fdm")
-    ts = ts * F.when(F.col("conviction") > 0, F.coalesce(F.try_element_at("f", F.concat(F.lit("conv"), F.col("conviction"))), F.lit(1.0))).otherwise(1.0)
-    d = d.withColumns({"trend": cap(F.col("w_ts") * ts + F.col("w_xs") * f(F.concat(F.lit("xs"), F.col("xs_lookback")))), "carry": f(F.lit("carry")), "skew": f(F.concat(F.lit("skew"), F.col("skew_window"))), "vov": f(F.concat_ws("_", F.concat(F.lit("vov"), F.col("vov_window")), "vov_direction"))}).drop("f")
+    names = [c for c in forecasts.columns if c not in (*BASE, *keep)]
+    places = F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i)))
+    at = lambda name: F.coalesce(F.try_element_at(places, name), F.lit(len(names)))
+    named = {"i_xs": F.concat(F.lit("xs"), F.col("xs_lookback")), "i_carry": F.lit("carry"), "i_skew": F.concat(F.lit("skew"), F.col("skew_window")), "i_vov": F.concat_ws("_", F.concat(F.lit("vov"), F.col("vov_window")), "vov_direction"), "i_conv": F.concat(F.lit("conv"), F.col("conviction"), F.lit(":"), F.array_join("speeds", "+"))}
+    variants = variants.withColumns({k: at(n) for k, n in named.items()} | {"i_speeds": F.transform("speeds", at)})
+    f = lambda i: F.coalesce(F.get("f", i), F.lit(0.0))
+    d = forecasts.select(*BASE, *keep, F.array(*(F.col(f"`{n}`") for n in names)).alias("f")).crossJoin(F.broadcast(variants)).where("symbol <> dropped")
+    ts = F.aggregate("i_speeds", F.lit(0.0), lambda a, i: a + f(i)) / F.size("i_speeds") * F.col("trend_fdm")
+    ts = ts * F.when(F.col("conviction") > 0, F.coalesce(F.get("f", F.col("i_conv")), F.lit(1.0))).otherwise(1.0)
+    d = d.withColumns({"trend": cap(F.col("w_ts") * ts + F.col("w_xs") * f(F.col("i_xs"))), **{p: f(F.col(f"i_{p}")) for p in PARTS[1:]}}).drop("f", "speeds", *(f"i_{k}" for k in ("speeds", "xs", "carry", "skew", "vov", "conv")))
     d = d.withColumn("pool", F.when(F.col("fdm_mode") == "single", F.col("symbol")).otherwise(""))
     by = ("variant", "pool")
     pool = d.groupBy(*by, "dt").agg(*(F.avg(p).alias(p) for p in PARTS), *(F.first(c).alias(c) for c in ("fdm_span", "fdm_least", "fdm_mode", "fdm_cap", *(f"w_{p}" for p in PARTS))))
     pool, rho = R.ewm_rhos(pool, list(PARTS), 2 / (F.col("fdm_span") + 1.0), by=by)
     mult = B.multiplier({p: F.col(f"w_{p}") for p in PARTS}, rho, F.col("_n") >= F.col("fdm_least"), F.col("fdm_mode"), F.col("fdm_cap"))
-    d = d.join(pool.select(*by, "dt", mult.alias("mult")), [*by, "dt"])
+    pool = save(pool.select(*by, "dt", mult.alias("mult")), "multipliers")
     mixed = reduce(lambda a, b: a + b, (F.col(p) * F.col(f"w_{p}") for p in PARTS))
-    d = d.withColumn("mixed", cap(cap(mixed) * F.col("mult")))
-    d = R.ewm_means(d, {"smooth": ("mixed", 2 / (F.greatest(F.col("smooth_span"), F.lit(2)) + 1.0))}, by=("variant", "symbol"))
+    d = d.join(pool, [*by, "dt"]).withColumn("mixed", cap(cap(mixed) * F.col("mult")))
     gate = lambda least, x: 1 - (1 - F.col(least)) * F.coalesce(sigmoid(F.col("steepness") * x), F.lit(0.0))
     gates = gate("vol_dampen", ratio(F.col("vol"), F.col("usual")) - F.col("vol_trigger")) * gate("dd_scale", F.col("loss") + F.col("dd_threshold"))
-    d = d.withColumn("score", F.when(F.col("smooth_span") > 1, F.col("smooth")).otherwise(F.col("mixed")) * gates)
-    at = W.partitionBy("variant", "symbol").orderBy("dt")
-    held = reduce(lambda a, k: F.when(F.col("lag") == k, F.lag("score", k).over(at)).otherwise(a), (k for k in lags if k), F.col("score"))
-    return d.select("variant", *KEYS, F.coalesce(held, F.lit(0.0)).alias("score"), "open", "close", "vol", "cost_mult")
+    rate = F.when(F.col("halflife") > 0, 1 - F.pow(F.lit(2.0), -1 / F.col("halflife"))).when(F.col("smooth_span") > 1, 2 / (F.col("smooth_span") + 1.0)).otherwise(1.0)
+    d = d.select("variant", *KEYS, "open", "close", "vol", "cost_mult", *keep, "lag", "mixed", gates.alias("gates"), rate.alias("rate")).repartition("variant")
+    d = R.ewm_means(d, {"smooth": ("mixed", F.col("rate"))}, by=("variant", "symbol"))
+    d = d.withColumn("score", F.col("smooth") * F.col("gates"))
+    over = W.partitionBy("variant", "symbol").orderBy("dt")
+    held = reduce(lambda a, k: F.when(F.col("lag") == k, F.lag("score", k).over(over)).otherwise(a), (k for k in lags if k), F.col("score"))
+    return d.select("variant", *KEYS, F.coalesce(held, F.lit(0.0)).alias("score"), "open", "close", "vol", "cost_mult", *keep)
 
 
-def run(forecasts: DataFrame, variants: DataFrame, dims: DataFrame, year: float, lags: Iterable[int] = (0,), capital: float = L.CAPITAL) -> DataFrame:
-    """(variant, dt, pnl, commission, trades, cash, nav, ret, excess) of every variant: composite, positions, ledger and net asset value."""
-    d = scores(forecasts, variants, lags).join(dims.select("symbol", "pointsize", "cost_rt"), "symbol")
+def run(forecasts: DataFrame, variants: DataFrame, dims: DataFrame, year: float, lags: Iterable[int] = (0,), capital: float = L.CAPITAL, rates: DataFrame | None = None) -> DataFrame:
+    """(variant, dt, pnl, commission, trades, cash, nav, ret, excess) of every variant: composite, positions, ledger and net asset value.
+
+    rates: (dt, rate), what cash earns in a row's time, as of a date; without it cash earns nothing.
+    """
+    own = ("pointsize", "cost_rt")
+    d = scores(forecasts.join(dims.select("symbol", *own), "symbol"), variants, lags, own)
     d = d.withColumn("forecast", F.col("score")).withColumn("fx", F.lit(1.0))
-    held = L.held_position(L.target_position(d, capital=capital, root_year=year**0.5, least_vol=1e-9).drop("forecast", "score"))
-    return L.nav(L.portfolio_daily(L.daily_pnl(held, F.col("cost_mult")), capital=capital), capital)
+    d = L.target_position(d, capital=capital, root_year=year**0.5, least_vol=1e-9).drop("forecast", "score")
+    held = R.deadband(d, "target", "position", by=("variant", "symbol"), across="symbol", together=True)
+    return L.nav(L.portfolio_daily(L.daily_pnl(held, F.col("cost_mult")), rates, capital), capital)
 
 
 def summary(ran: DataFrame, variants: DataFrame, year: float) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 import itertools
 
 from pyspark.sql import Window as W
@@ -17,10 +16,12 @@ from strandmill.operators import strategy as C
 from strandmill.operators import sweep as V
 from strandmill.operators import windows as O
 from strandmill.operators.bootstrap import hash_sql, uniform_sql
-from strandmill.plans.panel_queries import AT, POINTS, last, term
+from strandmill.plans import sweep_sql as Z
+from strandmill.plans.panel_queries import AT, last, term
 from strandmill.plans.registry import query, rounded
 from strandmill.plans.signal_queries import CHAINED, bars, ewm_sql, hours
 from strandmill.sources import panels as P
+from strandmill.sources.features import read_features
 from strandmill.sources.sinks import save
 
 YEAR = 52.0
@@ -48,8 +49,7 @@ def daily(spark, d):
     return L.portfolio_daily(book(spark, d), P.cash_w(spark, d).select(F.col("dt").cast("timestamp").alias("dt"), (F.col("rate") / 100 / 5000).alias("rate")), CAPITAL)
 
 
-MULT = "CASE " + " ".join(f"WHEN n < {b} THEN {ya}::DOUBLE + (n - {a}) * (({yb}::DOUBLE - {ya}::DOUBLE) / {b - a})" for (a, ya), (b, yb) in itertools.pairwise(ast.literal_eval(f"[{POINTS}]"))) + " END"
-TARGET = f"s0 AS (SELECT *, close - lag(close, 8) {AT} AS raw, close - lag(close) {AT} AS dp, 1.0::DOUBLE + length(symbol) % 3 AS pointsize, 0.5::DOUBLE + 0.1::DOUBLE * (length(symbol) % 7) AS cost_rt FROM bars_h), s1 AS (SELECT *, CASE WHEN count(raw) {last(52)} >= 26 AND avg(abs(raw)) {last(52)} <> 0 AND raw IS NOT NULL THEN round(greatest(least(raw * 10 / avg(abs(raw)) {last(52)}, 20), -20), 6) END AS forecast, CASE WHEN count(dp) {last(20)} >= 20 THEN round(stddev_samp(dp) {last(20)}, 6) END AS vol FROM s0), s2 AS (SELECT *, forecast IS NOT NULL AND vol IS NOT NULL AND forecast <> 0 AS act FROM s1), s3 AS (SELECT *, CAST(sum(act::INT) OVER (PARTITION BY dt) AS DOUBLE) AS n FROM s2), tg AS (SELECT symbol, dt, open, close, pointsize, cost_rt, round(last_value(CASE WHEN act AND vol * pointsize >= 1 THEN forecast / 10 * 1000000.0::DOUBLE * 0.2::DOUBLE * ({MULT}) / n / (vol * pointsize * 16) END IGNORE NULLS) {last(None)}, 6) AS target FROM s3)"
+TARGET = f"s0 AS (SELECT *, close - lag(close, 8) {AT} AS raw, close - lag(close) {AT} AS dp, 1.0::DOUBLE + length(symbol) % 3 AS pointsize, 0.5::DOUBLE + 0.1::DOUBLE * (length(symbol) % 7) AS cost_rt FROM bars_h), s1 AS (SELECT *, CASE WHEN count(raw) {last(52)} >= 26 AND avg(abs(raw)) {last(52)} <> 0 AND raw IS NOT NULL THEN round(greatest(least(raw * 10 / avg(abs(raw)) {last(52)}, 20), -20), 6) END AS forecast, CASE WHEN count(dp) {last(20)} >= 20 THEN round(stddev_samp(dp) {last(20)}, 6) END AS vol FROM s0), s2 AS (SELECT *, forecast IS NOT NULL AND vol IS NOT NULL AND forecast <> 0 AS act FROM s1), s3 AS (SELECT *, CAST(sum(act::INT) OVER (PARTITION BY dt) AS DOUBLE) AS n FROM s2), tg AS (SELECT symbol, dt, open, close, pointsize, cost_rt, round(last_value(CASE WHEN act AND vol * pointsize >= 1 THEN forecast / 10 * 1000000.0::DOUBLE * 0.2::DOUBLE * ({Z.MULT}) / n / (vol * pointsize * 16) END IGNORE NULLS) {last(None)}, 6) AS target FROM s3)"
 HELD = f", tn AS (SELECT *, row_number() {AT} AS i FROM tg), hold AS (SELECT symbol, i, CASE WHEN target IS NOT NULL AND abs(target) > greatest(0.1 * abs(target), 0.5) THEN round(target) ELSE 0.0 END AS position FROM tn WHERE i = 1 UNION ALL SELECT t.symbol, t.i, CASE WHEN t.target IS NOT NULL AND abs(t.target - h.position) > greatest(0.1 * abs(t.target), 0.5) THEN round(t.target) ELSE h.position END FROM hold h JOIN tn t ON t.symbol = h.symbol AND t.i = h.i + 1), bk0 AS (SELECT t.*, h.position, coalesce(lag(h.position) OVER (PARTITION BY t.symbol ORDER BY t.dt), 0) AS prior, lag(close) OVER (PARTITION BY t.symbol ORDER BY t.dt) AS pc FROM tn t JOIN hold h ON h.symbol = t.symbol AND h.i = t.i), bk AS (SELECT symbol, dt, position, position - prior AS trade, abs(position - prior) * cost_rt / 2 AS commission, (prior * coalesce(open - pc, 0) + position * (close - open)) * pointsize - abs(position - prior) * cost_rt / 2 AS pnl FROM bk0)"
 DAILY = ", dy0 AS (SELECT dt, sum(pnl) AS pnl, sum(commission) AS commission, CAST(sum(CASE WHEN trade <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS trades FROM bk GROUP BY 1), dy AS (SELECT d.*, coalesce(c.rate / 100 / 5000, 0) AS rate FROM dy0 d ASOF LEFT JOIN (SELECT CAST(dt AS TIMESTAMP) AS dt, rate FROM cash_w) c ON d.dt >= c.dt)"
 NAVS = ", nv0 AS (SELECT *, 1000000.0::DOUBLE + sum(pnl + rate * 1000000.0::DOUBLE) OVER (ORDER BY dt) AS nav FROM dy), nv AS (SELECT *, nav / coalesce(lag(nav) OVER (ORDER BY dt), 1000000.0::DOUBLE) - 1 AS ret FROM nv0)"
@@ -233,15 +233,15 @@ def _(spark, d):
     return rounded(A.spans(P.strategies(spark, d), 2, YEAR), "variant", "start")
 
 
-#: Twelve named windows of the panels' years; the last two have few rows or none.
-STRESSES = [("war", "1992-02-01", "1992-06-30"), ("rate_shock", "1992-09-01", "1992-12-31"), ("slump", "1993-01-10", "1993-12-09"), ("crisis", "1994-02-01", "1995-01-31"), ("contagion", "1995-03-01", "1995-08-31"), ("gap", "1996-01-26", "1996-04-02"), ("autumn", "1996-10-01", "1996-12-24"), ("crash", "1997-02-19", "1997-03-30"), ("recovery", "1997-04-01", "1997-12-31"), ("inflation", "1998-01-03", "1998-10-14"), ("late", "1998-11-20", "1998-12-05"), ("after", "2024-01-01", "2024-12-31")]
-WINDOWS = "stresses AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', DATE '{a}', DATE '{z}')" for n, a, z in STRESSES) + ") t(name, low, high)), sw AS (SELECT v.variant, w.name, s.dt, s.ret, sum(ln(1 + s.ret)) OVER (PARTITION BY v.variant, w.name ORDER BY s.dt) AS lg FROM (SELECT DISTINCT variant FROM strategies) v CROSS JOIN stresses w LEFT JOIN strategies s ON s.variant = v.variant AND s.dt BETWEEN w.low AND w.high), sf AS (SELECT *, lg - greatest(max(lg) OVER (PARTITION BY variant, name ORDER BY dt), 0) AS fall FROM sw)"
+FALLS = "fq AS (SELECT date_trunc('quarter', dt)::DATE AS low, sum(ln(1 + ret)) AS lr FROM strategies GROUP BY 1 ORDER BY 2, 1 LIMIT 12), falls AS (SELECT strftime(low, '%Y') || 'Q' || quarter(low) AS name, low, (low + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS high FROM fq)"
+WINDOWS = FALLS + ", sw AS (SELECT v.variant, w.name, s.dt, s.ret, sum(ln(1 + s.ret)) OVER (PARTITION BY v.variant, w.name ORDER BY s.dt) AS lg FROM (SELECT DISTINCT variant FROM strategies) v CROSS JOIN falls w LEFT JOIN strategies s ON s.variant = v.variant AND s.dt BETWEEN w.low AND w.high), sf AS (SELECT *, lg - greatest(max(lg) OVER (PARTITION BY variant, name ORDER BY dt), 0) AS fall FROM sw)"
 
 
 @query("ag06_windows", ("strategies",), "SELECT variant, name, count(ret) AS n, " + ", ".join(f"CASE WHEN count(ret) >= 5 THEN round({x}, 6) + 0.0 END AS {c}" for c, x in (("sharpe", SR), ("cagr", "exp(sum(ln(1 + ret)) * 52 / count(ret)) - 1"), ("max_dd", "1 - exp(min(fall))"), ("mean_bp", "avg(ret) * 10000"), ("best", "max(ret)"), ("worst", "min(ret)"))) + " FROM sf GROUP BY 1, 2", WINDOWS)
 def _(spark, d):
-    w = spark.createDataFrame(STRESSES, "name string, low string, high string").select("name", F.col("low").cast("date").alias("low"), F.col("high").cast("date").alias("high"))
-    return rounded(A.windows(P.strategies(spark, d), w, YEAR), "variant", "name")
+    """Every variant in the twelve quarters in which all together fell deepest."""
+    s = P.strategies(spark, d)
+    return rounded(A.windows(s, A.deepest_quarters(s, 12), YEAR), "variant", "name")
 
 
 @query("ag07_describe_dist", ("strategies",), "SELECT variant, round(avg(ret), 6) + 0.0 AS mean, round(stddev_samp(ret), 6) AS sd, round(min(ret), 6) AS low, " + ", ".join(f"round(quantile_cont(ret, {v}), 6) + 0.0 AS p{round(v * 100)}" for v in A.LEVELS) + ", round(max(ret), 6) AS high FROM strategies GROUP BY 1")
@@ -317,89 +317,144 @@ def _(spark, d):
     return A.dates_union(P.bars_w(spark, d), P.fx_w(spark, d))
 
 
-@query("ag15_digest", ("bars_w",))
+DIGEST = "md5(concat_ws('|', " + ", ".join(f"coalesce({c}::DECIMAL(38, 6)::VARCHAR, '~')" if c not in ("dt", "symbol") else f"coalesce({c}::VARCHAR, '~')" for c in ("close", "dt", "high", "low", "open_interest", "symbol", "volume")) + "))"
+
+
+@query("ag15_digest", ("bars_w",), f"SELECT count(*) AS rows, (sum(('0x' || substr({DIGEST}, 1, 12))::BIGINT) % {A.DIGEST_MOD})::BIGINT AS digest FROM bars_w")
 def _(spark, d):
     return A.digest(P.bars_w(spark, d))
 
 
 # --- sweeps ----------------------------------------------------------------------------------------------------------
 
-def variants(spark, overrides):
-    return C.registry(spark, overrides)
+def rates(spark, d):
+    """What cash earns in a week."""
+    return P.cash_w(spark, d).select("dt", (F.col("rate") / 100 / YEAR).alias("rate"))
 
 
-def run(spark, d, v):
-    """Every variant of v through the composite and the ledger. The library of forecasts is written once, and read by all of them."""
+def forecasts(spark, d, wanted):
+    """The library of forecasts: a table for these bars and contracts that sweeps share, to which what is missing is added."""
     b = save(bars(spark, d), "bars")
+    chain = save(term(spark, d, b), "chain")
+    content = "-".join(str(x) for df in (b, chain) for x in A.digest(df).first())
+    return read_features(spark, content, C.features(wanted), lambda names: C.library(b, chain, wanted, names), C.BASE)
+
+
+def run(spark, d, v):
+    """Every variant of v through the composite and the ledger."""
     wanted = C.needs(v)
-    library = save(C.library(b, term(spark, d, b), wanted), "library")
-    return C.run(library, v, P.instruments(spark, d), YEAR, wanted["lag"])
+    return save(C.run(forecasts(spark, d, wanted), v, P.instruments(spark, d), YEAR, wanted["lag"], rates=rates(spark, d)), "returns")
+
+
+SUMMARY = ("variant", "dim", "n", "ann_ret", "sharpe", "max_dd", "trades_year", "costs", "delta")
 
 
 def summary(spark, d, v):
-    return rounded(C.summary(run(spark, d, v), v, YEAR).select("variant", "dim", "n", "ann_ret", "sharpe", "max_dd", "trades_year", "costs", "delta"), "variant", "dim")
+    return rounded(C.summary(run(spark, d, v), v, YEAR).select(*SUMMARY), "variant", "dim")
 
 
-for _name, _of in (("sw01_registry", C.one_at_a_time()), ("sw02_ablations", C.ablations()), ("sw05_cumulative", C.cumulative(C.PATH))):
-    query(_name, CHAINED)(lambda spark, d, of=_of: summary(spark, d, variants(spark, of)))
+RAN = (*CHAINED, "instruments", "cash_w")
 
-SPAN_LIST = (5, 10, 20, 40)
 
+def swept(name, of, post=None, sql=Z.ROUNDED, more="", tables=Z.summary_sql):
+    """A query over the variants of ``of``: its summary, or post(spark, d, registry); and its SQL over the same variants.
 
-@query("sw03_feature_library", ("bars_w",), "SELECT symbol, dt, span, round(v, 3) AS v FROM (" + " UNION ALL ".join(f"SELECT symbol, dt, {s} AS span, v FROM lib{s}" for s in SPAN_LIST) + ")", ", ".join(ewm_sql(f"lib{s}", "bars_w", "close", s) for s in SPAN_LIST))
-def _(spark, d):
-    return rounded(V.feature_library(P.bars_w(spark, d), list(SPAN_LIST)), "symbol", "dt", "span", digits=3)
+    SQL over all one-at-a-time variants or ablations outgrows memory, so those have none; the queries named ``chosen``
+    are the same over variants of every kind, with SQL.
+    """
+    run_it = lambda spark, d: (post or summary)(spark, d, C.registry(spark, of))
+    if len(of) > 20:
+        return query(name, RAN)(run_it)
+    made = (Z.variants_sql(of), Z.wanted_of([o for _, o in of.values()]))
+    return query(name, RAN, sql, tables(*made) + more)(run_it)
 
 
-@query("sw04_run_variants", CHAINED)
-def _(spark, d):
-    return rounded(run(spark, d, variants(spark, C.one_at_a_time())).select("variant", "dt", "ret", "trades"), "variant", "dt", digits=9)
+#: One or two variants of each axis.
+CHOSEN = {k: v for k, v in C.one_at_a_time().items() if k in ("A07", "A08", "B03", "C00", "D01", "E00", "F00", "G00", "H00", "I02", "J02", "K02", "L00", "M03", "N01", "P02", "P03", "Q04", "R00")}
 
 
-@query("st26_variant_summary", CHAINED)
+@query("sg44_composite", (*CHAINED, "instruments"), "SELECT symbol, dt, round(score, 5) + 0.0 AS score FROM sc", Z.scores_sql(Z.variants_sql({}), Z.wanted_of([])))
 def _(spark, d):
-    return summary(spark, d, variants(spark, C.one_at_a_time()))
+    """The composite that the sweeps vary, at its defaults."""
+    v = C.registry(spark, {})
+    return rounded(C.scores(forecasts(spark, d, C.needs(v)), v).select("symbol", "dt", "score"), "symbol", "dt", digits=5)
 
 
-@query("st25_fragility", CHAINED)
-def _(spark, d):
-    return V.fragility(summary(spark, d, variants(spark, C.one_at_a_time())))
+swept("sw01_registry", C.one_at_a_time())
+swept("sw02_ablations", C.ablations())
+swept("sw05_cumulative", C.cumulative(C.PATH))
+
+SPAN_LIST = (5, 10, 20, 40)
 
 
-@query("st23_hidden_damage", CHAINED)
+@query("sw03_feature_library", ("bars_w",), "SELECT symbol, dt, span, round(v, 3) AS v FROM (" + " UNION ALL ".join(f"SELECT symbol, dt, {s} AS span, v FROM lib{s}" for s in SPAN_LIST) + ")", ", ".join(ewm_sql(f"lib{s}", "bars_w", "close", s) for s in SPAN_LIST))
 def _(spark, d):
-    p = A.subperiods(run(spark, d, variants(spark, C.one_at_a_time())), periods(spark), YEAR)
+    return rounded(V.feature_library(P.bars_w(spark, d), list(SPAN_LIST)), "symbol", "dt", "span", digits=3)
+
+
+def returns_of(spark, d, v):
+    return rounded(run(spark, d, v).select("variant", "dt", "ret", "trades", "excess"), "variant", "dt", digits=9)
+
+
+for _name, _of in (("sw04_run_variants", C.one_at_a_time()), ("sw04_chosen", CHOSEN)):
+    swept(_name, _of, returns_of, "SELECT variant, dt, round(ret, 9) + 0.0 AS ret, trades, round(excess, 9) + 0.0 AS excess FROM rn", tables=Z.run_sql)
+for _name, _of in (("st26_variant_summary", C.one_at_a_time()), ("st26_chosen", CHOSEN)):
+    swept(_name, _of)
+for _name, _of in (("st25_fragility", C.one_at_a_time()), ("st25_chosen", {k: ("all" if k < "J" else "rest", o) for k, (_, o) in CHOSEN.items()})):
+    swept(_name, _of, lambda spark, d, v: rounded(V.fragility(summary(spark, d, v)), "dim"), "SELECT dim, round(max(gap), 6) AS gap FROM (SELECT dim, lead(sharpe) OVER (PARTITION BY dim ORDER BY sharpe, variant) - sharpe AS gap FROM (SELECT variant, dim, round(sharpe, 6) AS sharpe FROM su)) WHERE gap IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+
+
+def hidden(spark, d, v):
+    p = A.subperiods(run(spark, d, v), periods(spark), YEAR)
     base = p.where("variant = 'master'").select("name", F.col("sharpe").alias("base"))
     p = p.join(base, "name").select("variant", "name", (F.col("sharpe") - F.col("base")).alias("part_delta"))
     full = p.where("name = 'all'").select("variant", F.col("part_delta").alias("delta"))
     return rounded(V.hidden_damage(full, p.where("name <> 'all'")), "variant", "name")
 
 
-@query("st24_interaction", CHAINED)
-def _(spark, d):
+for _name, _of in (("st23_hidden_damage", C.one_at_a_time()), ("st23_chosen", CHOSEN)):
+    swept(_name, _of, hidden, "SELECT f.variant, p.name, round(f.x, 6) + 0.0 AS delta, round(p.x, 6) + 0.0 AS part_delta FROM hd f JOIN hd p ON p.variant = f.variant WHERE f.name = 'all' AND p.name <> 'all' AND f.x > -0.02 AND p.x < -0.02", f", {PSQL}, hp AS (SELECT variant, name, {SR} AS sharpe FROM rn JOIN periods ON (low IS NULL OR dt >= low) AND (high IS NULL OR dt <= high) GROUP BY 1, 2), hd AS (SELECT h.variant, h.name, h.sharpe - m.sharpe AS x FROM hp h JOIN hp m ON m.name = h.name AND m.variant = 'master')", Z.run_sql)
+
+#: What can be left out, one and two at a time.
+SINGLES = {"costs": {"cost_mult": 0.0}, "smoothing": {"smooth_span": 0}, "overlays": C.OFF, "direction": {"vov_direction": 0}}
+DOUBLES = {f"{a}+{b}": ("pair", SINGLES[a] | SINGLES[b]) for a, b in itertools.combinations(SINGLES, 2)}
+
+
+def interactions(spark, d, v):
     """Every pair of what can be left out, against the sum of its parts."""
-    singles = {"costs": {"cost_mult": 0.0}, "smoothing": {"smooth_span": 0}, "overlays": C.OFF, "direction": {"vov_direction": 0}}
-    names = list(singles)
-    pairs = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]
-    s = summary(spark, d, variants(spark, {n: ("single", o) for n, o in singles.items()} | {f"{a}+{b}": ("pair", singles[a] | singles[b]) for a, b in pairs}))
+    s = save(summary(spark, d, v), "summary")
     combos = s.where("dim = 'pair'").select(F.col("variant").alias("combo"), "delta", F.split("variant", r"\+").alias("parts"))
     return rounded(V.interaction(combos, s.select("variant", "delta")), "combo")
 
 
+swept("st24_interaction", {n: ("single", o) for n, o in SINGLES.items()} | DOUBLES, interactions, "SELECT c.variant AS combo, round(any_value(round(c.delta, 6)) - sum(round(s.delta, 6)), 6) + 0.0 AS interaction FROM su c JOIN su s ON list_contains(string_split(c.variant, '+'), s.variant) WHERE c.dim = 'pair' GROUP BY 1")
+
+
 @query("sw06_random_params", CHAINED)
 def _(spark, d):
     v = C.random_variants(spark, 100, lambda row, k: uniform_sql(7, row, str(k)))
-    s = summary(spark, d, v.unionByName(variants(spark, {})))
+    s = save(summary(spark, d, v.unionByName(C.registry(spark, {}))), "summary")
     seen = s.where("variant = 'master'").select(F.col("sharpe").alias("seen"))
     return rounded(A.rank_vs_null(s.where("dim = 'random'").crossJoin(seen), "sharpe", F.col("seen")))
 
 
-@query("sw07_rounded_params", CHAINED)
-def _(spark, d):
-    """The identity, rounded and scrambled parameters: a scramble takes each choice from its values by hash."""
-    pick = lambda k: {n: x[(7919 * (k + 1) + 104729 * i) % len(x)] for i, (n, x) in enumerate(C.CHOICES.items())}
-    of = {"identity": ("identity", C.IDENTITY), "rounded": ("rounded", C.rounded(C.DEFAULTS))} | {f"scramble{k}": ("scramble", pick(k)) for k in range(8)}
-    return summary(spark, d, variants(spark, of))
+def scrambled(k):
+    """A scramble takes each choice from its values by hash."""
+    return {n: x[(7919 * (k + 1) + 104729 * i) % len(x)] for i, (n, x) in enumerate(C.CHOICES.items())}
+
+
+swept("sw07_rounded_params", {"identity": ("identity", C.IDENTITY), "rounded": ("rounded", C.rounded(C.DEFAULTS))} | {f"scramble{k}": ("scramble", scrambled(k)) for k in range(8)})
+swept("sw08_lag_ledger", {f"lag{k}": ("lag", {"lag": k}) for k in (1, 2, 5)})
+
+
+def without_each(spark, d, v):
+    """The strategy without each symbol of the panel: multipliers, weights and totals are those of the symbols left."""
+    left_out = P.instruments(spark, d).select(F.concat(F.lit("without_"), "symbol").alias("variant"), F.lit("jackknife").alias("dim"), F.col("symbol").alias("dropped"))
+    v = save(v.unionByName(v.drop("variant", "dim", "dropped").crossJoin(left_out)), "variants")
+    return summary(spark, d, v)
+
+
+query("sw09_jackknife_ledger", RAN, Z.ROUNDED, Z.summary_sql(Z.variants_sql({}) + " UNION ALL SELECT * EXCLUDE (symbol) REPLACE ('without_' || symbol AS variant, 'jackknife' AS dim, symbol AS dropped) FROM (" + Z.variants_sql({}) + ") CROSS JOIN (SELECT symbol FROM instruments)", Z.wanted_of([])))(lambda spark, d: without_each(spark, d, C.registry(spark, {})))
 
 
 def scores(spark, d):
@@ -445,14 +500,8 @@ def _(spark, d):
     return rounded(V.noise_scores(scores(spark, d), "score", 100, 6), "draw", "symbol", "dt")
 
 
-@query("sw13_halflife_sweep", CHAINED)
-def _(spark, d):
-    return summary(spark, d, variants(spark, {f"span{x}": ("half-life", {"smooth_span": x}) for x in (0, 2, 5, 10, 20)}))
-
-
-@query("sw13_direction_sweep", CHAINED)
-def _(spark, d):
-    return summary(spark, d, variants(spark, {f"direction{x}": ("direction", {"vov_direction": x}) for x in (0, 4, 8, 26, 52)}))
+swept("sw13_halflife_sweep", {f"half{x}": ("half-life", {"halflife": float(x)}) for x in (1, 2, 3, 5, 10)})
+swept("sw13_direction_sweep", {f"direction{x}": ("direction", {"vov_direction": x}) for x in (0, 4, 8, 26, 52)})
 
 
 @query("sw14_cost_sweep", ("bars_h",), "SELECT mult, round(sum(pnl + (1 - mult) * commission), 6) + 0.0 AS pnl FROM bk CROSS JOIN (SELECT unnest([0.0::DOUBLE, 1.0, 2.0, 3.0]) AS mult) GROUP BY 1", TARGET + HELD)

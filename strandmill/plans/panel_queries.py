@@ -476,7 +476,7 @@ def _(spark, d):
 def regimes(spark, d):
     """Posterior of the second regime over 20 rows; each regime has moments of its own, of a trailing year, held between refits."""
     b = P.bars_w(spark, d).withColumn("ret", O.pct_change("close")).where("ret IS NOT NULL")
-    b = R.hold_refit(R.split_moments(b, "ret", 52, 20), ["m1", "s1", "m2", "s2"], 8)
+    b = R.split_moments(b, "ret", 52, 20, every=8)
     sd = lambda c: F.greatest(F.col(c), F.lit(1e-6))
     post = R.regime_posterior(F.col("ret"), {"mean1": F.col("m1"), "sd1": sd("s1"), "mean2": F.col("m2"), "sd2": sd("s2"), "stay": F.lit(0.95)}, 20)
     return b.withColumn("posterior", F.when(F.col("s1").isNotNull(), post))

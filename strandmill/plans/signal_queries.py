@@ -13,7 +13,6 @@ from strandmill.operators import windows as O
 from strandmill.plans.panel_queries import AREA, AT, CHAIN, DISP, EVENTS, MONTHS, PAIRS, REGIMES, SEASON, TRAILING, hurst_sql, last, leaders, monthly, regimes, term, trailing_edges
 from strandmill.plans.registry import query, rounded
 from strandmill.sources import panels as P
-from strandmill.sources.sinks import save
 
 K = ("symbol", "dt")
 N, LEAST = 52, 26  # of forecast scalars
@@ -306,35 +305,3 @@ NETWORK = (
     "moved AS (SELECT nw.dst AS symbol, o.dt, o.s, sum(nw.w * o.x) AS x FROM osc o JOIN asof_refit USING (dt) JOIN nw ON nw.refit = asof_refit.refit AND nw.src = o.symbol GROUP BY 1, 2, 3 UNION ALL SELECT symbol, dt, s, x FROM osc JOIN asof_refit USING (dt) WHERE refit IS NULL)"
 )
 signal("sg43_network", network_signal, ("bars_w",), f"SELECT symbol, dt, avg({3 ** 0.75!r} * x * exp(-0.5 * x * x)) AS raw FROM moved GROUP BY 1, 2", NETWORK)
-WEIGHTS = {"trend": 0.25, "carry": 0.25, "skew": 0.25, "vov": 0.25}
-
-
-def with_signals(spark, d):
-    """Bars with the four signals. Bars, and the frame that the composite reads twice, are written."""
-    b = save(bars(spark, d), "bars")
-    return save(G.four_signals(b, term(spark, d, b), SPEEDS, N, LEAST), "signals")
-
-
-def composite_sql() -> str:
-    """Tables up to cs(symbol, dt, score)."""
-    names = list(WEIGHTS)
-    vov = f"SELECT symbol, dt, -(vv / nullif(CASE WHEN count(vv) {last(52)} >= 20 THEN avg(vv) {last(52)} END, 0) - 1) * {side(13)} AS raw FROM (SELECT *, CASE WHEN count(s) {last(20)} >= 8 THEN stddev_samp(s) {last(20)} END AS vv FROM (SELECT *, CASE WHEN count(ret) {last(8)} >= 8 THEN stddev_samp(ret) {last(8)} END AS s FROM b))"
-    # a row without a chain has no carry
-    own = {"trend": "SELECT * FROM ens", "carry": "SELECT b.symbol, b.dt, carry.raw FROM b LEFT JOIN carry USING (symbol, dt)", "skew": f"SELECT symbol, dt, -{SKEW} AS raw FROM b", "vov": vov}
-    parts = ", ".join(f"p_{n} AS ({forecast_of(q)})" for n, q in own.items())
-    four = "four AS (SELECT b.symbol, b.dt, b.close, b.vol, " + ", ".join(f"coalesce(p_{n}.forecast, 0) AS {n}" for n in names) + " FROM b " + " ".join(f"LEFT JOIN p_{n} USING (symbol, dt)" for n in names) + ")"
-    pool = "pool AS (SELECT dt, row_number() OVER (ORDER BY dt) AS n, " + ", ".join(f"avg({n}) AS {n}" for n in names) + " FROM four GROUP BY dt)"
-    p = f"power({1 - 2 / 21!r}, t.n - i.n)"
-    m = ", ".join(f"sum({p} * i.{c}) / sum({p}) AS {c}" for c in names) + ", " + ", ".join(f"sum({p} * i.{a} * i.{b}) / sum({p}) AS {a}_{b}" for k, a in enumerate(names) for b in names[k:])
-    pairs = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]
-    rho = ", ".join(f"({a}_{b} - {a} * {b}) / nullif(sqrt(greatest(({a}_{a} - {a} * {a}) * ({b}_{b} - {b} * {b}), 0)), 0) AS r{k}" for k, (a, b) in enumerate(pairs))
-    all_ = " + ".join(f"r{k}" for k in range(len(pairs)))
-    mult = f"mu AS (SELECT dt, CASE WHEN n >= 5 AND {all_} IS NOT NULL THEN greatest(least(1 / sqrt(greatest(0.25 + 2 * 0.0625 * ({all_}), 0.01)), 2), 1) ELSE 1 END AS mult FROM (SELECT dt, n, {rho} FROM (SELECT t.dt, t.n, {m} FROM pool t JOIN pool i ON i.n <= t.n GROUP BY 1, 2)))"
-    mixed = f"mx AS (SELECT four.*, greatest(least(greatest(least({' + '.join(f'{n} * 0.25' for n in names)}, 20), -20) * mult, 20), -20) AS mixed FROM four JOIN mu USING (dt))"
-    cs = f"cs AS (SELECT mx.symbol, mx.dt, coalesce(sm.v * {VOL_GATE} * {DD_GATE.replace('PARTITION BY symbol', 'PARTITION BY mx.symbol').replace('ORDER BY dt', 'ORDER BY mx.dt')}, 0) AS score FROM mx JOIN sm USING (symbol, dt))"
-    return f"{CARRY}, {ensemble_sql()}, {parts}, {four}, {pool}, {mult}, {mixed}, {ewm_sql('sm', 'mx', 'mixed', 0, 0.5)}, {cs}"
-
-
-@query("sg44_composite", CHAINED, "SELECT symbol, dt, round(score, 5) + 0.0 AS score FROM cs", composite_sql())
-def _(spark, d):
-    return rounded(G.composite(with_signals(spark, d), WEIGHTS, N, LEAST), *K, digits=5)

@@ -377,7 +377,7 @@ def _resume(s, path):
 
     sinks.write_variants(s.where("variant < 'M'"), path)
     sinks.write_variants(s, path)
-    return s.sparkSession.read.parquet(path).select(V, "dt", "ret")
+    return sinks.read_variants(s.sparkSession, path).select(V, "dt", "ret")
 
 
 def _exported(s, path):

@@ -7,16 +7,22 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; one of our own only where none is set and Spark runs on one machine."""
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share; one of our own only where none is set and Spark runs on one machine."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -26,14 +32,34 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_variants(df: DataFrame, path: str, by: str = "variant") -> None:
-    """Append variants that the table at path doesn't have yet, a partition each."""
+def committed(spark: SparkSession, path: str, by: str = "variant") -> DataFrame | None:
+    """(by, rows) of the variants whose writing at path has ended; None before the first."""
     try:
-        have = df.sparkSession.read.parquet(path).select(by).distinct()
+        return spark.read.parquet(f"{path}/_committed").select(by, "rows")
     except AnalysisException:
-        have = None
-    new = df if have is None else df.join(have, by, "left_anti")
-    new.write.partitionBy(by).mode("append").parquet(path)
+        return None
+
+
+def write_variants(df: DataFrame, path: str, by: str = "variant") -> None:
+    """Write variants that the table at path doesn't have yet, a partition each; a variant counts once its marker is written.
+
+    Markers follow the rows, so what a failed run left of a variant has none: its partition is then written anew, and
+    other partitions stay. Variants are values of a string column.
+    """
+    done = committed(df.sparkSession, path, by)
+    new = df if done is None else df.join(done, by, "left_anti")
+    keys = save(new.select(by).distinct(), "keys")
+    if keys.isEmpty():
+        return
+    new.write.partitionBy(by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumn(by, F.col(by).cast("string")).join(keys, by, "left_semi")
+    rows.groupBy(by).agg(F.count("*").alias("rows")).write.mode("append").parquet(f"{path}/_committed")
+
+
+def read_variants(spark: SparkSession, path: str, by: str = "variant") -> DataFrame:
+    """Rows of the variants that are whole."""
+    rows = spark.read.parquet(path).withColumn(by, F.col(by).cast("string"))
+    return rows.join(committed(spark, path, by).select(by), by, "left_semi")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from strandmill.functions.scalars import nearest_power_of_two
 from strandmill.operators import bootstrap as B
 from strandmill.operators import compare as C
 from strandmill.operators import cross_section as X
@@ -33,30 +34,39 @@ def returns(spark):
     return pd.DataFrame(rows, columns=["variant", "dt", "ret"]), spark.createDataFrame(rows, "variant string, dt timestamp, ret double").cache()
 
 
-def plain_block(x):
-    """Politis and White's rule in plain loops."""
-    n, x = len(x), x - x.mean()
-    quiet = max(5, math.ceil(2 * math.sqrt(math.log10(n))))
-    most = min(n - 1, math.ceil(math.sqrt(n)) + 2 * quiet)
-    rho = [1.0] + [float(x[:-k] @ x[k:]) / (n - k) / float(x @ x / n) for k in range(1, min(n, 2 * most + 1))]
-    bound, cut = 2 * math.sqrt(math.log10(n) / n), most - quiet
-    for m in range(1, most - quiet):
-        if all(abs(r) < bound for r in rho[m + 1 : m + 1 + quiet]):
-            cut = m
-            break
-    weight = lambda k: 1.0 if k <= cut else max(0.0, 2 * (1 - k / (2 * cut)))
-    g = 2 * sum(weight(k) * k * rho[k] for k in range(1, 2 * cut + 1))
-    v = 1 + 2 * sum(weight(k) * rho[k] for k in range(1, 2 * cut + 1))
-    return max(1, min(round((2 * g * g / (2 * v * v) * n) ** (1 / 3)), n // 4))
+def flat_top_length(x):
+    """The circular block length of Politis and White (2004), as corrected in 2009: the flat-top lag window around the last
+    lag before a run of small autocorrelations, and the plug-in length from its two sums."""
+    n = x.size
+    run = max(5, math.ceil(2 * math.log10(n) ** 0.5))
+    reach = min(n - 1, math.ceil(n**0.5) + 2 * run)
+    centred = x - x.mean()
+    lags = np.arange(1, min(n - 1, 2 * reach) + 1)
+    rho = np.array([centred[k:].dot(centred[:-k]) * n / (n - k) for k in lags]) / centred.dot(centred)
+    small = np.abs(rho) < 2 * math.sqrt(math.log10(n) / n)
+    whole = np.lib.stride_tricks.sliding_window_view(small[1:reach], run).all(axis=1)[: reach - run - 1]
+    m = int(np.argmax(whole)) + 1 if whole.any() else reach - run
+    k, r = lags[: 2 * m], rho[: 2 * m]
+    taper = np.minimum(1.0, 2 - k / m)
+    slope, level = 2 * np.sum(taper * k * r), 1 + 2 * np.sum(taper * r)
+    return int(np.clip(round((slope**2 * n / level**2) ** (1 / 3)), 1, n // 4))
 
 
 def test_block_length(returns):
     pdf, df = returns
-    want = {v: plain_block(x["ret"].to_numpy()) for v, x in pdf.groupby("variant")}
+    want = {v: flat_top_length(x["ret"].to_numpy()) for v, x in pdf.groupby("variant")}
     got = {r["variant"]: r["block"] for r in B.opt_block(df).collect()}
     assert got == want and len(set(want.values())) > 2
 
 
+def test_block_length_by_hand(spark):
+    """Alternating signs: autocorrelations of -1 and 1 never fall below the bound, so all lags count; noise has the shortest block."""
+    rows = [("flip", k, (-1.0) ** k) for k in range(100)] + [("once", k, float(k == 50)) for k in range(100)]
+    d = spark.createDataFrame(rows, "variant string, dt int, ret double")
+    got = {r["variant"]: r["block"] for r in B.opt_block(d).collect()}
+    assert got["once"] == 1 and got["flip"] == flat_top_length(np.array([x for v, _, x in rows if v == "flip"]))
+
+
 def test_split_moments_differ_by_regime(returns):
     pdf, df = returns
     got = R.split_moments(df, "ret", 52, 20, by="variant").where("variant = 'c'").orderBy("dt").toPandas()
@@ -132,7 +142,7 @@ def built(spark):
     from strandmill.sources.sinks import save
 
     b = save(Q.bars(spark, SF), "bars")
-    chosen = {k: v for k, v in S.one_at_a_time().items() if k in ("A07", "B03", "K02", "P00", "P03", "H00", "J04", "N01", "E08")} | {"late": ("lag", {"lag": 7}), "dear": ("costs", {"cost_mult": 3.0})}
+    chosen = {k: v for k, v in S.one_at_a_time().items() if k in ("A07", "B03", "K02", "P00", "P03", "H00", "J04", "N01", "E08")} | {"late": ("lag", {"lag": 7}), "half": ("half-life", {"halflife": 3.0}), "dear": ("costs", {"cost_mult": 3.0})}
     v = S.registry(spark, chosen)
     wanted = S.needs(v)
     lib = save(S.library(b, term(spark, SF, b), wanted), "library")
@@ -142,7 +152,7 @@ def built(spark):
 def test_registries():
     assert len(S.one_at_a_time()) > 100 and len(S.ablations()) >= 60 and len({g for g, _ in S.ablations().values()}) == 10
     assert list(S.cumulative({"a": {"lag": 1}, "b": {"lag": 2, "fdm_cap": 1.0}}).values())[1][1] == {"lag": 2, "fdm_cap": 1.0}
-    assert S.rounded(S.DEFAULTS)["fdm_span"] == 128 and S.rounded(S.DEFAULTS)["dd_threshold"] == -0.1
+    assert S.rounded(S.DEFAULTS)["fdm_span"] == 128 and S.rounded(S.DEFAULTS)["smooth_span"] == 2 and S.rounded(S.DEFAULTS | {"skew_window": 46})["skew_window"] == 32 and S.rounded(S.DEFAULTS)["dd_threshold"] == -0.1
 
 
 def test_scores_equal_pandas(built):
@@ -153,8 +163,8 @@ def test_scores_equal_pandas(built):
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -700, 700)))
     for name in ("master", *chosen):
         o = {**S.DEFAULTS, **(chosen[name][1] if name in chosen else {})}
-        f = pd.DataFrame(list(rows["f"]), index=rows.index).astype(float)
-        ts = sum(f[s] for s in o["speeds"]) / len(o["speeds"]) * o["trend_fdm"] * (f[f"conv{o['conviction']}"] if o["conviction"] else 1)
+        f = rows.drop(columns=list(S.BASE)).astype(float)
+        ts = sum(f[s] for s in o["speeds"]) / len(o["speeds"]) * o["trend_fdm"] * (f[f"conv{o['conviction']}:{'+'.join(o['speeds'])}"] if o["conviction"] else 1)
         parts = pd.DataFrame({"trend": cap(o["w_ts"] * ts + o["w_xs"] * f[f"xs{o['xs_lookback']}"]), "carry": f["carry"], "skew": f[f"skew{o['skew_window']}"], "vov": f[f"vov{o['vov_window']}_{o['vov_direction']}"]})
         w = np.array([o[f"w_{p}"] for p in S.PARTS])
         pool = rows["symbol"] if o["fdm_mode"] == "single" else pd.Series("", rows.index)
@@ -178,7 +188,8 @@ def test_scores_equal_pandas(built):
                     k = min(1 / math.sqrt(max(w @ r @ w, 0.01)), o["fdm_cap"])
                     mult[at & (rows["dt"] == day)] = max(k, 1.0)
         mixed = cap(cap(parts @ w) * mult)
-        smooth = mixed.groupby(rows["symbol"]).transform(lambda x, s=o["smooth_span"]: x.ewm(span=max(s, 2)).mean()) if o["smooth_span"] > 1 else mixed
+        rate = {"halflife": o["halflife"]} if o["halflife"] else {"span": o["smooth_span"]}
+        smooth = mixed.groupby(rows["symbol"]).transform(lambda x, r=rate: x.ewm(**r).mean()) if o["halflife"] or o["smooth_span"] > 1 else mixed
         gate = lambda least, x, k=o["steepness"]: 1 - (1 - least) * sig(k * x).fillna(0)
         score = smooth * gate(o["vol_dampen"], rows["vol"] / rows["usual"] - o["vol_trigger"]) * gate(o["dd_scale"], rows["loss"] + o["dd_threshold"])
         if o["lag"]:
@@ -195,7 +206,7 @@ def test_sweep_through_the_ledger(spark, built):
     assert t["late"]["sharpe"] != 0 and t["late"]["sharpe"] != t["master"]["sharpe"]  # a lag beyond any small frame holds positions
     # the master alone, step by step
     d = scores.where("variant = 'master'").withColumn("forecast", F.col("score")).withColumn("fx", F.lit(1.0)).join(dims, "symbol")
-    book = L.daily_pnl(L.held_position(L.target_position(d, root_year=52**0.5, least_vol=1e-9)))
+    book = L.daily_pnl(L.held_position(L.target_position(d, root_year=52**0.5, least_vol=1e-9)))  # one series at a time
     assert book.agg(F.sum("pnl")).first()[0] == pytest.approx(ran.where("variant = 'master'").agg(F.sum("pnl")).first()[0])
 
 
@@ -220,12 +231,37 @@ def test_noise_null_keeps_moments(spark):
     assert len(got) == 8000 and abs(got["score"].mean() - d.agg(F.avg("score")).first()[0]) < 0.1 and got["score"].abs().max() <= 20
 
 
-def test_composite_shares_scans_and_exchanges(spark):
-    plan = Q.G.composite(Q.with_signals(spark, SF), Q.WEIGHTS, Q.N, Q.LEAST)._jdf.queryExecution().executedPlan().toString()
-    assert len(re.findall(r"FileScan", plan)) <= 2 and len(re.findall(r"\bExchange ", plan)) <= 8
-    b = Q.save(Q.bars(spark, SF), "bars")
-    plan = Q.G.four_signals(b, b.select("symbol", "dt", Q.F.lit(1.0).alias("c1"), Q.F.lit(1.0).alias("c2"), Q.F.lit(1.0).alias("years12")), Q.SPEEDS, Q.N, Q.LEAST)._jdf.queryExecution().executedPlan().toString()
-    assert len(re.findall(r"FileScan", plan)) <= 2 and len(re.findall(r"\bExchange ", plan)) <= 3
+def test_sweep_shares_scans_and_exchanges(built):
+    """The library is read twice, for the pool and for the scores; one exchange by variant serves smoothing and lags."""
+    b, _, v, wanted, lib, _, _ = built
+    plan = S.scores(lib, v, wanted["lag"])._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange ", plan)) <= 2 and "CartesianProduct" not in plan
+    plan = S.library(b, b.select("symbol", "dt", F.lit(1.0).alias("c1"), F.lit(1.0).alias("c2"), F.lit(1.0).alias("years12")), wanted)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan", plan)) <= 2 and len(re.findall(r"\bExchange ", plan)) <= 5
+
+
+def test_a_dropped_symbol_equals_a_run_without_it(spark, built):
+    _, _, _, wanted, lib, _, dims = built
+    gone = sorted(r[0] for r in lib.select("symbol").distinct().collect())[3]
+    both = S.registry(spark, {"less": ("jackknife", {"dropped": gone})})
+    a = S.run(lib, both, dims, 52.0).where("variant = 'less'").orderBy("dt").toPandas()
+    b = S.run(lib.where(F.col("symbol") != gone), S.registry(spark, {}), dims, 52.0).orderBy("dt").toPandas()
+    whole = S.run(lib, S.registry(spark, {}), dims, 52.0).orderBy("dt").toPandas()
+    assert np.allclose(a["ret"], b["ret"], atol=1e-12) and (a["trades"] == b["trades"]).all() and not np.allclose(a["ret"].to_numpy(), whole["ret"].to_numpy()[-len(a) :], atol=1e-9)
+
+
+def test_cash_is_earned_and_taken_off(spark, built):
+    _, _, _, wanted, lib, _, dims = built
+    rates = spark.createDataFrame([("1990-01-01", 0.001)], "dt string, rate double").select(F.col("dt").cast("date").alias("dt"), "rate")
+    v = S.registry(spark, {})
+    plain, paid = (S.run(lib, v, dims, 52.0, rates=r).orderBy("dt").toPandas() for r in (None, rates))
+    assert (plain["cash"] == 0).all() and np.allclose(paid["cash"], 0.001 * L.CAPITAL) and np.allclose(paid["excess"], paid["ret"] - 0.001) and np.allclose(paid["pnl"], plain["pnl"])
+
+
+def test_rounding_to_the_nearest_power_by_distance(spark):
+    d = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 5, 6, 46, 48, 49, 104)], "x double")
+    got = [r[0] for r in d.select(nearest_power_of_two(F.col("x"))).collect()]
+    assert got == [1, 2, 2, 4, 4, 32, 32, 64, 128]
 
 
 def test_newey_west_regression_by_key_equals_one_key(spark, returns):
@@ -235,3 +271,75 @@ def test_newey_west_regression_by_key_equals_one_key(spark, returns):
     by = T.ols_by(pair.withColumn("k", F.lit("v")), "k", "x", ["y"]).orderBy("term").collect()
     plain = lambda rows: [(r["term"], round(r["beta"], 9), round(r["se"], 9), r["n"]) for r in rows]
     assert plain(by) == plain(one)
+
+
+def test_regressions_of_many_keys(spark):
+    """Each of 10,000 keys against NumPy for some; keys of too few rows or a constant column have nulls."""
+    rows = spark.range(10_000).select(F.format_string("k%05d", "id").alias("k"), F.col("id"), F.explode(F.sequence(F.lit(1), F.when(F.col("id") == 0, 2).otherwise(12))).alias("dt"))
+    u = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "id", "dt"), F.lit(1000)) / 1000.0
+    d = rows.withColumns({"x": u(1), "y": F.when(F.col("id") == 1, 5.0).otherwise(u(2)), "z": u(3)}).drop("id")
+    got = T.ols_by(d, "k", "x", ["y", "z"], lags=2).toPandas().set_index(["k", "term"]).sort_index()
+    assert len(got) == 30_000 and got.loc["k00000"]["beta"].isna().all() and got.loc["k00001"]["se"].isna().all() and got["beta"].notna().sum() == 29_994
+    part = d.where("k IN ('k00002', 'k07777')").toPandas().sort_values("dt")
+    for k, g in part.groupby("k"):
+        a, x = np.column_stack([np.ones(12), g["y"], g["z"]]), g["x"].to_numpy()
+        beta = np.linalg.solve(a.T @ a, a.T @ x)
+        s = a * (x - a @ beta)[:, None]
+        m = s.T @ s + sum((1 - h / 3) * (s[h:].T @ s[:-h] + s[:-h].T @ s[h:]) for h in (1, 2))
+        inv = np.linalg.inv(a.T @ a)
+        assert np.allclose(got.loc[k].loc[["const", "y", "z"]]["beta"], beta) and np.allclose(got.loc[k].loc[["const", "y", "z"]]["se"], np.sqrt(np.diag(inv @ m @ inv)))
+
+
+def test_moments_at_refits_equal_those_of_every_row_held(returns):
+    _, df = returns
+    names = ["m1", "s1", "m2", "s2"]
+    held = R.hold_refit(R.split_moments(df, "ret", 52, 20, by="variant"), names, 8, by="variant")
+    got = R.split_moments(df, "ret", 52, 20, every=8, by="variant")
+    key = lambda d: sorted((r["variant"], r["dt"], *(None if r[n] is None else round(r[n], 12) for n in names)) for r in d.collect())
+    assert key(got) == key(held)
+
+
+def test_variants_left_half_written_are_written_again(spark, tmp_path, returns):
+    from strandmill.sources import sinks
+
+    _, df = returns
+    path = str(tmp_path / "variants")
+    sinks.write_variants(df.where("variant < 'c'"), path)
+    df.where("variant = 'd'").limit(7).write.partitionBy("variant").mode("append").parquet(path)  # a run that failed half way
+    df.where("variant = 'x'").unionByName(df.where("variant = 'a'").limit(3).withColumn("variant", F.lit("x"))).write.partitionBy("variant").mode("append").parquet(path)
+    assert {r[0] for r in sinks.read_variants(spark, path).select("variant").distinct().collect()} == {"a", "b"}
+    for _ in range(2):
+        sinks.write_variants(df, path)
+        got = sinks.read_variants(spark, path).select("variant", "dt", "ret")
+        assert got.count() == df.count() and got.exceptAll(df).isEmpty()
+    assert {r["variant"]: r["rows"] for r in sinks.committed(spark, path).collect()} == dict.fromkeys("abcdef", 260)
+
+
+def test_features_are_made_once_and_read_without_exchange(spark):
+    from strandmill.sources import features
+
+    made = []
+
+    def make(names):
+        made.append(names)
+        d = spark.range(200).select(F.format_string("s%d", F.col("id") % 5).alias("symbol"), F.col("id").alias("dt"))
+        return d.select("symbol", "dt", *(F.col("dt").cast("double").alias(n) for n in names))
+
+    read = lambda names: features.read_features(spark, "test-content", names, make, ("symbol", "dt"))
+    first = read(["a", "b:1"])
+    again, more = read(["b:1"]), read(["a", "c"])
+    assert made == [["a", "b:1"], ["c"]] and again.columns == ["symbol", "dt", "b:1"] and more.count() == first.count() == 200
+    assert more.where("a <> dt OR c <> dt").isEmpty() and read(["c", "b:1"]).count() == 200 and len(made) == 2
+    plan = more.groupBy("symbol").agg(F.max("c"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_digest_is_plain_md5_whatever_the_order(spark):
+    import hashlib
+
+    from strandmill.operators import aggregates as A
+
+    d = spark.createDataFrame([("b", 1.5, 2), (None, None, 3), ("a", -0.25, None)], "name string, x double, k long")
+    texts = ["2|b|1.500000", "3|~|~", "~|a|-0.250000"]
+    want = sum(int(hashlib.md5(t.encode()).hexdigest()[:12], 16) for t in texts) % A.DIGEST_MOD
+    assert [tuple(A.digest(x).first()) for x in (d, d.repartition(3))] == [(3, want)] * 2 and tuple(A.digest(d.limit(0)).first()) == (0, 0)
