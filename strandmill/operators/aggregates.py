@@ -134,10 +134,11 @@ DIGEST_MOD = 2**61 - 1
 def digest(df: DataFrame) -> DataFrame:
     """(rows, digest) of a table, whatever the order of its rows: the sum of hashes of their text forms.
 
-    A row's text has its columns in order of name, parted by ``|``, null as ``~``, and fractions with six decimals, so any
-    engine with md5 gives the same.
+    A row's text has its columns in order of name, parted by ``|``, null as ``~``, and fractions as whole
+    millionths (their own text where they have no such), so any engine with md5 gives the same.
     """
     kinds = dict(df.dtypes)
-    text = lambda c: F.coalesce((F.col(c).cast("decimal(38,6)") if kinds[c] in ("double", "float") else F.col(c)).cast("string"), F.lit("~"))
+    small = lambda c: F.when(F.abs(c) < 9e12, F.floor(F.col(c) * 1e6 + 0.5).cast("long").cast("string")).otherwise(F.col(c).cast("string"))
+    text = lambda c: F.coalesce(small(c) if kinds[c] in ("double", "float") else F.col(c).cast("string"), F.lit("~"))
     part = F.conv(F.substring(F.md5(F.concat_ws("|", *(text(c) for c in sorted(df.columns)))), 1, 12), 16, 10).cast("decimal(20,0)")
     return df.agg(F.count("*").alias("rows"), (F.coalesce(F.sum(part), F.lit(0)) % F.lit(DIGEST_MOD)).cast("long").alias("digest"))

@@ -317,7 +317,7 @@ def _(spark, d):
     return A.dates_union(P.bars_w(spark, d), P.fx_w(spark, d))
 
 
-DIGEST = "md5(concat_ws('|', " + ", ".join(f"coalesce({c}::DECIMAL(38, 6)::VARCHAR, '~')" if c not in ("dt", "symbol") else f"coalesce({c}::VARCHAR, '~')" for c in ("close", "dt", "high", "low", "open_interest", "symbol", "volume")) + "))"
+DIGEST = "md5(concat_ws('|', " + ", ".join(f"coalesce(floor({c} * 1e6::DOUBLE + 0.5::DOUBLE)::BIGINT::VARCHAR, '~')" if c not in ("dt", "symbol") else f"coalesce({c}::VARCHAR, '~')" for c in ("close", "dt", "high", "low", "open_interest", "symbol", "volume")) + "))"
 
 
 @query("ag15_digest", ("bars_w",), f"SELECT count(*) AS rows, (sum(('0x' || substr({DIGEST}, 1, 12))::BIGINT) % {A.DIGEST_MOD})::BIGINT AS digest FROM bars_w")
