@@ -11,13 +11,14 @@ from strandmill.functions.scalars import normal_ppf_sql
 from strandmill.operators import aggregates as A
 from strandmill.operators import blend as B
 from strandmill.operators import ledger as L
+from strandmill.operators import signals as G
 from strandmill.operators import statistics as T
 from strandmill.operators import strategy as C
 from strandmill.operators import sweep as V
 from strandmill.operators import windows as O
 from strandmill.operators.bootstrap import hash_sql, uniform_sql
 from strandmill.plans import sweep_sql as Z
-from strandmill.plans.panel_queries import AT, last, term
+from strandmill.plans.panel_queries import AT, CHAIN, last, term
 from strandmill.plans.registry import query, rounded
 from strandmill.plans.signal_queries import CHAINED, bars, ewm_sql, hours
 from strandmill.sources import panels as P
@@ -380,6 +381,24 @@ def _(spark, d):
     return rounded(C.scores(forecasts(spark, d, C.needs(v)), v).select("symbol", "dt", "score"), "symbol", "dt", digits=5)
 
 
+#: Variants on the long panel, which has no contracts: carry is the last change.
+LONG = {"slow": ("smoothing", {"halflife": 10.0}), "late": ("lag", {"lag": 1})}
+LONG_CHAIN = "ts AS (SELECT symbol, dt, close AS c1, lag(close) OVER (PARTITION BY symbol ORDER BY dt) AS c2, 1::DOUBLE AS years12 FROM bars_w)"
+LONG_SQL = "bars_w AS (SELECT * FROM bars_long), instruments AS (SELECT DISTINCT symbol, 1::DOUBLE AS pointsize, 0.5::DOUBLE AS cost_rt FROM bars_w), cash_w AS (SELECT DATE '1900-01-01' AS dt, 0::DOUBLE AS rate), "
+
+
+@query("sw04_long", ("bars_long",), "SELECT variant, dt, round(ret, 9) + 0.0 AS ret, trades FROM rn", LONG_SQL + Z.run_sql(Z.variants_sql(LONG), Z.wanted_of([o for _, o in LONG.values()])).replace(CHAIN, LONG_CHAIN))
+def _(spark, d):
+    """The master and two variants through composite and ledger, on few series of many rows."""
+    b = save(G.prepare(P.bars_long(spark, d)), "bars")
+    chain = b.select("symbol", "dt", F.col("close").alias("c1"), O.shift("close", 1).alias("c2"), F.lit(1.0).alias("years12"))
+    v = C.registry(spark, LONG)
+    wanted = C.needs(v)
+    dims = b.select("symbol").distinct().select("symbol", F.lit(1.0).alias("pointsize"), F.lit(0.5).alias("cost_rt"))
+    library = save(C.library(b, chain, wanted), "library")
+    return rounded(C.run(library, v, dims, YEAR, wanted["lag"]).select("variant", "dt", "ret", "trades"), "variant", "dt", digits=9)
+
+
 swept("sw01_registry", C.one_at_a_time())
 swept("sw02_ablations", C.ablations())
 swept("sw05_cumulative", C.cumulative(C.PATH))

@@ -309,7 +309,25 @@ def acf_gap(x: str) -> str:
 
 
 compared("dq03_acf_distance", C.acf_distance, f"SELECT variant, round(p.gap, 6) AS plain, round(q.gap, 6) AS squares FROM {acf_gap('ret')} p JOIN {acf_gap('ret * ret')} q USING (variant)")
-compared("dq04_eigen_compare", C.eigen_compare, None, ("rank",))
+
+
+def eigen_sql(t: str, k: int = 3, steps: int = 3000) -> str:
+    """Tables <t>e1 to <t>e<k> with lam, the largest eigenvalues of the correlations of t: power iteration, each found one taken out."""
+    out = [
+        f"{t}w AS (SELECT * FROM {t} WHERE dt IN (SELECT dt FROM {t} GROUP BY dt HAVING count(*) = (SELECT count(DISTINCT variant) FROM {t})))",
+        f"{t}m1 AS (SELECT list(r ORDER BY i) AS a FROM (SELECT i, list(c ORDER BY j) AS r FROM (SELECT x.variant AS i, y.variant AS j, corr(x.ret, y.ret) AS c FROM {t}w x JOIN {t}w y USING (dt) GROUP BY 1, 2) GROUP BY i))",
+    ]
+    for r in range(1, k + 1):
+        step = "list_transform(a, lambda r: list_dot_product(r, v))"
+        out += [
+            f"{t}p{r} AS (SELECT 0 AS k, list_transform(range(len(a)), lambda i: 1 + 0.37::DOUBLE * i) AS v FROM {t}m{r} UNION ALL SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (SELECT k, {step} AS w FROM {t}p{r}, {t}m{r} WHERE k < {steps}))",
+            f"{t}e{r} AS (SELECT v, list_dot_product(v, {step}) AS lam FROM {t}p{r}, {t}m{r} WHERE k = {steps})",
+            f"{t}m{r + 1} AS (SELECT list_transform(range(1, len(a) + 1), lambda i: list_transform(range(1, len(a) + 1), lambda j: a[i][j] - lam * v[i] * v[j])) AS a FROM {t}m{r}, {t}e{r})",
+        ]
+    return ", ".join(out)
+
+
+over("dq04_eigen_compare", lambda s: C.eigen_compare(*halves(s)), " UNION ALL ".join(f"SELECT {r} AS rank, round(x.lam, 6) AS real, round(y.lam, 6) AS made FROM pae{r} x, pbe{r} y" for r in (1, 2, 3)), f"{HALVES}, {eigen_sql('pa')}, {eigen_sql('pb')}", ("rank",))
 compared("dq05_moments", lambda a, b: C.moments(a), "SELECT variant, round(mean, 6) + 0.0 AS mean, round(sd, 6) AS sd, round(skew, 6) + 0.0 AS skew, round(kurt, 6) + 0.0 AS kurt FROM (" + HMOM.format(t="pa") + ")")
 compared("dq06_kurtosis_check", C.kurtosis_check, f"SELECT a.variant, round((b.kurt + 3) / (a.kurt + 3), 6) AS ratio, (b.kurt + 3) / (a.kurt + 3) BETWEEN 0.5 AND 2 AS ok FROM ({HMOM.format(t='pa')}) a JOIN ({HMOM.format(t='pb')}) b USING (variant)")
 over("dq07_robust_scale", lambda s: C.robust_scale(s).select(V, "dt", "x"), "SELECT variant, dt, round(greatest(least((ret - m) / sc, 10), -10) / 10, 6) + 0.0 AS x FROM strategies JOIN (SELECT variant, median(ret) AS m, CASE WHEN quantile_cont(ret, 0.75) - quantile_cont(ret, 0.25) > 0.000000000001 THEN quantile_cont(ret, 0.75) - quantile_cont(ret, 0.25) ELSE stddev_pop(ret) END AS sc FROM strategies GROUP BY 1) USING (variant)", keys=(V, "dt"))

@@ -87,6 +87,17 @@ def bars_w(spark: SparkSession, d: str) -> DataFrame:
         price().alias("close"), F.max(unit).alias("high"), F.min(unit).alias("low"), F.sum("l_quantity").alias("volume"), F.count("*").cast("double").alias("open_interest"))
 
 
+#: Series of the long panel.
+LONG_SERIES = 62
+
+
+def bars_long(spark: SparkSession, d: str) -> DataFrame:
+    """A bar for each line of an order, by remainder of the part's key: few long series. At a scale of 0.1 they have about 9,700 days each."""
+    li = table(spark, d, "lineitem").select(F.format_string("L%02d", F.col("l_partkey") % LONG_SERIES).alias("symbol"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    place = F.row_number().over(W.partitionBy("symbol").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))
+    return li.select("symbol", F.date_add(F.lit("1960-01-01"), place).alias("dt"), (F.round(F.col("l_extendedprice") * 100) / F.col("l_quantity") / 100).alias("close"), F.col("l_quantity").cast("double").alias("volume"))
+
+
 def bars_h(spark: SparkSession, d: str) -> DataFrame:
     """Hourly bars of an event type."""
     e = table(spark, d, "events").select(F.col("event_type").alias("symbol"), "ts", "value", F.date_trunc("hour", "ts").alias("dt"))
@@ -146,6 +157,7 @@ def strategies(spark: SparkSession, d: str) -> DataFrame:
 
 #: The same panels as common table expressions.
 SQL = {
+    "bars_long": f"bars_long AS (SELECT symbol, DATE '1960-01-01' + place::INT AS dt, close, volume FROM (SELECT printf('L%02d', l_partkey % {LONG_SERIES}) AS symbol, row_number() OVER (PARTITION BY l_partkey % {LONG_SERIES} ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS place, round(l_extendedprice * 100) / l_quantity / 100 AS close, l_quantity::DOUBLE AS volume FROM lineitem))",
     "bars_w": "bars_w AS (SELECT p_brand AS symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS dt, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / sum(l_quantity) / 100 AS close, max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low, sum(l_quantity) AS volume, CAST(count(*) AS DOUBLE) AS open_interest FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)",
     "bars_h": "bars_h AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS dt, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2)",
     "contracts_w": "contracts_w AS (SELECT p_brand AS symbol, CAST(floor(p_size / 10) AS INT) AS expiry, CAST(date_trunc('week', l_shipdate) AS DATE) AS dt, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / sum(l_quantity) / 100 AS close, sum(l_quantity) AS volume, CAST(count(*) AS DOUBLE) AS open_interest FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3)",
