@@ -6,13 +6,17 @@ Draws come from a hash by plain modular arithmetic, so they are the same in any
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandmill.functions.scalars import ratio
 from strandmill.operators.statistics import lagged_products
+from strandmill.sources.sinks import save
 
 #: Fixed values of the generator: a prime modulus and three multipliers.
 PRIME, M1, M2, M3 = 2147483647, 48271, 69621, 16807
@@ -142,29 +146,45 @@ def spa(diffs: DataFrame, block: int, draws: int, seed: int) -> DataFrame:
     return most.crossJoin(top).agg(*(F.avg((F.col(k) >= F.col("top")).cast("double")).alias(k) for k in ("lower", "consistent", "upper")), F.max("top").alias("t"))
 
 
+def _eliminated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rounds of elimination from one row of means and covariances: each variant of each round with its error, and the round's worst."""
+    for b in batches:
+        for r in b.to_pylist():
+            names = sorted(r["means"], key=lambda m: m["variant"])
+            m0, at = np.array([m["m0"] for m in names]), {m["variant"]: k for k, m in enumerate(names)}
+            cov = np.zeros((len(at), len(at)))
+            for c in r["pairs"]:
+                cov[at[c["i"]], at[c["j"]]] = c["c"]
+            left, rows = list(range(len(names))), []
+            while left:
+                c = cov[np.ix_(left, left)]
+                se = np.sqrt(np.maximum(np.diag(c) - 2 * c.mean(1) + c.mean(), 0))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    t0 = np.where(se > 0, (m0[left] - m0[left].mean()) / se, -np.inf)
+                worst = max(range(len(left)), key=lambda k: (t0[k], k))  # names are in order
+                rows += [{"round": len(names) - len(left), "variant": names[k]["variant"], "se": float(e), "worst": names[left[worst]]["variant"], "t0": float(t0[worst])} for k, e in zip(left, se)]
+                left.pop(worst)
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("round", pa.int32()), ("variant", pa.string()), ("se", pa.float64()), ("worst", pa.string()), ("t0", pa.float64())]))
+
+
 def mcs(losses: DataFrame, block: int, draws: int, seed: int, alpha: float = 0.1) -> DataFrame:
-    """(variant, p, kept): model confidence set by elimination.
+    """(variant, p, kept): model confidence set by elimination of the worst, in one plan.
 
-    Boot means are made once; each round is one aggregation over the variants left, and drops the worst. Rounds: the number of variants at most.
+    Errors within any set follow from the covariances of the boot means, a table of pairs of variants; the order of
+    elimination is a fold over that one row. The draws then meet all rounds at once, as keys of one aggregation.
     """
     d = losses.withColumnRenamed("loss", "d")
-    means = boot_means(d, block, draws, seed).cache()
     seen = d.groupBy("variant").agg(F.avg("d").alias("m0"))
-    left, out, floor = [r["variant"] for r in seen.select("variant").orderBy("variant").collect()], [], 0.0
-    while len(left) > 1:
-        m = means.where(F.col("variant").isin(*left)).join(seen, "variant")
-        c = W.partitionBy("draw")
-        dev = m.select("variant", "draw", (F.col("mean") - F.col("m0") - F.avg(F.col("mean") - F.col("m0")).over(c)).alias("z"), (F.col("m0") - F.avg("m0").over(c)).alias("gap"))
-        se = dev.groupBy("variant").agg(F.stddev_samp("z").alias("se"), F.max("gap").alias("g"))
-        t = dev.join(se, "variant").select("variant", "draw", ratio(F.col("z"), F.col("se")).alias("t"), ratio(F.col("g"), F.col("se")).alias("t0"))
-        worst = t.agg(F.max_by("variant", F.struct("t0", "variant")).alias("v"), F.max("t0").alias("t0")).first()
-        share = t.groupBy("draw").agg(F.max("t").alias("most")).agg(F.avg((F.col("most") >= worst["t0"]).cast("double"))).first()[0]
-        floor = max(floor, share)
-        out.append((worst["v"], float(floor)))
-        left.remove(worst["v"])
-    out += [(v, 1.0) for v in left]
-    means.unpersist()
-    return losses.sparkSession.createDataFrame(out, "variant string, p double").withColumn("kept", F.col("p") >= alpha)
+    x = save(boot_means(d, block, draws, seed).join(seen, "variant").select("variant", "draw", (F.col("mean") - F.col("m0")).alias("x")), "boot-means")
+    other = x.select(F.col("variant").alias("j"), "draw", F.col("x").alias("y"))
+    pairs = x.join(other, "draw").groupBy(F.col("variant").alias("i"), "j").agg(F.covar_samp("x", "y").alias("c"))
+    row = pairs.agg(F.collect_list(F.struct("i", "j", "c")).alias("pairs")).crossJoin(seen.agg(F.collect_list(F.struct("variant", "m0")).alias("means")))
+    rounds = save(row.mapInArrow(_eliminated, "round int, variant string, se double, worst string, t0 double"), "rounds")
+    z = x.join(rounds, "variant").withColumn("t", ratio(F.col("x") - F.avg("x").over(W.partitionBy("draw", "round")), F.col("se")))
+    most = z.groupBy("draw", "round").agg(F.max("t").alias("most"), F.first("t0").alias("t0"), F.first("worst").alias("variant"), F.count("*").alias("size"))
+    p = most.groupBy("round", "variant").agg(F.max(F.when(F.col("size") == 1, 1.0)).alias("last"), F.avg((F.col("most") >= F.col("t0")).cast("double")).alias("share"))
+    p = p.select("variant", F.coalesce("last", F.max("share").over(W.orderBy("round").rowsBetween(W.unboundedPreceding, 0))).alias("p"))
+    return p.withColumn("kept", F.col("p") >= alpha)
 
 
 def block_grid(pairs: DataFrame, blocks: list[int], draws: int, seed: int, year: float) -> DataFrame:

@@ -260,7 +260,25 @@ DRAWN_T = (
 over("bs06_romano_wolf", lambda s: B.romano_wolf(diffs(s), BLOCK, FULL, SEED), "SELECT variant, round(t, 6) + 0.0 AS t, round(max(p0) OVER (ORDER BY t DESC, variant), 6) AS p FROM (SELECT variant, max(t0) AS t, avg(CASE WHEN most >= t0 THEN 1.0 ELSE 0 END) AS p0 FROM (SELECT *, max(t) OVER (PARTITION BY draw ORDER BY t0, variant) AS most FROM dt0) GROUP BY 1)", DRAWN_T)
 SPA_TOP = "(SELECT greatest(max(t0), 0) AS top FROM dt0)"
 over("bs07_spa", lambda s: B.spa(diffs(s), BLOCK, FULL, SEED), f"SELECT round(avg(CASE WHEN lo >= top THEN 1.0 ELSE 0 END), 6) AS lower, round(avg(CASE WHEN mi >= top THEN 1.0 ELSE 0 END), 6) AS consistent, round(avg(CASE WHEN up >= top THEN 1.0 ELSE 0 END), 6) AS upper, round(max(top), 6) AS t FROM (SELECT draw, greatest(max((mean - greatest(mean0, 0)) / nullif(se, 0)), 0) AS lo, greatest(max((mean - CASE WHEN t0 >= -sqrt(2 * ln(ln(nd))) THEN mean0 ELSE 0 END) / nullif(se, 0)), 0) AS mi, greatest(max(t), 0) AS up FROM dt0 CROSS JOIN (SELECT greatest(max(nd), 3) AS nd FROM dd) GROUP BY 1) CROSS JOIN {SPA_TOP}", DRAWN_T, keys=())
-over("bs08_mcs", lambda s: B.mcs(diffs(s).select(V, "dt", (-F.col("d")).alias("loss")), BLOCK, FULL, SEED), None)
+
+
+def mcs_sql(variants: int) -> str:
+    """Tables up to w1 to w<variants - 1>, a round each: its worst variant and the share of draws beyond it."""
+    out = [DRAWN_T, "xm AS (SELECT variant, draw, -mean AS mean, -mean0 AS m0 FROM dt0)", "lf1 AS (SELECT DISTINCT variant FROM xm)"]
+    for r in range(1, variants):
+        out += [
+            f"z{r} AS (SELECT variant, draw, mean - m0 - avg(mean - m0) OVER (PARTITION BY draw) AS z, m0 - avg(m0) OVER (PARTITION BY draw) AS gap FROM xm JOIN lf{r} USING (variant))",
+            f"e{r} AS (SELECT variant, stddev_samp(z) AS se, max(gap) / nullif(stddev_samp(z), 0) AS t0 FROM z{r} GROUP BY 1)",
+            f"b{r} AS (SELECT variant, t0 FROM e{r} ORDER BY t0 DESC, variant DESC LIMIT 1)",
+            f"w{r} AS (SELECT (SELECT variant FROM b{r}) AS variant, avg(CASE WHEN most >= (SELECT t0 FROM b{r}) THEN 1.0::DOUBLE ELSE 0 END) AS share FROM (SELECT draw, max(z / nullif(se, 0)) AS most FROM z{r} JOIN e{r} USING (variant) GROUP BY 1))",
+            f"lf{r + 1} AS (SELECT variant FROM lf{r} WHERE variant <> (SELECT variant FROM b{r}))",
+        ]
+    return ", ".join(out)
+
+
+VARIANTS = 6  # of the strategies panel
+MCS_ROWS = " UNION ALL ".join([f"SELECT {r} AS round, * FROM w{r}" for r in range(1, VARIANTS)] + [f"SELECT {VARIANTS}, variant, NULL FROM lf{VARIANTS}"])
+over("bs08_mcs", lambda s: B.mcs(diffs(s).select(V, "dt", (-F.col("d")).alias("loss")), BLOCK, FULL, SEED), f"SELECT variant, round(p, 6) AS p, p >= 0.1 AS kept FROM (SELECT variant, CASE WHEN share IS NULL THEN 1.0::DOUBLE ELSE max(share) OVER (ORDER BY round) END AS p FROM ({MCS_ROWS}))", mcs_sql(VARIANTS))
 
 
 def against_mean(s):
