@@ -287,7 +287,15 @@ def against_mean(s):
     return s.join(mean, "dt").select(V, "dt", F.col("ret").alias("x"), "y")
 
 
-over("bs09_block_grid", lambda s: B.block_grid(against_mean(s), [5, 10, 21, 42, 63, 126, 252], FULL, SEED, YEAR), None, keys=(V, "block", "draws"))
+LENGTHS = [5, 10, 21, 42, 63, 126, 252]
+GRID = (
+    "am AS (SELECT variant, dt, ret AS x, avg(ret) OVER (PARTITION BY dt) AS y FROM strategies), ad AS (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS r, count(*) OVER () AS nd FROM (SELECT DISTINCT dt FROM am)), "
+    f"gs AS (SELECT block, draw, b, nd, {B.hash_sql(SEED, 'draw', 'b')} % nd AS st FROM (SELECT unnest({LENGTHS}) AS block) CROSS JOIN (SELECT unnest(range({FULL})) AS draw) CROSS JOIN (SELECT max(nd) AS nd FROM ad) CROSS JOIN (SELECT unnest(range(1000)) AS b) WHERE b * block < nd), "
+    f"gk AS (SELECT block, draw, (st + j) % nd AS r, count(*) AS k FROM gs CROSS JOIN (SELECT unnest(range({max(LENGTHS)})) AS j) WHERE j < block AND b * block + j < nd GROUP BY 1, 2, 3), "
+    "gm AS (SELECT variant, block, draw, sum(k * x) / sum(k) AS mx, sum(k * x * x) / sum(k) AS qx, sum(k * y) / sum(k) AS my, sum(k * y * y) / sum(k) AS qy FROM gk JOIN ad USING (r) JOIN am USING (dt) GROUP BY 1, 2, 3), "
+    f"gd AS (SELECT variant, block, (mx / nullif(sqrt(greatest(qx - mx * mx, 0)), 0) - my / nullif(sqrt(greatest(qy - my * my, 0)), 0)) * sqrt({YEAR}::DOUBLE) AS diff FROM gm)"
+)
+over("bs09_block_grid", lambda s: B.block_grid(against_mean(s), LENGTHS, FULL, SEED, YEAR), interval_sql("diff", "gd").replace("SELECT ", "SELECT variant, block, ", 1) + " GROUP BY 1, 2", GRID, keys=(V, "block", "draws"))
 
 
 RANKS = PAIR + f", prn AS (SELECT x, row_number() OVER (ORDER BY dt) - 1 AS r, count(*) OVER () AS n FROM pair), cum AS (SELECT r, n, sum(x) OVER (ORDER BY r) AS c FROM prn), wst AS (SELECT {B.hash_sql(SEED, 'id', '0')} % ((SELECT max(n) FROM prn) - 26 + 1) AS st FROM (SELECT unnest(range(10000)) AS id)), wsum AS (SELECT w.st, sum(p.x) AS s FROM (SELECT DISTINCT st FROM wst) w JOIN prn p ON p.r >= w.st AND p.r < w.st + 26 GROUP BY 1)"
