@@ -504,17 +504,20 @@ def _(spark, d):
     return V.scale_scores(scores(spark, d), "score", [0.5, 1.0, 2.0]).select("symbol", "dt", "k", "score")
 
 
-@query("sw12_shuffle_scores", ("bars_h",), "SELECT o.draw, o.symbol, o.dt, n.score FROM (SELECT draw, symbol, dt, row_number() OVER (PARTITION BY draw, symbol ORDER BY rn) AS place FROM sd) o JOIN (SELECT draw, symbol, score, row_number() OVER (PARTITION BY draw, symbol ORDER BY " + hash_sql(5, "rn", "draw") + ", rn) AS place FROM sd) n USING (draw, symbol, place)", f"sd AS (SELECT symbol, dt, rn, score, draw FROM (SELECT symbol, dt, row_number() {AT} AS rn, round(coalesce(close - lag(close) {AT}, 0), 6) AS score FROM bars_h) CROSS JOIN (SELECT unnest([0, 1, 2]) AS draw))")
-def _(spark, d):
-    return V.shuffle_scores(scores(spark, d), "score", 3, 5)
+def shuffle_sql(draws: int) -> tuple[str, str]:
+    own = f"sd AS (SELECT symbol, dt, rn, score, draw FROM (SELECT symbol, dt, row_number() {AT} AS rn, round(coalesce(close - lag(close) {AT}, 0), 6) AS score FROM bars_h) CROSS JOIN (SELECT unnest(range({draws}))::INT AS draw))"
+    place = lambda order: f"row_number() OVER (PARTITION BY draw, symbol ORDER BY {order}) AS place"
+    return f"SELECT o.draw, o.symbol, o.dt, n.score FROM (SELECT draw, symbol, dt, {place('rn')} FROM sd) o JOIN (SELECT draw, symbol, score, {place(hash_sql(5, 'rn', 'draw') + ', rn')} FROM sd) n USING (draw, symbol, place)", own
 
 
-@query("sw12_shuffle_scores_full", ("bars_h",))
-def _(spark, d):
-    return V.shuffle_scores(scores(spark, d), "score", 100, 5)
+for _name, _draws in (("sw12_shuffle_scores", 3), ("sw12_shuffle_scores_full", 100)):
+    query(_name, ("bars_h",), *shuffle_sql(_draws))(lambda spark, d, n=_draws: V.shuffle_scores(scores(spark, d), "score", n, 5))
+
+
+NOISE = f"nz AS (SELECT symbol, dt, rn, avg(score) OVER (PARTITION BY symbol) AS m, stddev_samp(score) OVER (PARTITION BY symbol) AS sd FROM (SELECT symbol, dt, row_number() {AT} AS rn, round(coalesce(close - lag(close) {AT}, 0), 6) AS score FROM bars_h)), nu AS (SELECT draw::INT AS draw, symbol, dt, m, sd, {uniform_sql(6, 'rn', 'draw')} AS u FROM nz CROSS JOIN (SELECT unnest(range(100)) AS draw))"
 
 
-@query("sw12_noise_null", ("bars_h",))
+@query("sw12_noise_null", ("bars_h",), f"SELECT draw, symbol, dt, round(greatest(least(m + sd * {normal_ppf_sql('u')}, 20), -20), 6) + 0.0 AS score FROM nu", NOISE)
 def _(spark, d):
     return rounded(V.noise_scores(scores(spark, d), "score", 100, 6), "draw", "symbol", "dt")
 
