@@ -112,7 +112,7 @@ def splitting_tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, *, weights: tuple = (5, 2, 1), share: float = 1.5, ceiling: int = 2, levels: int = 5, block_words: int = 65_536, least_blocks: int = 64, lane_rows: int = 20_000, seed: int = 20) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken, pieces.
+    """One row per row of docs: doc_id, source, size, source_size, target, taken, pieces, lane, from.
 
     size counts words; a null text has none and is never taken. A null source is a source, the last. Each source's
     documents, in the order of a hash, lie on a line of words that is cut into equal blocks of about block_words (at
@@ -121,7 +121,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple = (5, 2, 1), share: float = 1
     ceiling times its size. Only the last drawn block may be cut, so taken words meet the target within a word.
     The splitting tree cuts each source's quota among 2**levels shards (as many as the output is to have; sources and shards
     fit in a row); a second permutation deals the blocks drawn out to those shares. pieces lists what a document gives: struct(shard, place, from_word, to_word, lap), place being the
-    order within the shard. Rows that repeat, ties and repeated ids get places of their own on the line; very long texts span as
+    order within the shard. lane and from say where a row lies on its source's line. Rows that repeat, ties and repeated ids get places of their own on the line; very long texts span as
     many blocks as they have; an empty table gives no rows, a source without words a target of 0. Other columns are not read.
 
     Nothing is gathered by source: sums are pre-aggregated over (source, lane), and the line's positions come from the
@@ -173,22 +173,35 @@ def mix_sources(docs: DataFrame, *, weights: tuple = (5, 2, 1), share: float = 1
     found = F.filter(F.transform(spots, piece), lambda p: p["to_word"] > p["from_word"])
     pieces = F.when(F.col("size") > 0, found).otherwise(F.array().cast("array<struct<shard:int,place:bigint,from_word:bigint,to_word:bigint,lap:int>>"))
     d = d.withColumn("pieces", pieces)
-    return d.withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda t, p: t + p["to_word"] - p["from_word"])).select("doc_id", "source", "size", "source_size", "target", "taken", "pieces")
+    return d.withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda t, p: t + p["to_word"] - p["from_word"])).select("doc_id", "source", "size", "source_size", "target", "taken", "pieces", "lane", "from")
 
 
 def draw_documents(docs: DataFrame, **options) -> DataFrame:
-    """Whole documents as often as the mix takes them, all columns as they were.
+    """Whole documents as often as the mix takes them, all columns as they were, in order of the mix's shard and place.
 
-    A document's taken words by its size give its copies; the fraction is rounded up or down by a hash of doc_id, in
-    proportion, so each source comes near its target without cutting a text. Documents without words aren't drawn;
-    rows that repeat a doc_id share their mean. An empty table gives none; columns may have any names.
+    Along a source's line, taken words by size add up; a document's copies are the difference of that running sum, rounded,
+    after it and before it (all of a source shifted by one draw from its hash). So a document taken wholly comes as often
+    as it was taken, and up to any place of the line a source has as many documents as it should, but for one.
+    Null texts and documents without words aren't drawn; a very long text counts by its words like any other. Rows that repeat
+    a doc_id share their mean copies, rounded by a hash. An empty table gives none; columns may have any names.
     """
-    plan = mix_sources(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("mix_taken"), F.sum("size").alias("mix_size"))
-    times = F.floor(F.coalesce(F.try_divide("mix_taken", F.col("mix_size")), F.lit(0.0)) + _uniform(F.lit(options.get("seed", 20)), "doc_id")).cast("int")
-    name = free(docs, "times")
-    plan = plan.select(F.col("doc_id").alias(free(docs, "mixed_id")), times.alias(name)).where(F.col(name) > 0)
+    mix = save(mix_sources(docs, **options).withColumn("part", F.coalesce(F.try_divide("taken", F.col("size")), F.lit(0.0))), "mix")
+    lanes = mix.groupBy("source", "lane").agg(F.sum("part").alias("lane_part"))
+    before = F.coalesce(F.sum("lane_part").over(W.partitionBy("source").orderBy("lane").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    lanes = lanes.select(F.col("source").alias("s1"), F.col("lane").alias("l1"), (before + _uniform(F.lit(options.get("seed", 20)), "source")).alias("shift"))
+    line = W.partitionBy("source", "lane").orderBy("from", "doc_id", "size")
+    upto, until = (F.coalesce(F.sum("part").over(line.rowsBetween(W.unboundedPreceding, k)), F.lit(0.0)) for k in (0, -1))
+    d = mix.withColumns({"upto": upto, "until": until}).join(lanes, mix["source"].eqNullSafe(F.col("s1")) & (mix["lane"] == F.col("l1")))
+    copies = (F.floor(F.col("shift") + F.col("upto")) - F.floor(F.col("shift") + F.col("until"))).cast("int")
+    first = F.array_min(F.transform("pieces", lambda p: F.struct(p["shard"].alias("shard"), p["place"].alias("place"))))
+    plan = d.select("doc_id", copies.alias("copies"), first.alias("first")).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"), F.min("first").alias("first"))
+    times = F.floor(F.col("copies") / F.col("n") + F.when(F.col("n") > 1, _uniform(F.lit(options.get("seed", 20)), "doc_id")).otherwise(1e-9)).cast("int")
+    name, spot = free(docs, "times"), free(docs, "spot")
+    plan = plan.select(F.col("doc_id").alias(free(docs, "mixed_id")), times.alias(name), F.col("first").alias(spot)).where(F.col(name) > 0)
     out = docs.join(plan, docs["doc_id"].cast("long").eqNullSafe(plan[plan.columns[0]]))
-    return out.select(*(docs[f"`{c}`"] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(name))).alias(name)).drop(name)
+    out = out.select(*(docs[f"`{c}`"] for c in docs.columns), spot, F.explode(F.sequence(F.lit(1), F.col(name))).alias(name))
+    shard, place = F.col(spot)["shard"], F.col(spot)["place"]
+    return out.repartitionByRange(shard, place).sortWithinPartitions(shard, place).drop(name, spot)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -267,6 +267,10 @@ class LibraryEncoder:
 _ENCODERS: dict[int, LibraryEncoder] = {}
 
 
+#: One row a row group: the writer counts rows, and asks for sizes after each.
+_ONE_A_GROUP = {"parquet.block.row.count.limit": 1, "parquet.block.size": 1 << 16, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+
+
 def write_images(docs: DataFrame, vocabulary: str, end_id: int, image_ids: int = 1 << 18) -> DataFrame:
     """Images of all documents in ascending order of doc_id: shard, part, n_docs, n_ids, image.
 
@@ -307,7 +311,7 @@ def write_images(docs: DataFrame, vocabulary: str, end_id: int, image_ids: int =
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("string"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return save(rows.mapInArrow(run, "shard int, part int, n_docs long, n_ids long, image binary"), "token-images", compression="none", **{"parquet.block.size": 1 << 16})
+    return save(rows.mapInArrow(run, "shard int, part int, n_docs long, n_ids long, image binary"), "token-images", compression="none", **_ONE_A_GROUP)
 
 
 def _image_starts(images: DataFrame) -> DataFrame:
