@@ -314,6 +314,14 @@ def test_near_groups_equal_brute_force(spark, docs):
     assert got == brute_classes({r["doc_id"]: r["text"] for r in d.collect()})
 
 
+def test_near_groups_by_shuffle_equal_those_by_broadcast(spark, docs, odd, monkeypatch):
+    d = docs.select("doc_id", "text").union(odd.select(F.col("doc_id") + 10**6, "text"))
+    key = lambda x: sorted((str(r["doc_id"]), *map(str, r[1:])) for r in x.collect())
+    want = key(near_dedup.near_groups(d))
+    monkeypatch.setattr(near_dedup, "_SMALL", 0)
+    assert key(near_dedup.near_groups(d)) == want
+
+
 def test_near_groups_of_repeated_ids(spark):
     a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
     for rows, want in (([(1, a), (1, b), (2, a + " x"), (3, b + " y")], [1, 1, 1, 1]), ([(1, a), (2, b), (2, a)], [1, 1, 2]), ([(None, a), (4, a + " x"), (None, b), (None, None), (6, "")], [None, None, 4, 4, 6])):
@@ -524,6 +532,15 @@ def test_neighbours_of_repeated_ids(spark):
     assert [tuple(r) for r in got] == [(20, 1, 20, 3.0), (20, 2, 7, 2.0), (20, 3, 20, 1.0)]
 
 
+def test_neighbours_of_an_empty_table_and_of_unfit_vectors(spark):
+    schema = "vec_id long, embedding array<double>, score double, rank string"
+    assert neighbours.nearest(spark.createDataFrame([], schema)).count() == 0
+    unfit = [(0, None, 1.0, "x"), (20, [], 1.0, "x"), (40, [0.0, 0.0], 1.0, "x"), (60, [1.0, None], 1.0, "x"), (80, [1.0, float("inf")], 1.0, "x"), (None, [1.0, 1.0], 1.0, "x")]
+    assert neighbours.nearest(spark.createDataFrame(unfit, schema)).count() == 0
+    fit = [(100, [1.0, 0.0], 1.0, "x"), (101, [2.0, 0.0], 1.0, "x"), (102, [2.0, 5.0], 1.0, "x"), (103, [1.0], 1.0, "x")]
+    assert [tuple(r) for r in neighbours.nearest(spark.createDataFrame(unfit + fit, schema)).orderBy("rank").collect()] == [(100, 1, 101, 2.0), (100, 2, 102, 2.0)]
+
+
 def test_neighbours_of_few_vectors(spark):
     got = neighbours.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")).orderBy("rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 2, 1.0), (0, 2, 1, 0.0)]
@@ -636,7 +653,7 @@ def test_language_model_equals_brute_force(spark, docs, monkeypatch, tokens):
 
 def brute_languages(docs):
     """doc_ids that language identification keeps: its own rows, held against centroids elsewhere."""
-    return {r["doc_id"] for r in language.identify(docs, language.fit(docs)).collect() if not r["rejected"] and r["lang_pred"] != "und"}
+    return {r["doc_id"] for r in language.identify(docs, language.fit(docs)).collect() if not r["lid_rejected"]}
 
 
 def test_pipeline_equals_brute_force(spark):
