@@ -8,7 +8,7 @@ import pytest
 from strandmill.plans import registry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["src01_bars", "src05_risk_free", "pf08_common_dates", "jn01_asof", "jn06_term_structure", "wn04_roll_skew", "wn10_drawdown", "rc01_ewm_mean_blocks", "rc03_ewm_std", "xs01_z", "bl07_fdm", "sg01_crossover_fast", "sg14_basis_momentum", "lg03_daily_pnl", "lg06_tearsheet", "ag07_describe_dist", "sw12_shuffle_scores", "st02_sharpe_hac", "st08_haircut", "bs02_sharpe_diff", "dq01_qq_mse", "fn04_normal"]
+NAMES = ["src01_bars", "src05_risk_free", "pf08_common_dates", "jn01_asof", "jn06_term_structure", "wn04_roll_skew", "wn10_drawdown", "rc01_ewm_mean_blocks", "rc03_ewm_std", "xs01_z", "bl07_fdm", "sg01_crossover_fast", "sg14_basis_momentum", "sg44_composite", "rc04_ewm_corr_rates", "lg03_daily_pnl", "lg06_tearsheet", "ag06_windows", "ag15_digest", "sw08_lag_ledger", "sw09_jackknife_ledger", "bs08_mcs", "ag07_describe_dist", "sw12_shuffle_scores", "st02_sharpe_hac", "st08_haircut", "bs02_sharpe_diff", "dq01_qq_mse", "dq04_eigen_compare", "fn04_normal", "fn12_rounding"]
 
 
 @pytest.fixture(scope="module")
