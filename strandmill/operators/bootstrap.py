@@ -224,3 +224,24 @@ def window_rank(df: DataFrame, k: int, draws: int, seed: int) -> DataFrame:
     sums = starts.withColumn("row", F.explode(F.sequence(F.col("start"), F.col("start") + k - 1))).join(rows, "row").groupBy("draw").agg(F.sum("ret").alias("s"))
     seen = rows.where(F.col("row") >= n - k).agg(F.sum("ret").alias("seen"))
     return sums.crossJoin(seen).agg(F.max("seen").alias("seen"), F.avg((F.col("s") <= F.col("seen")).cast("double")).alias("rank"))
+
+
+def boot_mdd_by(df: DataFrame, by: str, block: int, draws: int, seed: int) -> DataFrame:
+    """Intervals of the largest drawdown of each key (by, dt, ret); dates and draws are shared. A draw's path is one window of a key."""
+    dates = numbered(df.select("dt").distinct())
+    d = block_index(df.sparkSession, dates.count(), block, draws, seed).join(df.join(dates, "dt"), "row")
+    path = W.partitionBy(by, "draw").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumn("c", F.sum(F.log1p("ret")).over(path)).withColumn("fall", F.col("c") - F.greatest(F.max("c").over(path), F.lit(0.0)))
+    return interval(d.groupBy(by, "draw").agg((1 - F.exp(F.min("fall"))).alias("mdd")), "mdd", (by,))
+
+
+def window_rank_by(df: DataFrame, by: str, k: int, draws: int, seed: int) -> DataFrame:
+    """(by, seen, rank): the sum of each key's last k rows, and its rank among sums of k rows from random starts; null rank for keys under k rows.
+
+    Sums of k rows are differences of running sums, so a draw is one row of a key.
+    """
+    rows = df.select(by, "ret", (F.row_number().over(W.partitionBy(by).orderBy("dt")) - 1).alias("row"), F.count("*").over(W.partitionBy(by)).alias("n"))
+    rows = rows.withColumn("s", F.sum("ret").over(W.partitionBy(by).orderBy("row").rowsBetween(-(k - 1), 0))).where(F.col("row") >= k - 1)
+    seen = rows.where(F.col("row") == F.col("n") - 1).select(by, "n", F.col("s").alias("seen"))
+    starts = seen.crossJoin(df.sparkSession.range(draws)).withColumn("row", F.expr(f"{hash_sql(seed, 'id', '0')} % (n - {k - 1})") + k - 1)
+    return starts.join(rows.select(by, "row", "s"), [by, "row"]).groupBy(by).agg(F.max("seen").alias("seen"), F.avg((F.col("s") <= F.col("seen")).cast("double")).alias("rank"))

@@ -182,6 +182,27 @@ def _solved(k: int):
     return run
 
 
+def _terms(names: list[str]):
+    """Arrow batches of (key, n, beta, inv, r2, middle) to a row for each term, with its error from inverse * middle * inverse."""
+    k = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict = {c: [] for c in ("key", "term", "beta", "se", "t", "r2", "n")}
+            for key, r in zip(b.column(0).to_pylist(), b.to_pylist(), strict=True):
+                beta, se = r["beta"] or [None] * k, [None] * k
+                if r["beta"] and r["middle"]:
+                    inv = np.array(r["inv"], float).reshape(k, k)
+                    se = np.sqrt(np.maximum(np.diag(inv @ np.array(r["middle"], float).reshape(k, k) @ inv), 0)).tolist()
+                for name, x, e in zip(names, beta, se, strict=True):
+                    for c, v in zip(out, (key, name, x, e, x / e if e else None, r["r2"], r["n"])):
+                        out[c].append(v)
+            kinds = (b.schema.field(0).type, pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=[b.schema.names[0], *list(out)[1:]])
+
+    return run
+
+
 def ols_by(df: DataFrame, by: str, y: str, xs: list[str], lags: int | None = None) -> DataFrame:
     """ols() of each key as rows (by, term, beta, se, t, r2, n), for any number of keys: their sums are tables, and the
     k by k systems are solved in Arrow batches of them.
@@ -204,16 +225,8 @@ def ols_by(df: DataFrame, by: str, y: str, xs: list[str], lags: int | None = Non
     b = scores.select(by, F.col("_row").alias("other"), *(F.col(c).alias(f"{c}_o") for c in names))
     weight = F.when(F.col("lag") == 0, 0.5).otherwise(1 - F.col("lag") / (F.col("lags") + 1))
     middle = a.join(b, [by, "other"]).groupBy(by).agg(F.array(*(F.sum(weight * (F.col(p) * F.col(f"{q}_o") + F.col(q) * F.col(f"{p}_o"))) for p, q in square)).alias("middle"))
-    d = fits.join(middle, by, "left")
-    cell = lambda c, i, j: F.get(c, F.lit(i * k + j))
-
-    def error(i: int) -> Column:
-        """The i-th diagonal element of inverse * middle * inverse, rooted."""
-        var = sum((cell("inv", i, p) * cell("middle", p, q) * cell("inv", q, i) for p in range(k) for q in range(k)), F.lit(0.0))
-        return F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0))))
-
-    rows = F.array(*(F.struct(F.lit(t).alias("term"), F.get("beta", F.lit(i)).alias("beta"), error(i).alias("se")) for i, t in enumerate(names)))
-    return d.select(by, F.inline(rows), "r2", "n").select(by, "term", "beta", "se", ratio(F.col("beta"), F.col("se")).alias("t"), "r2", "n")
+    rows = fits.join(middle, by, "left").select(by, "n", "beta", "inv", "r2", "middle")
+    return rows.mapInArrow(_terms(names), f"{by} {kind}, term string, beta double, se double, t double, r2 double, n long")
 
 
 def arch_lm(df: DataFrame, lags: int) -> DataFrame:
@@ -227,6 +240,15 @@ def arch_lm(df: DataFrame, lags: int) -> DataFrame:
     return out.select("lm", F.expr(chi2_tail_sql("lm", lags)).alias("p"))
 
 
+def arch_lm_by(df: DataFrame, lags: int, by: str = BY) -> DataFrame:
+    """(by, lm, p): Engle's test of every key."""
+    at, names = W.partitionBy(by).orderBy("dt"), [f"l{k}" for k in range(1, lags + 1)]
+    d = df.withColumn("e2", F.pow(F.col("ret") - F.avg("ret").over(W.partitionBy(by)), F.lit(2.0)))
+    d = d.withColumns({n: F.lag("e2", k).over(at) for k, n in enumerate(names, 1)})
+    f = ols_by(d, by, "e2", names).where("term = 'const'").select(by, (F.col("n") * F.col("r2")).alias("lm"))
+    return f.select(by, "lm", F.expr(chi2_tail_sql("lm", lags)).alias("p"))
+
+
 def timing(pair: DataFrame, kind: str) -> DataFrame:
     """Timing regression of x on y: kind hm adds max(0, y), tm adds y squared."""
     extra = F.greatest(F.col("y"), F.lit(0.0)) if kind == "hm" else F.col("y") * F.col("y")

@@ -97,6 +97,10 @@ def _(spark, d):
     return rounded(T.arch_lm(two(spark, d).select("dt", F.col("x").alias("ret")), 5))
 
 
+#: Engle's test of each strategy in turn.
+EACH = "en AS (SELECT variant, row_number() OVER (ORDER BY variant) AS k FROM (SELECT DISTINCT variant FROM strategies)), ee AS (SELECT k, dt, power(ret - avg(ret) OVER (PARTITION BY variant), 2) AS e2 FROM strategies JOIN en USING (variant)), el AS (SELECT *, " + ", ".join(f"lag(e2, {j}) OVER (PARTITION BY k ORDER BY dt) AS l{j}" for j in range(1, 6)) + " FROM ee), " + ", ".join(f"el{k} AS (SELECT * FROM el WHERE k = {k})" for k in range(1, 7))
+EACH_LM = " UNION ALL ".join(f"SELECT {k} AS k, max(n) * max(r2) AS lm FROM ({ols_sql(f'el{k}', 'e2', [f'l{j}' for j in range(1, 6)])})" for k in range(1, 7))
+over("st11_arch_lm_all", lambda s: T.arch_lm_by(s, 5), f"SELECT variant, round(lm, 6) AS lm, round({S.chi2_tail_sql('lm', 5)}, 6) AS p FROM ({EACH_LM}) JOIN en USING (k)", EACH)
 on_pair("st12_ols_hac", lambda p: T.ols_table(p, "x", ["y"]), ols_rows(ols_sql("pair", "x", ["y"])), ("term",))
 
 FACTORS = "fnames AS (SELECT variant, row_number() OVER (ORDER BY variant) AS k FROM (SELECT DISTINCT variant FROM strategies)), months AS (SELECT variant, CAST(date_trunc('month', dt) AS DATE) AS dt, sum(ret) AS ret FROM strategies GROUP BY 1, 2), fac AS (SELECT dt, " + ", ".join(f"max(CASE WHEN k = {j + 2} THEN ret END) AS f{j}" for j in range(3)) + " FROM months JOIN fnames USING (variant) WHERE k BETWEEN 2 AND 4 GROUP BY 1), fm AS (SELECT variant, m.dt, ret, f0, f1, f2 FROM months m JOIN fnames USING (variant) JOIN fac USING (dt) WHERE k NOT BETWEEN 2 AND 4)"
@@ -281,6 +285,14 @@ MCS_ROWS = " UNION ALL ".join([f"SELECT {r} AS round, * FROM w{r}" for r in rang
 over("bs08_mcs", lambda s: B.mcs(diffs(s).select(V, "dt", (-F.col("d")).alias("loss")), BLOCK, FULL, SEED), f"SELECT variant, round(p, 6) AS p, p >= 0.1 AS kept FROM (SELECT variant, CASE WHEN share IS NULL THEN 1.0::DOUBLE ELSE max(share) OVER (ORDER BY round) END AS p FROM ({MCS_ROWS}))", mcs_sql(VARIANTS))
 
 
+EACH_DRAW = DRAWN_T.split(", dm AS (")[0]
+over("bs03_sharpe_ci_all", lambda s: B.boot_sharpe_by(s, V, BLOCK, FULL, SEED, YEAR), interval_sql("sharpe", f"(SELECT variant, m / nullif(sqrt(greatest(q - m * m, 0)), 0) * sqrt({YEAR}::DOUBLE) AS sharpe FROM (SELECT variant, draw, sum(k * ret) / sum(k) AS m, sum(k * ret * ret) / sum(k) AS q FROM dk JOIN dd USING (r) JOIN strategies USING (dt) GROUP BY 1, 2))").replace("SELECT ", "SELECT variant, ", 1) + " GROUP BY 1", EACH_DRAW, keys=(V, "draws"))
+PATHS = f"dx AS (SELECT draw, b * {BLOCK} + j AS place, (st + j) % nd AS r FROM ds CROSS JOIN (SELECT unnest(range({BLOCK})) AS j) WHERE b * {BLOCK} + j < nd), dc AS (SELECT variant, draw, place, sum(ln(1 + ret)) OVER (PARTITION BY variant, draw ORDER BY place) AS c FROM dx JOIN dd USING (r) JOIN strategies USING (dt)), dp AS (SELECT variant, draw, c - greatest(max(c) OVER (PARTITION BY variant, draw ORDER BY place), 0) AS fall FROM dc)"
+over("bs04_mdd_ci_all", lambda s: B.boot_mdd_by(s, V, BLOCK, FULL, SEED), interval_sql("mdd", "(SELECT variant, draw, 1 - exp(min(fall)) AS mdd FROM dp GROUP BY 1, 2)").replace("SELECT ", "SELECT variant, ", 1) + " GROUP BY 1", f"{EACH_DRAW}, {PATHS}", keys=(V, "draws"))
+EACH_WINDOW = f"wr AS (SELECT variant, row_number() OVER (PARTITION BY variant ORDER BY dt) - 1 AS r, count(*) OVER (PARTITION BY variant) AS n, sum(ret) OVER (PARTITION BY variant ORDER BY dt ROWS 25 PRECEDING) AS s FROM strategies), wl AS (SELECT variant, n, s AS seen FROM wr WHERE r = n - 1), ws AS (SELECT variant, seen, {B.hash_sql(SEED, 'id', '0')} % (n - 25) + 25 AS r FROM wl CROSS JOIN (SELECT unnest(range(10000)) AS id))"
+over("bs10_window_rank_all", lambda s: B.window_rank_by(s, V, 26, 10_000, SEED), "SELECT variant, round(max(seen), 6) + 0.0 AS seen, round(avg(CASE WHEN s <= seen THEN 1.0 ELSE 0 END), 6) AS rank FROM ws JOIN wr USING (variant, r) GROUP BY 1", EACH_WINDOW)
+
+
 def against_mean(s):
     """Each strategy as x, with the mean of all as y."""
     mean = s.groupBy("dt").agg(F.avg("ret").alias("y"))
