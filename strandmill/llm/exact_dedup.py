@@ -177,7 +177,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts, all columns as they were, of any names: the row that exact_groups() keeps.
 
-    Of rows that repeat its doc_id and length, one stays. A null text is an empty one.
+    Of rows that repeat its doc_id and length, one stays. A null text is an empty one; a very long one is read whole, as its
+    digest is all that moves. An empty table gives an empty one.
     """
     rows = save(digests(docs), "digests")
     keep = _groups(rows).select(F.coalesce("keep_id", F.lit(0)), F.col("keep_id").isNull(), F.lower(F.hex("digest")), "chars")

@@ -105,7 +105,8 @@ def resample(docs: DataFrame, target: DataFrame, share: float | None = None, *,
     of the largest keys, share of all, are selected: a sample without replacement in proportion to the weights.
     Without share, it is the share of quality 1 among ``target``'s rows that have it. Equal keys stay together, so rows
     that repeat may add to the number. Null or empty texts have weight 0; without targets all weights are near those of a uniform model.
-    An empty table gives no rows. Counts run over all documents; target names documents, of which most_targets are used.
+    An empty table gives no rows; further columns, of any names, are not read; very long texts are counted whole, in chunks of half
+    a MB. Counts run over all documents; target names documents, of which most_targets are used.
     """
     wanted = target.where("quality = 1")
     if share is None:
