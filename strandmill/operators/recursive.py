@@ -33,71 +33,122 @@ def alpha_of(span: float | None = None, halflife: float | None = None, alpha: fl
 REACH, MOST = 25.0, 300.0
 #: A decay up to this leaves nothing of the rows before, exactly.
 _LEAST_DECAY = 1e-130
+#: Rows of a series that are within a task where its rows are numbered.
+STRETCH = 1 << 16
+#: Rows of stretches that a task gets at most, about; many more would only be spilled.
+_TASK_ROWS = 1 << 20
 
 
 def _lengths(decays: list[float]) -> dict[float, int]:
-    """A block length for each decay; neighbouring decays share one while it is long enough for the slowest and short enough for the fastest."""
+    """A block length for each decay; neighbouring decays share one while it is long enough for the slowest and short enough for the fastest. A longer one is a multiple of the shorter."""
     out: dict[float, int] = {}
     size = 0
     for q in sorted({max(q, _LEAST_DECAY) for q in decays if q < 1}):  # the fastest first
         fall = -math.log(q)
         if not size or size * fall < REACH:
-            size = max(1, int(MOST / fall))
+            least = max(size, 1)
+            size = max(1, int(MOST / fall) // least) * least
         out[q] = size
     return out
 
 
-def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float | Column]], by: tuple[str, ...] = ("symbol",), order: str = "dt", block: int | None = None) -> DataFrame:
+def _columns(sums: dict[str, tuple[Column, float | Column]]) -> dict[str, str]:
+    """The name of a column that holds the decay of each sum whose decay is a column; equal ones share it."""
+    seen: dict[str, str] = {}
+    return {n: seen.setdefault(str(q), f"_q{len(seen)}") for n, (_, q) in sums.items() if isinstance(q, Column)}
+
+
+def _stretches(df: DataFrame, sums: dict[str, tuple[Column, float | Column]], by: tuple[str, ...], place: str, stretch: int) -> DataFrame:
+    """Rows cut into stretches of their series, with _stretch and _row, the place in it; before each stretch a row at place -1 whose expressions are the sums so far.
+
+    A stretch's own sums are aggregated, and the sums over stretches, a row each, are decayed sums again. Rows are counted,
+    so that tasks grow in number and not in size.
+    """
+    decays = {n: F.greatest(q, F.lit(_LEAST_DECAY)) if isinstance(q, Column) else F.lit(max(q, _LEAST_DECAY)) for n, (_, q) in sums.items()}
+    d = df.withColumns({"_stretch": F.floor(F.col(place) / stretch), "_row": F.pmod(F.col(place), F.lit(stretch))} | {f"_x_{n}": F.coalesce(x.cast("double"), F.lit(0.0)) for n, (x, _) in sums.items()})
+    own = _columns(sums)
+    d = d.withColumns({c: sums[n][1] for n, c in own.items()})
+    ends = d.groupBy(*by, "_stretch").agg(*(F.sum(F.col(f"_x_{n}") * F.pow(q, stretch - 1 - F.col("_row"))).alias(f"_x_{n}") for n, q in decays.items()), *(F.first(c).alias(c) for c in sorted({*own.values()})))
+    far = {f"_in_{n}": (F.col(f"_x_{n}"), F.pow(F.greatest(own[n], F.lit(_LEAST_DECAY)), F.lit(float(stretch))) if n in own else max(q, _LEAST_DECAY) ** stretch) for n, (_, q) in sums.items()}
+    ends = decayed_sums(ends, far, by, "_stretch")
+    gone = {n: F.greatest(own[n], F.lit(_LEAST_DECAY)) > _LEAST_DECAY if n in own else F.lit(q > _LEAST_DECAY) for n, (_, q) in sums.items()}
+    ends = ends.select(*by, (F.col("_stretch") + 1).alias("_stretch"), F.lit(-1).cast("long").alias("_row"), *(F.when(gone[n], F.col(f"_in_{n}")).otherwise(0.0).alias(f"_x_{n}") for n in sums), *sorted({*own.values()}))
+    d, parts = d.unionByName(ends, allowMissingColumns=True), -(-df.count() // _TASK_ROWS)
+    return d.repartition(parts, *by, "_stretch") if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else d
+
+
+def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float | Column]], by: tuple[str, ...] = ("symbol",), order: str = "dt", block: int | None = None, place: str | None = None, stretch: int = STRETCH) -> DataFrame:
     """Adds, for each name, the sum of decay ** (rows since) * expression over a series so far; null counts as 0.
 
     A decay may be a column that is constant within a series; its block's length is then that of the series. A decay
     of 1 or more makes a plain running sum. ``block`` sets all lengths, for tests: at least REACH e-foldings of each decay.
+    ``place`` names a column that numbers a series' rows from 0 without gaps: its stretches are then spread over tasks,
+    so a series may have any length; without it, a series is within a task.
     """
+    if place:
+        d = _stretches(df, sums, by, place, stretch)
+        own = _columns(sums)
+        sums = {n: (F.col(f"_x_{n}"), F.col(own[n]) if n in own else q) for n, (_, q) in sums.items()}
+        by = (*by, "_stretch")
+    else:
+        d = df.withColumn("_row", (F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1).cast("long"))
     fixed = _lengths([q for _, q in sums.values() if not isinstance(q, Column)])
-    groups: dict[str, tuple[Column, dict[str, Column]]] = {}
+    groups: dict[str, tuple[Column, dict[str, Column], int]] = {}
     for name, (_, q) in sums.items():
         if isinstance(q, Column):
             decay = F.greatest(q, F.lit(_LEAST_DECAY))
             length = F.when(decay < 1, F.greatest(F.floor(F.lit(MOST) / -F.log(decay)), F.lit(1))).otherwise(F.lit(2**62)).cast("long")
+            key, rank = str(length), 0
         else:
-            decay = F.lit(max(q, _LEAST_DECAY))
-            length = F.lit(fixed.get(max(q, _LEAST_DECAY), 2**62)).cast("long")
-        groups.setdefault(str(length), (F.lit(block).cast("long") if block else length, {}))[1][name] = decay
-    series = W.partitionBy(*by).orderBy(order)
-    d = df.withColumn("_row", F.row_number().over(series) - 1)
-    before, zero = series.rowsBetween(W.unboundedPreceding, -1), F.lit(0.0)
-    for size, decays in groups.values():
-        d = d.withColumn("_size", size).withColumns({"_block": F.floor(F.col("_row") / F.col("_size")), "_at": F.col("_row") % F.col("_size")})
+            decay, rank = F.lit(max(q, _LEAST_DECAY)), fixed.get(max(q, _LEAST_DECAY), 2**62)
+            length, key = F.lit(rank).cast("long"), str(rank)
+        groups.setdefault(key, (F.lit(block).cast("long") if block else length, {}, rank))[1][name] = decay
+    zero = F.lit(0.0)
+    made = sorted(groups.values(), key=lambda g: -g[2])  # lengths of fixed decays nest, so one order serves all of them
+    for k, (size, _, _) in enumerate(made):
+        d = d.withColumn(f"_size{k}", size).withColumn(f"_block{k}", F.floor(F.greatest(F.col("_row"), F.lit(0)) / F.col(f"_size{k}")))
+    nested = [f"_block{k}" for k, (_, _, rank) in enumerate(made) if rank]
+    for k, (_, decays, rank) in enumerate(made):
+        outer, inner = (nested[: k + 1], nested[k + 1 :]) if rank else ([f"_block{k}"], [])
+        d = d.withColumn("_at", F.col("_row") - F.col(f"_block{k}") * F.col(f"_size{k}"))
         d = d.withColumns({n: F.coalesce(sums[n][0], zero) * F.pow(q, -F.col("_at")) for n, q in decays.items()})
-        inside = W.partitionBy(*by, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+        inside = W.partitionBy(*by, *outer).orderBy(*inner, "_row").rowsBetween(W.unboundedPreceding, 0)
+        before = W.partitionBy(*by).orderBy(*outer, *inner, "_row").rowsBetween(W.unboundedPreceding, -1)
         d = d.withColumns({n: F.sum(n).over(inside) for n in decays})
         d = d.withColumns({n: F.col(n) * F.pow(q, F.col("_at")) for n, q in decays.items()})
         # what is carried in: the sums at the end of the block before, and of the one before that, whose own carry is nothing
-        done = F.col("_at") == F.col("_size") - 1
+        size = F.col(f"_size{k}")
+        done = F.col("_at") == size - 1
         d = d.withColumns({f"_in_{n}": F.last(F.when(done, F.col(n)), ignorenulls=True).over(before) for n in decays})
         d = d.withColumns({f"_far_{n}": F.last(F.when(done, F.col(f"_in_{n}")), ignorenulls=True).over(before) for n in decays})
-        carried = lambda n, q: (F.coalesce(f"_in_{n}", zero) + F.coalesce(f"_far_{n}", zero) * F.pow(q, F.col("_size"))) * F.pow(q, F.col("_at") + 1)
+        carried = lambda n, q: (F.coalesce(f"_in_{n}", zero) + F.coalesce(f"_far_{n}", zero) * F.pow(q, size)) * F.pow(q, F.col("_at") + 1)  # noqa: E731, B023
         d = d.withColumns({n: F.col(n) + F.when(q > _LEAST_DECAY, carried(n, q)).otherwise(zero) for n, q in decays.items()})
-        d = d.drop("_size", "_block", "_at", *(f"_in_{n}" for n in decays), *(f"_far_{n}" for n in decays))
-    return d.drop("_row")
+        d = d.drop("_at", *(f"_in_{n}" for n in decays), *(f"_far_{n}" for n in decays))
+    if place:
+        d = d.where("_row >= 0").drop("_stretch", *(f"_x_{n}" for n in sums), *own.values())
+    return d.drop("_row", *(f"_{c}{k}" for k in range(len(made)) for c in ("size", "block")))
 
 
 def _count(x: Column, by: tuple[str, ...], order: str) -> Column:
     return F.count(x).over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
 
 
-def ewm_means(df: DataFrame, outs: dict[str, tuple[str, float | Column]], *, by: tuple[str, ...] = ("symbol",), order: str = "dt", adjust: bool = True, block: int | None = None) -> DataFrame:
-    """Adds several exponentially weighted means, each of (column, alpha), in the same windows: see ewm_mean()."""
+def ewm_means(df: DataFrame, outs: dict[str, tuple[str, float | Column]], *, by: tuple[str, ...] = ("symbol",), order: str = "dt", adjust: bool = True, block: int | None = None, place: str | None = None) -> DataFrame:
+    """Adds several exponentially weighted means, each of (column, alpha), in the same windows: see ewm_mean(). place: see decayed_sums()."""
     sums: dict[str, tuple[Column, float | Column]] = {}
-    first = F.row_number().over(W.partitionBy(*by).orderBy(order)) == 1
+    first = F.col(place) == 0 if place else F.row_number().over(W.partitionBy(*by).orderBy(order)) == 1
     d = df if adjust else df.withColumn("_first", first)
     for out, (x, a) in outs.items():
         value = F.col(x) if adjust else F.when(F.col("_first"), F.col(x)).otherwise(a * F.col(x))
         sums[f"_s_{out}"] = (value, 1 - a)
         if adjust:
             sums[f"_w_{out}"] = (F.col(x).isNotNull().cast("double"), 1 - a)
-    d = decayed_sums(d, sums, by, order, block)
-    d = d.withColumns({out: F.when(_count(F.col(x), by, order) >= 1, ratio(F.col(f"_s_{out}"), F.col(f"_w_{out}")) if adjust else F.col(f"_s_{out}")) for out, (x, _) in outs.items()})
+    counts = {x: f"_n_{x}" for x, _ in outs.values()}
+    if place:
+        sums |= {n: (F.col(x).isNotNull().cast("double"), 1.0) for x, n in counts.items()}
+    d = decayed_sums(d, sums, by, order, block, place)
+    count = lambda x: F.col(counts[x]) if place else _count(F.col(x), by, order)
+    d = d.withColumns({out: F.when(count(x) >= 1, ratio(F.col(f"_s_{out}"), F.col(f"_w_{out}")) if adjust else F.col(f"_s_{out}")) for out, (x, _) in outs.items()})
     return d.drop("_first", *sums)
 
 
@@ -120,15 +171,18 @@ def ewm_std(df: DataFrame, x: str | Column, out: str, *, by: tuple[str, ...] = (
     return d.withColumn(out, F.when(_count(F.col("_x"), by, order) >= least, F.sqrt(F.greatest(var * fix, F.lit(0.0))))).drop("_x", "_s", "_q", "_w", "_v")
 
 
-def ewm_rhos(df: DataFrame, columns: list[str], alpha: float | Column, *, by: tuple[str, ...], order: str = "dt", block: int | None = None) -> tuple[DataFrame, dict[tuple[str, str], str]]:
-    """Adds _n, rows so far in which no column is null, and the exponentially weighted correlation of each pair; its column by pair."""
+def ewm_rhos(df: DataFrame, columns: list[str], alpha: float | Column, *, by: tuple[str, ...], order: str = "dt", block: int | None = None, place: str | None = None) -> tuple[DataFrame, dict[tuple[str, str], str]]:
+    """Adds _n, rows so far in which no column is null, and the exponentially weighted correlation of each pair; its column by pair. place: see decayed_sums()."""
     q = 1 - alpha
     pairs = [(i, j) for k, i in enumerate(columns) for j in columns[k + 1 :]]
     full = F.lit(True)
     for c in columns:
         full = full & F.col(c).isNotNull()
     sums = {"_w": (full.cast("double"), q)} | {f"_{c}": (F.when(full, F.col(c)), q) for c in columns} | {f"_{i}_{j}": (F.when(full, F.col(i) * F.col(j)), q) for i, j in [*pairs, *((c, c) for c in columns)]}
-    d = decayed_sums(df, sums, by, order, block).withColumn("_n", _count(F.when(full, F.lit(1)), by, order))
+    if place:
+        d = decayed_sums(df, sums | {"_n": (full.cast("double"), 1.0)}, by, order, block, place).withColumn("_n", F.col("_n").cast("long"))
+    else:
+        d = decayed_sums(df, sums, by, order, block).withColumn("_n", _count(F.when(full, F.lit(1)), by, order))
     m = lambda c: ratio(F.col(c), F.col("_w"))
     cov = lambda i, j: m(f"_{i}_{j}") - m(f"_{i}") * m(f"_{j}")
     names = {(i, j): f"_rho_{i}_{j}" for i, j in pairs}

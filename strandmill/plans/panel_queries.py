@@ -12,7 +12,7 @@ from strandmill.operators import recursive as R
 from strandmill.operators import windows as O
 from strandmill.plans.registry import query, rounded
 from strandmill.sources import panels as P
-from strandmill.sources.sinks import save, scratch
+from strandmill.sources.sinks import numbered, save, scratch
 
 K = ("symbol", "dt")
 AT = "OVER (PARTITION BY symbol ORDER BY dt)"
@@ -417,8 +417,9 @@ RATES = (2, 26, 104, 416)
 
 def sales(spark, d):
     rows = P.table(spark, d, "lineitem").join(P.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    place = F.row_number().over(W.partitionBy("s_nationkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))
-    return rows.select(F.col("s_nationkey").alias("symbol"), place.cast("long").alias("dt"), F.col("l_quantity").cast("double").alias("qty"), (F.col("l_extendedprice") / 1000).cast("double").alias("price"))
+    rows = rows.select(F.col("s_nationkey").alias("symbol"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    rows = numbered(rows, ["symbol"], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"], ["l_quantity", "l_extendedprice"])
+    return rows.select("symbol", "place", (F.col("place") + 1).alias("dt"), F.col("l_quantity").cast("double").alias("qty"), (F.col("l_extendedprice") / 1000).cast("double").alias("price"))
 
 
 def slow_sums(columns: str, decay: str) -> str:
@@ -429,7 +430,7 @@ def slow_sums(columns: str, decay: str) -> str:
 @query("rc01_ewm_rates", (), "SELECT symbol, dt, span, round(s / w, 6) AS x FROM (" + " UNION ALL ".join(f"SELECT symbol, dt, {r} AS span, s, w FROM ({slow_sums('sum(WT * i.qty) AS s, sum(WT) AS w', repr(1 - 2 / (r + 1)))})" for r in RATES) + ")", SALES)
 def _(spark, d):
     """Means of very different rates at once, on series of thousands of rows."""
-    s = R.ewm_means(sales(spark, d), {f"m{r}": ("qty", 2 / (r + 1)) for r in RATES})
+    s = R.ewm_means(sales(spark, d), {f"m{r}": ("qty", 2 / (r + 1)) for r in RATES}, place="place")
     return rounded(s.select("symbol", "dt", F.inline(F.array(*(F.struct(F.lit(r).alias("span"), F.col(f"m{r}").alias("x")) for r in RATES)))), "symbol", "dt", "span")
 
 

@@ -11,6 +11,8 @@ from strandmill.operators import bootstrap as B
 from strandmill.operators import joins as J
 from strandmill.operators import recursive as R
 from strandmill.operators import windows as O
+from strandmill.plans.registry import queries
+from strandmill.sources.sinks import numbered
 
 
 @pytest.fixture(scope="module")
@@ -132,3 +134,31 @@ def test_deadband_across_variants_equals_one_at_a_time(spark, panel):
     for lots in (1, 4):
         got = R.deadband(many, "t", "held", by=keys, across="variant", lots=lots)
         assert got.count() == many.count() and got.exceptAll(one).isEmpty() and one.exceptAll(got).isEmpty()
+
+
+@pytest.mark.parametrize("stretch", [7, 64, 1 << 16])
+def test_decayed_sums_over_stretches(spark, stretch):
+    """A numbered series is cut into stretches, each a window of its own; sums are those of the recursion, for fast, slow, constant and undecayed ones."""
+    n, rates = 300, {"a": 0.9999, "b": 0.5, "c": 1.0, "d": 0.0, "e": 0.93}
+    rows = [(s, i, None if i % 11 == 3 else float((i * 7919 + s) % 101), 0.8 + 0.19 * s) for s in range(2) for i in range(n - 50 * s)]
+    df = spark.createDataFrame(rows, "symbol int, dt int, x double, q double").withColumn("place", F.col("dt").cast("long"))
+    sums = {k: (F.col("x"), q) for k, q in rates.items()} | {"own": (F.col("x"), F.col("q"))}
+    out = R.decayed_sums(df, sums, place="place", stretch=stretch)
+    assert sorted(out.columns) == sorted([*df.columns, *sums])
+    got = {(r.symbol, r.dt): r for r in out.collect()}
+    assert len(got) == len(rows)
+    held: dict = {}
+    for s, i, x, q in rows:
+        for k, rate in (rates | {"own": q}).items():
+            held[s, k] = held.get((s, k), 0.0) * rate + (x or 0.0)
+            assert got[s, i][k] == pytest.approx(held[s, k], rel=1e-9, abs=1e-9)
+
+
+def test_numbered_spreads_a_series(spark):
+    """Places of a series over several ranges, against a plain numbering."""
+    rows = [(i % 2, (i * 37) % 501, i) for i in range(1000)]
+    d = numbered(spark.createDataFrame(rows, "symbol int, dt int, x int"), ["symbol"], ["dt", "x"], ["dt", "x"])
+    want = {x: k for s in range(2) for k, (_, _, x) in enumerate(sorted((r for r in rows if r[0] == s), key=lambda r: r[1:]))}
+    assert {r.x: r.place for r in d.collect()} == want
+    for name in ("rc01_ewm_rates",):  # no window numbers a nation's rows in one task
+        assert "windowspecdefinition(s_nationkey" not in queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
