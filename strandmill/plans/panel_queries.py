@@ -440,7 +440,7 @@ OWN = "(1 - 2 / (20.0::DOUBLE * t.symbol + 7))"
 @query("rc04_ewm_corr_rates", (), "SELECT symbol, dt, CASE WHEN n >= 8 THEN round((p / w - s * u / w / w) / nullif(sqrt(greatest((q / w - s * s / w / w) * (r / w - u * u / w / w), 0)), 0), 6) + 0.0 END AS rho FROM (" + slow_sums("any_value(t.n) AS n, sum(WT) AS w, sum(WT * i.qty) AS s, sum(WT * i.price) AS u, sum(WT * i.qty * i.price) AS p, sum(WT * i.qty * i.qty) AS q, sum(WT * i.price * i.price) AS r", OWN) + ")", SALES)
 def _(spark, d):
     """Correlations with a rate of each series' own, in a column."""
-    s, names = R.ewm_rhos(sales(spark, d), ["qty", "price"], 2 / (20.0 * F.col("symbol") + 7), by=("symbol",))
+    s, names = R.ewm_rhos(sales(spark, d), ["qty", "price"], 2 / (20.0 * F.col("symbol") + 7), by=("symbol",), place="place")
     return rounded(s.select("symbol", "dt", F.when(F.col("_n") >= 8, F.col(names["qty", "price"])).alias("rho")), "symbol", "dt")
 
 

@@ -160,5 +160,5 @@ def test_numbered_spreads_a_series(spark):
     d = numbered(spark.createDataFrame(rows, "symbol int, dt int, x int"), ["symbol"], ["dt", "x"], ["dt", "x"])
     want = {x: k for s in range(2) for k, (_, _, x) in enumerate(sorted((r for r in rows if r[0] == s), key=lambda r: r[1:]))}
     assert {r.x: r.place for r in d.collect()} == want
-    for name in ("rc01_ewm_rates",):  # no window numbers a nation's rows in one task
+    for name in ("rc01_ewm_rates", "rc04_ewm_corr_rates"):  # no window numbers a nation's rows in one task
         assert "windowspecdefinition(s_nationkey" not in queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
