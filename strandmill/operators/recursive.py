@@ -264,7 +264,7 @@ def deadband(df: DataFrame, target: str, out: str, *, share: float = 0.1, least:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, out])
 
     if across is None:
-        return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(fold_one, schema)
+        return (df if together else df.repartition(*keys)).sortWithinPartitions(*keys, order).mapInArrow(fold_one, schema)
     if together:
         return df.sortWithinPartitions(*keys, order, across).mapInArrow(fold, schema)
     lot = F.pmod(F.xxhash64(across), F.lit(lots))

@@ -343,3 +343,13 @@ def test_digest_is_plain_md5_whatever_the_order(spark):
     texts = ["2|b|1500000", "3|~|~", "~|a|-250000"]
     want = sum(int(hashlib.md5(t.encode()).hexdigest()[:12], 16) for t in texts) % A.DIGEST_MOD
     assert [tuple(A.digest(x).first()) for x in (d, d.repartition(3))] == [(3, want)] * 2 and tuple(A.digest(d.limit(0)).first()) == (0, 0)
+
+
+def test_long_panel_is_dealt_by_series(spark):
+    """Long series: no exchange of rows puts a whole variant into one task."""
+    from strandmill.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    got = registry.queries()["sw04_long"](spark, sf)
+    dealt = re.findall(r"RepartitionByExpression \[([^\]]*)\]", got._jdf.queryExecution().optimizedPlan().toString())
+    assert [re.sub(r"#\d+", "", x) for x in dealt] == ["variant, symbol"]
