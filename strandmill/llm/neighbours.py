@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ class CollisionIndex:
     wide as the distance of the k-th best verified, or hold the block. Differences of projections are normal with the
     distance as their deviation, so a vector at most that far is left out with a chance of at most ``missed``, whatever the
     block's size, norms and dimension; where distances hardly differ, most of the block is verified. Queries are searched
-    some at a time, which start at the width that was enough for three quarters of those before.
+    some at a time, which start at the width that was enough for all of those before, and are verified together.
     """
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, *, projections: int, threshold: float, missed: float, grow: float, seed: int = 7) -> None:
@@ -68,20 +69,25 @@ class CollisionIndex:
 
     def search(self, queries: np.ndarray, owns: np.ndarray, k: int, at_once: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query: ids and exact inner products of its k best verified vectors, best first, ties to the smaller id; not its own row, of owns."""
-        for start in range(0, len(queries), at_once):
-            mine = queries[start : start + at_once]
+        cuts = [0, *range(min(2, len(queries)), len(queries), at_once), len(queries)]  # the first few find a width to start at
+        for start, end in itertools.pairwise(dict.fromkeys(cuts)):
+            mine = queries[start:end]
             spots = (mine * (math.sqrt(self.top) / np.linalg.norm(mine, axis=1, keepdims=True))) @ self.lines[:-1]
             # distances are those of the queries as scaled, to vectors of equal norm; rounding is allowed for
             scale = math.sqrt(self.top) / np.linalg.norm(mine, axis=1)
             products = np.full((len(mine), len(self.ids)), -np.inf)  # of verified vectors
-            other = self.rows[None, :] != owns[start : start + at_once, None]
+            other = self.rows[None, :] != owns[start:end, None]
             left, wide, ends = np.arange(len(mine)), np.full(len(mine), self.recent or self.first), []
             while len(left):
                 counts, full = self._collisions(spots[left], wide[left])
                 done = full.copy()
+                # all pairs to verify, by one product over the vectors that any of these queries is to verify
+                new = ((counts >= self.needed) | full[:, None]) & other[left] & np.isneginf(products[left])
+                some = np.flatnonzero(new.any(0))
+                if len(some):
+                    held = self.vectors if len(some) == len(self.ids) else self.vectors[some]
+                    products[np.ix_(left, some)] = np.where(new[:, some], mine[left] @ held.T, products[np.ix_(left, some)])
                 for at, i in enumerate(left):
-                    new = np.flatnonzero(((counts[at] >= self.needed) | full[at]) & other[i] & np.isneginf(products[i]))
-                    products[i, new] = self.vectors[new] @ mine[i]
                     kth = np.partition(products[i], -k)[-k] if k <= len(self.ids) else -np.inf
                     least = self.reach * math.sqrt(max(0.0, 2 * (self.top - kth * scale[i])) + 1e-9 * self.top) if kth > -np.inf else np.inf
                     done[at] |= wide[i] >= least
@@ -90,7 +96,7 @@ class CollisionIndex:
                     else:  # verifying more only brings the k-th best nearer, so a window of that width is enough
                         wide[i] = least if least < np.inf else wide[i] * self.grow
                 left = left[~done]
-            self.recent = sorted(ends)[len(ends) * 3 // 4]
+            self.recent = max(ends)
             for i, found in enumerate(products):
                 query, hit = mine[i], np.flatnonzero(found > -np.inf)
                 rough = found[hit]

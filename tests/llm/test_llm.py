@@ -688,3 +688,20 @@ def test_pipeline_equals_brute_force(spark):
 def test_all_queries_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
+
+
+def test_neighbours_take_few_passes_over_windows(monkeypatch):
+    """Queries start at the width that was enough before, so windows are counted about once a query."""
+    rng = np.random.default_rng(5)
+    rows = rng.standard_normal((4096, 64))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    index = neighbours.CollisionIndex(np.arange(4096), np.arange(4096), rows, projections=96, threshold=0.7, missed=0.01, grow=1.15)
+    counted, plain = [], neighbours.CollisionIndex._collisions
+    monkeypatch.setattr(neighbours.CollisionIndex, "_collisions", lambda self, spots, wide: counted.append(len(spots)) or plain(self, spots, wide))
+    own = np.arange(0, 4096, 8)
+    found = list(index.search(rows[own], own, 20))
+    products = rows[own] @ rows.T
+    products[np.arange(len(own)), own] = -np.inf
+    best = np.argsort(-products, axis=1)[:, :20]
+    assert np.mean([len(set(ids) & set(b)) for (ids, _), b in zip(found, best, strict=True)]) >= 0.98 * 20
+    assert sum(counted) < 2 * len(own)
