@@ -33,7 +33,7 @@ class BytePairEncoder:
     marked so that it is never tried again. A piece thus visits each position and token length a bounded number of times.
     """
 
-    PAIRS = 1 << 18
+    PAIRS = 1 << 17
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
@@ -150,7 +150,7 @@ class TextEncoder:
     whole); the ids of recent cuts are kept in a table of bounded size.
     """
 
-    UNITS = 800_000
+    UNITS = 300_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.bpe, self.pattern, self.units = BytePairEncoder(ranks), regex.compile(pattern), Recent(self.UNITS)

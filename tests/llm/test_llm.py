@@ -705,3 +705,11 @@ def test_neighbours_take_few_passes_over_windows(monkeypatch):
     best = np.argsort(-products, axis=1)[:, :20]
     assert np.mean([len(set(ids) & set(b)) for (ids, _), b in zip(found, best, strict=True)]) >= 0.98 * 20
     assert sum(counted) < 2 * len(own)
+
+
+def test_encoder_caches_stay_small():
+    """Workers of a pipeline keep their encoders: at most 300,000 cuts are held, and 131,072 pairs."""
+    held = tokenize.Recent(tokenize.TextEncoder.UNITS)
+    for k in range(500_000):
+        held.put(k, b"")
+    assert len(held.new) + len(held.old) <= 300_000 and tokenize.BytePairEncoder.PAIRS <= 1 << 17
