@@ -127,6 +127,23 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def spread(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of values that begin at starts, one after another."""
+    ends = np.cumsum(sizes)
+    at = np.repeat(starts - ends + sizes, sizes)
+    at += np.arange(len(at))
+    return values[at]
+
+
+def spread_codes(ids: tuple[np.ndarray, np.ndarray], codes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of runs of codes, and how many each run has; ids: those of all codes, one code's after another's, and how many each has."""
+    values, sizes = ids
+    codes = spread(codes, starts, counts)
+    wide = sizes[codes]
+    before, ends = np.append(0, np.cumsum(wide)), np.cumsum(counts)
+    return spread(values, (np.cumsum(sizes) - sizes)[codes], wide), before[ends] - before[ends - counts]
+
+
 _CHUNK = 1 << 19
 _ROOT = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

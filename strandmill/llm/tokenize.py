@@ -4,23 +4,25 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
-from array import array
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import as_bytes, spread, spread_codes, table
 
-_ROWS = 1000  # rows whose ids are held at a time
+_SPACE, _SOLID = (rf"[{x}\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]" for x in ("", "^"))  # Arrow's \s is of ASCII only
 #: A place where cutting a text before a single blank could change how the pattern below matches.
-_UNSAFE = re.compile(r"\s (?:\s|\Z)")
+_UNSAFE = f"{_SPACE} (?:{_SPACE}|$)"
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class BytePairEncoder:
@@ -31,9 +33,10 @@ class BytePairEncoder:
     taken if it may stand after its predecessor, that is, if merging the two by rank never crosses the border between
     them; this test is memoised by the pair. Where no token fits, the predecessor is taken back, and the position is
     marked so that it is never tried again. A piece thus visits each position and token length a bounded number of times.
+    encode_all() takes these steps for many short pieces at once, as arrays, with a trie in place of the automaton.
     """
 
-    PAIRS = 1 << 17
+    PAIRS, LONG = 1 << 17, 256
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
@@ -56,6 +59,21 @@ class BytePairEncoder:
         for token, k in ranks.items():
             self.find.add_word(token.decode("latin-1"), k)
         self.find.make_automaton()
+        self.size_of, self.shorter_of = np.array([len(x) for x in self.bytes], np.int64), np.array(self.shorter, np.int64)
+        self.halves = np.array(self.parts, np.int64)
+        keys = np.array([a << 32 | b for a, b in self.merged], np.int64)
+        order = np.argsort(keys)
+        self.merge_keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.merge_ids = np.append(np.array(list(self.merged.values()), np.int64)[order], 1 << 62)
+        self.memo = np.full(self.PAIRS, -1, np.int64)  # a pair of tokens and, as its lowest bit, whether they are compatible
+        nodes = dict.fromkeys(token[:n] for token in ranks for n in range(len(token)))
+        self.inner = len(nodes)  # nodes with children come first, the root before all
+        nodes = {x: i for i, x in enumerate(dict.fromkeys([*nodes, *ranks]))}
+        self.step = np.full(self.inner << 8, -1, np.int32)
+        del (below := dict(nodes))[b""]
+        self.step[[nodes[x[:-1]] << 8 | x[-1] for x in below]] = list(below.values())
+        self.token_of = np.full(len(nodes), -1, np.int64)
+        self.token_of[[nodes[x] for x in ranks]] = list(ranks.values())
 
     def _compatible(self, a: int, b: int) -> bool:
         """Undo merges at the border of two tokens, latest first; false if an earlier merge would have joined across it."""
@@ -110,6 +128,85 @@ class BytePairEncoder:
                 raise ValueError("the vocabulary lacks a byte of the text")
         return ids
 
+    def _longest(self, data: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The longest token from each place that ends by its end, -1 for none."""
+        found, who, node = np.full(len(at), -1, np.int64), np.arange(len(at)), np.zeros(len(at), np.int64)
+        while len(who):
+            node = self.step[node << 8 | data[at]].astype(np.int64)
+            token = np.where(node >= 0, self.token_of[node], -1)
+            found[who[token >= 0]] = token[token >= 0]
+            at = at + 1
+            on = np.flatnonzero((node >= 0) & (node < self.inner) & (at < end))
+            who, node, at, end = who[on], node[on], at[on], end[on]
+        return found
+
+    def _compatible_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """_compatible() of each pair."""
+        out, who, bound = np.zeros(len(a), bool), np.arange(len(a)), np.full(len(a), 1 << 62)
+        while len(who):
+            key = a << 32 | b
+            at = np.searchsorted(self.merge_keys, key)
+            crossed = (self.merge_keys[at] == key) & (self.merge_ids[at] < bound)
+            inner, outer = self.halves[a, 1], self.halves[b, 0]
+            first = (a > b) & (inner != a) | (outer == b)
+            done = first & (inner == a)
+            out[who[done & ~crossed]] = True
+            bound, a, b = np.where(first, a, b + 1), np.where(first, inner, a), np.where(first, b, outer)
+            on = np.flatnonzero(~(crossed | done))
+            who, bound, a, b = who[on], bound[on], a[on], b[on]
+        return out
+
+    def _fit_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """compatible() of each pair; a place of the memo has the last pair that fell on it."""
+        key = a << 32 | b
+        place = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % self.PAIRS
+        known = self.memo[place]
+        out = (known & 1).astype(bool)
+        if len(new := np.flatnonzero(known >> 1 != key)):
+            pairs, back = np.unique(key[new], return_inverse=True)
+            out[new] = self._compatible_all(pairs >> 32, pairs & 0xFFFFFFFF)[back]
+            self.memo[place[new]] = key[new] << 1 | out[new]
+        return out
+
+    def encode_all(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, piece k being the bytes from edges[k] to edges[k + 1], and how many each has."""
+        ids, counts = np.zeros(len(data), "<u4"), np.zeros(len(edges) - 1, np.int64)  # a piece's ids begin at its first byte's place
+        sizes = np.diff(edges)
+        for k in np.flatnonzero(sizes > self.LONG).tolist():
+            got = self.encode(data[edges[k] : edges[k + 1]].tobytes())
+            ids[edges[k] : edges[k] + len(got)] = got
+            counts[k] = len(got)
+        open_at = np.ones(len(data) + 1, bool)
+        who = np.flatnonzero((sizes > 0) & (sizes <= self.LONG))
+        at, end, top = edges[who], edges[who + 1], edges[who]  # top: where the piece's next id goes
+        token, last = self._longest(data, at, end), np.full(len(who), -1, np.int64)
+        while len(who):
+            to = at + np.where(token >= 0, self.size_of[token], 0)
+            fits = (token >= 0) & open_at[to]
+            asked = np.flatnonzero(fits & (last >= 0))
+            fits[asked] = self._fit_all(last[asked], token[asked])
+            ids[top[fits]] = token[fits]
+            at, top, last = np.where(fits, to, at), top + fits, np.where(fits, token, last)
+            ended = fits & (at == end)
+            counts[who[ended]] = (top - edges[who])[ended]
+            go = np.flatnonzero(fits & ~ended)
+            no = np.flatnonzero(~fits)
+            token[go] = self._longest(data, at[go], end[go])
+            token[no] = np.where(token[no] >= 0, self.shorter_of[token[no]], -1)
+            if len(back := no[token[no] < 0]):
+                first = edges[who[back]]
+                if (top[back] == first).any():
+                    raise ValueError("the vocabulary lacks a byte of the text")
+                open_at[at[back]] = False
+                top[back] -= 1
+                token[back] = last[back]
+                at[back] -= self.size_of[token[back]]
+                last[back] = np.where(top[back] > first, ids[top[back] - 1].astype(np.int64), -1)
+            if ended.any():
+                on = np.flatnonzero(~ended)
+                who, at, end, top, token, last = (x[on] for x in (who, at, end, top, token, last))
+        return spread(ids, edges[:-1], counts), counts
+
 
 class Recent:
     """Values of recent keys, about ``most`` of them: two dictionaries, of which the older is dropped when the newer is full."""
@@ -144,32 +241,80 @@ class Recent:
 
 
 class TextEncoder:
-    """Ids of whole texts as packed little-endian unsigned 32-bit integers.
+    """Ids of whole texts as little-endian unsigned 32-bit integers.
 
-    Texts are cut before single blanks, which never changes what the pattern matches (texts where it could are matched
-    whole); the ids of recent cuts are kept in a table of bounded size.
+    Texts are cut before single blanks, which never changes what the pattern matches; texts where it could are matched
+    whole, very long ones in parts. Arrow finds the distinct cuts of a few MB of texts, the pattern their pieces; each distinct
+    piece is encoded once. Pieces of recent cuts that the pattern takes one by one are kept in a table of bounded size.
     """
 
-    UNITS = 300_000
+    UNITS, AT_ONCE = 300_000, 4 << 20
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.bpe, self.pattern, self.units = BytePairEncoder(ranks), regex.compile(pattern), Recent(self.UNITS)
-
-    def _pieces(self, text: str) -> bytes:
-        out: list[int] = []
-        for piece in self.pattern.findall(text):
-            out += self.bpe.encode(piece.encode())
-        return array("I", out).tobytes()
+        self.tokens = pa.array(self.bpe.bytes, pa.large_binary())
+
+    def _pieces(self, units: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Pieces of all units, where each unit's begin, and how many it has. Units that begin with a blank and don't end with one are matched as one string."""
+        plain = pc.match_substring_regex(units, f"(?s)^ .*{_SOLID}$")
+        joined = units.filter(plain)
+        pieces = self.pattern.findall(as_bytes(joined)[0].tobytes().decode())
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        wanted = np.cumsum(pc.utf8_length(joined).to_numpy())
+        spot = ends.searchsorted(wanted)
+        plain = plain.to_numpy(zero_copy_only=False)
+        if len(wanted) and (len(ends) == 0 or ends[-1] != wanted[-1] or (ends[spot] != wanted).any()):  # a pattern that crosses cuts or leaves out characters
+            plain, pieces, spot = np.zeros(len(units), bool), [], spot[:0]
+        other = self.units.fill(units.filter(pa.array(~plain)).to_pylist(), lambda new: map(self.pattern.findall, new))
+        counts, starts = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        counts[plain], counts[~plain] = np.diff(spot, prepend=-1), [len(x) for x in other]
+        order = np.argsort(~plain, kind="stable")
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return pieces + [x for got in other for x in got], starts, counts
+
+    def _group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.or_(pc.match_substring_regex(texts, _UNSAFE), pc.match_substring(texts, "\0"))
+        cuts, whole = pc.split_pattern(pc.replace_substring(texts.filter(pc.invert(odd)), " ", "\0 "), "\0"), texts.filter(odd)
+        flat, odd = cuts.flatten(), odd.to_numpy(zero_copy_only=False)
+        counts, starts = np.ones(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        edges = cuts.offsets.to_numpy()
+        counts[~odd], starts[~odd], starts[odd] = np.diff(edges), edges[:-1], len(flat) + np.arange(len(whole))
+        units = pa.concat_arrays([flat, whole]).dictionary_encode()
+        pieces, first, n = self._pieces(units.dictionary)
+        known = pa.array(pieces, pa.large_string()).dictionary_encode()
+        of_piece = self.bpe.encode_all(*as_bytes(known.dictionary))
+        of_unit = spread_codes(of_piece, known.indices.to_numpy(), first, n)
+        return spread_codes(of_unit, units.indices.to_numpy(), starts, counts)
+
+    def encode_all(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of some texts (large strings without nulls) one after another, and how many each has, until all texts are done."""
+        sizes = pc.binary_length(texts).to_numpy()
+        ends = np.cumsum(sizes)
+        a = 0
+        while a < len(texts):
+            z = max(a + 1, int(ends.searchsorted(ends[a] - sizes[a] + self.AT_ONCE, "right")))
+            if sizes[a] <= self.AT_ONCE:
+                ids, counts = self._group(texts.slice(a, z - a))
+            else:
+                ids = np.concatenate([self._group(pa.array([x], pa.large_string()))[0] for x in self._parts(texts[a].as_py())])
+                counts = np.array([len(ids)])
+            yield ids, counts
+            a = z
+
+    def _parts(self, text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > self.AT_ONCE and (cut := _CUT.search(text, at + self.AT_ONCE // 2)):
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:]
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if "\0" in text or _UNSAFE.search(text):
-            return self._pieces(text)
-        return b"".join(self.units.fill(text.replace(" ", "\0 ").split("\0"), lambda new: map(self._pieces, new)))
+        return b"".join(ids.tobytes() for ids, _ in self.encode_all(pa.array([text], pa.large_string())))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bpe.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of all ids, one after another."""
+        data = self.tokens.take(pa.array(ids)).buffers()[2]
+        return np.frombuffer(data or b"", np.uint8)
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -184,8 +329,8 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, *, ids: bool =
 
     vocabulary is a file of base64 tokens and ranks, read by the driver and broadcast (its size is that of the
     vocabulary, about 1 MB). A null text counts as empty and gives no tokens; rows that repeat are encoded each. The
-    ids are decoded again, and decoded_sha256 is over those bytes. Very long texts are encoded whole, in time linear in their
-    length. Other columns are not read; an empty table gives no rows.
+    ids are decoded again, and decoded_sha256 is over those bytes. Very long texts are encoded whole, part by part, in time linear
+    in their length. Other columns are not read; an empty table gives no rows.
     """
     with open(vocabulary, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -196,17 +341,19 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, *, ids: bool =
             _ENCODERS.clear()
             _ENCODERS[key] = TextEncoder(read_ranks(shared.value), pattern)
         encoder = _ENCODERS[key]
-        for b in (whole.slice(a, _ROWS) for whole in batches for a in range(0, whole.num_rows, _ROWS)):
-            n, sums, backs, packed = [], [], [], []
-            for x in b.column(1):
-                got = encoder.encode(x.as_py() or "")
-                n.append(len(got) // 4)
-                sums.append(hashlib.sha256(got).hexdigest())
-                backs.append(hashlib.sha256(encoder.decode(got)).hexdigest())
+        for b in batches:
+            at = 0
+            for got, n in encoder.encode_all(pc.fill_null(b.column(1).cast(pa.large_string()), "")):
+                back, ends = encoder.decode(got), np.cumsum(n)
+                bytes_at = np.append(0, np.cumsum(encoder.bpe.size_of[got]))[np.append(0, ends)]
+                spans = list(zip((ends - n).tolist(), ends.tolist(), strict=True))
+                sums = [hashlib.sha256(got[a:z]).hexdigest() for a, z in spans]
+                backs = [hashlib.sha256(back[a:z]).hexdigest() for a, z in itertools.pairwise(bytes_at.tolist())]
+                out = [b.column(0).slice(at, len(n)), pa.array(n, pa.int64()), pa.array(sums, pa.string()), pa.array(backs, pa.string())]
                 if ids:
-                    packed.append(got)
-            out = [b.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.string()), pa.array(backs, pa.string())]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(packed, pa.binary())] * ids, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids)
+                    out.append(pa.array([got[a:z].tobytes() for a, z in spans], pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids)
+                at += len(n)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids)
 

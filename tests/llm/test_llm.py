@@ -713,3 +713,27 @@ def test_encoder_caches_stay_small():
     for k in range(500_000):
         held.put(k, b"")
     assert len(held.new) + len(held.old) <= 300_000 and tokenize.BytePairEncoder.PAIRS <= 1 << 17
+
+
+def test_each_distinct_piece_is_encoded_once(monkeypatch):
+    """Words before stops and line ends are pieces of their own; those of a few MB of texts are encoded once, all together."""
+    import pyarrow as pa
+
+    ranks = tokenize.read_ranks(open(P.path("byte_bpe_50k.tiktoken"), "rb").read())
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    e, rng = tokenize.TextEncoder(ranks, P.PATTERN), np.random.default_rng(5)
+    words = ["".join(rng.choice(["an", "ther", "\u00e9", "ou", "Tion", "wh"], rng.integers(3, 7))) for _ in range(2000)]
+    texts = ["".join(rng.choice(words) + str(rng.choice([" ", ", ", ".\n", "\n", "!! ", "  "])) for _ in range(300)) for _ in range(40)]
+    texts += ["x" * 700 + "yz" * 300, "a \0 b\0 ", "", " ", " lead", "\u3000 wide  "]
+    together, alone, plain = [], [], tokenize.BytePairEncoder.encode_all
+    monkeypatch.setattr(tokenize.BytePairEncoder, "encode", lambda self, piece, f=tokenize.BytePairEncoder.encode: alone.append(piece) or f(self, piece))
+    monkeypatch.setattr(tokenize.BytePairEncoder, "encode_all", lambda self, data, edges: together.append(len(edges) - 1) or plain(self, data, edges))
+    for at_once in (1 << 30, 500):  # at 500 bytes, texts are also cut into parts
+        e.AT_ONCE = at_once
+        got = list(e.encode_all(pa.array(texts, pa.large_string())))
+        if at_once == 1 << 30:
+            assert together == [len({x for t in texts for x in e.pattern.findall(t)})] and set(map(len, alone)) == {1300}
+        ids, sizes = (np.concatenate(x) for x in zip(*got, strict=True))
+        for text, a, z in zip(texts, np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
+            assert ids[a:z].tolist() == library.encode_ordinary(text), text
+        assert b"".join(e.decode(x).tobytes() for x, _ in got) == "".join(texts).encode()
