@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, save, table
+from .common import as_bytes, save, spread, spread_codes, table
 
 _HEAD = struct.Struct("<4sIQB")
 _MAGIC = b"DAC1"
@@ -109,7 +109,7 @@ class DirectCodes:
 
 
 class UnitTable:
-    """Ids of units seen, in one growing array, each unit with a slot; emptied between batches once it holds ``most`` units, which bounds memory."""
+    """Ids of keys seen, in one growing array, each with a slot; emptied between batches once it holds ``most`` units, which bounds memory."""
 
     def __init__(self, most: int) -> None:
         self.most = most
@@ -135,24 +135,27 @@ class UnitTable:
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all slots one after another, and how many each has."""
         sizes = self.sizes[slots]
-        ends = np.cumsum(sizes)
-        at = np.repeat(self.starts[slots] - ends + sizes, sizes)
-        at += np.arange(len(at))
-        return self.ids[at], sizes
+        return spread(self.ids, self.starts[slots], sizes), sizes
+
+
+def _strings(column: pa.Array) -> list[str]:
+    """to_pylist() of strings, without an object of Arrow's for each."""
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 class LibraryEncoder:
-    """The tokenizers library over whole texts, with the ids of units seen kept.
+    """The tokenizers library over whole texts, with the ids of parts seen kept.
 
     A unit is what lies between single blanks, with the blank before it; the byte-level pre-tokenizer never joins units,
     except around runs of white space, and such texts go to the library as they are. So do texts with an added token's
-    string, which the library maps to that token. Texts are split and their distinct units found by Arrow, a few MB at a
-    time; units without a slot go to the library in long runs, whose ids are cut by the byte lengths of the tokens.
+    string, which the library maps to that token. Arrow finds the distinct units of a few MB of texts and cuts them into
+    parts where a piece always ends: after a letter before a mark, and around a single line end. Parts without a slot go to
+    the library in long runs, whose ids are cut by the byte lengths of the tokens.
     """
 
-    UNITS, AT_ONCE, RUN = 1_300_000, 16 << 20, 2000
-    TAILED = re.compile(r"^[^ ].*[A-Za-z][,.]\Z|^[A-Za-z][,.]\Z", re.S)
-    _SPACES = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+    UNITS, AT_ONCE, RUN = 800_000, 8 << 20, 200
+    _SPACES, _SOLID = (rf"[{x}\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]" for x in ("", "^"))
+    _LETTER, _MARK = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17f}]", r"[!-/:-@\[-`{-~]"
     _CUT = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, vocabulary: str) -> None:
@@ -162,64 +165,62 @@ class LibraryEncoder:
         self.library, self.units = Tokenizer.from_str(vocabulary), UnitTable(self.UNITS)
         added = self.library.get_added_tokens_decoder().values()
         self.added = [x.content for x in added if x.content]
-        self.cuts = not any(x.lstrip or x.rstrip or " " in x.content for x in added)
+        self.cuts = not any(x.lstrip or x.rstrip or re.search(r"\s", x.content) for x in added)
         tokens = self.library.get_vocab(with_added_tokens=False)
-        self.marks = {x: int(self._fresh([x])[0][0]) for x in ",."}
-        self.width = np.zeros(max(tokens.values(), default=0) + 1, np.int64)  # a byte-level token has a character for each byte
+        self.width = np.zeros(max([*tokens.values(), *self.library.get_added_tokens_decoder()], default=0) + 1, np.int64)  # a byte-level token has a character for each byte
         self.width[list(tokens.values())] = [len(x) for x in tokens]
 
     def _fresh(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[str]) -> None:
-        """Slots for units that the table lacks. A unit's key lacks the blank before it; that of a text's first unit, which has none, begins with one."""
-        joined, alone, tailed = [], [], []
-        for x in units:
-            if self.TAILED.search(x):
-                tailed.append(x)
-            else:
-                (joined if x and x[0] != " " and not x[-1].isspace() else alone).append(x)
-        # a mark after a letter is a piece of its own, so a word's ids serve for the word with its mark
-        joined += dict.fromkeys(x[:-1] for x in tailed if x[:-1] not in self.units.slots).keys() - set(joined)
-        runs = [joined[k : k + self.RUN] for k in range(0, len(joined), self.RUN)]
-        for run, ids in zip(runs, self._fresh([" " + " ".join(run) for run in runs]), strict=True):
-            ends = np.cumsum([len(x.encode()) + 1 for x in run])
-            at = np.cumsum(self.width[ids])
-            spot = at.searchsorted(ends)
-            if len(at) and at[-1] == ends[-1] and (at[spot] == ends).all():
-                self.units.add(run, ids, np.diff(spot + 1, prepend=0))
-            else:
-                alone += run
+    def _learn(self, parts: pa.Array) -> None:
+        """Slots for parts that the table lacks. Those that begin with a blank follow each other in a run; after others stands a line end, whose id is left out."""
+        led = pc.match_substring_regex(parts, f"(?s)^ .*{self._SOLID}$")
+        bare = pc.match_substring_regex(parts, f"(?s)^{self._SOLID}(?:.*{self._SOLID})?$")
+        alone = [] if self.cuts else _strings(parts)
+        for some, gap in ((led, 0), (bare, 1)) if self.cuts else ():
+            found = parts.filter(some)
+            names, (data, edges) = _strings(found), as_bytes(pc.binary_join_element_wise(found, *pa.array(["", "\n"], pa.large_string())) if gap else found)
+            spots = [*range(0, len(names), self.RUN), len(names)]
+            texts = [data[edges[a] : edges[z]].tobytes().decode() for a, z in itertools.pairwise(spots)]
+            for (a, z), ids in zip(itertools.pairwise(spots), self._fresh(texts), strict=True):
+                ends = edges[a + 1 : z + 1] - edges[a]
+                at = np.cumsum(self.width[ids])
+                last = at.searchsorted(ends - gap)  # a part's last token
+                if len(at) and at[-1] == ends[-1] and (at[last] == ends - gap).all() and (not gap or (at[last + 1] == ends).all()):
+                    self.units.add(names[a:z], np.delete(ids, last + 1) if gap else ids, np.diff(last, prepend=-1 - gap) - gap)
+                else:
+                    alone += names[a:z]
+        if self.cuts:
+            alone += _strings(parts.filter(pc.invert(pc.or_(led, bare))))
         if alone:
-            ids = self._fresh([x[1:] if x[:1] == " " else " " + x for x in alone])
+            ids = self._fresh(alone)
             self.units.add(alone, np.concatenate(ids), np.array([len(x) for x in ids], np.int64))
-        if tailed:
-            ids, sizes = self.units.gather(np.array([self.units.slots[x[:-1]] for x in tailed], np.int64))
-            self.units.add(tailed, np.insert(ids, np.cumsum(sizes), [self.marks[x[-1]] for x in tailed]), sizes + 1)
-
-    def _slots(self, units: list[str]) -> np.ndarray:
-        slots = self.units.slots
-        found = list(map(slots.get, units))
-        if missing := [k for k, slot in enumerate(found) if slot is None]:
-            self._learn(list(dict.fromkeys([units[k] for k in missing])))
+
+    def _slots(self, parts: pa.Array) -> np.ndarray:
+        slots, names = self.units.slots, _strings(parts)
+        found = list(map(slots.get, names))
+        if None in found:
+            missing = [k for k, slot in enumerate(found) if slot is None]
+            self._learn(parts.take(pa.array(missing)))
             for k in missing:
-                found[k] = slots[units[k]]
+                found[k] = slots[names[k]]
         return np.array(found, np.int64)
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain texts, one after another, and how many each has."""
-        parts = pc.split_pattern(texts, " ")
-        edges, flat = parts.offsets.to_numpy(), parts.flatten()
-        coded = pc.dictionary_encode(flat)
-        units = coded.dictionary.to_pylist()
-        first = (edges - edges[0])[:-1]
-        heads = [" " + x for x in flat.take(pa.array(first)).to_pylist()]
+        cuts = pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
+        units = cuts.flatten().dictionary_encode()
+        marked = pc.replace_substring_regex(units.dictionary, f"({self._LETTER})({self._MARK})", "\\1\0\\2")
+        marked = pc.replace_substring_regex(marked, r"([!-~\x{c0}-\x{17f}])\n([!-~\x{c0}-\x{17f}])", "\\1\0\n\0\\2")
+        pieces = pc.split_pattern(marked, "\0")
+        parts = pieces.flatten().dictionary_encode()
         if len(self.units.slots) > self.units.most:
             self.units.clear()
-        slots = self._slots(units)[coded.indices.to_numpy()]
-        slots[first] = self._slots(heads)
-        ids, sizes = self.units.gather(slots)
-        return ids, np.add.reduceat(sizes, first)
+        of_part = self.units.gather(self._slots(parts.dictionary))
+        edges, ends = pieces.offsets.to_numpy(), cuts.offsets.to_numpy()
+        of_unit = spread_codes(of_part, parts.indices.to_numpy(), edges[:-1], np.diff(edges))
+        return spread_codes(of_unit, units.indices.to_numpy(), ends[:-1], np.diff(ends))
 
     def _whole(self, text: str) -> np.ndarray:
         """Ids of a text that may not be split at each blank; a very long one is cut where a blank stands between other characters."""
@@ -232,7 +233,7 @@ class LibraryEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (large strings without nulls) one after another, and how many each has."""
         odd = pc.match_substring_regex(texts, f"{self._SPACES} (?:{self._SPACES}|$)")
-        for x in self.added:
+        for x in ["\0", *self.added]:
             odd = pc.or_(odd, pc.match_substring(texts, x))
         odd = odd.to_numpy(zero_copy_only=False)
         data, offsets = as_bytes(texts)

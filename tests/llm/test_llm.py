@@ -235,6 +235,26 @@ def test_library_encoder_on_hard_texts():
             assert ids[a:z].tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_library_encoder_sends_each_part_once(monkeypatch):
+    """A word is the same part before any mark or line end, so what goes to the library grows with words, not with what they meet."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    vocabulary = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    t, e, rng = Tokenizer.from_str(vocabulary), token_files.LibraryEncoder(vocabulary), np.random.default_rng(5)
+    words = ["".join(rng.choice(["an", "ther", "\u00e9", "ou", "Tion", "wh"], rng.integers(3, 7))) for _ in range(300)]
+    ends = [" ", ", ", ".\n", "\n", "!! ", "'s ", "*** ", ".) "]
+    made = lambda words, ends: ["".join(rng.choice(words) + rng.choice(ends) for _ in range(400)) for _ in range(50)]
+    sent, fresh, texts = [], e._fresh, made(words, ends)
+    monkeypatch.setattr(e, "_fresh", lambda x: sent.extend(x) or fresh(x))
+    e.encode(pa.array(texts, pa.large_string()))
+    assert sum(map(len, sent)) < 4 * sum(map(len, words))
+    texts += made([*words, "\u4e2d", "s", "ll", "7"], [*ends, "'", ".", "1 ", "\n\n", "\u00a0", "  "]) + ["", " ", "\n", "a\0 b.\0c"]
+    ids, sizes = e.encode(pa.array(texts, pa.large_string()))
+    for text, a, z in zip(texts, np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
+        assert ids[a:z].tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_files_map_added_tokens(spark):
     from tokenizers import Tokenizer
 
