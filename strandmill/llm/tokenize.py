@@ -69,9 +69,9 @@ class BytePairEncoder:
         nodes = dict.fromkeys(token[:n] for token in ranks for n in range(len(token)))
         self.inner = len(nodes)  # nodes with children come first, the root before all
         nodes = {x: i for i, x in enumerate(dict.fromkeys([*nodes, *ranks]))}
-        self.step = np.full(self.inner << 8, -1, np.int32)
-        del (below := dict(nodes))[b""]
-        self.step[[nodes[x[:-1]] << 8 | x[-1] for x in below]] = list(below.values())
+        steps = np.array([nodes[x[:-1]] << 8 | x[-1] for x in nodes if x], np.int64)
+        order = np.argsort(steps)
+        self.steps, self.step_to = np.append(steps[order], np.iinfo(np.int64).max), np.append(order + 1, -1)  # the root is node 0
         self.token_of = np.full(len(nodes), -1, np.int64)
         self.token_of[[nodes[x] for x in ranks]] = list(ranks.values())
 
@@ -132,7 +132,9 @@ class BytePairEncoder:
         """The longest token from each place that ends by its end, -1 for none."""
         found, who, node = np.full(len(at), -1, np.int64), np.arange(len(at)), np.zeros(len(at), np.int64)
         while len(who):
-            node = self.step[node << 8 | data[at]].astype(np.int64)
+            step = node << 8 | data[at]
+            spot = np.searchsorted(self.steps, step)
+            node = np.where(self.steps[spot] == step, self.step_to[spot], -1)
             token = np.where(node >= 0, self.token_of[node], -1)
             found[who[token >= 0]] = token[token >= 0]
             at = at + 1
@@ -244,11 +246,11 @@ class TextEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
     Texts are cut before single blanks, which never changes what the pattern matches; texts where it could are matched
-    whole, very long ones in parts. Arrow finds the distinct cuts of a few MB of texts, the pattern their pieces; each distinct
+    whole, very long ones in parts. Arrow finds the distinct cuts of a MB of texts, the pattern their pieces; each distinct
     piece is encoded once. Pieces of recent cuts that the pattern takes one by one are kept in a table of bounded size.
     """
 
-    UNITS, AT_ONCE = 300_000, 4 << 20
+    UNITS, AT_ONCE = 300_000, 1 << 20
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.bpe, self.pattern, self.units = BytePairEncoder(ranks), regex.compile(pattern), Recent(self.UNITS)
@@ -273,6 +275,7 @@ class TextEncoder:
         return pieces + [x for got in other for x in got], starts, counts
 
     def _group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.or_(pc.match_substring_regex(texts, _UNSAFE), pc.match_substring(texts, "\0"))
         cuts, whole = pc.split_pattern(pc.replace_substring(texts.filter(pc.invert(odd)), " ", "\0 "), "\0"), texts.filter(odd)
         flat, odd = cuts.flatten(), odd.to_numpy(zero_copy_only=False)
@@ -287,8 +290,8 @@ class TextEncoder:
         return spread_codes(of_unit, units.indices.to_numpy(), starts, counts)
 
     def encode_all(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of some texts (large strings without nulls) one after another, and how many each has, until all texts are done."""
-        sizes = pc.binary_length(texts).to_numpy()
+        """Ids of some texts (null counts as empty) one after another, and how many each has, until all texts are done."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
         ends = np.cumsum(sizes)
         a = 0
         while a < len(texts):
@@ -343,7 +346,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, *, ids: bool =
         encoder = _ENCODERS[key]
         for b in batches:
             at = 0
-            for got, n in encoder.encode_all(pc.fill_null(b.column(1).cast(pa.large_string()), "")):
+            for got, n in encoder.encode_all(b.column(1)):
                 back, ends = encoder.decode(got), np.cumsum(n)
                 bytes_at = np.append(0, np.cumsum(encoder.bpe.size_of[got]))[np.append(0, ends)]
                 spans = list(zip((ends - n).tolist(), ends.tolist(), strict=True))
