@@ -19,17 +19,26 @@ def series() -> W:
     return W.partitionBy("variant", "symbol").orderBy("dt")
 
 
+def is_active(forecast: Column) -> Column:
+    return forecast.isNotNull() & F.col("vol").isNotNull() & F.col("fx").isNotNull() & (forecast != 0)
+
+
+def target_size(forecast: Column, n: Column, *, capital: float = CAPITAL, root_year: float = 16.0, least_vol: float = 1.0) -> Column:
+    """The target of a row of n active ones at its date; null where it isn't active, or its volatility in money is below least_vol. Needs vol, fx, pointsize."""
+    money = F.col("vol") * F.col("pointsize") * F.col("fx")
+    size = forecast / 10 * capital * VOL_TARGET * interpolate(n, MULTIPLIERS) / n / (money * root_year)
+    return F.when(is_active(forecast) & (money >= least_vol), size)
+
+
 def target_position(df: DataFrame, *, capital: float = CAPITAL, root_year: float = 16.0, least_vol: float = 1.0) -> DataFrame:
     """Adds target: forecast / 10 of the capital's risk, by weight and multiplier of the date's active symbols, over a
     contract's risk. Where volatility in money is below least_vol, the last target holds.
 
     Needs variant, symbol, dt, forecast, vol, fx, pointsize.
     """
-    active = F.col("forecast").isNotNull() & F.col("vol").isNotNull() & F.col("fx").isNotNull() & (F.col("forecast") != 0)
+    active = is_active(F.col("forecast"))
     n = F.sum(active.cast("int")).over(W.partitionBy("variant", "dt"))
-    money = F.col("vol") * F.col("pointsize") * F.col("fx")
-    size = F.col("forecast") / 10 * capital * VOL_TARGET * interpolate(n, MULTIPLIERS) / n / (money * root_year)
-    d = df.withColumn("target", F.when(active & (money >= least_vol), size))
+    d = df.withColumn("target", target_size(F.col("forecast"), n, capital=capital, root_year=root_year, least_vol=least_vol))
     return d.withColumn("target", F.last("target", ignorenulls=True).over(series().rowsBetween(W.unboundedPreceding, 0)))
 
 
@@ -43,12 +52,17 @@ def daily_pnl(df: DataFrame, cost_mult: float | Column = 1.0) -> DataFrame:
     """
     at = series()
     d = df.withColumn("prior", F.coalesce(F.lag("position").over(at), F.lit(0.0))).withColumn("prior_close", F.lag("close").over(at))
+    return booked(d, cost_mult)
+
+
+def booked(df: DataFrame, cost_mult: float | Column = 1.0) -> DataFrame:
+    """daily_pnl() of rows that have the position and close before, as prior and prior_close."""
     point = F.col("pointsize") * F.col("fx")
     trade = F.col("position") - F.col("prior")
     cost = F.abs(trade) * F.col("cost_rt") / 2 * cost_mult * F.col("fx")
     move = F.col("prior") * F.coalesce(F.col("open") - F.col("prior_close"), F.lit(0.0)) + F.col("position") * (F.col("close") - F.col("open"))
     whole = F.col("open").isNotNull() & F.col("close").isNotNull()
-    return d.withColumn("trade", trade).withColumn("commission", F.when(whole, cost).otherwise(0.0)).withColumn("pnl", F.when(whole, move * point - cost).otherwise(0.0)).drop("prior", "prior_close")
+    return df.withColumn("trade", trade).withColumn("commission", F.when(whole, cost).otherwise(0.0)).withColumn("pnl", F.when(whole, move * point - cost).otherwise(0.0)).drop("prior", "prior_close")
 
 
 def portfolio_daily(df: DataFrame, rates: DataFrame | None = None, capital: float = CAPITAL) -> DataFrame:

@@ -216,16 +216,16 @@ def _changes(columns: list[pa.Array]) -> np.ndarray:
     return new
 
 
-def deadband(df: DataFrame, target: str, out: str, *, share: float = 0.1, least: float = 0.5, by: tuple[str, ...] = ("symbol",), order: str = "dt", across: str | None = None, lots: int = 4, together: bool = False) -> DataFrame:
+def deadband(df: DataFrame, target: str, out: str, *, share: float = 0.1, least: float = 0.5, by: tuple[str, ...] = ("symbol",), order: str = "dt", across: str | None = None, lots: int = 4, together: bool = False, prior: str | None = None) -> DataFrame:
     """A position that moves to the rounded target only when it is further away than share of it, or least; null holds.
 
     An ordered fold; halves round away from zero. A series' rows come in order as a stream, of which only the current
     positions are held. ``across`` names one of ``by`` that has many values, such as a variant, each at most once at a
     step of the order: all of them move at once as one array, in ``lots`` parts by hash. With ``together``, all rows of the
-    other keys are in one partition already, and stay there.
+    other keys are in one partition already, and stay there. ``prior``, without across, names a column for the position before.
     """
     keys = [c for c in by if c != across]
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+    schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.DoubleType()) for c in (out, prior) if c)])
 
     def moved(now, x):
         with np.errstate(invalid="ignore"):
@@ -254,14 +254,16 @@ def deadband(df: DataFrame, target: str, out: str, *, share: float = 0.1, least:
     def fold_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, series = 0.0, None
         for b in batches:
-            starts, got = _changes([b.column(k) for k in keys]).tolist(), []
+            starts, got, before = _changes([b.column(k) for k in keys]).tolist(), [], []
             for i, x in enumerate(pc.cast(b.column(target), pa.float64()).to_pylist()):
                 if starts[i] and (head := tuple(b.column(k)[i].as_py() for k in keys)) != series:
                     series, now = head, 0.0
+                before.append(now)
                 if x is not None and abs(x - now) > max(share * abs(x), least):
                     now = math.copysign(math.floor(abs(x) + 0.5), x)
                 got.append(now)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, out])
+            made = {out: got, prior: before} if prior else {out: got}
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.float64()) for x in made.values())], names=[*b.schema.names, *made])
 
     if across is None:
         return (df if together else df.repartition(*keys)).sortWithinPartitions(*keys, order).mapInArrow(fold_one, schema)

@@ -148,8 +148,8 @@ def features(wanted: dict[str, list]) -> list[str]:
     return ["carry", *(f"{f}_{s}" for f, s in wanted["speeds"]), *(f"xs{k}" for k in wanted["xs_lookback"]), *(f"skew{k}" for k in wanted["skew_window"]), *(f"vov{w}_{k}" for w, k in wanted["vov"]), *(f"conv{k}:{s}" for s, k in wanted["ramps"])]
 
 
-def library(bars: DataFrame, chain: DataFrame | None, wanted: dict[str, list], names: list[str] | None = None) -> DataFrame:
-    """BASE and a column for each feature of names (default: all that wanted has), each made once.
+def library(bars: DataFrame, chain: DataFrame | None, wanted: dict[str, list], names: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """BASE, keep and a column for each feature of names (default: all that wanted has), each made once.
 
     One exchange by date for the cross-sectional scores, one by symbol for all else; the chain of contracts is joined,
     or bars have its c1, c2 and years12.
@@ -173,18 +173,39 @@ def library(bars: DataFrame, chain: DataFrame | None, wanted: dict[str, list], n
     d = d.withColumns({f"_s{i}": total(own) for i, (own, _) in enumerate(ramps.values())} or {"carry": F.col("carry")})
     found = {n: F.coalesce(B.conviction(f"_s{i}", k, k // 2), F.lit(1.0)) for i, (n, (_, k)) in enumerate(ramps.items())}
     found |= {n: F.coalesce(B.to_forecast(made.get(n, n), N, LEAST), F.lit(0.0)) for n in names if n not in ramps}
-    d = d.select(*KEYS, F.coalesce(O.shift("close", 1), F.col("close")).alias("open"), "close", "vol", O.roll_mean("vol", 52, 20).alias("usual"), (1 - ratio(O.shift("close", 1), O.shift("close", 9))).alias("loss"), *(found[n].alias(n) for n in names))
+    d = d.select(*KEYS, *keep, F.coalesce(O.shift("close", 1), F.col("close")).alias("open"), "close", "vol", usual().alias("usual"), loss().alias("loss"), *(found[n].alias(n) for n in names))
     return d
 
 
-def scores(forecasts: DataFrame, variants: DataFrame, lags: Iterable[int] = (0,), keep: tuple[str, ...] = (), together: bool = True) -> DataFrame:
-    """(variant, symbol, dt, score, open, close, vol, cost_mult, *keep), all rows of a variant together, or else of a series: the composite of each variant.
+def usual(by: str | tuple = "symbol") -> Column:
+    return O.roll_mean("vol", 52, 20, by=by)
+
+
+def loss(by: str | tuple = "symbol") -> Column:
+    return 1 - ratio(O.shift("close", 1, by=by), O.shift("close", 9, by=by))
+
+
+def smoothing() -> Column:
+    """The rate of a variant's smoothing; 1 for none."""
+    return F.when(F.col("halflife") > 0, 1 - F.pow(F.lit(2.0), -1 / F.col("halflife"))).when(F.col("smooth_span") > 1, 2 / (F.col("smooth_span") + 1.0)).otherwise(1.0)
+
+
+def gates(of: Callable[[str], Column] = F.col) -> Column:
+    """Both overlays of a row with vol, usual and loss; of(name) is a parameter."""
+    gate = lambda least, x: 1 - (1 - of(least)) * F.coalesce(sigmoid(of("steepness") * x), F.lit(0.0))
+    return gate("vol_dampen", ratio(F.col("vol"), F.col("usual")) - of("vol_trigger")) * gate("dd_scale", F.col("loss") + of("dd_threshold"))
+
+
+def mixed() -> Column:
+    """The weighted parts of a row."""
+    return cap(reduce(lambda a, b: a + b, (F.col(p) * F.col(f"w_{p}") for p in PARTS)))
+
+
+def parts(forecasts: DataFrame, variants: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each of forecasts and variant, with its parts and its pool of correlations.
 
     The registry is broadcast, as it is a table of parameters. Where a variant finds its features in a row is looked up
-    once a variant. Forecasts are dealt by date before variants multiply them, so the correlations' pool, a row for each
-    variant and date, needs no further exchange; it is written; after it, one exchange by variant serves all steps. A
-    dropped symbol has no rows; cross-sectional features keep the whole universe. ``together`` is for many variants of
-    short series: a variant is then sorted and spilled by one task, once a step.
+    once a variant. A dropped symbol has no rows.
     """
     names = [c for c in forecasts.columns if c not in (*BASE, *keep)]
     places = F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i)))
@@ -192,30 +213,42 @@ def scores(forecasts: DataFrame, variants: DataFrame, lags: Iterable[int] = (0,)
     named = {"i_xs": F.concat(F.lit("xs"), F.col("xs_lookback")), "i_carry": F.lit("carry"), "i_skew": F.concat(F.lit("skew"), F.col("skew_window")), "i_vov": F.concat_ws("_", F.concat(F.lit("vov"), F.col("vov_window")), "vov_direction"), "i_conv": F.concat(F.lit("conv"), F.col("conviction"), F.lit(":"), F.array_join("speeds", "+"))}
     variants = variants.withColumns({k: at(n) for k, n in named.items()} | {"i_speeds": F.transform("speeds", at)})
     f = lambda i: F.coalesce(F.get("f", i), F.lit(0.0))
-    mixed = reduce(lambda a, b: a + b, (F.col(p) * F.col(f"w_{p}") for p in PARTS))
-    gate = lambda least, x: 1 - (1 - F.col(least)) * F.coalesce(sigmoid(F.col("steepness") * x), F.lit(0.0))
-    gates = gate("vol_dampen", ratio(F.col("vol"), F.col("usual")) - F.col("vol_trigger")) * gate("dd_scale", F.col("loss") + F.col("dd_threshold"))
-    rate = F.when(F.col("halflife") > 0, 1 - F.pow(F.lit(2.0), -1 / F.col("halflife"))).when(F.col("smooth_span") > 1, 2 / (F.col("smooth_span") + 1.0)).otherwise(1.0)
     ts = F.aggregate("i_speeds", F.lit(0.0), lambda a, i: a + f(i)) / F.size("i_speeds") * F.col("trend_fdm")
     ts = ts * F.when(F.col("conviction") > 0, F.coalesce(F.get("f", F.col("i_conv")), F.lit(1.0))).otherwise(1.0)
-    by = ("variant", "pool")
-
-    def parts(rows: DataFrame) -> DataFrame:
-        """A row for each of rows and variant, with its parts."""
-        d = rows.select(*BASE, *keep, F.array(*(F.col(f"`{n}`") for n in names)).alias("f")).crossJoin(F.broadcast(variants)).where("symbol <> dropped")
-        d = d.withColumns({"trend": cap(F.col("w_ts") * ts + F.col("w_xs") * f(F.col("i_xs"))), **{p: f(F.col(f"i_{p}")) for p in PARTS[1:]}})
-        return d.withColumn("pool", F.when(F.col("fdm_mode") == "single", F.col("symbol")).otherwise(""))
-
-    # what is a variant's own comes from the registry after an exchange, not through it
-    own = lambda *columns: F.broadcast(variants.select("variant", *columns))
-    pool = parts(forecasts.repartition("dt")).groupBy(*by, "dt").agg(*(F.avg(p).alias(p) for p in PARTS))
-    pool = pool.join(own("fdm_span", "fdm_least", "fdm_mode", "fdm_cap", *(f"w_{p}" for p in PARTS)), "variant")
-    pool, rho = R.ewm_rhos(pool, list(PARTS), 2 / (F.col("fdm_span") + 1.0), by=by)
+    d = forecasts.select(*(c for c in (*BASE, *keep) if c in forecasts.columns), F.array(*(F.col(f"`{n}`") for n in names)).alias("f")).crossJoin(F.broadcast(variants)).where("symbol <> dropped")
+    d = d.withColumns({"trend": cap(F.col("w_ts") * ts + F.col("w_xs") * f(F.col("i_xs"))), **{p: f(F.col(f"i_{p}")) for p in PARTS[1:]}})
+    return d.withColumn("pool", F.when(F.col("fdm_mode") == "single", F.col("symbol")).otherwise(""))
+
+
+#: What the multipliers are by.
+POOL = ("variant", "pool")
+
+
+def pools(forecasts: DataFrame, variants: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(variant, pool, dt, *PARTS): the mean of each part. Forecasts are dealt by date before variants multiply them, so this needs no further exchange."""
+    return parts(forecasts.repartition("dt"), variants, keep).groupBy(*POOL, "dt").agg(*(F.avg(p).alias(p) for p in PARTS))
+
+
+def multipliers(pool: DataFrame, variants: DataFrame, place: str | None = None) -> DataFrame:
+    """(variant, pool, dt, mult) from pools(); place: see decayed_sums()."""
+    pool = pool.join(F.broadcast(variants.select("variant", "fdm_span", "fdm_least", "fdm_mode", "fdm_cap", *(f"w_{p}" for p in PARTS))), "variant")
+    pool, rho = R.ewm_rhos(pool, list(PARTS), 2 / (F.col("fdm_span") + 1.0), by=POOL, place=place)
     mult = B.multiplier({p: F.col(f"w_{p}") for p in PARTS}, rho, F.col("_n") >= F.col("fdm_least"), F.col("fdm_mode"), F.col("fdm_cap"))
-    pool = save(pool.select(*by, "dt", mult.alias("mult")), "multipliers")
-    d = parts(forecasts).select(*by, *KEYS, "open", "close", "vol", *keep, cap(mixed).alias("mixed"), gates.alias("gates"))
-    d = d.join(pool, [*by, "dt"]).select("variant", *KEYS, "open", "close", "vol", *keep, cap(F.col("mixed") * F.col("mult")).alias("mixed"), "gates")
-    d = d.repartition("variant", *() if together else ("symbol",)).join(own("cost_mult", "lag", rate.alias("rate")), "variant")
+    return pool.select(*POOL, "dt", mult.alias("mult"))
+
+
+def scores(forecasts: DataFrame, variants: DataFrame, lags: Iterable[int] = (0,), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(variant, symbol, dt, score, open, close, vol, cost_mult, *keep), all rows of a variant together: the composite of each variant.
+
+    The multipliers, a row for each variant and date, are written; after them, one exchange by variant serves all steps.
+    Cross-sectional features keep the whole universe. A variant is sorted by one task, so this is for many variants of
+    short series; long_series.run() is for few variants of long ones.
+    """
+    pool = save(multipliers(pools(forecasts, variants, keep), variants), "multipliers")
+    d = parts(forecasts, variants, keep).select(*POOL, *KEYS, "open", "close", "vol", *keep, mixed().alias("mixed"), gates().alias("gates"))
+    d = d.join(pool, [*POOL, "dt"]).select("variant", *KEYS, "open", "close", "vol", *keep, cap(F.col("mixed") * F.col("mult")).alias("mixed"), "gates")
+    # what is a variant's own comes from the registry after the exchange, not through it
+    d = d.repartition("variant").join(F.broadcast(variants.select("variant", "cost_mult", "lag", smoothing().alias("rate"))), "variant")
     d = R.ewm_means(d, {"smooth": ("mixed", F.col("rate"))}, by=("variant", "symbol"))
     d = d.withColumn("score", F.col("smooth") * F.col("gates"))
     over = W.partitionBy("variant", "symbol").orderBy("dt")
@@ -223,17 +256,16 @@ def scores(forecasts: DataFrame, variants: DataFrame, lags: Iterable[int] = (0,)
     return d.select("variant", *KEYS, F.coalesce(held, F.lit(0.0)).alias("score"), "open", "close", "vol", "cost_mult", *keep)
 
 
-def run(forecasts: DataFrame, variants: DataFrame, dims: DataFrame, year: float, lags: Iterable[int] = (0,), capital: float = L.CAPITAL, rates: DataFrame | None = None, together: bool = True) -> DataFrame:
+def run(forecasts: DataFrame, variants: DataFrame, dims: DataFrame, year: float, lags: Iterable[int] = (0,), capital: float = L.CAPITAL, rates: DataFrame | None = None) -> DataFrame:
     """(variant, dt, pnl, commission, trades, cash, nav, ret, excess) of every variant: composite, positions, ledger and net asset value.
 
-    rates: (dt, rate), what cash earns in a row's time, as of a date; without it cash earns nothing. together: see scores();
-    without it, a task has whole series, not whole variants.
+    rates: (dt, rate), what cash earns in a row's time, as of a date; without it cash earns nothing.
     """
     own = ("pointsize", "cost_rt")
-    d = scores(forecasts.join(dims.select("symbol", *own), "symbol"), variants, lags, own, together)
+    d = scores(forecasts.join(dims.select("symbol", *own), "symbol"), variants, lags, own)
     d = d.withColumn("forecast", F.col("score")).withColumn("fx", F.lit(1.0))
     d = L.target_position(d, capital=capital, root_year=year**0.5, least_vol=1e-9).drop("forecast", "score")
-    held = R.deadband(d, "target", "position", by=("variant", "symbol"), across="symbol" if together else None, together=True)
+    held = R.deadband(d, "target", "position", by=("variant", "symbol"), across="symbol", together=True)
     return L.nav(L.portfolio_daily(L.daily_pnl(held, F.col("cost_mult")), rates, capital), capital)
 
 

@@ -353,3 +353,69 @@ def test_long_panel_is_dealt_by_series(spark):
     got = registry.queries()["sw04_long"](spark, sf)
     dealt = re.findall(r"RepartitionByExpression \[([^\]]*)\]", got._jdf.queryExecution().optimizedPlan().toString())
     assert [re.sub(r"#\d+", "", x) for x in dealt] == ["variant, symbol"]
+
+
+def test_long_panel_moves_rows_once(spark):
+    """What is returned has one exchange of its variants' rows, one of their sums by date, and one of dates; counts and sizes by date come before."""
+    from strandmill.plans import registry
+
+    plan = registry.queries()["sw04_long"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 3 and "SortMergeJoin" not in plan
+
+
+def test_long_series_equal_the_sweep(spark, monkeypatch):
+    """Series cut into stretches, and variants of every kind in arrays, give what whole series give, a row for each variant."""
+    from strandmill.operators import long_series
+    from strandmill.operators import signals as G
+    from strandmill.operators import windows as O
+    from strandmill.sources import panels as P
+    from strandmill.sources.sinks import save
+
+    fast = {"speeds": ["2_8"]}
+    of = {"xs": {"w_ts": 0.5, "w_xs": 0.5}, "single": {"fdm_mode": "single", "lag": 2}, "conv": {"conviction": 26, "fdm_least": 13}, "late": {"lag": 1}, "half": {"halflife": 3.0}, "dear": {"cost_mult": 3.0, "smooth_span": 0}, "less": {"dropped": "L03"}, "plain": S.OFF}
+    v = S.registry(spark, {k: ("test", fast | o) for k, o in of.items()}).where("variant <> 'master'")
+    b = save(P.bars_long(spark, SF).where("symbol < 'L06'"), "bars")
+    dims = b.select("symbol").distinct().select("symbol", F.lit(2.0).alias("pointsize"), F.lit(0.5).alias("cost_rt"))
+    chain = {"c1": F.col("close"), "c2": O.shift("close", 1), "years12": F.lit(1.0)}
+    rates = spark.createDataFrame([("1960-01-01", 0.001)], "dt string, rate double").select(F.col("dt").cast("date").alias("dt"), "rate")
+    wanted = S.needs(v)
+    want = S.run(S.library(G.prepare(b).withColumns(chain), None, wanted), v, dims, 52.0, wanted["lag"], rates=rates)
+    monkeypatch.setattr(long_series, "STRETCH", 100)
+    monkeypatch.setattr(long_series, "TIMES", 1)
+    monkeypatch.setattr(long_series, "TASK_ROWS", 1000)
+    got = long_series.run(b, chain, v, dims, 52.0, rates=rates)
+    want, got = (d.select("variant", "dt", "pnl", "commission", "trades", "nav", "ret", "excess").toPandas().sort_values(["variant", "dt"]).reset_index(drop=True) for d in (want, got))
+    assert got["variant"].nunique() == len(of) and got[["variant", "dt", "trades"]].equals(want[["variant", "dt", "trades"]])
+    assert np.allclose(got[["ret", "excess"]], want[["ret", "excess"]], atol=1e-9) and np.allclose(got[["pnl", "commission", "nav"]], want[["pnl", "commission", "nav"]], rtol=1e-9, atol=1e-3)
+
+
+@pytest.mark.parametrize("unknown", [False, True])
+def test_stretches_reach_over_closes_that_stand_still(spark, monkeypatch, unknown):
+    from strandmill.operators import long_series
+    from strandmill.operators import signals as G
+    from strandmill.operators import windows as O
+
+    rng = np.random.default_rng(5)
+    close = 100 + rng.normal(size=(3, 4000)).cumsum(1).round(2)
+    close[1, 600:3100] = close[1, 600]
+    rows = [(f"S#{k}", i, None if unknown and k == 2 and 500 <= i < 3500 else float(close[k, i])) for k in range(3) for i in range(4000)]
+    b = spark.createDataFrame(rows, "symbol string, i int, close double").select("symbol", F.date_add(F.lit("1960-01-01"), "i").alias("dt"), "close")
+    chain = {"c1": F.col("close"), "c2": O.shift("close", 1), "years12": F.lit(1.0)}
+    wanted = S.needs(S.registry(spark, {"fast": ("test", {"speeds": ["2_8"]})}).where("variant = 'fast'"))
+    monkeypatch.setattr(long_series, "STRETCH", 100)
+    monkeypatch.setattr(long_series, "TIMES", 1)
+    got, n = long_series.library(b, chain, wanted, ["xs52"])
+    want = S.library(G.prepare(b).withColumns(chain), None, wanted).toPandas().sort_values(["symbol", "dt"])
+    got = got.toPandas().sort_values(["symbol", "dt"])
+    assert n == len(got) == len(want) == 12000 and (got["place"].to_numpy() == np.tile(np.arange(4000), 3)).all()
+    same = ["close", "vol", *S.features(wanted)]
+    assert np.allclose(got[same].astype(float), want[same].astype(float), atol=1e-7, equal_nan=True)
+
+
+def test_replace_leaves_no_shuffle_files_and_no_old_table(spark):
+    from strandmill.sources.sinks import replace, save
+
+    old = save(spark.range(1000), "old")
+    new = replace(old.repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "new", old)
+    assert new.agg(F.sum("n")).first()[0] == 1000 and spark.read.parquet(old.inputFiles()[0].rpartition("/")[0]).count() == 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
